@@ -47,7 +47,7 @@ def shingles(text: bytes, words: int) -> np.ndarray:
         return w
     c = odd_constants(words + 1, 11)
     if len(w) < words:
-        return mix64((w * c[: len(w)]).sum(dtype=np.uint64) + c[words] * np.uint64(len(w)) + np.zeros(1, np.uint64))
+        return mix64(np.append(w * c[: len(w)], c[words:] * np.uint64(len(w))).sum(dtype=np.uint64, keepdims=True))
     n = len(w) - words + 1
     total = w[:n] * c[0]
     for k in range(1, words):
