@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.chat_format import ChatConfig, format_chats
+from lectern.llm.language_id import LanguageConfig, held_out, identify, train
 from lectern.llm.minhash_dedup import MinHashConfig, near_duplicates
+from lectern.llm.warc_store import WarcConfig, round_trip
 from lectern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +19,27 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), MinHashConfig(threshold_percent=85))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = identify(docs.select("doc_id", "text"), train(docs, LanguageConfig()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_warc_store(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    found = round_trip(pages, WarcConfig(), least_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return format_chats(table(spark, folder, "conversations"), ChatConfig())
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_language_id": op2_language_id,
+    "op3_warc_store": op3_warc_store,
+    "op4_chat_format": op4_chat_format,
 }
 
 ORACLES: dict[str, str] = {}

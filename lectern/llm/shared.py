@@ -43,6 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its partitions as they are, stored in the shared folder."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results that still read them must be stored before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
