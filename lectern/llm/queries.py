@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.chat_format import ChatConfig, format_chats
+from lectern.llm.decontaminate import DecontaminationConfig, contaminated
 from lectern.llm.language_id import LanguageConfig, held_out, identify, train
 from lectern.llm.minhash_dedup import MinHashConfig, near_duplicates
 from lectern.llm.warc_store import WarcConfig, round_trip
@@ -35,11 +36,16 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return format_chats(table(spark, folder, "conversations"), ChatConfig())
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), DecontaminationConfig())
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_warc_store": op3_warc_store,
     "op4_chat_format": op4_chat_format,
+    "op5_decontaminate": op5_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
