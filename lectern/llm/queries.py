@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm.chat_format import ChatConfig, format_chats
 from lectern.llm.decontaminate import DecontaminationConfig, contaminated
 from lectern.llm.language_id import LanguageConfig, held_out, identify, train
 from lectern.llm.minhash_dedup import MinHashConfig, near_duplicates
+from lectern.llm.secret_scan import BASE_KINDS, SecretConfig, joined_spans, scan
 from lectern.llm.warc_store import WarcConfig, round_trip
 from lectern.tables import table
 
@@ -40,12 +42,19 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), DecontaminationConfig())
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan(table(spark, folder, "documents"), SecretConfig())
+    counts = [F.expr(f"size(filter(kinds, k -> k = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(list(BASE_KINDS)), 256).alias("base_sha256"), joined_spans().alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
     "op3_warc_store": op3_warc_store,
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secret_scan": op6_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
