@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from lectern.llm.chat_format import ChatConfig, format_chats
 from lectern.llm.decontaminate import DecontaminationConfig, contaminated
 from lectern.llm.language_id import LanguageConfig, held_out, identify, train
 from lectern.llm.minhash_dedup import MinHashConfig, near_duplicates
+from lectern.llm.packing import PackingConfig, pack
 from lectern.llm.secret_scan import BASE_KINDS, SecretConfig, joined_spans, scan
 from lectern.llm.warc_store import WarcConfig, round_trip
 from lectern.tables import table
@@ -48,6 +50,14 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined_spans(list(BASE_KINDS)), 256).alias("base_sha256"), joined_spans().alias("spans"))
 
 
+def packing_config() -> PackingConfig:
+    return PackingConfig(public_tokenizers.path("word_bpe_49k.json"), length=2048)
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), packing_config())
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -55,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat_format": op4_chat_format,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
+    "op7_packing": op7_packing,
 }
 
 ORACLES: dict[str, str] = {}
