@@ -31,9 +31,12 @@ class MinHashConfig:
     bands: int = 28
     rows: int = 6
     mantissa_bits: int = 10
-    slack_sigmas: float = 6.0
+    slack_sigmas: float = 5.0
     #: Partners that are verified against one copy of a leader's text; a larger group is dealt to several tasks.
     partners_per_task: int = 64
+    #: Members, and shingles of all members, in a block of a bucket whose members are in different components.
+    block_members: int = 512
+    block_shingles: int = 1 << 21
 
     @property
     def buckets(self) -> int:
@@ -134,24 +137,115 @@ def sketches(docs: DataFrame, cfg: MinHashConfig, id_col: str, text_col: str) ->
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, n long, f1 long, f2 long, regs binary")
 
 
+def band_keys(raw: list[bytes], cfg: MinHashConfig) -> np.ndarray:
+    """A row of keys, one for each band, for each of the registers given."""
+    probes, consts = _probes(cfg.buckets), odd_constants(cfg.rows + 1, 5)
+    full = np.stack([densified(np.frombuffer(r, np.uint16), probes) for r in raw])
+    parts = full.reshape(len(full), cfg.bands, cfg.rows).astype(np.uint64) + np.uint64(1)
+    mixed = mix64((mix64(parts * consts[: cfg.rows]) * consts[: cfg.rows]).sum(axis=2, dtype=np.uint64))
+    return mix64(mixed + np.arange(cfg.bands, dtype=np.uint64) * consts[cfg.rows]).view(np.int64)
+
+
 def _bands(nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """(key, node): one row for each band of a node's registers."""
-    probes, consts = _probes(cfg.buckets), odd_constants(cfg.rows + 1, 5)
-    number = np.arange(cfg.bands, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            full = np.stack([densified(np.frombuffer(r, np.uint16), probes) for r in batch.column(1).to_pylist()])
-            parts = full.reshape(len(full), cfg.bands, cfg.rows).astype(np.uint64) + np.uint64(1)
-            keys = mix64(mix64((mix64(parts * consts[: cfg.rows]) * consts[: cfg.rows]).sum(axis=2, dtype=np.uint64)) + number * consts[cfg.rows])
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), cfg.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids, pa.int64())], ["key", "node"])
+            if batch.num_rows:
+                keys = band_keys(batch.column(1).to_pylist(), cfg)
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), cfg.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids, pa.int64())], ["key", "node"])
 
     return nodes.select("node", "regs").mapInArrow(run, "key long, node long")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows with equal leading columns, of a partition that is sorted by them."""
+    now, held = None, []
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
+        start = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[start]:
+                if now is not None and names[start] != now:
+                    yield now, held
+                    held = []
+                now = names[start]
+                held.append(batch.slice(start, k - start))
+                start = k
+    if now is not None:
+        yield now, held
+
+
+def _across(placed: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """(key, lo, hi, a, b): candidates across components in one bucket, as two lists for each pair of blocks.
+
+    Buckets are cut into blocks; a row for each pair of blocks keeps candidates packed, so that a large bucket makes
+    few rows and no large task. A pair is taken in the first band that it shares, if its sizes allow a link and its
+    estimate does not rule it out.
+    """
+    sized = placed.join(nodes.select("node", "n", "regs"), "node")
+    count = F.greatest(F.ceil(F.count("*") / cfg.block_members), F.ceil(F.sum("n") / cfg.block_shingles)).cast("int")
+    mixed = placed.join(nodes.select("node", "n"), "node").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), count.alias("blocks"))
+    rows = sized.join(mixed.where("lo <> hi").select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "regs")
+    t = cfg.threshold_percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, lo, hi), parts in _groups(batches, 3):
+            group = pa.Table.from_batches(parts)
+            own, node, component, n = (group.column(c).to_numpy() for c in ("own", "node", "component", "n"))
+            raw = group.column("regs").to_pylist()
+            keys, regs = band_keys(raw, cfg), np.frombuffer(b"".join(raw), np.uint16).reshape(-1, cfg.buckets)
+            band = int(np.flatnonzero((keys == key).all(axis=0))[0])
+            left, right, found = np.flatnonzero(own == lo), np.flatnonzero(own == hi), []
+            for i in left:
+                js = right[right > i] if lo == hi else right
+                js = js[(component[js] != component[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * cfg.threshold_percent)]
+                js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
+                if len(js):
+                    wide = np.sqrt(t * (1 - t) / np.maximum(1, np.minimum(cfg.buckets, np.minimum(n[js], n[i]))))
+                    same = np.broadcast_to(regs[i], (len(js), cfg.buckets))
+                    js = js[estimated_jaccard(same, regs[js], np.full(len(js), n[i]), n[js], cfg.mantissa_bits) >= t - cfg.slack_sigmas * wide]
+                    found.append(np.stack([np.full(len(js), node[i]), node[js]]))
+            if found and (pairs := np.concatenate(found, axis=1)).size:
+                columns = [pa.array([key]), pa.array([lo], pa.int32()), pa.array([hi], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in pairs)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "lo", "hi", "a", "b"])
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "key long, lo int, hi int, a array<long>, b array<long>")
+
+
+def _verified_blocks(packed: DataFrame, texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """The pairs (a, b) of _across that hold on full shingle sets. A task holds the sets of one pair of blocks."""
+    keys = ["key", "lo", "hi"]
+    wanted = packed.select(*keys, F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc")).join(texts, "doc")
+    none = F.lit(None)
+    rows = packed.select(*keys, none.cast("long").alias("doc"), none.cast("string").alias("text"), "a", "b")
+    rows = rows.unionByName(wanted.select(*keys, "doc", "text", none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _groups(batches, 3):
+            sets, pairs = {}, []
+            for part in parts:
+                for doc, text, a, b in zip(part.column("doc").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("a"), part.column("b")):
+                    if doc is None:
+                        pairs = list(zip(a.as_py(), b.as_py()))
+                    else:
+                        sets[doc] = shingles(text or b"", cfg.words)
+            good = [(x, y) for x, y in pairs if _linked(sets[x], sets[y], cfg)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, cfg: MinHashConfig) -> bool:
+    both = np.concatenate((x, y))
+    both.sort()
+    meet = int((both[1:] == both[:-1]).sum())
+    return meet > 0 and 100 * meet >= cfg.threshold_percent * (len(both) - meet)
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """Pairs (a, b) whose sizes allow a link and whose estimate does not rule it out."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
@@ -198,12 +292,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, cfg: MinHashConfig) -> DataFra
                 if leads[k]:
                     held.append(own)
                     continue
-                for s in held:
-                    meet = len(s) + len(own) - len(np.unique(np.concatenate((s, own))))
-                    if meet and 100 * meet >= cfg.threshold_percent * (len(s) + len(own) - meet):
-                        a.append(lead[k])
-                        b.append(doc[k])
-                        break
+                if any(_linked(s, own, cfg) for s in held):
+                    a.append(lead[k])
+                    b.append(doc[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.desc("leads")).mapInArrow(run, "a long, b long")
@@ -216,7 +307,7 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     2. Bands of registers are grouped by partial aggregation. Each node is first held against the smallest node of
        a bucket only (the one with which it shares most bands), so a group of many near copies costs one
        verification a member. Links found are closed into components.
-    3. In buckets whose members are still in different components, every pair across components is taken.
+    3. In buckets whose members are still in different components, pairs across components are taken block by block.
     4. All candidates pass the size bound and the collision-corrected estimate, then the check on full sets.
        Pairs inside one component need no check: they cannot change the result.
 
@@ -240,15 +331,10 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     links = written(_verified(first, texts, cfg), "links")
 
     near = components(links, "a", "b")
-    placed = shared.join(near, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = written(placed.join(mixed, "key").join(nodes.select("node", "n"), "node"), "mixed_bands")
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n"))) for s in "xy")
-    across = (F.col("component_x") < F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * cfg.threshold_percent)
-    more = x.join(y, "key").where(across).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    second = written(_likely(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), nodes, cfg), "pairs")
+    placed = written(shared.join(near, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed_bands")
+    second = written(_across(placed, nodes, cfg), "packed_pairs")
     if not second.isEmpty():
-        added = written(_verified(second, texts, cfg), "links")
+        added = written(_verified_blocks(second, texts, cfg), "links")
         near = components(links.unionByName(added), "a", "b") if not added.isEmpty() else near
 
     named = drawn.join(sets, ["f1", "f2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
