@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.llm.chat_format import ChatConfig, format_chats
 from lectern.llm.decontaminate import DecontaminationConfig, contaminated
 from lectern.llm.language_id import LanguageConfig, held_out, identify, train
+from lectern.llm.license_scan import LicenseConfig, scan_licenses
 from lectern.llm.minhash_dedup import MinHashConfig, near_duplicates
 from lectern.llm.packing import PackingConfig, pack
 from lectern.llm.secret_scan import BASE_KINDS, SecretConfig, joined_spans, scan
@@ -58,6 +59,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), packing_config())
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"), LicenseConfig()).drop("spans")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
