@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ, components, mix64, odd_constants, word_hashes, written
+from lectern.llm.shared import LOWER_AZ, components, grouped, mix64, odd_constants, word_hashes, written
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -159,24 +159,6 @@ def _bands(nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(run, "key long, node long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Runs of rows with equal leading columns, of a partition that is sorted by them."""
-    now, held = None, []
-    for batch in batches:
-        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
-        start = 0
-        for k in range(1, len(names) + 1):
-            if k == len(names) or names[k] != names[start]:
-                if now is not None and names[start] != now:
-                    yield now, held
-                    held = []
-                now = names[start]
-                held.append(batch.slice(start, k - start))
-                start = k
-    if now is not None:
-        yield now, held
-
-
 def _across(placed: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """(key, lo, hi, a, b): candidates across components in one bucket, as two lists for each pair of blocks.
 
@@ -193,7 +175,7 @@ def _across(placed: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFram
     t = cfg.threshold_percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, lo, hi), parts in _groups(batches, 3):
+        for (key, lo, hi), parts in grouped(batches, 3):
             group = pa.Table.from_batches(parts)
             own, node, component, n = (group.column(c).to_numpy() for c in ("own", "node", "component", "n"))
             raw = group.column("regs").to_pylist()
@@ -225,7 +207,7 @@ def _verified_blocks(packed: DataFrame, texts: DataFrame, cfg: MinHashConfig) ->
     rows = rows.unionByName(wanted.select(*keys, "doc", "text", none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _groups(batches, 3):
+        for _, parts in grouped(batches, 3):
             sets, pairs = {}, []
             for part in parts:
                 for doc, text, a, b in zip(part.column("doc").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("a"), part.column("b")):

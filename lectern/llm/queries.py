@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.chat_format import ChatConfig, format_chats
 from lectern.llm.decontaminate import DecontaminationConfig, contaminated
+from lectern.llm.embedding_dedup import EmbeddingConfig, embedding_links
 from lectern.llm.language_id import LanguageConfig, held_out, identify, train
 from lectern.llm.license_scan import LicenseConfig, scan_licenses
 from lectern.llm.minhash_dedup import MinHashConfig, near_duplicates
@@ -63,6 +64,10 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"), LicenseConfig()).drop("spans")
 
 
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_links(table(spark, folder, "embeddings"), EmbeddingConfig(threshold=0.9))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
     "op9_license_scan": op9_license_scan,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,24 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Runs of rows with equal leading columns, of a partition that is sorted by them."""
+    now, held = None, []
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
+        start = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[start]:
+                if now is not None and names[start] != now:
+                    yield now, held
+                    held = []
+                now = names[start]
+                held.append(batch.slice(start, k - start))
+                start = k
+    if now is not None:
+        yield now, held
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every end of an edge; component is the smallest node reachable.
 
