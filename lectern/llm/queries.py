@@ -13,6 +13,7 @@ from lectern.llm.decontaminate import DecontaminationConfig, contaminated
 from lectern.llm.embedding_dedup import EmbeddingConfig, embedding_links
 from lectern.llm.language_id import LanguageConfig, held_out, identify, train
 from lectern.llm.license_scan import LicenseConfig, scan_licenses
+from lectern.llm.lm_score import BackoffConfig, score
 from lectern.llm.minhash_dedup import MinHashConfig, near_duplicates
 from lectern.llm.packing import PackingConfig, pack
 from lectern.llm.secret_scan import BASE_KINDS, SecretConfig, joined_spans, scan
@@ -68,6 +69,11 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_links(table(spark, folder, "embeddings"), EmbeddingConfig(threshold=0.9))
 
 
+def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score(table(spark, folder, "documents"), BackoffConfig())
+    return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -76,8 +82,29 @@ QUERIES: dict[str, Query] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
+    "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p FROM t),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+b AS (SELECT p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY p, w),
+du AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w),
+db AS (SELECT r, p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY r, p, w),
+n AS (SELECT sum(len(ws)) AS n FROM d),
+s AS (SELECT g.r, g.p IS NULL AS first, coalesce(b.c - db.c, 0) AS n_both, u.c - du.c AS own, pu.c - pdu.c AS before, greatest(1, n.n - len(d.ws)) AS rest
+  FROM g JOIN d USING (r) CROSS JOIN n JOIN u ON u.w = g.w JOIN du ON du.r = g.r AND du.w = g.w
+  LEFT JOIN u pu ON pu.w = g.p LEFT JOIN du pdu ON pdu.r = g.r AND pdu.w = g.p
+  LEFT JOIN b ON b.p = g.p AND b.w = g.w LEFT JOIN db ON db.r = g.r AND db.p = g.p AND db.w = g.w),
+v AS (SELECT r, sum(CASE WHEN n_both > 0 THEN ln(n_both) - ln(before) ELSE ln(greatest(own, 0.5) / rest) + CASE WHEN first THEN 0 ELSE ln(0.4) END END) AS x,
+  count(*) FILTER (WHERE NOT first AND n_both <= 0) AS backed FROM s GROUP BY r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(v.backed, 0) AS BIGINT) AS n_backed_off, round(coalesce(v.x, 0.0), 4) AS log_score FROM d LEFT JOIN v USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op8_lm_score": _OP8,
+}
