@@ -82,7 +82,7 @@ def _scanned(blobs: DataFrame, cfg: SecretConfig) -> DataFrame:
 
 
 def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig(), ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, kinds, starts, ends) for each row of docs; starts and ends in code points, ends exclusive.
+    """(doc_id, blob, kinds, starts, ends) for each row of docs; starts and ends in code points, ends exclusive.
 
     1. Every row is content-addressed; only the address and the row's id go on.
     2. Addresses that the ledger lacks under this rule version are kept, with the smallest id that has each.
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig(), ledger: str | None
     found = spark.read.schema(schema).parquet(ledger).where((F.col("rule_version") == cfg.version) & (F.size("kinds") > 0)).select("blob", "kinds", "starts", "ends").dropDuplicates(["blob"])
     joined = versions.join(found, "blob", "left")
     empty = F.array().cast("array<string>"), F.array().cast("array<int>"), F.array().cast("array<int>")
-    return joined.select("doc_id", *(F.coalesce(c, e).alias(c) for c, e in zip(("kinds", "starts", "ends"), empty)))
+    return joined.select("doc_id", "blob", *(F.coalesce(c, e).alias(c) for c, e in zip(("kinds", "starts", "ends"), empty)))
 
 
 def joined_spans(kinds: list[str] | None = None) -> F.Column:
@@ -124,14 +124,15 @@ def joined_spans(kinds: list[str] | None = None) -> F.Column:
     return F.array_join(F.transform(each, lambda x: F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of found (doc_id, kinds, starts, ends) replaced by [kind]; overlapping spans become one.
+def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with every span that scan found replaced by [kind]; overlapping spans become one.
 
-    Ids must be unique. Rows without a span stay as they are.
+    Findings are held against a row's content, so that repeated ids do no harm. Rows without a span stay as they are.
     """
-    spans = found.where(F.size("kinds") > 0).select(F.col("doc_id").alias("_id"), F.col("kinds").alias("_kinds"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("_id"), "left")
-    at = docs.columns.index(text_col)
+    spans = written(found.where(F.size("kinds") > 0).select(F.col("blob").alias("_blob"), F.col("kinds").alias("_kinds"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")).dropDuplicates(["_blob"]), "findings")
+    joined = docs.join(spans, blob_id(F.col(text_col)) == F.col("_blob"), "left")
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,11 +140,10 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             for k, text in enumerate(texts):
                 if kinds[k] and text is not None:
                     texts[k] = redacted(text, list(zip(kinds[k], starts[k], ends[k])))
-            columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, docs_columns)
+            columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    docs_columns = docs.columns
-    return joined.select(*docs.columns, "_kinds", "_starts", "_ends").mapInArrow(run, docs.schema)
+    return joined.select(*(docs[c] for c in names), "_kinds", "_starts", "_ends").mapInArrow(run, docs.schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
