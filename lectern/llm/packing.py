@@ -30,14 +30,16 @@ class PackingConfig:
     end_id: int = 1
     open_windows: int = 16
     merged: int = 64
-    #: Entries of a worker's caches; they are emptied when full, so its memory is bounded.
-    cached_words: int = 400_000
+    #: Words of each half of a worker's cache, which bounds its memory.
+    cached_words: int = 500_000
 
 
 #: How the word_bpe vocabulary parts a text, and the letters that stand for bytes in its words.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with other characters, or with the sign that begins a special token, are left to the tokenizer as a whole.
-_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\u036f\\u2010-\\u2027\\u20ac]|<\\|")
+#: Words with other characters, or with the sign that begins a special token, are left to the tokenizer.
+_UNUSUAL = re.compile("[^\\x20-\\u036f\\u2010-\\u2027\\u20ac]|<\\|")
+#: Python parts words at these, the tokenizer does not.
+_NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,16 +48,31 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in ids)
+
+
 class _Words(dict):
-    """word between blanks -> its ids as little-endian bytes; a word that lacks is noted in asked and gives nothing."""
+    """word between blanks -> its ids as little-endian bytes; a word that lacks is noted in asked and gives nothing.
+
+    When limit words are held, they become the older half, from which those that are met again move back.
+    """
 
-    def __init__(self):
+    def __init__(self, limit: int):
         super().__init__()
-        self.asked: list[str] = []
+        self.limit, self.older, self.asked = limit, {}, []
 
     def __missing__(self, word: str) -> bytes:
-        self.asked.append(word)
-        return b""
+        if (known := self.older.get(word)) is None:
+            self.asked.append(word)
+            return b""
+        self[word] = known
+        return known
+
+    def age(self) -> None:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
 
 
 class TextEncoder:
@@ -65,28 +82,31 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model, self.limit, self.words, self.parts, self.letters = self.whole.model, cached_words, _Words(), {}, _byte_letters()
+        self.model, self.words, self.parts, self.letters = self.whole.model, _Words(cached_words), _Words(cached_words // 4), _byte_letters()
 
     def _part(self, part: str) -> bytes:
-        if (known := self.parts.get(part)) is None:
+        if not (known := self.parts[part]):
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            known = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            self.parts[part] = known
+            known = self.parts[part] = _bytes([t.id for t in self.model.tokenize(spelled)])
         return known
 
+    def _word(self, word: str) -> bytes:
+        if _UNUSUAL.search(word):
+            return _bytes(self.whole.encode(word, add_special_tokens=False).ids)
+        low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
+        return self._part(low) if low.isalpha() else b"".join(map(self._part, _PARTS.findall(low)))
+
     def ids(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
+        if any(c in text for c in _NO_BLANKS):
+            return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
         words, known = text.split(), self.words
+        known.age()
+        self.parts.age()
+        self.parts.asked.clear()
         found = list(map(known.__getitem__, words))
         if known.asked:
-            if len(known) > self.limit:
-                known.clear()
-                known.asked = list(words)
             for word in set(known.asked):
-                known[word] = b"".join(map(self._part, _PARTS.findall(unicodedata.normalize("NFC", word).lower())))
+                known[word] = self._word(word)
             known.asked.clear()
             found = map(known.__getitem__, words)
         return b"".join(found)
