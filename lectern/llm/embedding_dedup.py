@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from lectern.llm.shared import components, grouped, written
 
 _SLACK = 1e-9
+#: More than a single-precision product of unit vectors can be off.
+_SCREEN = 1e-4
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,7 @@ class EmbeddingConfig:
     block: int = 4096
     sample: int = 2048
     pivots: int = 256
-    top: float = 1.0
+    top: float = 0.5
     finest: float = 0.0625
 
     @property
@@ -207,35 +209,37 @@ class DualTraversal:
                 todo.append(self._parted(p, q))
 
     def _roots(self, rows: np.ndarray, cols: np.ndarray, upper: bool) -> None:
-        """Pairs of roots that aren't dropped, found by blocks of a matrix product."""
+        """Pairs of roots that aren't dropped. A matrix product in single precision screens them, with room for its error."""
         a, b = self.a, self.b
         if not len(rows) or not len(cols):
             return
-        right = np.ascontiguousarray(b.x[b.center[cols]].T)
+        right, far = b.x[b.center[cols]].astype(np.float32).T, (self.cfg.reach + b.radius[cols]).astype(np.float32)
         for k in range(0, len(rows), 512):
             part = rows[k : k + 512]
-            wide = self.cfg.reach + _SLACK + a.radius[part].max() + b.radius[cols].max()
-            i, j = np.nonzero(a.x[a.center[part]] @ right >= 1 - wide * wide / 2 - _SLACK)
+            near = a.x[a.center[part]].astype(np.float32) @ right
+            radius = a.radius[part].astype(np.float32)
+            if radius.any() or (far > far[0]).any():
+                wide = radius[:, None] + far
+                near += wide * wide / 2
+                i, j = np.nonzero(near >= np.float32(1 - _SCREEN))
+            else:
+                i, j = np.nonzero(near >= np.float32(1 - far[0] * far[0] / 2 - _SCREEN))
             p, q = part[i], cols[j]
             if upper:
                 p, q = p[p < q], q[p < q]
             self._settle(p, q)
 
     def run(self) -> DualTraversal:
+        """Lone points are held against each other apart from wider roots, whose bounds differ from pair to pair."""
         a, b = self.a, self.b
         lone_a, lone_b = a.count[a.roots] == 0, b.count[b.roots] == 0
+        self._roots(a.roots[lone_a], b.roots[lone_b], self.same)
+        self._roots(a.roots[~lone_a], b.roots[~lone_b], self.same)
+        self._roots(a.roots[~lone_a], b.roots[lone_b], False)
         if self.same:
-            self._roots(a.roots[lone_a], a.roots[lone_a], True)
-            for wide in a.roots[~lone_a]:
-                self._roots(np.array([wide]), a.roots[lone_a], False)
-                self._roots(np.array([wide]), a.roots[~lone_a & (a.roots > wide)], False)
             self._within(a.roots[~lone_a])
         else:
-            self._roots(a.roots[lone_a], b.roots[lone_b], False)
-            for wide in a.roots[~lone_a]:
-                self._roots(np.array([wide]), b.roots, False)
-            for wide in b.roots[~lone_b]:
-                self._roots(a.roots[lone_a], np.array([wide]), False)
+            self._roots(a.roots[lone_a], b.roots[~lone_b], False)
         return self
 
     def _within(self, nodes: np.ndarray) -> None:
