@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,15 +35,30 @@ def blended_unit(a: Column, b: Column, weight: float) -> Column:
     return F.transform(mixed, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
+def stable_hash(word: str) -> int:
+    """31-hash of a word from 23, as a signed 32-bit number."""
+    h = 23
+    for c in word:
+        h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    return h - (1 << 32) if h >= 1 << 31 else h
+
+
 def word_hash_vector(words: Column, dims: int = 64) -> Column:
-    """A bag of hashed words of length 1: a text's stand-in vector where no embedding model is at hand."""
-    kept = F.filter(words, lambda w: F.length(w) > 2)
-    wide = lambda h, c: (h * F.lit(31) + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF))
-    hashed = F.transform(kept, lambda w: F.aggregate(F.filter(F.split(w, ""), lambda c: c != ""), F.lit(23).cast("long"), wide))
-    slots = F.transform(hashed, lambda h: (F.abs(F.when(h >= 2**31, h - 2**32).otherwise(h)) % dims).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    """A bag of hashed words of three letters or more, of length 1: a text's stand-in vector where no embedding model is at hand."""
+
+    @F.pandas_udf("array<double>")
+    def bag(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            counts = np.zeros(dims)
+            for w in () if row is None else row:
+                if w is not None and len(w) > 2:
+                    counts[abs(stable_hash(w)) % dims] += 1
+            norm = np.sqrt((counts * counts).sum())
+            out.append(counts / norm if norm else counts)
+        return pd.Series(out)
+
+    return bag(words)
 
 
 def quantized(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
