@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import CACHE_WORDS, mix64, odd_constants, written
+from lectern.llm.shared import CACHE_WORDS, in_small_batches, mix64, odd_constants, written
 
 #: Units of measure and currency that a template holds as <unit>.
 UNITS = frozenset(
@@ -175,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                         columns = [pa.array([doc] * len(hit), kinds[0]), pa.array(at[hit], kinds[1]), pa.array(found[hit].view(np.int64)), pa.array(slots, kinds[3])]
                         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "here", "hash", "mine"])
 
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = in_small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = texts.mapInArrow(run, "doc_id long, here int, hash long, mine array<string>").join(marks, "hash")
     lined = hits.withColumn("shift", F.col("here") - F.col("at"))
     keys = ["doc_id", "item_id", "shift"]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import odd_constants
+from lectern.llm.shared import in_small_batches, odd_constants
 
 UNDETERMINED = "und"
 
@@ -49,7 +49,8 @@ def ngrams(text: str, cfg: LanguageConfig) -> np.ndarray:
         return np.zeros(0, np.int64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    padded = np.concatenate(([32], np.where(letter, points, 32)[keep], [32])).astype(np.uint64)
+    runs = np.where(letter, points, 32)[keep]
+    padded = np.concatenate(([32], runs, [32][: int(runs[-1] != 32)])).astype(np.uint64)
     found, c = [], odd_constants(2 * cfg.longest, 3)
     for n in range(1, cfg.longest + 1):
         total = np.full(max(0, len(padded) - n + 1), c[cfg.longest + n - 1])
@@ -116,7 +117,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _sample(docs: DataFrame, cfg: LanguageConfig, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
+    labelled = in_small_batches(docs).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
     if not sizes:
         return labelled.limit(0).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -188,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     at = kept.index(text_col)
-    docs = docs.select(*kept)
+    docs = in_small_batches(docs).select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double, ambiguous boolean"
     held = docs.sparkSession.sparkContext.broadcast(model)
 

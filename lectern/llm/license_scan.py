@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ
+from lectern.llm.shared import LOWER_AZ, in_small_batches
 
 #: Words of a lower-cased text as UTF-8: digits, small letters, and every character beyond ASCII.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -175,4 +175,4 @@ def scan_licenses(docs: DataFrame, cfg: LicenseConfig = LicenseConfig(), id_col:
             spans = [[{"label": a, "start": b, "end": c} for a, b, c in row] for row in columns.pop()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip([*columns, spans], _KINDS[1:]))], [c.split()[0] for c in _SCHEMA.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)

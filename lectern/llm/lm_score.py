@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ, grouped, mix64, odd_constants, word_hashes, written
+from lectern.llm.shared import LOWER_AZ, grouped, in_small_batches, mix64, odd_constants, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -24,14 +24,14 @@ class BackoffConfig:
 
     alpha: float = 0.4
     unseen: float = 0.5
-    chunk_words: int = 2_000_000
+    chunk_words: int = 1_500_000
     bucket_words: int = 2_000_000
     most_buckets: int = 1 << 18
 
 
 def _zipped(x: np.ndarray) -> bytes:
     """Byte planes of integers, compressed: small and frequent numbers cost little."""
-    return pa.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unzipped(raw: bytes, n: int, kind: type) -> np.ndarray:
@@ -58,11 +58,13 @@ class Chunk:
         """(document of each word, unigram keys by word, places of words with a word before them, distinct bigram keys,
         bigram of each such place, all distinct keys in order)."""
         c = odd_constants(4, 31)
-        doc = np.repeat(np.arange(len(self.docs)), self.lengths)
+        doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.lengths)
         unigrams = mix64(self.vocabulary * c[0] + c[2])
         at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         hashes = self.vocabulary[self.tokens]
-        bigrams, which = np.unique(mix64(hashes[at - 1] * c[0] + hashes[at] * c[1] + c[3]), return_inverse=True)
+        hashes = hashes[at - 1] * c[0] + hashes[at] * c[1] + c[3]
+        bigrams, which = np.unique(mix64(hashes), return_inverse=True)
+        which = which.astype(np.int32)
         keys = np.concatenate((unigrams, bigrams))
         keys.sort()
         return doc, unigrams, at, bigrams, which, keys
@@ -75,10 +77,15 @@ class Chunk:
         return n
 
 
-def _own(doc: np.ndarray, which: np.ndarray, size: int) -> np.ndarray:
-    """For each place, how often its n-gram stands in its document."""
-    _, place, counts = np.unique(doc * size + which, return_inverse=True, return_counts=True)
-    return counts[place]
+def _own(doc: np.ndarray, which: np.ndarray, size: int, step: int = 200_000) -> np.ndarray:
+    """For each place, how often its n-gram stands in its document; some documents at a time, so that sorts stay small."""
+    out, ends, start = np.empty(len(which), np.int32), np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)), 0
+    while start < len(doc):
+        end = int(ends[min(np.searchsorted(ends, start + step), len(ends) - 1)])
+        _, place, counts = np.unique(doc[start:end].astype(np.int64) * size + which[start:end], return_inverse=True, return_counts=True)
+        out[start:end] = counts[place]
+        start = end
+    return out
 
 
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -134,7 +141,7 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
     log_score 0; null ids are carried; repeated rows are rows of their own; other columns are ignored; an empty table gives
     no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = written(_chunks(texts, cfg), "chunks")
     total = chunks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     bits = min(cfg.most_buckets, max(16, total // cfg.bucket_words)).bit_length()
@@ -182,11 +189,10 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
 
 def _scored(chunk: Chunk, totals: np.ndarray, corpus: int, cfg: BackoffConfig) -> pa.RecordBatch:
     doc, unigrams, at, bigrams, which, keys = chunk.ngrams()
-    tokens, size = chunk.tokens.astype(np.int64), len(chunk.docs)
+    tokens, size = chunk.tokens, len(chunk.docs)
     words = totals[np.searchsorted(keys, unigrams)][tokens] - _own(doc, tokens, len(unigrams))
     pairs = totals[np.searchsorted(keys, bigrams)][which] - _own(doc[at], which, len(bigrams))
-    rest = np.maximum(1, corpus - chunk.lengths)[doc]
-    level = np.log(np.maximum(words, cfg.unseen) / rest)
+    level = np.log(np.maximum(words, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
     first = np.ones(len(tokens), bool)
     first[at] = False
     value = np.where(first, level, level + np.log(cfg.alpha))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ, components, grouped, mix64, odd_constants, word_hashes, written
+from lectern.llm.shared import LOWER_AZ, components, grouped, in_small_batches, mix64, odd_constants, word_hashes, written
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -134,7 +134,7 @@ def sketches(docs: DataFrame, cfg: MinHashConfig, id_col: str, text_col: str) ->
                 regs.append(registers(s, cfg.buckets, cfg.mantissa_bits).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())], ["doc", "n", "f1", "f2", "regs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, n long, f1 long, f2 long, regs binary")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, n long, f1 long, f2 long, regs binary")
 
 
 def band_keys(raw: list[bytes], cfg: MinHashConfig) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import written
+from lectern.llm.shared import in_small_batches, written
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class PackingConfig:
     open_windows: int = 16
     merged: int = 64
     #: Words of each half of a worker's cache, which bounds its memory.
-    cached_words: int = 500_000
+    cached_words: int = 350_000
 
 
 #: How the word_bpe vocabulary parts a text, and the letters that stand for bytes in its words.
@@ -214,7 +214,7 @@ def pack(docs: DataFrame, cfg: PackingConfig, id_col: str = "doc_id", text_col:
     Defined cases: null or empty text is the end id alone; a null id is carried; repeated rows are packed one by one;
     other columns are ignored; an empty table gives no pieces.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = cfg.end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import scratch_path, written
+from lectern.llm.shared import in_small_batches, scratch_path, written
 
 #: Base kinds in the order in which spans of one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -78,7 +78,7 @@ def _scanned(blobs: DataFrame, cfg: SecretConfig) -> DataFrame:
             lists = [pa.array([[s[k] for s in f] for f in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(found)), *lists], ["blob", "rule_version", "kinds", "starts", "ends"])
 
-    return blobs.select("blob", "text").mapInArrow(run, "blob binary, rule_version string, kinds array<string>, starts array<int>, ends array<int>")
+    return in_small_batches(blobs).select("blob", "text").mapInArrow(run, "blob binary, rule_version string, kinds array<string>, starts array<int>, ends array<int>")
 
 
 def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig(), ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +143,7 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFra
             columns = [pa.array(texts, pa.string()) if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*(docs[c] for c in names), "_kinds", "_starts", "_ends").mapInArrow(run, docs.schema)
+    return in_small_batches(joined).select(*(docs[c] for c in names), "_kinds", "_starts", "_ends").mapInArrow(run, docs.schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

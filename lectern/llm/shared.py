@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -45,6 +45,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame, records: int = 1000, size: str = "4m") -> DataFrame:
+    """df, with the session's Arrow batches held to so many rows and bytes from now on.
+
+    A batch of ten thousand whole texts is copied several times on its way to Python; small ones keep a task's memory
+    independent of the length of texts.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > records:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its partitions as they are, stored in the shared folder."""
     if not df.sparkSession.sparkContext.getCheckpointDir():

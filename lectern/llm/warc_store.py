@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import scratch_path, written
+from lectern.llm.shared import in_small_batches, scratch_path, written
 
 _CRLF = b"\r\n"
 _NO_ID = -(1 << 63)
@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()
                 out.close()
 
     records = with_originals(pages, least_bytes).select(surt(F.col("url")).alias("key"), "page_id", "url", "html", "refers_to")
-    return written(records.mapInArrow(run, "key string, page_id long, file string, at long, length long"), "captures")
+    return written(in_small_batches(records).mapInArrow(run, "key string, page_id long, file string, at long, length long"), "captures")
 
 
 def build_index(captures: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()) -> DataFrame:
