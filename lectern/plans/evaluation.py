@@ -39,11 +39,14 @@ def metrics(ranked: DataFrame, judgments: DataFrame, k: int = 10, depth: int = 5
         F.min(F.when(F.col("grade") >= RELEVANT, F.col("rank"))).alias("first"),
         F.count_if((F.col("rank") <= k) & F.col("judged")).alias("judged_at_k"),
     )
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade")))
-    best = judgments.withColumn("r", place).groupBy("query_id").agg(
-        F.sum(F.when((F.col("grade") > 0) & (F.col("r") <= k), _gain(F.col("grade")) / F.log2(F.col("r") + 1.0))).alias("ideal"),
-        F.count("*").alias("judged"),
-        F.count_if(F.col("grade") >= RELEVANT).alias("relevant"),
+    counts = judgments.groupBy("query_id", "grade").agg(F.count("*").alias("n"))  # a few grades for each query, however many judgments
+    before = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = F.when(F.col("before") < k, F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("n"), F.lit(k))))
+    discounts = F.aggregate(F.coalesce(places, F.array().cast("array<long>")), F.lit(0.0), lambda s, x: s + 1.0 / F.log2(x + 1.0))
+    best = counts.withColumn("before", before).groupBy("query_id").agg(
+        F.sum(F.when(F.col("grade") > 0, _gain(F.col("grade")) * discounts)).alias("ideal"),
+        F.sum("n").alias("judged"),
+        F.sum(F.when(F.col("grade") >= RELEVANT, F.col("n")).otherwise(0)).alias("relevant"),
     )
     joined = best.join(shown, "query_id", "left")
     some = F.col("relevant") > 0

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.functions import dates, jsons, text, vectors
-from lectern.operators import dense, dml, filters, lexical, ranking
+from lectern.functions import dates, text, vectors
+from lectern.operators import dense, filters, lexical, ranking
 from lectern.operators.filters import Plan
-from lectern.plans import accounts, browse, evaluation, search, telemetry
+from lectern.plans import accounts, browse, search
 from lectern.views import AS_OF, Corpus, sql
 
 Query = Callable[[SparkSession, str], DataFrame]

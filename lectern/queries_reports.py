@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions import jsons, text
-from lectern.operators import dml, filters, lexical
+from lectern.operators import dml, lexical, ranking
 from lectern.plans import accounts, browse, evaluation, telemetry
-from lectern.queries import PLAN, _BM25, _CANDIDATES, _queries, query
+from lectern.queries import _BM25, _queries, query
 from lectern.sources import connectors
+from lectern.streaming import ingest
+from lectern.tables import shared_root
 from lectern.views import AS_OF, Corpus
 
 # Text functions
@@ -233,8 +235,6 @@ m AS (SELECT g.config_id, avg(coalesce(dcg, 0) / ideal) AS v FROM g, i LEFT JOIN
 SELECT config_id, round(v, 6) AS mean_ndcg, CAST(row_number() OVER (ORDER BY round(v, 9) DESC, config_id) AS INT) AS place FROM m""")
 def weight_grid_tune(c: Corpus) -> DataFrame:
     """Every combination of weights in one job: rankings by configuration and query, scored together."""
-    from lectern.operators import ranking
-
     grid = telemetry.weight_grid(c.spark, (0.0, 0.05, 0.1, 0.2), (0.0, 0.05, 0.1), (0.0, 0.1, 0.2))
     scored = c.papers.select("paper_id", F.col("primary_category").alias("lang"), ((F.col("paper_id") % 100) / 100.0).alias("score"))
     tried = scored.join(F.broadcast(grid))  # 36 rows, whatever the corpus
@@ -477,16 +477,8 @@ def positional_zip(c: Corpus) -> DataFrame:
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1")
 def stream_delta_upsert(c: Corpus) -> DataFrame:
     """The events as a stream of pages, merged by user; the newest event of each user stays."""
-    from lectern.streaming import ingest
-
     spark = c.spark
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType())])
     pages = c.table("events").select("user_id", "event_id")
     pages.repartition(4, "event_id").write.parquet(f"{base}/pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that queries rely on or profit from; each can be changed at run time.
@@ -25,3 +27,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)
     return builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves, but only with a local master: on a cluster the executors could not see
+    it, so that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
