@@ -155,14 +155,14 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
                 counts, cuts = chunk.counts(doc, unigrams, bigrams, which, keys).astype(np.uint32), _cuts(keys, bits)
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     lo, hi = int(cuts[b]), int(cuts[b + 1])
-                    row = (b, number, hi - lo, keys[lo:hi].tobytes(), _zipped(counts[lo:hi]))
+                    row = (b, number, hi - lo, _zipped(np.diff(keys[lo:hi], prepend=np.uint64(0))), _zipped(counts[lo:hi]))
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), parts in grouped(batches, 1):
             block = pa.Table.from_batches(parts)
             sizes = block.column("n").to_numpy()
-            keys = np.concatenate([np.frombuffer(k, np.uint64) for k in block.column("keys").to_pylist()])
+            keys = np.concatenate([np.cumsum(_unzipped(k, n, np.uint64), dtype=np.uint64) for k, n in zip(block.column("keys").to_pylist(), sizes.tolist())])
             counts = np.concatenate([_unzipped(c, n, np.uint32) for c, n in zip(block.column("counts").to_pylist(), sizes.tolist())])
             _, place = np.unique(keys, return_inverse=True)
             totals = np.bincount(place, weights=counts).astype(np.uint64)[place]

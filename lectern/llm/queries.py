@@ -105,6 +105,37 @@ v AS (SELECT r, sum(CASE WHEN n_both > 0 THEN ln(n_both) - ln(before) ELSE ln(gr
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(v.backed, 0) AS BIGINT) AS n_backed_off, round(coalesce(v.x, 0.0), 4) AS log_score FROM d LEFT JOIN v USING (r)
 """
 
+_OP1 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+h AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(ws) - 3)), lambda k: array_to_string(ws[k:k + 4], ' '))) END AS sh FROM w),
+u AS (SELECT doc_id, unnest(sh) AS s FROM h),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM u a JOIN u b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM m JOIN h x ON x.doc_id = a JOIN h y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.sh) + len(y.sh) - n)),
+r(a, b) AS (SELECT doc_id, doc_id FROM h UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT h.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.c AS component_id, h.doc_id = c.c AS kept FROM h JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = h.doc_id
+"""
+
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+d AS (SELECT page_id, h, first, list_transform(range(8), lambda k: CAST(concat('0x', substr(x, CAST(5 * k + 1 AS BIGINT), 5)) AS INT)) AS v FROM p JOIN f USING (h))
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, array_to_string(list_transform(v, lambda n: concat(
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 15) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 10) % 32 + 1, 1),
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> 5) % 32 + 1, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', n % 32 + 1, 1))), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d
+"""
+
+_OP10 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": _OP1,
+    "op3_warc_store": _OP3,
     "op8_lm_score": _OP8,
+    "op10_embedding_dedup": _OP10,
 }

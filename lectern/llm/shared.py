@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.tables import shared_root
+
 #: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
 CACHE_WORDS = 150_000
 
@@ -19,19 +20,8 @@ LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder serves, but only with a local master: on a cluster the
-    executors could not see it, so that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/lectern-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/lectern-{spark.sparkContext.applicationId}"
+    """This application's folder in the shared one."""
+    return f"{shared_root(spark)}/lectern-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
