@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 
 from lectern.functions import jsons, text
 from lectern.operators import dml, lexical, ranking
-from lectern.plans import accounts, browse, evaluation, telemetry
+from lectern.plans import accounts, browse, evaluation, telemetry, workflow
 from lectern.queries import _BM25, _queries, query
-from lectern.sources import connectors
+from lectern.sources import connectors, xml_feeds
 from lectern.streaming import ingest
 from lectern.tables import shared_root
 from lectern.views import AS_OF, Corpus
@@ -471,6 +471,99 @@ def positional_zip(c: Corpus) -> DataFrame:
     return connectors.zipped(batches.select(F.col("r.doc_id").alias("ids"), F.col("r.n_chars").alias("answers")))
 
 
+# Selections and lists as clients show them
+
+
+@query("SELECT doc_id FROM documents WHERE CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS TIMESTAMP) >= TIMESTAMP '2024-06-01 00:00:00' AND (lang = 'es' OR source = 'src2')")
+def harvest_filter(c: Corpus) -> DataFrame:
+    published = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("timestamp_ntz")
+    entries = c.documents.select("doc_id", F.array("lang", "source").alias("categories"), published.alias("published_utc"))
+    return workflow.harvested(entries, ["es", "src2"], "2024-06-01 00:00:00").select("doc_id")
+
+
+@query(f"SELECT paper_id, published_utc FROM papers WHERE paper_id NOT IN (SELECT paper_id FROM analyses WHERE user_id = 1 AND schema_version >= 2 AND profile_version = 1) AND paper_id IN (SELECT paper_id FROM paper_categories WHERE category IN ('en', 'src4')) AND published_utc >= TIMESTAMP '{AS_OF}' - INTERVAL 300 DAY ORDER BY published_utc DESC, paper_id DESC LIMIT 40")
+def stale_selection(c: Corpus) -> DataFrame:
+    found = workflow.stale_selection(c.papers, c.paper_categories, c.analyses, 1, 1, AS_OF, categories=("en", "src4"), window_days=300, limit=40)
+    return found.select("paper_id", "published_utc")
+
+
+@query("SELECT paper_id, paper_id IN (SELECT paper_id FROM analyses WHERE user_id = 1 AND schema_version >= 2 AND profile_version = 2) AS fresh FROM papers WHERE paper_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)")
+def analysis_status(c: Corpus) -> DataFrame:
+    return workflow.analysis_status(c.papers, c.analyses, 1, 2, [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, -7])
+
+
+@query("""WITH r AS (SELECT lang AS query_id, doc_id AS paper_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents), b AS (SELECT query_id, paper_id, 'pool' AS source FROM r WHERE rank <= 50 UNION ALL SELECT lang, doc_id, 'random' FROM documents WHERE doc_id % 9 = 0)
+SELECT query_id, paper_id, min(source) AS source FROM b WHERE NOT EXISTS (SELECT 1 FROM judgments j WHERE j.query_id = b.query_id AND j.paper_id = b.paper_id) GROUP BY 1, 2""")
+def judge_pool(c: Corpus) -> DataFrame:
+    rows = c.documents.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("paper_id"), "n_chars")
+    ranked = workflow.ranks(rows, ["query_id"], [F.desc("n_chars"), F.asc("paper_id")])
+    return workflow.judge_pool(ranked, rows.where("paper_id % 9 = 0"), c.judgments)
+
+
+@query("SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'fresh' END AS intent, CASE WHEN doc_id % 3 = 0 THEN source ELSE 'new' END AS hyde FROM documents")
+def graft_plans(c: Corpus) -> DataFrame:
+    key = F.col("doc_id").alias("query_id")
+    frozen = c.documents.select(key, F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("intent"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("hyde"))
+    return workflow.grafted(frozen, c.documents.select(key, F.lit("fresh").alias("intent"), F.lit("new").alias("hyde")), ["intent", "hyde"])
+
+
+@query("SELECT doc_id, CASE WHEN n <= 30 THEN 'hot' ELSE 'cold' END AS lane FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
+def work_lanes(c: Corpus) -> DataFrame:
+    return workflow.lanes(c.documents.select("doc_id"), ["doc_id"], 30)
+
+
+@query("""WITH r AS (SELECT p.paper_id, (p.paper_id % 100) / 100.0 AS score, a.composite_score, row_number() OVER (PARTITION BY p.primary_category ORDER BY (p.paper_id % 100) DESC, p.paper_id) AS rank FROM papers p LEFT JOIN analyses a USING (paper_id))
+SELECT paper_id, CAST(rank AS INT) AS rank FROM r WHERE paper_id NOT IN (3, 7) AND composite_score IS NOT NULL""")
+def client_result_filter(c: Corpus) -> DataFrame:
+    scored = c.papers.select("paper_id", "primary_category", ((F.col("paper_id") % 100) / 100.0).alias("score")).join(c.analyses.select("paper_id", "composite_score"), "paper_id", "left")
+    ranked = workflow.ranks(scored, ["primary_category"], [F.desc("score"), F.asc("paper_id")])
+    return workflow.shown(ranked, [3, 7], analyzed_only=True).select("paper_id", "rank")
+
+
+@query("SELECT count(a.paper_id) AS landed, count(*) AS total, count(a.paper_id) * 100 // count(*) AS percent FROM papers LEFT JOIN analyses a USING (paper_id)")
+def progress_fraction(c: Corpus) -> DataFrame:
+    rows = c.papers.select("paper_id").join(c.analyses.select("paper_id", F.lit(True).alias("done")), "paper_id", "left")
+    return workflow.progress(rows.select(F.coalesce("done", F.lit(False)).alias("done")), "done")
+
+
+@query("SELECT string_agg(l, chr(10) ORDER BY l) AS lines FROM (SELECT DISTINCT concat(lang, ' - ', source) AS l FROM documents)")
+def known_category_lines(c: Corpus) -> DataFrame:
+    return workflow.known_category_lines(c.documents.select(F.col("lang").alias("code"), F.col("source").alias("name")))
+
+
+# Feeds: the documents written as XML, and read back by the XML sources
+
+
+def _escaped(column: F.Column) -> F.Column:
+    return F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _as_xml(c: Corpus, name: str, parts: list) -> str:
+    path = f"{shared_root(c.spark)}/{name}-{uuid.uuid4().hex}"
+    c.documents.where("text is not null").select(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).write.text(path)
+    return path
+
+
+_CLEAN = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT concat('2401.', CAST(doc_id AS VARCHAR)) AS arxiv_id, CAST(doc_id % 4 + 1 AS INT) AS version, {_CLEAN.format('substr(text, 1, 60)')} AS title, {_CLEAN.format('text')} AS abstract, lang AS primary_category, concat(lang, ' ', source) AS categories, 'Ann Bo; Cy' AS authors FROM documents WHERE doc_id % 10 <> 9")
+def xml_atom_entries(c: Corpus) -> DataFrame:
+    number = F.col("doc_id").cast("string")
+    ident = F.when(F.col("doc_id") % 10 == 9, F.lit("http://arxiv.org/api/errors")).otherwise(F.concat(F.lit("http://arxiv.org/abs/2401."), number, F.lit("v"), (F.col("doc_id") % 4 + 1).cast("string")))
+    parts = ["<entry><id>", ident, "</id><title>", _escaped(F.substring("text", 1, 60)), "</title><summary>", _escaped(F.col("text")), "</summary><published>2024-01-05T10:00:00Z</published>", '<author><name>Ann  Bo</name></author><author><name>Cy</name></author><category term="', F.col("source"), '"/><arxiv:primary_category term="', F.col("lang"), '"/></entry>']
+    found = xml_feeds.atom_entries(c.spark, _as_xml(c, "atom", parts))
+    return found.select("arxiv_id", "version", "title", "abstract", "primary_category", F.array_join("categories", " ").alias("categories"), text.joined_authors(F.col("authors")).alias("authors"))
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, {_CLEAN.format('substr(text, 1, 60)')} AS title, source AS primary_category, concat(source, ' ', lang) AS categories, 'Marie Curie; Plato' AS authors, TIMESTAMP '2024-01-02 00:00:00' AS updated_utc, '10.1/a' AS doi FROM documents WHERE doc_id % 7 <> 0")
+def xml_oai_records(c: Corpus) -> DataFrame:
+    status = F.when(F.col("doc_id") % 7 == 0, F.lit(' status="deleted"')).otherwise(F.lit(""))
+    parts = ["<record><header", status, "><identifier>x</identifier></header><metadata><arXiv><id>", F.col("doc_id").cast("string"), "</id><created>2024-01-02</created><authors><author><keyname>Curie</keyname><forenames>Marie</forenames></author><author><keyname>Plato</keyname></author></authors><title>", _escaped(F.substring("text", 1, 60)), "</title><categories>", F.col("source"), "  ", F.col("lang"), "</categories><doi>10.1/a 10.2/b</doi><abstract>x</abstract></arXiv></metadata></record>"]
+    found = xml_feeds.oai_records(c.spark, _as_xml(c, "oai", parts))
+    return found.select("arxiv_id", "title", "primary_category", F.array_join("categories", " ").alias("categories"), text.joined_authors(F.col("authors")).alias("authors"), "updated_utc", "doi")
+
+
 # Streams
 
 

@@ -144,3 +144,14 @@ def test_adopted_ids(spark):
     logged = spark.createDataFrame([("A b", "p1", 1), (" a  B ", "p2", 2), ("a-b", "p3", 3), ("", "p4", 4)], "query_text string, plan string, created long")
     rows = {r.query_id: (r.query_text, r.plan, r.uses) for r in telemetry.adopt(logged).collect()}
     assert rows == {"adopted-a-b": (" a  B ", "p2", 2), "adopted-a-b-2": ("a-b", "p3", 1)}
+
+
+def test_invites(spark):
+    from lectern.plans import workflow
+
+    invites = spark.createDataFrame([("a", 0, 1, None), ("b", 1, 1, None), ("c", 0, 1, "2024-01-01 00:00:00")], "code string, used int, max_uses int, e string").withColumn("expires_utc", F.col("e").cast("timestamp_ntz"))
+    users = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False)], "user_id long, is_active boolean")
+    claims = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "user_id long, code string")
+    used, active = workflow.redeemed(invites, users, claims, AS_OF)
+    assert {r.code: r.used for r in used.collect()} == {"a": 1, "b": 1, "c": 0}
+    assert sorted(r.user_id for r in active.where("is_active").collect()) == [1, 3]
