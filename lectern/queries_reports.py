@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -540,7 +542,16 @@ def _escaped(column: F.Column) -> F.Column:
 
 def _as_xml(c: Corpus, name: str, parts: list) -> str:
     path = f"{shared_root(c.spark)}/{name}-{uuid.uuid4().hex}"
-    c.documents.where("text is not null").select(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).write.text(path)
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each file is a document of its own."""
+        line = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], ["value"])
+        yield line(f'<{name} xmlns:arxiv="http://arxiv.org/schemas/atom">')
+        yield from batches
+        yield line(f"</{name}>")
+
+    rows = c.documents.where("text is not null").select(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("value"))
+    rows.mapInArrow(rooted, "value string").write.text(path)
     return path
 
 
@@ -552,7 +563,7 @@ def xml_atom_entries(c: Corpus) -> DataFrame:
     number = F.col("doc_id").cast("string")
     ident = F.when(F.col("doc_id") % 10 == 9, F.lit("http://arxiv.org/api/errors")).otherwise(F.concat(F.lit("http://arxiv.org/abs/2401."), number, F.lit("v"), (F.col("doc_id") % 4 + 1).cast("string")))
     parts = ["<entry><id>", ident, "</id><title>", _escaped(F.substring("text", 1, 60)), "</title><summary>", _escaped(F.col("text")), "</summary><published>2024-01-05T10:00:00Z</published>", '<author><name>Ann  Bo</name></author><author><name>Cy</name></author><category term="', F.col("source"), '"/><arxiv:primary_category term="', F.col("lang"), '"/></entry>']
-    found = xml_feeds.atom_entries(c.spark, _as_xml(c, "atom", parts))
+    found = xml_feeds.atom_entries(c.spark, _as_xml(c, "feed", parts))
     return found.select("arxiv_id", "version", "title", "abstract", "primary_category", F.array_join("categories", " ").alias("categories"), text.joined_authors(F.col("authors")).alias("authors"))
 
 
@@ -560,7 +571,7 @@ def xml_atom_entries(c: Corpus) -> DataFrame:
 def xml_oai_records(c: Corpus) -> DataFrame:
     status = F.when(F.col("doc_id") % 7 == 0, F.lit(' status="deleted"')).otherwise(F.lit(""))
     parts = ["<record><header", status, "><identifier>x</identifier></header><metadata><arXiv><id>", F.col("doc_id").cast("string"), "</id><created>2024-01-02</created><authors><author><keyname>Curie</keyname><forenames>Marie</forenames></author><author><keyname>Plato</keyname></author></authors><title>", _escaped(F.substring("text", 1, 60)), "</title><categories>", F.col("source"), "  ", F.col("lang"), "</categories><doi>10.1/a 10.2/b</doi><abstract>x</abstract></arXiv></metadata></record>"]
-    found = xml_feeds.oai_records(c.spark, _as_xml(c, "oai", parts))
+    found = xml_feeds.oai_records(c.spark, _as_xml(c, "ListRecords", parts))
     return found.select("arxiv_id", "title", "primary_category", F.array_join("categories", " ").alias("categories"), text.joined_authors(F.col("authors")).alias("authors"), "updated_utc", "doi")
 
 
