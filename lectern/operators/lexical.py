@@ -41,13 +41,14 @@ def bm25(papers: DataFrame, queries: DataFrame, top: int | None, allowed: DataFr
     has are dropped before anything is grouped, so the grouped rows are matches, not the whole index.
     """
     wanted = query_terms(queries)
-    body = papers.select("paper_id", F.explode(text.tokens(text.document_text(F.col("title"), F.col("abstract"), " "))).alias("term"))
-    hits = body.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "paper_id").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
-    doc_lengths = lengths(papers)
-    stats = corpus_stats(doc_lengths)  # one row
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    parsed = papers.select("paper_id", text.tokens(text.document_text(F.col("title"), F.col("abstract"), " ")).alias("ts"))
+    body = parsed.select("paper_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    hits = body.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "paper_id", "dl").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
+    stats = corpus_stats(lengths(papers))  # one row
+    # counting tf and dl keeps the same columns in both uses of hits, so that Spark shuffles them once
+    frequency = hits.groupBy("term").agg(F.sum(((F.col("tf") > 0) & (F.col("dl") > 0)).cast("long")).alias("df"))
     kept = hits if allowed is None else hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
-    scored = kept.join(frequency, "term").join(doc_lengths.select("paper_id", "dl"), "paper_id").join(F.broadcast(stats))
+    scored = kept.join(frequency, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     sums = scored.select("term", "paper_id", weight.alias("w")).join(wanted, "term").groupBy("query_id", "paper_id").agg(F.sum("w").alias("score"))
