@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import CACHE_WORDS, in_small_batches, mix64, odd_constants, written
+from lectern.llm.shared import CACHE_WORDS, in_small_batches, mix64, odd_constants, worker_cache, written
 
 #: Units of measure and currency that a template holds as <unit>.
 UNITS = frozenset(
@@ -61,9 +61,6 @@ class _Classes(dict):
         return value
 
 
-_classes = _Classes()
-
-
 @dataclass(frozen=True)
 class Template:
     """Of a text: hashes of its tokens with placeholders, which tokens are slots (their class, else 0), and the tokens."""
@@ -86,7 +83,7 @@ def canonical(text: str) -> Template:
     keeps its length. A unit is one of UNITS after a number.
     """
     tokens = _TOKENS.findall(text)
-    packed = np.fromiter(map(_classes.__getitem__, tokens), np.uint64, len(tokens))
+    packed = np.fromiter(map(worker_cache("template classes", _Classes).__getitem__, tokens), np.uint64, len(tokens))
     kind = (packed & np.uint64(7)).astype(np.int8)
     before = np.concatenate((np.zeros(1, np.int8), kind[:-1])) if len(kind) else kind  # a text begins like a sentence
     slot = np.where(kind == _NUMBER, kind, 0)

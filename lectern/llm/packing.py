@@ -7,7 +7,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import pyarrow as pa
 import regex
@@ -15,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import in_small_batches, written
+from lectern.llm.shared import in_small_batches, worker_cache, written
 
 
 @dataclass(frozen=True)
@@ -31,7 +30,7 @@ class PackingConfig:
     open_windows: int = 16
     merged: int = 64
     #: Words of each half of a worker's cache, which bounds its memory.
-    cached_words: int = 350_000
+    cached_words: int = 300_000
 
 
 #: How the word_bpe vocabulary parts a text, and the letters that stand for bytes in its words.
@@ -112,11 +111,6 @@ class TextEncoder:
         return b"".join(found)
 
 
-@cache
-def _encoder(path: str, cached_words: int) -> TextEncoder:
-    return TextEncoder(path, cached_words)
-
-
 class Packer:
     """Online packing with a fixed number of open windows. A piece is (doc_id, start, ids as bytes, doc_tokens).
 
@@ -218,7 +212,7 @@ def pack(docs: DataFrame, cfg: PackingConfig, id_col: str = "doc_id", text_col:
     end = cfg.end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), _encoder(cfg.tokenizer, cfg.cached_words)
+        part, encoder = TaskContext.get().partitionId(), worker_cache(f"tokenizer {cfg.tokenizer} {cfg.cached_words}", lambda: TextEncoder(cfg.tokenizer, cfg.cached_words))
         packer = Packer(cfg.length, cfg.open_windows, part << 24)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

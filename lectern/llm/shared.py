@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from lectern.tables import shared_root
 
+T = TypeVar("T")
+
 #: Entries of a worker's word cache; it is emptied when full, so its memory is bounded.
 CACHE_WORDS = 150_000
 
@@ -71,11 +74,21 @@ class WordHashes(dict):
         return h
 
 
-_words = WordHashes()
+_caches: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], T]) -> T:
+    """A cache that a Python worker keeps from task to task. It holds one at a time: another operator's is dropped first,
+    so that the stages of a long job don't add up in a worker that Spark uses again and again."""
+    if name not in _caches:
+        _caches.clear()
+        pa.default_memory_pool().release_unused()
+        _caches[name] = make()
+    return _caches[name]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(worker_cache("words", WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
