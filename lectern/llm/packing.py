@@ -30,13 +30,13 @@ class PackingConfig:
     open_windows: int = 16
     merged: int = 64
     #: Words of each half of a worker's cache, which bounds its memory.
-    cached_words: int = 300_000
+    cached_words: int = 500_000
 
 
 #: How the word_bpe vocabulary parts a text, and the letters that stand for bytes in its words.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words with other characters, or with the sign that begins a special token, are left to the tokenizer.
-_UNUSUAL = re.compile("[^\\x20-\\u036f\\u2010-\\u2027\\u20ac]|<\\|")
+#: Words with other characters are left to the tokenizer, like those with the sign that begins a special token.
+_UNUSUAL = re.compile("[^\\x00-\\u036f\\u2010-\\u2027\\u20ac]")
 #: Python parts words at these, the tokenizer does not.
 _NO_BLANKS = "\x1c\x1d\x1e\x1f"
 
@@ -90,10 +90,14 @@ class TextEncoder:
         return known
 
     def _word(self, word: str) -> bytes:
-        if _UNUSUAL.search(word):
+        if "<|" in word or not word.isascii() and _UNUSUAL.search(word):
             return _bytes(self.whole.encode(word, add_special_tokens=False).ids)
         low = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-        return self._part(low) if low.isalpha() else b"".join(map(self._part, _PARTS.findall(low)))
+        if low.isalpha():
+            return self._part(low)
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return self._part(low[:-1]) + self._part(low[-1])
+        return b"".join(map(self._part, _PARTS.findall(low)))
 
     def ids(self, text: str) -> bytes:
         if any(c in text for c in _NO_BLANKS):
