@@ -174,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
 
     texts = in_small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = texts.mapInArrow(run, "doc_id long, here int, hash long, mine array<string>").join(marks, "hash")
-    lined = hits.withColumn("shift", F.col("here") - F.col("at"))
+    lined = written(hits.withColumn("shift", F.col("here") - F.col("at")), "template_hits")  # read several times below
     keys = ["doc_id", "item_id", "shift"]
     runs = lined.groupBy(*keys).agg(F.countDistinct("at").alias("windows"), F.max("of").alias("of"))
     runs = runs.where(F.col("windows") >= F.greatest(F.lit(1.0), F.col("of") * cfg.least_share))
