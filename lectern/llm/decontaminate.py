@@ -29,7 +29,8 @@ _KINDS = {_NUMBER: "num", _UNIT: "unit", _CAPITAL: "name"}
 class DecontaminationConfig:
     """window: tokens of a window; a shorter item is one window of its own length. least_tokens: an item with fewer is
     only found as the whole of a text. least_words: tokens of a window that must be words and not placeholders, as
-    windows of numbers alone say nothing. least_share: share of an item's windows that an aligned passage must hold.
+    windows of numbers alone say nothing. least_share: share of an item that a passage must hold. least_run: tokens of an
+    unbroken run that counts whatever its share of the item. drift: tokens by which a change may move a passage on.
     filter_bits: log2 of the size of the filter that is sent to every task, whatever the size of the benchmark.
     """
 
@@ -37,6 +38,8 @@ class DecontaminationConfig:
     least_tokens: int = 5
     least_words: int = 4
     least_share: float = 0.5
+    least_run: int = 13
+    drift: int = 8
     filter_bits: int = 23
 
 
@@ -109,10 +112,11 @@ def windows(template: Template, width: int, least_words: int) -> tuple[np.ndarra
 
 
 def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, at, of, width, slots): every window of every item."""
+    """(hash, item_id, at, of, reach, length, width, slots): every window of every item. reach: tokens in any window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.string()))
+        names = ["hash", "item_id", "at", "of", "reach", "length", "width", "slots"]
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -120,12 +124,13 @@ def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col:
                 if not (width := min(cfg.window, len(template.hashes))):
                     continue
                 at, found = windows(template, width, cfg.least_words)
-                rows += [(h, item, k, len(at), width, template.slots(k, width)) for k, h in zip(at.tolist(), found.view(np.int64).tolist())]
+                reach = len(np.unique(at[:, None] + np.arange(width)))
+                rows += [(h, item, k, len(at), reach, len(template.hashes), width, template.slots(k, width)) for k, h in zip(at.tolist(), found.view(np.int64).tolist())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["hash", "item_id", "at", "of", "width", "slots"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    return items.mapInArrow(run, "hash long, item_id long, at int, of int, width int, slots array<string>")
+    return items.mapInArrow(run, "hash long, item_id long, at int, of int, reach int, length int, width int, slots array<string>")
 
 
 def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -138,14 +143,104 @@ def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+class _Hit:
+    """A window of an item found in a text, as the last of a chain: each hit stands after the one before in both."""
+
+    __slots__ = ("before", "here", "at", "pairs", "first", "windows", "covered", "run", "longest", "own_run", "own_longest", "last")
+
+    def __init__(self, before: _Hit | None, here: int, at: int, width: int, pairs: list[tuple[str, str]]):
+        self.before, self.here, self.at, self.pairs, self.last = before, here, at, pairs, True
+        own = all(ours == theirs for ours, theirs in pairs)
+        if before is None:
+            self.first, self.windows, self.covered, self.run, self.own_run = here - at, 1, width, width, width * own
+            self.longest, self.own_longest = self.run, self.own_run
+            return
+        before.last = False
+        step = at - before.at
+        joined = step <= width and here - before.here == step
+        self.first, self.windows, self.covered = before.first, before.windows + 1, before.covered + min(width, step)
+        self.run = before.run + step if joined else width
+        self.own_run = (before.own_run + step if joined and before.own_run else width) * own
+        self.longest, self.own_longest = max(before.longest, self.run), max(before.own_longest, self.own_run)
+
+
+def _agreed(hit: _Hit) -> tuple[bool, bool, bool]:
+    """Of a chain's slots: whether each value of the item stands for one of the text, the other way round, and for itself."""
+    forth: dict[str, str] = {}
+    back: dict[str, str] = {}
+    function = one_to_one = own = True
+    while hit is not None:
+        for ours, theirs in hit.pairs:
+            function &= forth.setdefault(ours, theirs) == theirs
+            one_to_one &= back.setdefault(theirs, ours) == ours
+            own &= ours == theirs
+        hit = hit.before
+    return function, one_to_one, own
+
+
+class _Chains:
+    """Passages of one item in one text, from its hits by place in the text: straight ones, and ones that drift."""
+
+    def __init__(self, cfg: DecontaminationConfig, of: int, reach: int, length: int, width: int):
+        self.cfg, self.of, self.reach, self.length, self.width = cfg, of, reach, length, width
+        self.open: tuple[dict[int, _Hit], dict[int, _Hit]] = ({}, {})
+        self.best: tuple | None = None
+        self.swept = 0
+
+    def add(self, here: int, at: int, pairs: list[tuple[str, str]]) -> None:
+        if here - self.swept > 4 * self.length:
+            self.sweep(here)
+        for drift, chains in zip((0, self.cfg.drift), self.open):
+            before, most = None, 0
+            for shift in range(here - at - drift, here - at + drift + 1):
+                hit = chains.get(shift)
+                if hit is not None and hit.at < at and hit.here < here and here - hit.here <= self.length + drift:
+                    gain = 2 * (hit.covered + min(self.width, at - hit.at)) + (shift == here - at)
+                    if gain > most:
+                        before, most = hit, gain
+            old, chains[here - at] = chains.get(here - at), _Hit(before, here, at, self.width, pairs)
+            self.end(old)
+
+    def sweep(self, here: int) -> None:
+        self.swept = here
+        for chains in self.open:
+            for shift in [s for s, hit in chains.items() if here - hit.here > self.length + self.cfg.drift]:
+                self.end(chains.pop(shift))
+
+    def end(self, hit: _Hit | None) -> None:
+        if hit is None or not hit.last:
+            return
+        cfg = self.cfg
+        enough = hit.windows >= max(1, self.of * cfg.least_share) or hit.covered >= max(cfg.least_run, self.reach * cfg.least_share) or hit.longest >= cfg.least_run
+        quoted = hit.own_longest >= cfg.least_run
+        if not (enough or quoted):
+            return
+        found = (hit.windows, -hit.first)
+        if self.best is None or found > self.best[:2]:
+            function, one_to_one, own = _agreed(hit)
+            if function and one_to_one or quoted:
+                self.best = (*found, own)
+
+    def passage(self) -> tuple | None:
+        """(windows, -start, exact) of the passage with most windows, the first of several."""
+        for chains in self.open:
+            for hit in chains.values():
+                self.end(hit)
+        return self.best
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, of, start, exact): each document that holds a passage of a benchmark item.
 
     Documents are read once. A window goes on to the join only if its bit is set in a bitmap of fixed size, which
-    drops nearly all of a clean text and no match. Matches are joined on the hash, then grouped by document, item and
-    alignment (place in the document less place in the item). An alignment counts if it holds least_share of the item's
-    windows and its slots agree: each value of the item always stands for one value of the document, and the other
-    way round. exact: all slots have the item's own values.
+    drops nearly all of a clean text and no match. Matches are joined on the hash and dealt by document and item. There
+    they are chained: each stands after the one before, in the text and in the item, and a changed, added or missing
+    word moves the rest by cfg.drift tokens at most. A chain counts if it holds least_share of the item's windows, or of
+    its tokens and least_run of them, or a run of least_run tokens without a break, and if its slots agree: each value
+    of the item always stands for one value of the document, and the other way round. A run of least_run tokens with
+    the item's own values counts whatever stands around it. exact: all slots have the item's own values.
+
+    A window has to be whole, so an item of fewer than two windows (16 tokens) may be lost by a change in its middle.
 
     Defined cases: null ids, null and empty texts match nothing; repeated rows of docs give one result; an item
     without a word is never found; other columns are ignored.
@@ -154,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     held = docs.sparkSession.sparkContext.broadcast(_filter(marks, cfg.filter_bits))
     widths = sorted(r.width for r in marks.select("width").distinct().collect())  # from 1 to cfg.window
     mask = np.uint64((1 << cfg.filter_bits) - 1)
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = held.value
@@ -169,21 +264,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                     hit = np.flatnonzero((bitmap[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
                     if len(hit):
                         slots = [template.slots(k, width) for k in at[hit].tolist()]
-                        columns = [pa.array([doc] * len(hit), kinds[0]), pa.array(at[hit], kinds[1]), pa.array(found[hit].view(np.int64)), pa.array(slots, kinds[3])]
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "here", "hash", "mine"])
+                        copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1  # an id may have several texts
+                        columns = ([doc] * len(hit), [copy] * len(hit), at[hit], found[hit].view(np.int64), slots)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "copy", "here", "hash", "mine"])
 
     texts = in_small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = texts.mapInArrow(run, "doc_id long, here int, hash long, mine array<string>").join(marks, "hash")
-    lined = written(hits.withColumn("shift", F.col("here") - F.col("at")), "template_hits")  # read several times below
-    keys = ["doc_id", "item_id", "shift"]
-    runs = lined.groupBy(*keys).agg(F.countDistinct("at").alias("windows"), F.max("of").alias("of"))
-    runs = runs.where(F.col("windows") >= F.greatest(F.lit(1.0), F.col("of") * cfg.least_share))
-    pairs = lined.where(F.size("slots") > 0).select(*keys, F.explode(F.arrays_zip("slots", "mine")).alias("s"))
-    value = "substring(s.{0}, instr(s.{0}, ':') + 1)"
-    pairs = pairs.select(*keys, F.substring_index("s.slots", ":", 1).alias("kind"), F.expr(value.format("slots")).alias("ours"), F.expr(value.format("mine")).alias("theirs")).distinct()
-    forth = pairs.groupBy(*keys, "kind", "ours").agg(F.count("*").alias("n"), F.min((F.col("ours") == F.col("theirs")).cast("int")).alias("same"))
-    back = pairs.groupBy(*keys, "kind", "theirs").agg(F.count("*").alias("n"), F.lit(1).alias("same"))
-    slots = forth.select(*keys, "n", "same").unionByName(back.select(*keys, "n", "same")).groupBy(*keys).agg(F.max("n").alias("values"), F.min("same").alias("same"))
-    good = runs.join(slots, keys, "left").where(F.coalesce("values", F.lit(1)) == 1)
-    best = F.max(F.struct("windows", (-(F.col("shift"))).alias("first"), F.coalesce("same", F.lit(1)).alias("same"), "of")).alias("b")
-    return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.windows").alias("windows"), F.col("b.of").alias("of"), (-F.col("b.first")).alias("start"), (F.col("b.same") == 1).alias("exact"))
+    hits = texts.mapInArrow(run, "doc_id long, copy long, here int, hash long, mine array<string>").join(marks, "hash")
+    order = ["doc_id", "copy", "item_id", "here", "at", "of", "reach", "length", "width", "slots", "mine"]
+    outs = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+    names = ["doc_id", "item_id", "windows", "of", "first", "exact"]
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chains, last = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if chains is not None and (best := chains.passage()):
+                row = (now[0], now[2], best[0], chains.of, best[1], best[2])
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, outs)], names)
+
+        for batch in batches:
+            for doc, copy, item, here, at, of, reach, length, width, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (doc, copy, item, of, reach, length, width)
+                if key != now:
+                    yield from done()
+                    now, chains, last = key, _Chains(cfg, of, reach, length, width), None
+                if (here, at) != last:  # repeated rows come together
+                    chains.add(here, at, list(zip(slots, mine)))
+                    last = (here, at)
+        yield from done()
+
+    keys = ["doc_id", "copy", "item_id", "of", "reach", "length", "width"]
+    dealt = hits.select(*order).repartition("doc_id", "copy", "item_id").sortWithinPartitions(*keys, "here", "at")
+    found = dealt.mapInArrow(chain, "doc_id long, item_id long, windows int, of int, first int, exact boolean")
+    best = F.max(F.struct("windows", "first", "exact", "of")).alias("b")
+    out = found.groupBy("doc_id", "item_id").agg(best)
+    return out.select("doc_id", "item_id", F.col("b.windows").cast("long").alias("windows"), F.col("b.of").alias("of"), (-F.col("b.first")).alias("start"), F.col("b.exact").alias("exact"))

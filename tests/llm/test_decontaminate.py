@@ -40,3 +40,24 @@ def test_templates():
     t = canonical("We ran 5 km with Bob. Bob ran 3.")
     assert t.slots(0, len(t.hashes)) == ["num:5", "unit:km", "name:bob", "num:3"]
     assert len(canonical("").hashes) == 0
+
+
+def test_changed_and_partial_copies(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    middle, short = words[:39], words[40:60]
+    filler = "other words stand here " * 20
+    texts = [
+        middle[:20] + ["new"] + middle[20:], middle[:20] + middle[21:], middle[:19] + ["new"] + middle[20:], short[:10] + ["new"] + short[11:],
+        words[:50], middle[:13], middle[:12], middle[:6] + ["new"] + middle[6:12], middle[20:30] + middle[:10],
+    ]
+    docs = [(k, filler + " ".join(t) + " " + filler) for k, t in enumerate(texts)]
+    hits = found(spark, docs, [(1, " ".join(middle)), (2, " ".join(short)), (3, " ".join(words))])
+    assert {0, 1, 2, 4, 5} <= {d for d, i in hits if i == 1} and {d for d, i in hits if i == 2} == {3}
+    assert (4, 3) in hits and not {6, 7, 8} & {d for d, _ in hits}
+    assert hits[0, 1].windows == 25 and hits[0, 1].start == 80
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(24)]
+    docs = [(1, " ".join(words[:12])), (1, " ".join(["x"] * 12 + words[12:])), (2, " ".join(words[:12] + ["x"] + words[12:]))]
+    assert set(found(spark, docs, [(1, " ".join(words))])) == {(2, 1)}
