@@ -66,9 +66,10 @@ class _Classes(dict):
 
 @dataclass(frozen=True)
 class Template:
-    """Of a text: hashes of its tokens with placeholders, which tokens are slots (their class, else 0), and the tokens."""
+    """Of a text: hashes of its tokens with placeholders and without, which tokens are slots (their class, else 0), and the tokens."""
 
     hashes: np.ndarray
+    literal: np.ndarray
     kinds: np.ndarray
     tokens: list[str]
     at: np.ndarray
@@ -94,7 +95,8 @@ def canonical(text: str) -> Template:
     slot = np.where((kind == _CAPITAL) & (before != _STOP), kind, slot)
     at = np.flatnonzero(kind != _STOP)
     slot = slot[at]
-    return Template(np.where(slot > 0, mix64(slot.astype(np.uint64) + np.uint64(1)), packed[at] >> np.uint64(3)), slot, tokens, at)
+    literal = packed[at] >> np.uint64(3)
+    return Template(np.where(slot > 0, mix64(slot.astype(np.uint64) + np.uint64(1)), literal), literal, slot, tokens, at)
 
 
 def windows(template: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,12 +113,37 @@ def windows(template: Template, width: int, least_words: int) -> tuple[np.ndarra
     return at, mix64(total[at])
 
 
+def _counts(marked: np.ndarray, width: int) -> np.ndarray:
+    """How many marked tokens each window of a width holds."""
+    sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(marked)))
+    return sums[width:] - sums[:-width]
+
+
+def _window_hashes(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The hashes that windows() gives, of the windows at some places."""
+    total = np.full(len(at), mix64(np.full(1, width, np.uint64))[0])
+    for k, c in enumerate(odd_constants(width, 23)):
+        total += tokens[at + k] * c
+    return mix64(total)
+
+
+def literal_windows(template: Template, width: int, least_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """As windows(), of the tokens themselves, where they differ from the template; any token but a number is a word."""
+    if len(template.hashes) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.flatnonzero((_counts(template.kinds > 0, width) > 0) & (_counts(template.kinds != _NUMBER, width) >= least_words))
+    return at, _window_hashes(template.literal, at, width)
+
+
 def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, at, of, reach, length, width, slots): every window of every item. reach: tokens in any window."""
+    """(hash, item_id, at, of, reach, length, width, literal, slots): every window of every item. reach: tokens in any window.
+
+    The windows of an item whose windows are all too poor in words are literal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.string()))
-        names = ["hash", "item_id", "at", "of", "reach", "length", "width", "slots"]
+        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.list_(pa.string()))
+        names = ["hash", "item_id", "at", "of", "reach", "length", "width", "literal", "slots"]
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -124,13 +151,21 @@ def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col:
                 if not (width := min(cfg.window, len(template.hashes))):
                     continue
                 at, found = windows(template, width, cfg.least_words)
+                if literal := not len(at):
+                    at, found = literal_windows(template, width, 1)
                 reach = len(np.unique(at[:, None] + np.arange(width)))
-                rows += [(h, item, k, len(at), reach, len(template.hashes), width, template.slots(k, width)) for k, h in zip(at.tolist(), found.view(np.int64).tolist())]
+                rows += [(h, item, k, len(at), reach, len(template.hashes), width, literal, template.slots(k, width)) for k, h in zip(at.tolist(), found.view(np.int64).tolist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    return items.mapInArrow(run, "hash long, item_id long, at int, of int, reach int, length int, width int, slots array<string>")
+    return items.mapInArrow(run, "hash long, item_id long, at int, of int, reach int, length int, width int, literal boolean, slots array<string>")
+
+
+def _read(template: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes, whether slots are placeholders) of a document's windows, as templates and as they stand."""
+    (a, x), (b, y) = windows(template, width, least_words), literal_windows(template, width)
+    return np.concatenate((a, b)), np.concatenate((x, y)), np.arange(len(a) + len(b)) < len(a)
 
 
 def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -218,11 +253,11 @@ class _Chains:
         found = (hit.windows, -hit.first)
         if self.best is None or found > self.best[:2]:
             function, one_to_one, own = _agreed(hit)
-            if function and one_to_one or quoted:
-                self.best = (*found, own)
+            if function or quoted:
+                self.best = (*found, own, one_to_one)
 
     def passage(self) -> tuple | None:
-        """(windows, -start, exact) of the passage with most windows, the first of several."""
+        """(windows, -start, exact, one_to_one) of the passage with most windows, the first of several."""
         for chains in self.open:
             for hit in chains.values():
                 self.end(hit)
@@ -230,20 +265,21 @@ class _Chains:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, of, start, exact): each document that holds a passage of a benchmark item.
+    """(doc_id, item_id, windows, of, start, exact, one_to_one): each document that holds a passage of a benchmark item.
 
     Documents are read once. A window goes on to the join only if its bit is set in a bitmap of fixed size, which
     drops nearly all of a clean text and no match. Matches are joined on the hash and dealt by document and item. There
     they are chained: each stands after the one before, in the text and in the item, and a changed, added or missing
     word moves the rest by cfg.drift tokens at most. A chain counts if it holds least_share of the item's windows, or of
     its tokens and least_run of them, or a run of least_run tokens without a break, and if its slots agree: each value
-    of the item always stands for one value of the document, and the other way round. A run of least_run tokens with
+    of the item always stands for one value of the document. one_to_one: and the other way round. A run of least_run tokens with
     the item's own values counts whatever stands around it. exact: all slots have the item's own values.
 
+    An item whose windows are all too poor in words is found by windows of its own tokens, so by verbatim copies.
     A window has to be whole, so an item of fewer than two windows (16 tokens) may be lost by a change in its middle.
 
     Defined cases: null ids, null and empty texts match nothing; repeated rows of docs give one result; an item
-    without a word is never found; other columns are ignored.
+    of numbers alone is never found; other columns are ignored.
     """
     marks = written(_benchmark_windows(benchmark, cfg, item_col, item_text_col), "benchmark_windows")
     held = docs.sparkSession.sparkContext.broadcast(_filter(marks, cfg.filter_bits))
@@ -259,43 +295,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                 for width in widths:
                     if width < cfg.least_tokens and len(template.hashes) != width:
                         continue
-                    at, found = windows(template, width, cfg.least_words)
+                    at, found, slots = _read(template, width, cfg.least_words)
                     low = found & mask
                     hit = np.flatnonzero((bitmap[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
                     if len(hit):
-                        slots = [template.slots(k, width) for k in at[hit].tolist()]
+                        mine = [template.slots(k, width) if s else [] for k, s in zip(at[hit].tolist(), slots[hit].tolist())]
                         copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1  # an id may have several texts
-                        columns = ([doc] * len(hit), [copy] * len(hit), at[hit], found[hit].view(np.int64), slots)
+                        columns = ([doc] * len(hit), [copy] * len(hit), at[hit], found[hit].view(np.int64), mine)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "copy", "here", "hash", "mine"])
 
     texts = in_small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = texts.mapInArrow(run, "doc_id long, copy long, here int, hash long, mine array<string>").join(marks, "hash")
-    order = ["doc_id", "copy", "item_id", "here", "at", "of", "reach", "length", "width", "slots", "mine"]
-    outs = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-    names = ["doc_id", "item_id", "windows", "of", "first", "exact"]
+    order = ["doc_id", "copy", "item_id", "here", "at", "of", "reach", "length", "width", "literal", "slots", "mine"]
+    outs = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+    names = ["doc_id", "item_id", "windows", "of", "first", "exact", "one_to_one"]
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chains, last = None, None, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if chains is not None and (best := chains.passage()):
-                row = (now[0], now[2], best[0], chains.of, best[1], best[2])
+                row = (now[0], now[2], best[0], chains.of, *best[1:])
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, outs)], names)
 
         for batch in batches:
-            for doc, copy, item, here, at, of, reach, length, width, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, copy, item, here, at, of, reach, length, width, literal, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
                 key = (doc, copy, item, of, reach, length, width)
                 if key != now:
                     yield from done()
                     now, chains, last = key, _Chains(cfg, of, reach, length, width), None
                 if (here, at) != last:  # repeated rows come together
-                    chains.add(here, at, list(zip(slots, mine)))
+                    chains.add(here, at, list(zip(slots, slots if literal else mine)))
                     last = (here, at)
         yield from done()
 
     keys = ["doc_id", "copy", "item_id", "of", "reach", "length", "width"]
     dealt = hits.select(*order).repartition("doc_id", "copy", "item_id").sortWithinPartitions(*keys, "here", "at")
-    found = dealt.mapInArrow(chain, "doc_id long, item_id long, windows int, of int, first int, exact boolean")
-    best = F.max(F.struct("windows", "first", "exact", "of")).alias("b")
+    found = dealt.mapInArrow(chain, "doc_id long, item_id long, windows int, of int, first int, exact boolean, one_to_one boolean")
+    best = F.max(F.struct("windows", "first", "exact", "one_to_one", "of")).alias("b")
     out = found.groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", F.col("b.windows").cast("long").alias("windows"), F.col("b.of").alias("of"), (-F.col("b.first")).alias("start"), F.col("b.exact").alias("exact"))
+    return out.select("doc_id", "item_id", F.col("b.windows").cast("long").alias("windows"), F.col("b.of").alias("of"), (-F.col("b.first")).alias("start"), F.col("b.exact").alias("exact"), F.col("b.one_to_one").alias("one_to_one"))

@@ -61,3 +61,11 @@ def test_texts_of_one_id_stay_apart(spark):
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(24)]
     docs = [(1, " ".join(words[:12])), (1, " ".join(["x"] * 12 + words[12:])), (2, " ".join(words[:12] + ["x"] + words[12:]))]
     assert set(found(spark, docs, [(1, " ".join(words))])) == {(2, 1)}
+
+
+def test_items_poor_in_words_and_values_that_meet(spark):
+    apples = "Tom has 3 apples and buys 4 pears at the market before lunch. How many fruits does Tom have now?"
+    docs = [(1, "What is 345 times 22?"), (2, "Solve it: what is 345 times 22? Then rest."), (3, "What is 346 times 22?"), (4, apples.replace("3", "5").replace("4", "5"))]
+    hits = found(spark, docs, [(1, "What is 345 times 22?"), (2, apples)])
+    assert set(hits) == {(1, 1), (2, 1), (4, 2)}
+    assert hits[1, 1].exact and not hits[4, 2].one_to_one and hits[1, 1].one_to_one
