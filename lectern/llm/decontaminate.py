@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -71,9 +71,23 @@ class Template:
     hashes: np.ndarray
     literal: np.ndarray
     kinds: np.ndarray
+    capital: np.ndarray
     tokens: list[str]
     at: np.ndarray
 
+    def with_slots(self, kinds: np.ndarray) -> Template:
+        return replace(self, kinds=kinds, hashes=np.where(kinds > 0, mix64(kinds.astype(np.uint64) + np.uint64(1)), self.literal))
+
+    def named(self) -> Template:
+        """Names as words, whether they are capitalised or not."""
+        return self.with_slots(np.where(self.kinds == _CAPITAL, 0, self.kinds).astype(self.kinds.dtype))
+
+    def turned(self, place: int) -> Template:
+        """With one capitalised token read the other way: as a name, or as the first word of a sentence."""
+        kinds = self.kinds.copy()
+        kinds[place] = 0 if kinds[place] else _CAPITAL
+        return self.with_slots(kinds)
+
     def slots(self, start: int, width: int) -> list[str]:
         """kind:value of each slot of a window, in order."""
         places = start + np.flatnonzero(self.kinds[start : start + width])
@@ -96,7 +110,7 @@ def canonical(text: str) -> Template:
     at = np.flatnonzero(kind != _STOP)
     slot = slot[at]
     literal = packed[at] >> np.uint64(3)
-    return Template(np.where(slot > 0, mix64(slot.astype(np.uint64) + np.uint64(1)), literal), literal, slot, tokens, at)
+    return Template(np.where(slot > 0, mix64(slot.astype(np.uint64) + np.uint64(1)), literal), literal, slot, kind[at] == _CAPITAL, tokens, at)
 
 
 def windows(template: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,37 +149,63 @@ def literal_windows(template: Template, width: int, least_words: int = 0) -> tup
     return at, _window_hashes(template.literal, at, width)
 
 
+def _mixed(template: Template, width: int) -> np.ndarray:
+    """Places of the windows with both names and other slots: their names can be words while the rest are slots."""
+    if len(template.hashes) < width:
+        return np.zeros(0, np.int64)
+    names = _counts(template.kinds == _CAPITAL, width)
+    return np.flatnonzero((names > 0) & (_counts(template.kinds > 0, width) > names))
+
+
+def _item_windows(template: Template, width: int, least_words: int) -> tuple[np.ndarray, list[tuple[int, int, bool, list[str]]]]:
+    """(places that count, (place, hash, literal, slots) of each reading of a window, the more literal first)."""
+    at, found = windows(template, width, least_words)
+    main, own = at, literal_windows(template, width, min(least_words, width))
+    if not len(main):
+        own = literal_windows(template, width, 1)
+        main = own[0]
+    out = [(k, h, True, template.slots(k, width)) for k, h in zip(own[0].tolist(), own[1].view(np.int64).tolist())]
+    out += [(k, h, False, template.slots(k, width)) for k, h in zip(at.tolist(), found.view(np.int64).tolist())]
+    others = [(template.named(), _mixed(template, width))]
+    others += [(template.turned(k), np.array([k])) for k in np.flatnonzero(template.capital[: len(template.capital) - width + 1]).tolist()]
+    for other, places in others:
+        places = places[_counts(other.kinds == 0, width)[places] >= min(least_words, width)]
+        hashes = _window_hashes(other.hashes, places, width).view(np.int64).tolist()
+        out += [(k, h, False, other.slots(k, width)) for k, h in zip(places.tolist(), hashes)]
+    return main, list({(k, h): (k, h, own, slots) for k, h, own, slots in reversed(out)}.values())
+
+
 def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, at, of, reach, length, width, literal, slots): every window of every item. reach: tokens in any window.
+    """(hash, item_id, at, of, reach, length, width, main, literal, slots): every reading of every window of every item.
 
-    The windows of an item whose windows are all too poor in words are literal.
+    main: the window counts; these are those with a template, or all if none has. of, reach: their number, and their tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.list_(pa.string()))
-        names = ["hash", "item_id", "at", "of", "reach", "length", "width", "literal", "slots"]
+        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+        names = ["hash", "item_id", "at", "of", "reach", "length", "width", "main", "literal", "slots"]
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 template = canonical(text or "")
                 if not (width := min(cfg.window, len(template.hashes))):
                     continue
-                at, found = windows(template, width, cfg.least_words)
-                if literal := not len(at):
-                    at, found = literal_windows(template, width, 1)
-                reach = len(np.unique(at[:, None] + np.arange(width)))
-                rows += [(h, item, k, len(at), reach, len(template.hashes), width, literal, template.slots(k, width)) for k, h in zip(at.tolist(), found.view(np.int64).tolist())]
+                at, readings = _item_windows(template, width, cfg.least_words)
+                main, reach = set(at.tolist()), len(np.unique(at[:, None] + np.arange(width)))
+                rows += [(h, item, k, len(at), reach, len(template.hashes), width, k in main, own, slots) for k, h, own, slots in readings]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    return items.mapInArrow(run, "hash long, item_id long, at int, of int, reach int, length int, width int, literal boolean, slots array<string>")
+    return items.mapInArrow(run, "hash long, item_id long, at int, of int, reach int, length int, width int, main boolean, literal boolean, slots array<string>")
 
 
-def _read(template: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes, whether slots are placeholders) of a document's windows, as templates and as they stand."""
-    (a, x), (b, y) = windows(template, width, least_words), literal_windows(template, width)
-    return np.concatenate((a, b)), np.concatenate((x, y)), np.arange(len(a) + len(b)) < len(a)
+def _read(template: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray, list[Template | None], np.ndarray]:
+    """(places, hashes, readings, reading of each) of a document's windows: as templates, with names as words, as they stand."""
+    (a, x), (c, z), b = windows(template, width, least_words), literal_windows(template, width), _mixed(template, width)
+    named = template.named() if len(b) else template
+    y = _window_hashes(named.hashes, b, width)
+    return np.concatenate((a, b, c)), np.concatenate((x, y, z)), [template, named, None], np.repeat(np.arange(3), (len(a), len(b), len(c)))
 
 
 def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -183,17 +223,17 @@ class _Hit:
 
     __slots__ = ("before", "here", "at", "pairs", "first", "windows", "covered", "run", "longest", "own_run", "own_longest", "last")
 
-    def __init__(self, before: _Hit | None, here: int, at: int, width: int, pairs: list[tuple[str, str]]):
+    def __init__(self, before: _Hit | None, here: int, at: int, width: int, main: bool, pairs: list[tuple[str, str]]):
         self.before, self.here, self.at, self.pairs, self.last = before, here, at, pairs, True
         own = all(ours == theirs for ours, theirs in pairs)
         if before is None:
-            self.first, self.windows, self.covered, self.run, self.own_run = here - at, 1, width, width, width * own
+            self.first, self.windows, self.covered, self.run, self.own_run = here - at, int(main), width, width, width * own
             self.longest, self.own_longest = self.run, self.own_run
             return
         before.last = False
         step = at - before.at
         joined = step <= width and here - before.here == step
-        self.first, self.windows, self.covered = before.first, before.windows + 1, before.covered + min(width, step)
+        self.first, self.windows, self.covered = before.first, before.windows + main, before.covered + min(width, step)
         self.run = before.run + step if joined else width
         self.own_run = (before.own_run + step if joined and before.own_run else width) * own
         self.longest, self.own_longest = max(before.longest, self.run), max(before.own_longest, self.own_run)
@@ -222,7 +262,7 @@ class _Chains:
         self.best: tuple | None = None
         self.swept = 0
 
-    def add(self, here: int, at: int, pairs: list[tuple[str, str]]) -> None:
+    def add(self, here: int, at: int, main: bool, pairs: list[tuple[str, str]]) -> None:
         if here - self.swept > 4 * self.length:
             self.sweep(here)
         for drift, chains in zip((0, self.cfg.drift), self.open):
@@ -233,7 +273,7 @@ class _Chains:
                     gain = 2 * (hit.covered + min(self.width, at - hit.at)) + (shift == here - at)
                     if gain > most:
                         before, most = hit, gain
-            old, chains[here - at] = chains.get(here - at), _Hit(before, here, at, self.width, pairs)
+            old, chains[here - at] = chains.get(here - at), _Hit(before, here, at, self.width, main, pairs)
             self.end(old)
 
     def sweep(self, here: int) -> None:
@@ -275,7 +315,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     of the item always stands for one value of the document. one_to_one: and the other way round. A run of least_run tokens with
     the item's own values counts whatever stands around it. exact: all slots have the item's own values.
 
-    An item whose windows are all too poor in words is found by windows of its own tokens, so by verbatim copies.
+    Every window is also read literally, in lower case, and with names as words; and one of an item whose first token is
+    capitalised with that as a name and as a word. So neither case nor what stands before a passage hides a copy. An item
+    whose windows are all too poor in words is found by windows of its own tokens, so by verbatim copies.
     A window has to be whole, so an item of fewer than two windows (16 tokens) may be lost by a change in its middle.
 
     Defined cases: null ids, null and empty texts match nothing; repeated rows of docs give one result; an item
@@ -295,18 +337,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                 for width in widths:
                     if width < cfg.least_tokens and len(template.hashes) != width:
                         continue
-                    at, found, slots = _read(template, width, cfg.least_words)
+                    at, found, readings, which = _read(template, width, cfg.least_words)
                     low = found & mask
                     hit = np.flatnonzero((bitmap[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
                     if len(hit):
-                        mine = [template.slots(k, width) if s else [] for k, s in zip(at[hit].tolist(), slots[hit].tolist())]
+                        mine = [r.slots(k, width) if (r := readings[w]) else [] for k, w in zip(at[hit].tolist(), which[hit].tolist())]
                         copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1  # an id may have several texts
                         columns = ([doc] * len(hit), [copy] * len(hit), at[hit], found[hit].view(np.int64), mine)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "copy", "here", "hash", "mine"])
 
     texts = in_small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hits = texts.mapInArrow(run, "doc_id long, copy long, here int, hash long, mine array<string>").join(marks, "hash")
-    order = ["doc_id", "copy", "item_id", "here", "at", "of", "reach", "length", "width", "literal", "slots", "mine"]
+    order = ["doc_id", "copy", "item_id", "here", "at", "of", "reach", "length", "width", "main", "literal", "slots", "mine"]
     outs = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
     names = ["doc_id", "item_id", "windows", "of", "first", "exact", "one_to_one"]
 
@@ -319,18 +361,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, outs)], names)
 
         for batch in batches:
-            for doc, copy, item, here, at, of, reach, length, width, literal, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, copy, item, here, at, of, reach, length, width, main, literal, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
                 key = (doc, copy, item, of, reach, length, width)
                 if key != now:
                     yield from done()
                     now, chains, last = key, _Chains(cfg, of, reach, length, width), None
                 if (here, at) != last:  # repeated rows come together
-                    chains.add(here, at, list(zip(slots, slots if literal else mine)))
+                    chains.add(here, at, main, list(zip(slots, slots if literal else mine)))
                     last = (here, at)
         yield from done()
 
     keys = ["doc_id", "copy", "item_id", "of", "reach", "length", "width"]
-    dealt = hits.select(*order).repartition("doc_id", "copy", "item_id").sortWithinPartitions(*keys, "here", "at")
+    dealt = hits.select(*order).repartition("doc_id", "copy", "item_id").sortWithinPartitions(*keys, "here", "at", F.desc("literal"), F.desc(F.size("slots")))
     found = dealt.mapInArrow(chain, "doc_id long, item_id long, windows int, of int, first int, exact boolean, one_to_one boolean")
     best = F.max(F.struct("windows", "first", "exact", "one_to_one", "of")).alias("b")
     out = found.groupBy("doc_id", "item_id").agg(best)

@@ -69,3 +69,12 @@ def test_items_poor_in_words_and_values_that_meet(spark):
     hits = found(spark, docs, [(1, "What is 345 times 22?"), (2, apples)])
     assert set(hits) == {(1, 1), (2, 1), (4, 2)}
     assert hits[1, 1].exact and not hits[4, 2].one_to_one and hits[1, 1].one_to_one
+
+
+def test_case_and_what_stands_before(spark):
+    names = "Anna Miller met Bob Stone, Carl Young and Dora Frost in Paris while Emil Gold paid 12 euros to Fred Hill there."
+    france = "What is the capital of France?"
+    docs = [(1, f"Question: {france}"), (2, f"- {france}"), (3, f"he asked {france.upper()}"), (4, f"x {names.lower()}"), (5, f"x {names.upper()}"), (6, f"Note: {MOVED[7:]}"), (7, f"x {MOVED[7:].lower()}")]
+    hits = found(spark, docs, [(1, france), (2, names), (3, ITEM)])
+    assert set(hits) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (6, 3), (7, 3)}
+    assert hits[4, 2].windows == hits[4, 2].of and hits[4, 2].exact
