@@ -16,7 +16,7 @@ from lectern.llm.shared import LOWER_AZ, grouped, in_small_batches, mix64, odd_c
 
 @dataclass(frozen=True)
 class BackoffConfig:
-    """alpha: weight of the unigram level. unseen: count of a word that no other document has.
+    """alpha: weight of each level down. order: words of the longest n-gram, 1 or more. unseen: count of a word that no other document has.
 
     chunk_words: words that a task turns into n-grams at a time. bucket_words: words of the corpus for each partition of
     the count table, of which there are most_buckets at most.
@@ -27,6 +27,7 @@ class BackoffConfig:
     chunk_words: int = 1_500_000
     bucket_words: int = 2_000_000
     most_buckets: int = 1 << 18
+    order: int = 2
 
 
 def _zipped(x: np.ndarray) -> bytes:
@@ -54,26 +55,32 @@ class Chunk:
         rank[order] = np.arange(len(every), dtype=np.uint32)
         return cls(docs, np.array([len(w) for w in words], np.int64), every[order], rank[place])
 
-    def ngrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document of each word, unigram keys by word, places of words with a word before them, distinct bigram keys,
-        bigram of each such place, all distinct keys in order)."""
+    def ngrams(self, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """(document of each word, unigram keys by word, for each n from 2: places of words with n - 1 words before them,
+        distinct n-gram keys and the n-gram of each such place; all distinct keys in order)."""
         c = odd_constants(4, 31)
         doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.lengths)
         unigrams = mix64(self.vocabulary * c[0] + c[2])
-        at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
         hashes = self.vocabulary[self.tokens]
-        hashes = hashes[at - 1] * c[0] + hashes[at] * c[1] + c[3]
-        bigrams, which = np.unique(mix64(hashes), return_inverse=True)
-        which = which.astype(np.int32)
-        keys = np.concatenate((unigrams, bigrams))
+        levels, last, added = [], hashes, c[3]
+        for n in range(2, order + 1):
+            at = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]) + n - 1
+            key = mix64(last[at - 1] * c[0] + hashes[at] * c[1] + added)
+            if n < order:
+                last, added = np.zeros(len(doc), np.uint64), added + c[2]
+                last[at] = key
+            distinct, which = np.unique(key, return_inverse=True)
+            levels.append((at, distinct, which.astype(np.int32)))
+        keys = np.concatenate((unigrams, *(distinct for _, distinct, _ in levels)))
         keys.sort()
-        return doc, unigrams, at, bigrams, which, keys
+        return doc, unigrams, levels, keys
 
-    def counts(self, doc: np.ndarray, unigrams: np.ndarray, bigrams: np.ndarray, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def counts(self, unigrams: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keys: np.ndarray) -> np.ndarray:
         """How often each of keys stands in the chunk."""
         n = np.zeros(len(keys), np.int64)
         n[np.searchsorted(keys, unigrams)] = np.bincount(self.tokens, minlength=len(unigrams))
-        n[np.searchsorted(keys, bigrams)] = np.bincount(which, minlength=len(bigrams))
+        for _, distinct, which in levels:
+            n[np.searchsorted(keys, distinct)] = np.bincount(which, minlength=len(distinct))
         return n
 
 
@@ -126,10 +133,11 @@ def _read_chunk(docs: list, lengths: list, vocabulary: bytes, tokens: bytes) ->
 
 
 def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_backed_off, log_score) for each row of docs, from the bigram and unigram counts of all other rows.
+    """(doc_id, n_words, n_backed_off, log_score) for each row of docs, from the n-gram counts of all other rows.
 
-    A word after another scores c(both) / c(first), or alpha * c(word) / N where no other row has the pair; a first word
-    scores c(word) / N. Counts leave the scored row out, or every pair would be known. log_score is the sum of natural logs.
+    A word scores c(n-gram) / c(n-gram without the word) for the longest n-gram that it ends and another row has, of up to
+    cfg.order words, times alpha for each level that the row's own words would have allowed above it; a single word scores
+    c(word) / N. n_backed_off: words of which the longest such n-gram is in no other row. Counts leave the scored row out, or every pair would be known. log_score is the sum of natural logs.
 
     1. Rows are read in chunks of words, which are written with each word as its place in the chunk's vocabulary.
     2. Each chunk's distinct n-grams go, with their counts, to a partition of the count table by hash: one packed row for
@@ -151,8 +159,9 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
         for batch in batches:
             for number, *parts in zip(*(c.to_pylist() for c in batch.columns)):
                 chunk = _read_chunk(*parts)
-                doc, unigrams, _, bigrams, which, keys = chunk.ngrams()
-                counts, cuts = chunk.counts(doc, unigrams, bigrams, which, keys).astype(np.uint32), _cuts(keys, bits)
+                _, unigrams, levels, keys = chunk.ngrams(cfg.order)
+                counts, cuts = chunk.counts(unigrams, levels, keys).astype(np.uint32), _cuts(keys, bits)
+                del levels
                 for b in np.flatnonzero(np.diff(cuts)).tolist():
                     lo, hi = int(cuts[b]), int(cuts[b + 1])
                     row = (b, number, hi - lo, _zipped(np.diff(keys[lo:hi], prepend=np.uint64(0))), _zipped(counts[lo:hi]))
@@ -188,18 +197,19 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
 
 
 def _scored(chunk: Chunk, totals: np.ndarray, corpus: int, cfg: BackoffConfig) -> pa.RecordBatch:
-    doc, unigrams, at, bigrams, which, keys = chunk.ngrams()
+    doc, unigrams, levels, keys = chunk.ngrams(cfg.order)
     tokens, size = chunk.tokens, len(chunk.docs)
-    words = totals[np.searchsorted(keys, unigrams)][tokens] - _own(doc, tokens, len(unigrams))
-    pairs = totals[np.searchsorted(keys, bigrams)][which] - _own(doc[at], which, len(bigrams))
-    level = np.log(np.maximum(words, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
-    first = np.ones(len(tokens), bool)
-    first[at] = False
-    value = np.where(first, level, level + np.log(cfg.alpha))
-    known = pairs > 0
-    value[at[known]] = np.log(pairs[known]) - np.log(words[at[known] - 1])
-    backed = ~first
-    backed[at[known]] = False
+    before = totals[np.searchsorted(keys, unigrams)][tokens] - _own(doc, tokens, len(unigrams))
+    value = np.log(np.maximum(before, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
+    backed = np.zeros(len(tokens), bool)
+    for at, distinct, which in levels:
+        seen = totals[np.searchsorted(keys, distinct)][which] - _own(doc[at], which, len(distinct))
+        known = seen > 0
+        value[at] += np.log(cfg.alpha)
+        value[at[known]] = np.log(seen[known]) - np.log(before[at[known] - 1])
+        backed[at] = ~known
+        before = np.zeros(len(tokens))
+        before[at] = seen
     sums = np.bincount(doc, weights=value, minlength=size)
     columns = [pa.array(chunk.docs, pa.int64()), pa.array(chunk.lengths, pa.int64()), pa.array(np.bincount(doc[backed], minlength=size), pa.int64()), pa.array(sums, pa.float64())]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_backed_off", "log_score"])

@@ -74,6 +74,11 @@ def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
 
 
+def op8_lm_score_order3(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score(table(spark, folder, "documents"), BackoffConfig(order=3))
+    return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_language_id": op2_language_id,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
     "op8_lm_score": op8_lm_score,
+    "op8_lm_score_order3": op8_lm_score_order3,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
@@ -105,6 +111,26 @@ v AS (SELECT r, sum(CASE WHEN n_both > 0 THEN ln(n_both) - ln(before) ELSE ln(gr
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(v.backed, 0) AS BIGINT) AS n_backed_off, round(coalesce(v.x, 0.0), 4) AS log_score FROM d LEFT JOIN v USING (r)
 """
 
+_OP8_3 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS p, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS q FROM t),
+u AS (SELECT w, count(*) AS c FROM t GROUP BY w), du AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w),
+b AS (SELECT p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY p, w), db AS (SELECT r, p, w, count(*) AS c FROM g WHERE p IS NOT NULL GROUP BY r, p, w),
+x AS (SELECT q, p, w, count(*) AS c FROM g WHERE q IS NOT NULL GROUP BY q, p, w), dx AS (SELECT r, q, p, w, count(*) AS c FROM g WHERE q IS NOT NULL GROUP BY r, q, p, w),
+n AS (SELECT sum(len(ws)) AS n FROM d),
+s AS (SELECT g.r, g.p, g.q, coalesce(x.c - dx.c, 0) AS three, coalesce(y.c - dy.c, 0) AS two_before, coalesce(b.c - db.c, 0) AS two, u.c - du.c AS own, pu.c - pdu.c AS before, greatest(1, n.n - len(d.ws)) AS rest
+  FROM g JOIN d USING (r) CROSS JOIN n JOIN u ON u.w = g.w JOIN du ON du.r = g.r AND du.w = g.w
+  LEFT JOIN u pu ON pu.w = g.p LEFT JOIN du pdu ON pdu.r = g.r AND pdu.w = g.p
+  LEFT JOIN b ON b.p = g.p AND b.w = g.w LEFT JOIN db ON db.r = g.r AND db.p = g.p AND db.w = g.w
+  LEFT JOIN b y ON y.p = g.q AND y.w = g.p LEFT JOIN db dy ON dy.r = g.r AND dy.p = g.q AND dy.w = g.p
+  LEFT JOIN x ON x.q = g.q AND x.p = g.p AND x.w = g.w LEFT JOIN dx ON dx.r = g.r AND dx.q = g.q AND dx.p = g.p AND dx.w = g.w),
+v AS (SELECT r, sum(CASE WHEN three > 0 THEN ln(three) - ln(two_before) ELSE CASE WHEN q IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN two > 0 THEN ln(two) - ln(before)
+    ELSE ln(greatest(own, 0.5) / rest) + CASE WHEN p IS NULL THEN 0 ELSE ln(0.4) END END END) AS x,
+  count(*) FILTER (WHERE p IS NOT NULL AND CASE WHEN q IS NULL THEN two ELSE three END <= 0) AS backed FROM s GROUP BY r)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(v.backed, 0) AS BIGINT) AS n_backed_off, round(coalesce(v.x, 0.0), 4) AS log_score FROM d LEFT JOIN v USING (r)
+"""
+
 _OP1 = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 h AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(ws) - 3)), lambda k: array_to_string(ws[k:k + 4], ' '))) END AS sh FROM w),
@@ -137,5 +163,6 @@ ORACLES: dict[str, str] = {
     "op1_minhash_dedup": _OP1,
     "op3_warc_store": _OP3,
     "op8_lm_score": _OP8,
+    "op8_lm_score_order3": _OP8_3,
     "op10_embedding_dedup": _OP10,
 }

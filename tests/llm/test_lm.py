@@ -53,3 +53,37 @@ def test_query_against_sql(spark):
     for r in QUERIES["op8_lm_score"](spark, SF).collect():
         n, backed, value = expected[r.doc_id]
         assert (r.n_words, r.n_backed_off) == (n, backed) and abs(r.log_score - value) < 2e-4
+
+
+def deeper(docs, order, alpha=0.4, unseen=0.5):
+    words = [(t or "").lower().split() for _, t in docs]
+    grams = lambda ws: Counter(tuple(ws[k : k + n]) for n in range(1, order + 1) for k in range(len(ws) - n + 1))
+    every, total, out = sum((grams(ws) for ws in words), Counter()), sum(map(len, words)), []
+    for (doc, _), ws in zip(docs, words):
+        own, value, backed = grams(ws), 0.0, 0
+        rest = lambda g: every[g] - own[g]
+        for k in range(len(ws)):
+            top = min(order, k + 1)
+            n = next((n for n in range(top, 1, -1) if rest(tuple(ws[k - n + 1 : k + 1])) > 0), 1)
+            gram = tuple(ws[k - n + 1 : k + 1])
+            value += (top - n) * math.log(alpha)
+            value += math.log(rest(gram) / rest(gram[:-1])) if n > 1 else math.log(max(rest(gram), unseen) / max(1, total - len(ws)))
+            backed += n < top
+        out.append((doc, len(ws), backed, round(value, 6)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_longer_contexts(spark, order):
+    docs = [(k, " ".join(f"w{(k * j * j + j) % 7}" for j in range(k % 17))) for k in range(80)] + [(100, None), (101, "w1"), (102, "w3 " * 3_000)]
+    rows = score(spark.createDataFrame([(*d, "clash") for d in docs], SCHEMA).repartition(3), BackoffConfig(order=order, chunk_words=200, bucket_words=50)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in rows), key=repr) == deeper(docs, order)
+
+
+def test_trigram_query_against_sql(spark):
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    expected = {r[0]: r[1:] for r in db.sql(ORACLES["op8_lm_score_order3"]).fetchall()}
+    for r in QUERIES["op8_lm_score_order3"](spark, SF).collect():
+        n, backed, value = expected[r.doc_id]
+        assert (r.n_words, r.n_backed_off) == (n, backed) and abs(r.log_score - value) < 2e-4
