@@ -21,9 +21,10 @@ RULES = (
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
-    ("pem", r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----)?", 0, 1),
+    # the body ends before the next BEGIN or END, so a text is read once; without END, what looks like headers and body is taken
+    ("pem", r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----(?:(?:[^-]|-(?!----(?:BEGIN|END) ))*+-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----|(?:\s+(?:Proc-Type|DEK-Info):[^\n]*|\s+[A-Za-z0-9+/=]{16,}(?!\S))*)", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
-    ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", 0, 1),
+    ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s/:@]+:[^\s/:@]+@", 0, 1),
 )
 
 

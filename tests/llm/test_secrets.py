@@ -60,3 +60,16 @@ def test_redaction(spark):
     out = redact(docs, scan(docs)).collect()
     assert sorted(r.text or "" for r in out) == ["", "a [assign] b", "clean"] and out[0].blob == "p"
     assert redacted("0123456789", [("a", 1, 4), ("b", 2, 6), ("c", 8, 9)]) == "0[a]67[c]9"
+
+
+def test_long_credentials_and_encrypted_keys():
+    url = f"https://bot:{'Zz9' * 31}@github.com"
+    body = "\n".join(["Zq+/" * 16] * 20)
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,F0\n\n{body}\n"
+    end = "-----END RSA PRIVATE KEY-----"
+    spans = lambda t: [s for s in Scanner(SecretConfig()).spans(t) if s[0] in ("pem", "url")]
+    assert spans(f"see {url}") == [("url", 4, 4 + url.index("github.com"))]
+    assert spans(f"a {key}{end} b") == [("pem", 2, 2 + len(key + end))]
+    assert spans(f"a {key}b c") == [("pem", 2, 1 + len(key))]
+    assert [s[0] for s in spans(key + key + end)] == ["pem", "pem"]
+    assert len(spans("-----BEGIN PRIVATE KEY-----\nno end " * 20_000)) == 20_000
