@@ -318,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     Every window is also read literally, in lower case, and with names as words; and one of an item whose first token is
     capitalised with that as a name and as a word. So neither case nor what stands before a passage hides a copy. An item
     whose windows are all too poor in words is found by windows of its own tokens, so by verbatim copies.
-    A window has to be whole, so an item of fewer than two windows (16 tokens) may be lost by a change in its middle.
+    A window has to be whole, so an item of 16 tokens or fewer may be lost by a change in its middle.
 
     Defined cases: null ids, null and empty texts match nothing; repeated rows of docs give one result; an item
     of numbers alone is never found; other columns are ignored.
