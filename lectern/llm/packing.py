@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -19,7 +20,7 @@ from lectern.llm.shared import in_small_batches, worker_cache, written
 
 @dataclass(frozen=True)
 class PackingConfig:
-    """tokenizer: path of a tokenizers file that every executor has. end_id: follows each document.
+    """tokenizer: path of a tokenizers file that every executor has, of any layout. end_id: follows each document.
 
     open_windows: windows that a partition keeps open. merged: partitions whose leftovers one task merges in a round.
     """
@@ -33,8 +34,17 @@ class PackingConfig:
     cached_words: int = 500_000
 
 
-#: How the word_bpe vocabulary parts a text, and the letters that stand for bytes in its words.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: How a word_bpe vocabulary normalises and parts a text. Words are remembered only under this layout.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_PARTS = regex.compile(_SPLIT)
 #: Words with other characters are left to the tokenizer, like those with the sign that begins a special token.
 _UNUSUAL = re.compile("[^\\x00-\\u036f\\u2010-\\u2027\\u20ac]")
 #: Python parts words at these, the tokenizer does not.
@@ -74,18 +84,28 @@ class _Words(dict):
             self.clear()
 
 
+def _parts_at_blanks(tokenizer) -> bool:
+    """Whether this tokenizer has the layout in which white space parts words and no merge crosses it."""
+    state = lambda x: None if x is None else json.loads(x.__getstate__())
+    own = all(t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word) for t in tokenizer.get_added_tokens_decoder().values())
+    plain = tokenizer.truncation is None and tokenizer.padding is None and tokenizer.post_processor is None
+    return own and plain and state(tokenizer.normalizer) == _NORMALIZER and state(tokenizer.pre_tokenizer) == _PRE_TOKENIZER
+
+
 class TextEncoder:
-    """The tokenizer's ids, with the words seen before remembered. White space parts words, and no merge crosses it."""
+    """The tokenizer's ids. Under the layout of word_bpe, words seen before are remembered; any other one encodes whole texts."""
 
     def __init__(self, path: str, cached_words: int):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.by_word = _parts_at_blanks(self.whole)
         self.model, self.words, self.parts, self.letters = self.whole.model, _Words(cached_words), _Words(cached_words // 4), _byte_letters()
 
     def _part(self, part: str) -> bytes:
         if not (known := self.parts[part]):
-            spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            # printable ASCII stands for itself; every other byte, control characters among them, has a letter of its own
+            spelled = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
             known = self.parts[part] = _bytes([t.id for t in self.model.tokenize(spelled)])
         return known
 
@@ -100,7 +120,7 @@ class TextEncoder:
         return b"".join(map(self._part, _PARTS.findall(low)))
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in _NO_BLANKS):
+        if not self.by_word or any(c in text for c in _NO_BLANKS):
             return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
         words, known = text.split(), self.words
         known.age()

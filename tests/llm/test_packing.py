@@ -66,3 +66,38 @@ def test_encoder_equals_the_tokenizer():
         text = " ".join("".join(rng.choice([*marks, "The", "qu", "9", "-"]) for _ in range(rng.randrange(1, 6))) for _ in range(12))
         ids = np.frombuffer(encoder.ids(text), "<u4").tolist()
         assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def same_ids(encoder, tokenizer, text):
+    assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_code_point_alone_and_inside_words():
+    tokenizer, encoder = Tokenizer.from_file(PATH), TextEncoder(PATH, 2000)
+    for c in map(chr, range(1, 0x3000)):
+        same_ids(encoder, tokenizer, c)
+        same_ids(encoder, tokenizer, f"ab{c}cd x{c} {c}y {c}{c}")
+
+
+def test_fuzz_with_control_characters():
+    tokenizer, encoder = Tokenizer.from_file(PATH), TextEncoder(PATH, 3000)
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(1, 0x180), 0x300, 0x301, 0x2019, 0x2026, 0x20AC, 0x3A3, 0x130, 0x2028]] + ["the", "ing", "'ll", "  ", "\n"]
+    for _ in range(50_000):
+        same_ids(encoder, tokenizer, "".join(rng.choices(letters, k=rng.randrange(1, 14))))
+
+
+def test_other_layouts_are_encoded_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), TextEncoder(path, 100)
+    assert TextEncoder(PATH, 100).by_word and not encoder.by_word
+    for text in ["Hello  World\x7f", " a b", "don't\n\n x"]:
+        same_ids(encoder, tokenizer, text)
+    rows = pack(spark.createDataFrame([(1, "Hello  World", "")], SCHEMA), PackingConfig(path, end_id=50256)).collect()
+    assert sum(r.length for r in rows) == len(tokenizer.encode("Hello  World").ids) + 1
+
+
+def test_control_characters_in_documents(spark):
+    docs = [(1, "ab \x7f cd\x01"), (2, "\x7f"), (3, "\x01\x02 \x0e\x1b")]
+    rows = pack(spark.createDataFrame([(*d, "") for d in docs], SCHEMA), PackingConfig(PATH)).collect()
+    assert check(rows, docs) == 0 and {r.doc_id: r.doc_tokens for r in rows}[1] == 5
