@@ -1,4 +1,4 @@
-"""Stupid-backoff scores: n-gram counts of the whole corpus, partitioned by hash and joined to the n-grams of each document."""
+"""Stupid-backoff scores: n-gram count tables of the whole corpus, partitioned by hash and joined to the n-grams of its documents."""
 
 from __future__ import annotations
 
@@ -7,27 +7,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ, grouped, in_small_batches, mix64, odd_constants, word_hashes, written
+from lectern.llm.shared import LOWER_AZ, discard, grouped, in_small_batches, mix64, odd_constants, scratch_path, word_hashes, written
 
 
 @dataclass(frozen=True)
 class BackoffConfig:
-    """alpha: weight of each level down. order: words of the longest n-gram, 1 or more. unseen: count of a word that no other document has.
-
-    chunk_words: words that a task turns into n-grams at a time. bucket_words: words of the corpus for each partition of
-    the count table, of which there are most_buckets at most.
+    """alpha: weight of each level down. order: words of the longest n-gram, 1 or more. unseen: count of a word that no other
+    document has. chunk_words: words of some documents that a task turns into n-grams at a time, which bounds its memory.
     """
 
     alpha: float = 0.4
     unseen: float = 0.5
-    chunk_words: int = 1_500_000
-    bucket_words: int = 2_000_000
-    most_buckets: int = 1 << 18
-    order: int = 2
+    order: int = 3
+    chunk_words: int = 3_000_000
 
 
 def _zipped(x: np.ndarray) -> bytes:
@@ -46,6 +44,7 @@ class Chunk:
 
     def __init__(self, docs: list, lengths: np.ndarray, vocabulary: np.ndarray, tokens: np.ndarray):
         self.docs, self.lengths, self.vocabulary, self.tokens = docs, lengths, vocabulary, tokens
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
 
     @classmethod
     def of(cls, docs: list, words: list[np.ndarray]) -> Chunk:
@@ -55,33 +54,19 @@ class Chunk:
         rank[order] = np.arange(len(every), dtype=np.uint32)
         return cls(docs, np.array([len(w) for w in words], np.int64), every[order], rank[place])
 
-    def ngrams(self, order: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-        """(document of each word, unigram keys by word, for each n from 2: places of words with n - 1 words before them,
-        distinct n-gram keys and the n-gram of each such place; all distinct keys in order)."""
-        c = odd_constants(4, 31)
-        doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.lengths)
-        unigrams = mix64(self.vocabulary * c[0] + c[2])
+    def levels(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n from 1 to order: the places of words with n - 1 words of their document before them, and the n-gram's key at each."""
+        c, doc = odd_constants(4, 31), self.doc
         hashes = self.vocabulary[self.tokens]
-        levels, last, added = [], hashes, c[3]
+        yield np.arange(len(doc)), mix64(hashes * c[0] + c[2])
+        last, added = hashes, c[3]
         for n in range(2, order + 1):
             at = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]) + n - 1
             key = mix64(last[at - 1] * c[0] + hashes[at] * c[1] + added)
             if n < order:
                 last, added = np.zeros(len(doc), np.uint64), added + c[2]
                 last[at] = key
-            distinct, which = np.unique(key, return_inverse=True)
-            levels.append((at, distinct, which.astype(np.int32)))
-        keys = np.concatenate((unigrams, *(distinct for _, distinct, _ in levels)))
-        keys.sort()
-        return doc, unigrams, levels, keys
-
-    def counts(self, unigrams: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], keys: np.ndarray) -> np.ndarray:
-        """How often each of keys stands in the chunk."""
-        n = np.zeros(len(keys), np.int64)
-        n[np.searchsorted(keys, unigrams)] = np.bincount(self.tokens, minlength=len(unigrams))
-        for _, distinct, which in levels:
-            n[np.searchsorted(keys, distinct)] = np.bincount(which, minlength=len(distinct))
-        return n
+            yield at, key
 
 
 def _own(doc: np.ndarray, which: np.ndarray, size: int, step: int = 200_000) -> np.ndarray:
@@ -95,21 +80,17 @@ def _own(doc: np.ndarray, which: np.ndarray, size: int, step: int = 200_000) ->
     return out
 
 
-def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of 2**bits partitions of the hash range begins in sorted keys, and the end."""
-    return np.concatenate((np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)), [len(keys)])) if bits else np.array([0, len(keys)])
-
-
 def _chunks(docs: DataFrame, cfg: BackoffConfig) -> DataFrame:
-    names = ["chunk", "docs", "lengths", "vocabulary", "tokens"]
+    """Rows of docs in chunks; part is the task, whose chunks lie in one file."""
+    names = ["part", "chunk", "docs", "lengths", "vocabulary", "tokens"]
     lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, words, total = TaskContext.get().partitionId() << 32, [], [], 0
+        part, number, held, words, total = TaskContext.get().partitionId(), 0, [], [], 0
 
         def packed() -> pa.RecordBatch:
             c = Chunk.of(held, words)
-            columns = [pa.array([number]), pa.array([held], lists), pa.array([c.lengths], lists), pa.array([c.vocabulary.tobytes()], pa.binary()), pa.array([_zipped(c.tokens)], pa.binary())]
+            columns = [pa.array([part], pa.int32()), pa.array([part << 32 | number]), pa.array([held], lists), pa.array([c.lengths], lists), pa.array([c.vocabulary.tobytes()], pa.binary()), pa.array([_zipped(c.tokens)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
@@ -124,12 +105,120 @@ def _chunks(docs: DataFrame, cfg: BackoffConfig) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.mapInArrow(run, "chunk long, docs array<long>, lengths array<long>, vocabulary binary, tokens binary")
+    return docs.mapInArrow(run, "part int, chunk long, docs array<long>, lengths array<long>, vocabulary binary, tokens binary")
+
+
+def _read_chunks(path: str) -> Iterator[tuple[int, Chunk]]:
+    """(number, chunk) of a file of the chunk table, one at a time and in order."""
+    path = path if "://" in path else path.removeprefix("file:")
+    store, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    with store.open_input_file(name) as source:
+        for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
+            for _, number, docs, lengths, vocabulary, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                n = np.array(lengths, np.int64)
+                yield number, Chunk(docs, n, np.frombuffer(vocabulary, np.uint64), _unzipped(tokens, int(n.sum()), np.uint32))
+
+
+class _Seen:
+    """Which of a chunk's sorted distinct n-grams other chunks have too, and how often they have those."""
+
+    def __init__(self, flags: np.ndarray, others: np.ndarray):
+        self.flags, self.others = flags, others
+
+    def packed(self) -> tuple[bytes, bytes, int]:
+        return _zipped(np.packbits(self.flags)), _zipped(self.others), len(self.flags)
+
+    @classmethod
+    def read(cls, flags: bytes, others: bytes, size: int) -> _Seen:
+        found = np.unpackbits(_unzipped(flags, (size + 7) // 8, np.uint8), count=size).astype(bool)
+        return cls(found, _unzipped(others, int(found.sum()), np.int64))
+
+
+_STATE = "part int, chunk long, level int, size int, flags binary, others binary"
+_STATE_KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _with_files(files: DataFrame, rows: DataFrame | None) -> DataFrame:
+    """Rows of tasks' chunks together with the tasks' files, a task's file first; each task's rows are in one partition."""
+    every = files if rows is None else files.unionByName(rows, allowMissingColumns=True)
+    order = ["part", "chunk", *(["level"] if "level" in every.columns else [])]
+    rest = [c for c in every.columns if c not in (*order, "path")]
+    return every.repartitionByRange("part").sortWithinPartitions(*order).select("part", "chunk", "path", *order[2:], *rest)
 
 
-def _read_chunk(docs: list, lengths: list, vocabulary: bytes, tokens: bytes) -> Chunk:
-    n = np.array(lengths, np.int64)
-    return Chunk(docs, n, np.frombuffer(vocabulary, np.uint64), _unzipped(tokens, int(n.sum()), np.uint32))
+def _states(parts: list[pa.RecordBatch]) -> tuple[str, dict[tuple[int, int], _Seen]]:
+    """The file of a task, and by chunk and level what is known of its n-grams."""
+    path, found = "", {}
+    for part in parts:
+        for row in part.to_pylist():
+            if row["path"] is not None:
+                path = row["path"]
+            else:
+                found[row["chunk"], row["level"]] = _Seen.read(row["flags"], row["others"], row["size"])
+    return path, found
+
+
+def ngrams(files: DataFrame, states: DataFrame | None, level: int) -> DataFrame:
+    """(ngram, chunk, n): how often each chunk has each of its n-grams of `level` words, which another chunk may have too.
+
+    Another chunk can have an n-gram only if it has both n-grams that are a word shorter, so those of which it hasn't are
+    left out. One row for each chunk and distinct n-gram, so a very frequent n-gram has no more rows than there are chunks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in grouped(batches, 1):
+            path, known = _states(parts) if level > 1 else (parts[0].column("path")[0].as_py(), {})
+            for number, chunk in _read_chunks(path):
+                for n, (at, key) in enumerate(chunk.levels(level), 1):
+                    if n == level - 1:
+                        seen = np.zeros(len(chunk.tokens), bool)
+                        seen[at] = known[number, n].flags[np.unique(key, return_inverse=True)[1]] if (number, n) in known else False
+                    elif n == level:
+                        keys, counts = np.unique(key if n == 1 else key[seen[at] & seen[at - 1]], return_counts=True)
+                del key, at
+                for k in range(0, len(keys), 1 << 16):
+                    part = keys[k : k + (1 << 16)].view(np.int64)
+                    columns = [pa.array(part), pa.array(np.full(len(part), number)), pa.array(counts[k : k + (1 << 16)].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["ngram", "chunk", "n"])
+
+    return _with_files(files, states).mapInArrow(run, "ngram long, chunk long, n int")
+
+
+def counted(grams: DataFrame) -> DataFrame:
+    """(chunk, ngram, others): how often other chunks have a chunk's n-gram, for n-grams that several chunks have.
+
+    Grams are joined with their count table. They are dealt by the n-gram's hash once, for the table and for the join with
+    it: both read the same columns, so that Spark uses one exchange for both.
+    """
+    dealt = grams.repartition("ngram")
+    table = dealt.groupBy("ngram").agg(F.sum("n").alias("total"), F.count("chunk").alias("chunks")).where("chunks > 1")
+    return dealt.join(table.select("ngram", "total").hint("shuffle_hash"), "ngram").select("chunk", "ngram", (F.col("total") - F.col("n")).alias("others"))
+
+
+def _packed_states(files: DataFrame, known: DataFrame, level: int) -> DataFrame:
+    """The rows of counted, as a row for each chunk: a bit for each of its distinct n-grams, and the numbers of those known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = grouped(batches, 2)
+        (part, number), rows = next(groups, ((None, None), []))
+        while part is not None:
+            path, now = rows[0].column("path")[0].as_py(), part
+            (part, number), rows = next(groups, ((None, None), []))
+            for k, chunk in _read_chunks(path):
+                if (part, number) != (now, k):
+                    continue  # nothing is known of it
+                for _, key in chunk.levels(level):
+                    pass
+                keys, known = np.unique(key), pa.Table.from_batches(rows)
+                at = np.searchsorted(keys, known.column("ngram").to_numpy().view(np.uint64))
+                order, flags = np.argsort(at), np.zeros(len(keys), bool)
+                flags[at] = True
+                flags, others, size = _Seen(flags, known.column("others").to_numpy()[order]).packed()
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, k, level, size, flags, others), _STATE_KINDS)], [c.split()[0] for c in _STATE.split(", ")])
+                (part, number), rows = next(groups, ((None, None), []))
+
+    rows = known.withColumn("part", F.shiftright("chunk", 32).cast("int"))
+    return _with_files(files, rows).mapInArrow(run, _STATE)
 
 
 def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,78 +226,60 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
 
     A word scores c(n-gram) / c(n-gram without the word) for the longest n-gram that it ends and another row has, of up to
     cfg.order words, times alpha for each level that the row's own words would have allowed above it; a single word scores
-    c(word) / N. n_backed_off: words of which the longest such n-gram is in no other row. Counts leave the scored row out, or every pair would be known. log_score is the sum of natural logs.
+    c(word) / N. n_backed_off: words of which the longest such n-gram is in no other row. Counts leave the scored row out, or every n-gram would be known. log_score is the sum of natural logs.
 
     1. Rows are read in chunks of words, which are written with each word as its place in the chunk's vocabulary.
-    2. Each chunk's distinct n-grams go, with their counts, to a partition of the count table by hash: one packed row for
-       each chunk and partition. So an n-gram that every row has is sent once for each chunk, and no partition is hot.
-    3. A partition adds up its counts and answers each chunk with the totals, in the order of the chunk's n-grams.
-    4. Answers are joined to their chunk, and its rows scored.
+    2. For each n, the chunks' distinct n-grams are exploded into rows with their counts, dealt by hash, summed into the
+       count table, and joined with it. An answer comes back to a chunk only for n-grams that other chunks have too; of the
+       rest its own counts are all there are.
+    3. Answers are kept for each chunk as bits and packed numbers, and its rows are scored from them, word by word, and summed.
+
+    The rows of every step grow with the corpus, and none of them with its square. A task holds one chunk.
 
     Defined cases: words are what ASCII white space parts, with A-Z lower-cased; null, empty or blank text has no words and
     log_score 0; null ids are carried; repeated rows are rows of their own; other columns are ignored; an empty table gives
     no rows.
     """
+    spark = docs.sparkSession
     texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = written(_chunks(texts, cfg), "chunks")
     total = chunks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
-    bits = min(cfg.most_buckets, max(16, total // cfg.bucket_words)).bit_length()
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "chunk", "n", "keys", "counts"]
-        for batch in batches:
-            for number, *parts in zip(*(c.to_pylist() for c in batch.columns)):
-                chunk = _read_chunk(*parts)
-                _, unigrams, levels, keys = chunk.ngrams(cfg.order)
-                counts, cuts = chunk.counts(unigrams, levels, keys).astype(np.uint32), _cuts(keys, bits)
-                del levels
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    lo, hi = int(cuts[b]), int(cuts[b + 1])
-                    row = (b, number, hi - lo, _zipped(np.diff(keys[lo:hi], prepend=np.uint64(0))), _zipped(counts[lo:hi]))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), parts in grouped(batches, 1):
-            block = pa.Table.from_batches(parts)
-            sizes = block.column("n").to_numpy()
-            keys = np.concatenate([np.cumsum(_unzipped(k, n, np.uint64), dtype=np.uint64) for k, n in zip(block.column("keys").to_pylist(), sizes.tolist())])
-            counts = np.concatenate([_unzipped(c, n, np.uint32) for c, n in zip(block.column("counts").to_pylist(), sizes.tolist())])
-            _, place = np.unique(keys, return_inverse=True)
-            totals = np.bincount(place, weights=counts).astype(np.uint64)[place]
-            ends = np.cumsum(sizes)
-            for number, n, end in zip(block.column("chunk").to_pylist(), sizes.tolist(), ends.tolist()):
-                row = (number, bucket, n, _zipped(totals[end - n : end]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["chunk", "bucket", "n", "totals"])
-
-    asked = chunks.mapInArrow(ask, "bucket int, chunk long, n int, keys binary, counts binary")
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, "chunk long, bucket int, n int, totals binary")
-    rows = answers.unionByName(chunks.withColumn("bucket", F.lit(-1)), allowMissingColumns=True)
-    order = ["chunk", "bucket", "n", "totals", "docs", "lengths", "vocabulary", "tokens"]
+    files = chunks.select("part", F.lit(-1).cast("long").alias("chunk"), F.col("_metadata.file_path").alias("path")).distinct()
+    states: list[DataFrame] = []
+    for level in range(1, cfg.order + 1):
+        path = scratch_path(spark, "known")
+        known = written(counted(ngrams(files, states[-1] if states else None, level)), "known", path)
+        states.append(written(_packed_states(files, known, level), "states", records=100_000))
+        discard(spark, path)
+    every = states[0]
+    for more in states[1:]:
+        every = every.unionByName(more)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped(batches, 1):
-            block = [row for p in parts for row in zip(*(c.to_pylist() for c in p.columns))]
-            chunk = _read_chunk(*block[0][4:])
-            totals = np.concatenate([np.zeros(0, np.uint64), *(_unzipped(r[3], r[2], np.uint64) for r in block[1:])]).astype(np.float64)
-            yield _scored(chunk, totals, total, cfg)
-
-    dealt = rows.select(*order).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return dealt.mapInArrow(finish, "doc_id long, n_words long, n_backed_off long, log_score double")
-
-
-def _scored(chunk: Chunk, totals: np.ndarray, corpus: int, cfg: BackoffConfig) -> pa.RecordBatch:
-    doc, unigrams, levels, keys = chunk.ngrams(cfg.order)
-    tokens, size = chunk.tokens, len(chunk.docs)
-    before = totals[np.searchsorted(keys, unigrams)][tokens] - _own(doc, tokens, len(unigrams))
-    value = np.log(np.maximum(before, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
-    backed = np.zeros(len(tokens), bool)
-    for at, distinct, which in levels:
-        seen = totals[np.searchsorted(keys, distinct)][which] - _own(doc[at], which, len(distinct))
-        known = seen > 0
-        value[at] += np.log(cfg.alpha)
-        value[at[known]] = np.log(seen[known]) - np.log(before[at[known] - 1])
-        backed[at] = ~known
-        before = np.zeros(len(tokens))
+            path, known = _states(parts)
+            for number, chunk in _read_chunks(path):
+                yield _scored(chunk, [known.get((number, n)) for n in range(1, cfg.order + 1)], total, cfg)
+
+    return _with_files(files, every).mapInArrow(finish, "doc_id long, n_words long, n_backed_off long, log_score double")
+
+
+def _scored(chunk: Chunk, known: list[_Seen | None], corpus: int, cfg: BackoffConfig) -> pa.RecordBatch:
+    doc, size = chunk.doc, len(chunk.docs)
+    value, backed, before = np.zeros(len(doc)), np.zeros(len(doc), bool), np.zeros(0)
+    for n, (at, key) in enumerate(chunk.levels(cfg.order), 1):
+        distinct, which, totals = np.unique(key, return_inverse=True, return_counts=True)
+        if (more := known[n - 1]) is not None:
+            totals[more.flags] += more.others
+        seen = totals[which].astype(np.float64) - _own(doc[at], which, len(distinct))
+        if n == 1:
+            value = np.log(np.maximum(seen, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
+        else:
+            hit = seen > 0
+            value[at] += np.log(cfg.alpha)
+            value[at[hit]] = np.log(seen[hit]) - np.log(before[at[hit] - 1])
+            backed[at] = ~hit
+        before = np.zeros(len(doc))
         before[at] = seen
     sums = np.bincount(doc, weights=value, minlength=size)
     columns = [pa.array(chunk.docs, pa.int64()), pa.array(chunk.lengths, pa.int64()), pa.array(np.bincount(doc[backed], minlength=size), pa.int64()), pa.array(sums, pa.float64())]

@@ -74,8 +74,8 @@ def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
 
 
-def op8_lm_score_order3(spark: SparkSession, folder: str) -> DataFrame:
-    scored = score(table(spark, folder, "documents"), BackoffConfig(order=3))
+def op8_lm_score_order2(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score(table(spark, folder, "documents"), BackoffConfig(order=2))
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
 
 
@@ -88,7 +88,7 @@ QUERIES: dict[str, Query] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
     "op8_lm_score": op8_lm_score,
-    "op8_lm_score_order3": op8_lm_score_order3,
+    "op8_lm_score_order2": op8_lm_score_order2,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
@@ -162,7 +162,7 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": _OP1,
     "op3_warc_store": _OP3,
-    "op8_lm_score": _OP8,
-    "op8_lm_score_order3": _OP8_3,
+    "op8_lm_score": _OP8_3,
+    "op8_lm_score_order2": _OP8,
     "op10_embedding_dedup": _OP10,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -31,11 +32,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, path: str | None = None, records: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation.
+
+    Its shuffle files are deleted once it is written, so that a long job's disk is that of its largest step. records: rows
+    of an Arrow batch on the way, for narrow rows that the session's setting would cut too small.
+    """
+    path, spark = path or scratch_path(df.sparkSession, name), df.sparkSession
+    values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    with settings(spark, values | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def in_small_batches(df: DataFrame, records: int = 1000, size: str = "4m") -> DataFrame:
@@ -60,8 +87,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results that still read them must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    discard(spark, shared_dir(spark))
 
 
 class WordHashes(dict):
@@ -102,20 +128,24 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Runs of rows with equal leading columns, of a partition that is sorted by them."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list[pa.RecordBatch]]]:
+    """Runs of rows with equal leading columns (whole numbers without nulls), of a partition that is sorted by them."""
     now, held = None, []
     for batch in batches:
-        names = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
-        start = 0
-        for k in range(1, len(names) + 1):
-            if k == len(names) or names[k] != names[start]:
-                if now is not None and names[start] != now:
-                    yield now, held
-                    held = []
-                now = names[start]
-                held.append(batch.slice(start, k - start))
-                start = k
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            key = tuple(int(c[start]) for c in columns)
+            if now is not None and key != now:
+                yield now, held
+                held = []
+            now = key
+            held.append(batch.slice(start, end - start))
     if now is not None:
         yield now, held
 

@@ -4,8 +4,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from lectern.llm.lm_score import BackoffConfig, score
+from lectern.llm.lm_score import BackoffConfig, counted, score
 from lectern.llm.queries import ORACLES, QUERIES
+from lectern.llm.shared import settings
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, n_words string"
@@ -30,7 +31,7 @@ def brute(docs, alpha=0.4, unseen=0.5):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("cfg", [BackoffConfig(), BackoffConfig(chunk_words=20, bucket_words=5)])
+@pytest.mark.parametrize("cfg", [BackoffConfig(order=2), BackoffConfig(order=2, chunk_words=20)])
 def test_against_brute_force(spark, cfg):
     docs = [(k, " ".join(f"w{(k * j * j + j) % 11}" for j in range(k % 17))) for k in range(80)]
     docs += [(100, None), (101, " \n"), (102, "w1"), (None, "w1 w2 w1 w2"), (103, "w1 w2 w3"), (103, "w1 w2 w3"), (104, "é w1 É"), (105, "w3 " * 40_000)]
@@ -45,16 +46,6 @@ def test_alone_and_empty(spark):
     assert score(spark.createDataFrame([(1, None, "")], SCHEMA)).first().log_score == 0.0
 
 
-def test_query_against_sql(spark):
-    db = duckdb.connect()
-    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    rel = db.sql(ORACLES["op8_lm_score"])
-    expected = {r[0]: r[1:] for r in rel.fetchall()}
-    for r in QUERIES["op8_lm_score"](spark, SF).collect():
-        n, backed, value = expected[r.doc_id]
-        assert (r.n_words, r.n_backed_off) == (n, backed) and abs(r.log_score - value) < 2e-4
-
-
 def deeper(docs, order, alpha=0.4, unseen=0.5):
     words = [(t or "").lower().split() for _, t in docs]
     grams = lambda ws: Counter(tuple(ws[k : k + n]) for n in range(1, order + 1) for k in range(len(ws) - n + 1))
@@ -76,14 +67,24 @@ def deeper(docs, order, alpha=0.4, unseen=0.5):
 @pytest.mark.parametrize("order", [1, 3, 5])
 def test_longer_contexts(spark, order):
     docs = [(k, " ".join(f"w{(k * j * j + j) % 7}" for j in range(k % 17))) for k in range(80)] + [(100, None), (101, "w1"), (102, "w3 " * 3_000)]
-    rows = score(spark.createDataFrame([(*d, "clash") for d in docs], SCHEMA).repartition(3), BackoffConfig(order=order, chunk_words=200, bucket_words=50)).collect()
+    rows = score(spark.createDataFrame([(*d, "clash") for d in docs], SCHEMA).repartition(3), BackoffConfig(order=order, chunk_words=60)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in rows), key=repr) == deeper(docs, order)
 
 
-def test_trigram_query_against_sql(spark):
+@pytest.mark.parametrize("name", ["op8_lm_score", "op8_lm_score_order2"])
+def test_queries_against_sql(spark, name):
     db = duckdb.connect()
     db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    expected = {r[0]: r[1:] for r in db.sql(ORACLES["op8_lm_score_order3"]).fetchall()}
-    for r in QUERIES["op8_lm_score_order3"](spark, SF).collect():
+    expected = {r[0]: r[1:] for r in db.sql(ORACLES[name]).fetchall()}
+    for r in QUERIES[name](spark, SF).collect():
         n, backed, value = expected[r.doc_id]
         assert (r.n_words, r.n_backed_off) == (n, backed) and abs(r.log_score - value) < 2e-4
+
+
+def test_one_count_table_exchange(spark):
+    """The n-grams' rows are dealt by hash once, for the count table and for the join."""
+    grams = spark.range(1000).selectExpr("id % 300 AS ngram", "id AS chunk", "1 AS n").mapInArrow(lambda batches: batches, "ngram long, chunk long, n int")
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        plan = counted(grams)._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {(r.ngram, r.others) for r in counted(grams).collect()} == {(k, 3 if k < 100 else 2) for k in range(300)}
