@@ -16,7 +16,7 @@ from lectern.llm.shared import CACHE_WORDS, in_small_batches, mix64, odd_constan
 
 #: Units of measure and currency that a template holds as <unit>.
 UNITS = frozenset(
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces pound pounds lb lbs oz ml cl l litre litres liter liters gallon gallons "
+    "mm cm m km millimeter millimeters centimeter centimeters meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms inch inches foot feet yard yards mile miles mg g kg ton tons tonne tonnes ounce ounces pound pounds lb lbs oz ml cl l litre litres liter liters gallon gallons "
     "second seconds minute minutes hour hours day days week weeks month months year years degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules "
     "percent dollar dollars euro euros cent cents yen rupee rupees mph kph hz khz mhz ghz kb mb gb tb".split()
 )
@@ -208,6 +208,11 @@ def _read(template: Template, width: int, least_words: int) -> tuple[np.ndarray,
     return np.concatenate((a, b, c)), np.concatenate((x, y, z)), [template, named, None], np.repeat(np.arange(3), (len(a), len(b), len(c)))
 
 
+def text_key(text: F.Column) -> F.Column:
+    """Two hashes of a text, of 96 bits together; null for a null text."""
+    return F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("hash"), F.hash(text).alias("check")))
+
+
 def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of the low bits of all hashes, merged on Spark in words of 32 bits: 2**bits bits at most."""
     low = hashes.select((F.col("hash").bitwiseAND((1 << bits) - 1)).alias("low"))
@@ -305,7 +310,7 @@ class _Chains:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, of, start, exact, one_to_one): each document that holds a passage of a benchmark item.
+    """(doc_id, item_id, windows, of, start, exact, one_to_one, text_key): each document that holds a passage of a benchmark item.
 
     Documents are read once. A window goes on to the join only if its bit is set in a bitmap of fixed size, which
     drops nearly all of a clean text and no match. Matches are joined on the hash and dealt by document and item. There
@@ -320,19 +325,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     whose windows are all too poor in words is found by windows of its own tokens, so by verbatim copies.
     A window has to be whole, so an item of 16 tokens or fewer may be lost by a change in its middle.
 
-    Defined cases: null ids, null and empty texts match nothing; repeated rows of docs give one result; an item
-    of numbers alone is never found; other columns are ignored.
+    text_key is text_key(text) of the document's text, by which a caller whose ids may repeat or be null finds the row.
+
+    Defined cases: null ids, null and empty texts match nothing; repeated rows of docs give one result, and an id with
+    several texts one for the text with the longest passage; of equally long passages the first counts; an item of numbers
+    alone is never found; other columns are ignored; empty tables give no rows.
     """
     marks = written(_benchmark_windows(benchmark, cfg, item_col, item_text_col), "benchmark_windows")
     held = docs.sparkSession.sparkContext.broadcast(_filter(marks, cfg.filter_bits))
     widths = sorted(r.width for r in marks.select("width").distinct().collect())  # from 1 to cfg.window
     mask = np.uint64((1 << cfg.filter_bits) - 1)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = held.value
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text, *key in zip(*(c.to_pylist() for c in batch.columns)):
                 template = canonical(text or "")
                 for width in widths:
                     if width < cfg.least_tokens and len(template.hashes) != width:
@@ -342,27 +350,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                     hit = np.flatnonzero((bitmap[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
                     if len(hit):
                         mine = [r.slots(k, width) if (r := readings[w]) else [] for k, w in zip(at[hit].tolist(), which[hit].tolist())]
-                        copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1  # an id may have several texts
-                        columns = ([doc] * len(hit), [copy] * len(hit), at[hit], found[hit].view(np.int64), mine)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "copy", "here", "hash", "mine"])
+                        columns = ([doc] * len(hit), *([k] * len(hit) for k in key), at[hit], found[hit].view(np.int64), mine)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "copy", "check", "here", "hash", "mine"])
 
-    texts = in_small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = texts.mapInArrow(run, "doc_id long, copy long, here int, hash long, mine array<string>").join(marks, "hash")
-    order = ["doc_id", "copy", "item_id", "here", "at", "of", "reach", "length", "width", "main", "literal", "slots", "mine"]
-    outs = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-    names = ["doc_id", "item_id", "windows", "of", "first", "exact", "one_to_one"]
+    whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    key = text_key(F.col("text"))  # an id may have several texts
+    texts = in_small_batches(whole).select("doc_id", "text", key["hash"].alias("copy"), key["check"].alias("check"))
+    hits = texts.mapInArrow(run, "doc_id long, copy long, check int, here int, hash long, mine array<string>").join(marks, "hash")
+    order = ["doc_id", "copy", "check", "item_id", "here", "at", "of", "reach", "length", "width", "main", "literal", "slots", "mine"]
+    outs = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32())
+    names = ["doc_id", "item_id", "windows", "of", "first", "exact", "one_to_one", "copy", "check"]
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, chains, last = None, None, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if chains is not None and (best := chains.passage()):
-                row = (now[0], now[2], best[0], chains.of, *best[1:])
+                row = (now[0], now[3], best[0], chains.of, *best[1:], *now[1:3])
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, outs)], names)
 
         for batch in batches:
-            for doc, copy, item, here, at, of, reach, length, width, main, literal, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
-                key = (doc, copy, item, of, reach, length, width)
+            for doc, copy, check, item, here, at, of, reach, length, width, main, literal, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (doc, copy, check, item, of, reach, length, width)
                 if key != now:
                     yield from done()
                     now, chains, last = key, _Chains(cfg, of, reach, length, width), None
@@ -371,9 +380,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                     last = (here, at)
         yield from done()
 
-    keys = ["doc_id", "copy", "item_id", "of", "reach", "length", "width"]
+    keys = ["doc_id", "copy", "check", "item_id", "of", "reach", "length", "width"]
     dealt = hits.select(*order).repartition("doc_id", "copy", "item_id").sortWithinPartitions(*keys, "here", "at", F.desc("literal"), F.desc(F.size("slots")))
-    found = dealt.mapInArrow(chain, "doc_id long, item_id long, windows int, of int, first int, exact boolean, one_to_one boolean")
-    best = F.max(F.struct("windows", "first", "exact", "one_to_one", "of")).alias("b")
+    found = dealt.mapInArrow(chain, "doc_id long, item_id long, windows int, of int, first int, exact boolean, one_to_one boolean, copy long, check int")
+    best = F.max(F.struct("windows", "first", "exact", "one_to_one", "of", F.struct(F.col("copy").alias("hash"), "check").alias("key"))).alias("b")
     out = found.groupBy("doc_id", "item_id").agg(best)
-    return out.select("doc_id", "item_id", F.col("b.windows").cast("long").alias("windows"), F.col("b.of").alias("of"), (-F.col("b.first")).alias("start"), F.col("b.exact").alias("exact"), F.col("b.one_to_one").alias("one_to_one"))
+    return out.select("doc_id", "item_id", F.col("b.windows").cast("long").alias("windows"), F.col("b.of").alias("of"), (-F.col("b.first")).alias("start"), F.col("b.exact").alias("exact"), F.col("b.one_to_one").alias("one_to_one"), F.col("b.key").alias("text_key"))

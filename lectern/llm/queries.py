@@ -44,7 +44,7 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), DecontaminationConfig())
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), DecontaminationConfig()).drop("text_key")
 
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
