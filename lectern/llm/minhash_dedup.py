@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ, components, grouped, in_small_batches, mix64, odd_constants, word_hashes, written
+from lectern.llm.shared import LOWER_AZ, components, grouped, in_small_batches, mix64, odd_constants, partitions_for, word_hashes, written
 
 _MASK32 = np.uint64(0xFFFFFFFF)
 
@@ -35,7 +35,7 @@ class MinHashConfig:
     #: Partners that are verified against one copy of a leader's text; a larger group is dealt to several tasks.
     partners_per_task: int = 64
     #: Members, and shingles of all members, in a block of a bucket whose members are in different components.
-    block_members: int = 512
+    block_members: int = 256
     block_shingles: int = 1 << 21
 
     @property
@@ -120,21 +120,27 @@ def estimated_jaccard(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray
 
 
 def sketches(docs: DataFrame, cfg: MinHashConfig, id_col: str, text_col: str) -> DataFrame:
-    """One row per row of docs: id, n_shingles, the set's 128-bit fingerprint and its registers. One pass, no shuffle."""
+    """One row per row of docs: id, the text's hash, n_shingles, the set's 128-bit fingerprint and its registers. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f1, f2, regs = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingles(text or b"", cfg.words)
                 n.append(len(s))
                 d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 f1.append(int.from_bytes(d[:8], "little", signed=True))
                 f2.append(int.from_bytes(d[8:], "little", signed=True))
                 regs.append(registers(s, cfg.buckets, cfg.mantissa_bits).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())], ["doc", "n", "f1", "f2", "regs"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "h", "n", "f1", "f2", "regs"])
 
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, n long, f1 long, f2 long, regs binary")
+    return _texts(in_small_batches(docs), id_col, text_col).mapInArrow(run, "doc long, h long, n long, f1 long, f2 long, regs binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def band_keys(raw: list[bytes], cfg: MinHashConfig) -> np.ndarray:
@@ -159,48 +165,83 @@ def _bands(nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
     return nodes.select("node", "regs").mapInArrow(run, "key long, node long")
 
 
-def _across(placed: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(key, lo, hi, a, b): candidates across components in one bucket, as two lists for each pair of blocks.
+def _across(placed: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFrame | None:
+    """(key, block, salt, a, b): candidates across components in one bucket, packed; None if no bucket is mixed.
 
-    Buckets are cut into blocks; a row for each pair of blocks keeps candidates packed, so that a large bucket makes
-    few rows and no large task. A pair is taken in the first band that it shares, if its sizes allow a link and its
-    estimate does not rule it out.
+    Of two members in different components one at least is outside the bucket's largest component. So only those
+    outside are copied, once for each block of the bucket's members, and every member once for each block of those
+    outside: a bucket of m members with k outside has about m rows for each block_members of k. A pair is taken in the
+    first band that it shares, if its sizes allow a link and its estimate does not rule it out.
     """
-    sized = placed.join(nodes.select("node", "n", "regs"), "node")
-    count = F.greatest(F.ceil(F.count("*") / cfg.block_members), F.ceil(F.sum("n") / cfg.block_shingles)).cast("int")
-    mixed = placed.join(nodes.select("node", "n"), "node").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), count.alias("blocks"))
-    rows = sized.join(mixed.where("lo <> hi").select("key", "blocks"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "regs")
-    t = cfg.threshold_percent / 100
+    sized = placed.join(nodes.select("node", "n"), "node")
+    per = sized.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    top = F.max(F.struct("members", "shingles", "component"))
+    mixed = per.groupBy("key").agg(top.alias("top"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("components")).where("components > 1")
+    pieces = lambda members, shingles: F.greatest(F.ceil(members / cfg.block_members), F.ceil(shingles / cfg.block_shingles)).cast("int")
+    members, shingles = F.col("members"), F.col("shingles")
+    blocks = pieces(members - F.col("top.members"), shingles - F.col("top.shingles")).alias("blocks")
+    mixed = written(mixed.select("key", F.col("top.component").alias("main"), members, (members - F.col("top.members")).alias("outside"), blocks, pieces(members, shingles).alias("salts")), "mixed_buckets")
+    total = mixed.agg(F.sum(F.col("members") * F.col("blocks") + F.col("outside") * F.col("salts"))).first()[0]
+    if not total:
+        return None
+    every = placed.join(mixed.drop("members", "outside"), "key").withColumn("outside", F.col("component") != F.col("main"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    order = ["key", "block", "salt", "met", "outside", "node", "component"]
+    held = every.where("outside").withColumn("block", own(0, F.col("blocks"))).withColumn("salt", spread(F.col("salts"))).withColumn("met", F.lit(False))
+    met = every.withColumn("salt", own(1, F.col("salts"))).withColumn("block", spread(F.col("blocks"))).withColumn("met", F.lit(True))
+    rows = held.select(*order).unionByName(met.select(*order)).join(nodes.select("node", "n", "regs"), "node").select(*order, "n", "regs")
+    parts = partitions_for(placed.sparkSession, total, 4_000, 100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, lo, hi), parts in grouped(batches, 3):
-            group = pa.Table.from_batches(parts)
-            own, node, component, n = (group.column(c).to_numpy() for c in ("own", "node", "component", "n"))
-            raw = group.column("regs").to_pylist()
-            keys, regs = band_keys(raw, cfg), np.frombuffer(b"".join(raw), np.uint16).reshape(-1, cfg.buckets)
-            band = int(np.flatnonzero((keys == key).all(axis=0))[0])
-            left, right, found = np.flatnonzero(own == lo), np.flatnonzero(own == hi), []
+        groups, pairs, rows = [], [], 0
+        for group, found in grouped(batches, 3):
+            block = pa.Table.from_batches(found).combine_chunks()
+            met, outside, node, component, n = (block.column(c).to_numpy() for c in ("met", "outside", "node", "component", "n"))
+            left, right, taken = np.flatnonzero(~met), np.flatnonzero(met), []
             for i in left:
-                js = right[right > i] if lo == hi else right
-                js = js[(component[js] != component[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * cfg.threshold_percent)]
-                js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
-                if len(js):
-                    wide = np.sqrt(t * (1 - t) / np.maximum(1, np.minimum(cfg.buckets, np.minimum(n[js], n[i]))))
-                    same = np.broadcast_to(regs[i], (len(js), cfg.buckets))
-                    js = js[estimated_jaccard(same, regs[js], np.full(len(js), n[i]), n[js], cfg.mantissa_bits) >= t - cfg.slack_sigmas * wide]
-                    found.append(np.stack([np.full(len(js), node[i]), node[js]]))
-            if found and (pairs := np.concatenate(found, axis=1)).size:
-                columns = [pa.array([key]), pa.array([lo], pa.int32()), pa.array([hi], pa.int32()), *(pa.array([x], pa.list_(pa.int64())) for x in pairs)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "lo", "hi", "a", "b"])
-
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "key long, lo int, hi int, a array<long>, b array<long>")
+                small, large = np.minimum(n[right], n[i]), np.maximum(n[right], n[i])
+                taken.append(right[(component[right] != component[i]) & (small * 100 >= large * cfg.threshold_percent) & (~outside[right] | (node[right] > node[i]))])
+            if taken and sum(map(len, taken)):
+                pairs.append((np.repeat(left, [len(t) for t in taken]) + rows, np.concatenate(taken) + rows))
+                groups.append((group, block, len(pairs[-1][0])))
+                rows += len(node)
+            if rows >= 4096:
+                yield from _packed(groups, pairs, cfg)
+                groups, pairs, rows = [], [], 0
+        yield from _packed(groups, pairs, cfg)
+
+    dealt = rows.repartition(parts, "key", "block", "salt").sortWithinPartitions("key", "block", "salt")
+    return dealt.mapInArrow(run, "key long, block int, salt int, a array<long>, b array<long>")
+
+
+def _packed(groups: list[tuple], pairs: list[tuple[np.ndarray, np.ndarray]], cfg: MinHashConfig) -> Iterator[pa.RecordBatch]:
+    """A row for each group of a bucket with the pairs (places among all groups' rows) that may be links and share no earlier band."""
+    if not groups:
+        return
+    every = pa.concat_tables([block for _, block, _ in groups])
+    node, n, raw = every.column("node").to_numpy(), every.column("n").to_numpy(), every.column("regs").to_pylist()
+    keys, regs = band_keys(raw, cfg), np.frombuffer(b"".join(raw), np.uint16).reshape(-1, cfg.buckets)
+    group = np.repeat(np.arange(len(groups)), [count for *_, count in groups])
+    wanted, t = np.array([key for (key, _, _), *_ in groups])[group], cfg.threshold_percent / 100
+    left, right, keep = np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs]), []
+    for k in range(0, len(left), 8192):
+        i, j = left[k : k + 8192], right[k : k + 8192]
+        same = keys[i] == keys[j]
+        good = np.flatnonzero(keys[i, same.argmax(axis=1)] == wanted[k : k + 8192])
+        i, j = i[good], j[good]
+        wide = np.sqrt(t * (1 - t) / np.maximum(1, np.minimum(cfg.buckets, np.minimum(n[i], n[j]))))
+        keep.append(k + good[estimated_jaccard(regs[i], regs[j], n[i], n[j], cfg.mantissa_bits) >= t - cfg.slack_sigmas * wide])
+    kept = np.concatenate(keep)
+    for k in np.unique(group[kept]):
+        own, (key, block, salt) = kept[group[kept] == k], groups[k][0]
+        columns = [pa.array([key]), pa.array([block], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([node[x[own]]], pa.list_(pa.int64())) for x in (left, right))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "block", "salt", "a", "b"])
 
 
 def _verified_blocks(packed: DataFrame, texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
     """The pairs (a, b) of _across that hold on full shingle sets. A task holds the sets of one pair of blocks."""
-    keys = ["key", "lo", "hi"]
+    keys = ["key", "block", "salt"]
     wanted = packed.select(*keys, F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc")).join(texts, "doc")
     none = F.lit(None)
     rows = packed.select(*keys, none.cast("long").alias("doc"), none.cast("string").alias("text"), "a", "b")
@@ -289,38 +330,43 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     2. Bands of registers are grouped by partial aggregation. Each node is first held against the smallest node of
        a bucket only (the one with which it shares most bands), so a group of many near copies costs one
        verification a member. Links found are closed into components.
-    3. In buckets whose members are still in different components, pairs across components are taken block by block.
+    3. In buckets whose members are still in different components, those outside the largest one are held against all,
+       block by block.
     4. All candidates pass the size bound and the collision-corrected estimate, then the check on full sets.
        Pairs inside one component need no check: they cannot change the result.
 
     Defined cases: null or empty text and text without words have n_shingles 0 and link with nothing; a row with
-    null id has component_id null and is kept; repeated rows each come back; other columns are ignored.
+    null id links with nothing, has component_id null and is kept; repeated rows each come back; an id with several
+    texts has a row for each, and all of them are compared; of a node's equally good leaders the smallest is taken; other
+    columns are ignored; an empty table gives no rows.
     """
     drawn = written(sketches(docs, cfg, id_col, text_col), "sketches")
     some = drawn.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    sets = written(some.groupBy("f1", "f2").agg(F.min("doc").alias("node")), "sets")
-    nodes = some.join(sets.withColumn("doc", F.col("node")), ["f1", "f2", "doc"]).select("node", "n", "regs").dropDuplicates(["node"])
-    nodes = written(nodes, "nodes")
+    # a node is a distinct set; its number is stored with the smallest id that has the set, and the hash of that one's text
+    sets = some.groupBy("f1", "f2").agg(F.min(F.struct("doc", "h")).alias("own")).select("f1", "f2", "own.doc", "own.h")
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = written(some.join(sets, ["f1", "f2", "doc", "h"]).select("node", "n", "regs").dropDuplicates(["node"]), "nodes")
     bands = _bands(nodes, cfg)
     leaders = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
-    shared = written(bands.join(leaders, "key"), "shared_bands")
+    shared = written(bands.join(leaders, "key"), "shared_bands", records=20_000)
 
     votes = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
     best = votes.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader")).alias("first"))).alias("m"))
     first = written(_likely(best.select((-F.col("m.first")).alias("a"), F.col("node").alias("b")), nodes, cfg), "pairs")
-    wanted = shared.select(F.col("node").alias("doc")).distinct()
-    texts = written(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc"), "texts")
+    wanted = sets.join(shared.select("node").distinct(), "node").select("doc", "h", "node")
+    texts = _texts(docs, id_col, text_col).join(wanted, ["doc", "h"]).dropDuplicates(["doc", "h"])
+    texts = written(texts.select(F.col("node").alias("doc"), "text"), "texts")
     links = written(_verified(first, texts, cfg), "links")
 
     near = components(links, "a", "b")
     placed = written(shared.join(near, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed_bands")
-    second = written(_across(placed, nodes, cfg), "packed_pairs")
-    if not second.isEmpty():
+    second = _across(placed, nodes, cfg)
+    if second is not None and not (second := written(second, "packed_pairs")).isEmpty():
         added = written(_verified_blocks(second, texts, cfg), "links")
         near = components(links.unionByName(added), "a", "b") if not added.isEmpty() else near
 
-    named = drawn.join(sets, ["f1", "f2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    lone = F.coalesce(F.col("node"), F.col("doc"))
-    named = named.withColumn("node", lone).join(near, "node", "left")
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "node"))
+    ids = near.join(sets.select("node", "doc"), "node")
+    firsts = ids.join(ids.groupBy("component").agg(F.min("doc").alias("first")), "component").select("node", "first")
+    named = drawn.select("doc", "n", "f1", "f2").join(sets.select("f1", "f2", "node", F.col("doc").alias("own")), ["f1", "f2"], "left").join(firsts, "node", "left")
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("first", "own", "doc"))
     return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))

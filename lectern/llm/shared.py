@@ -78,6 +78,11 @@ def in_small_batches(df: DataFrame, records: int = 1000, size: str = "4m") -> Da
     return df
 
 
+def partitions_for(spark: SparkSession, size: int, few: int, most: int) -> int:
+    """Into how many tasks to deal work of a size: of `few` each while cores are idle, and of `most` at most."""
+    return max(1, -(-size // most), min(-(-size // few), 3 * spark.sparkContext.defaultParallelism))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its partitions as they are, stored in the shared folder."""
     if not df.sparkSession.sparkContext.getCheckpointDir():
