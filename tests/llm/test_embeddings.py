@@ -57,6 +57,19 @@ def test_odd_vectors(spark):
     assert (alone.n_links, alone.component_id, alone.kept) == (0, None, True)
 
 
+def test_every_vector_of_an_id_counts(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (4, [-1.0, 0.0]), (4, [-1.0, -0.0])]
+    found = embedding_links(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (4, 0, 4)]
+
+
+def test_levels_of_cells_and_a_hot_vector(spark):
+    rows = clusters(700, 6, 9, 0.2) + [(1000 + k, [0.5] * 6) for k in range(400)] + [(2000 + k, [0.5, 0.5, 0.5, 0.5, 0.5, 0.5 + k / 1e6]) for k in range(100)]
+    cfg = EmbeddingConfig(block=16, sample=40, pivots=3, held_bytes=16 * 6 * 8 * 4)
+    found = embedding_links(spark.createDataFrame([(*r, "") for r in rows], SCHEMA).repartition(7), cfg).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == brute(rows)
+
+
 def test_empty(spark):
     assert embedding_links(spark.createDataFrame([], SCHEMA)).collect() == []
     assert embedding_links(spark.createDataFrame([(1, None, "")], SCHEMA)).first().n_links == 0
