@@ -25,7 +25,7 @@ class BackoffConfig:
     alpha: float = 0.4
     unseen: float = 0.5
     order: int = 3
-    chunk_words: int = 3_000_000
+    chunk_words: int = 2_200_000
 
 
 def _zipped(x: np.ndarray) -> bytes:
@@ -69,8 +69,16 @@ class Chunk:
             yield at, key
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))]
+
+
 def _own(doc: np.ndarray, which: np.ndarray, size: int, step: int = 200_000) -> np.ndarray:
     """For each place, how often its n-gram stands in its document; some documents at a time, so that sorts stay small."""
+    if not len(which):
+        return np.zeros(0, np.int32)
     out, ends, start = np.empty(len(which), np.int32), np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)), 0
     while start < len(doc):
         end = int(ends[min(np.searchsorted(ends, start + step), len(ends) - 1)])
@@ -138,12 +146,19 @@ _STATE = "part int, chunk long, level int, size int, flags binary, others binary
 _STATE_KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
 
-def _with_files(files: DataFrame, rows: DataFrame | None) -> DataFrame:
+def _files(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """(part, chunk, path): a task's file of the chunk table, with a number that comes before those of its chunks; and how many."""
+    first = F.shiftleft(F.col("part").cast("long"), 32) - 1
+    found = chunks.select("part", first.alias("chunk"), F.col("_metadata.file_path").alias("path")).distinct()
+    return found, found.count()
+
+
+def _with_files(files: tuple[DataFrame, int], rows: DataFrame | None) -> DataFrame:
     """Rows of tasks' chunks together with the tasks' files, a task's file first; each task's rows are in one partition."""
-    every = files if rows is None else files.unionByName(rows, allowMissingColumns=True)
-    order = ["part", "chunk", *(["level"] if "level" in every.columns else [])]
-    rest = [c for c in every.columns if c not in (*order, "path")]
-    return every.repartitionByRange("part").sortWithinPartitions(*order).select("part", "chunk", "path", *order[2:], *rest)
+    every = files[0] if rows is None else files[0].unionByName(rows, allowMissingColumns=True)
+    order = ["chunk", *(["level"] if "level" in every.columns else [])]
+    rest = [c for c in every.columns if c not in ("part", "path", *order)]
+    return every.repartitionByRange(max(1, files[1]), "part").sortWithinPartitions(*order).select("part", "chunk", "path", *order[1:], *rest)
 
 
 def _states(parts: list[pa.RecordBatch]) -> tuple[str, dict[tuple[int, int], _Seen]]:
@@ -158,7 +173,7 @@ def _states(parts: list[pa.RecordBatch]) -> tuple[str, dict[tuple[int, int], _Se
     return path, found
 
 
-def ngrams(files: DataFrame, states: DataFrame | None, level: int) -> DataFrame:
+def ngrams(files: tuple[DataFrame, int], states: DataFrame | None, level: int) -> DataFrame:
     """(ngram, chunk, n): how often each chunk has each of its n-grams of `level` words, which another chunk may have too.
 
     Another chunk can have an n-gram only if it has both n-grams that are a word shorter, so those of which it hasn't are
@@ -195,7 +210,7 @@ def counted(grams: DataFrame) -> DataFrame:
     return dealt.join(table.select("ngram", "total").hint("shuffle_hash"), "ngram").select("chunk", "ngram", (F.col("total") - F.col("n")).alias("others"))
 
 
-def _packed_states(files: DataFrame, known: DataFrame, level: int) -> DataFrame:
+def _packed_states(files: tuple[DataFrame, int], known: DataFrame, level: int) -> DataFrame:
     """The rows of counted, as a row for each chunk: a bit for each of its distinct n-grams, and the numbers of those known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +224,10 @@ def _packed_states(files: DataFrame, known: DataFrame, level: int) -> DataFrame:
                     continue  # nothing is known of it
                 for _, key in chunk.levels(level):
                     pass
-                keys, known = np.unique(key), pa.Table.from_batches(rows)
-                at = np.searchsorted(keys, known.column("ngram").to_numpy().view(np.uint64))
-                order, flags = np.argsort(at), np.zeros(len(keys), bool)
-                flags[at] = True
+                keys, known = _distinct(key), pa.Table.from_batches(rows)
+                grams, flags = known.column("ngram").to_numpy().view(np.uint64), np.zeros(len(keys), bool)
+                order = np.argsort(grams)
+                flags[np.searchsorted(keys, grams[order])] = True
                 flags, others, size = _Seen(flags, known.column("others").to_numpy()[order]).packed()
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, k, level, size, flags, others), _STATE_KINDS)], [c.split()[0] for c in _STATE.split(", ")])
                 (part, number), rows = next(groups, ((None, None), []))
@@ -244,7 +259,7 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
     texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = written(_chunks(texts, cfg), "chunks")
     total = chunks.select(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
-    files = chunks.select("part", F.lit(-1).cast("long").alias("chunk"), F.col("_metadata.file_path").alias("path")).distinct()
+    files = _files(chunks)
     states: list[DataFrame] = []
     for level in range(1, cfg.order + 1):
         path = scratch_path(spark, "known")
@@ -268,19 +283,23 @@ def _scored(chunk: Chunk, known: list[_Seen | None], corpus: int, cfg: BackoffCo
     doc, size = chunk.doc, len(chunk.docs)
     value, backed, before = np.zeros(len(doc)), np.zeros(len(doc), bool), np.zeros(0)
     for n, (at, key) in enumerate(chunk.levels(cfg.order), 1):
-        distinct, which, totals = np.unique(key, return_inverse=True, return_counts=True)
+        # another row has an n-gram only if it has both that are a word shorter, so most places are settled by these
+        open_ = np.arange(len(at)) if n == 1 else np.flatnonzero((before[at] > 0) & (before[at - 1] > 0))
+        distinct, which, totals = np.unique(key[open_], return_inverse=True, return_counts=True)
         if (more := known[n - 1]) is not None:
-            totals[more.flags] += more.others
-        seen = totals[which].astype(np.float64) - _own(doc[at], which, len(distinct))
+            others = np.zeros(len(more.flags), np.int64)
+            others[more.flags] = more.others
+            totals += others[np.searchsorted(_distinct(key), distinct)]
+        seen = np.zeros(len(doc))
+        seen[at[open_]] = totals[which] - _own(doc[at[open_]], which, len(distinct))
         if n == 1:
             value = np.log(np.maximum(seen, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
         else:
-            hit = seen > 0
+            hit = seen[at] > 0
             value[at] += np.log(cfg.alpha)
-            value[at[hit]] = np.log(seen[hit]) - np.log(before[at[hit] - 1])
+            value[at[hit]] = np.log(seen[at[hit]]) - np.log(before[at[hit] - 1])
             backed[at] = ~hit
-        before = np.zeros(len(doc))
-        before[at] = seen
+        before = seen
     sums = np.bincount(doc, weights=value, minlength=size)
     columns = [pa.array(chunk.docs, pa.int64()), pa.array(chunk.lengths, pa.int64()), pa.array(np.bincount(doc[backed], minlength=size), pa.int64()), pa.array(sums, pa.float64())]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_backed_off", "log_score"])
