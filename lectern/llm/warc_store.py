@@ -12,13 +12,14 @@ from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import in_small_batches, scratch_path, written
+from lectern.llm.shared import in_small_batches, partitions_for, scratch_path, written
 
 _CRLF = b"\r\n"
 _NO_ID = -(1 << 63)
@@ -28,13 +29,16 @@ _NO_ID = -(1 << 63)
 class WarcConfig:
     """file_bytes: an archive is closed once it is that large. block_lines: captures in an index block. level: of gzip.
 
-    open_files: archives and blocks that a lookup task keeps open at a time.
+    open_files: archives and blocks that a lookup task keeps open at a time. date: of the records, as the standard writes
+    it; by default the time at which writing begins. read_bytes: of archives that a lookup task reads at most.
     """
 
     file_bytes: int = 256 << 20
     block_lines: int = 512
     level: int = 4
     open_files: int = 8
+    date: str | None = None
+    read_bytes: int = 64 << 20
 
 
 def surt(url: Column) -> Column:
@@ -55,39 +59,56 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit holds no payload, but its digest, its length and the response it refers to."""
+@dataclass(frozen=True)
+class Original:
+    """The response that a revisit refers to."""
+
+    page_id: int
+    url: str | None
+
+
+def _uri(url: str | None) -> bytes:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A").encode()
+
+
+def record(record_id: uuid.UUID, date: str, page_id: int | None, url: str | None, payload: bytes, original: Original | None) -> bytes:
+    """One WARC/1.1 record. A revisit holds no payload, but its digest, its length and the response it refers to.
+
+    X-Page-Id and X-Refers-To-Page-Id are fields of our own: ids of pages may repeat, those of records don't.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    body = http if refers_to is not None else http + payload
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response")]
-    head.append(b"WARC-Record-ID: <urn:page:%s>" % str(page_id).encode())
-    head.append(b"WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A").encode())
+    body = http if original is not None else http + payload
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if original is not None else b"response")]
+    head += [b"WARC-Record-ID: <urn:uuid:%s>" % str(record_id).encode(), b"WARC-Date: " + date.encode(), b"WARC-Target-URI: " + _uri(url)]
     head.append(b"WARC-Payload-Digest: sha1:" + base32_sha1(payload).encode())
-    if refers_to is not None:
+    if original is not None:
         head.append(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(b"WARC-Refers-To: <urn:page:%d>" % refers_to)
+        head += [b"WARC-Refers-To-Target-URI: " + _uri(original.url), b"WARC-Refers-To-Date: " + date.encode(), b"X-Refers-To-Page-Id: %d" % original.page_id]
+    if page_id is not None:
+        head.append(b"X-Page-Id: %d" % page_id)
     head += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(body)]
     return _CRLF.join(head) + _CRLF * 2 + body + _CRLF * 2
 
 
 def parse(raw: bytes) -> dict:
-    """Type, id, URL, payload (None for a revisit), the payload's full length and digest, and what a revisit refers to."""
+    """Type, page, URL, payload (None for a revisit), the payload's full length and digest, and the page a revisit refers to."""
     head, _, rest = raw.partition(_CRLF * 2)
     fields = dict(line.split(b": ", 1) for line in head.split(_CRLF)[1:])
     block = rest[: int(fields[b"Content-Length"])]
     http, _, payload = block.partition(_CRLF * 2)
     length = int(dict(line.split(b": ", 1) for line in http.split(_CRLF)[1:])[b"Content-Length"])
-    kind, page = fields[b"WARC-Type"].decode(), fields[b"WARC-Record-ID"][10:-1]
-    found = {"type": kind, "page_id": None if page == b"None" else int(page), "url": fields[b"WARC-Target-URI"].decode(), "bytes": length}
+    kind, page = fields[b"WARC-Type"].decode(), fields.get(b"X-Page-Id")
+    found = {"type": kind, "page_id": None if page is None else int(page), "url": fields[b"WARC-Target-URI"].decode(), "bytes": length}
     if kind == "revisit":
-        return found | {"payload": None, "digest": fields[b"WARC-Payload-Digest"][5:].decode(), "refers_to": int(fields[b"WARC-Refers-To"][10:-1])}
+        return found | {"payload": None, "digest": fields[b"WARC-Payload-Digest"][5:].decode(), "refers_to": int(fields[b"X-Refers-To-Page-Id"])}
     if len(payload) != length:
         raise ValueError(f"record of page {page!r} is damaged: {len(payload)} of {length} bytes")
     return found | {"payload": payload, "digest": base32_sha1(payload), "refers_to": None}
 
 
 def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with refers_to: the smallest page_id of an equal payload of least_bytes or more, if another page's.
+    """pages (page_id, url, html) with refers_to and refers_url: the smallest page_id of an equal payload of least_bytes or
+    more, if another page's, and its URL (the smallest of several).
 
     Payloads are compared by SHA-256. The join on the digest is one that adaptive execution can split, so a payload
     of a third of all pages is no hot task.
@@ -95,18 +116,22 @@ def with_originals(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
     keyed = keyed.withColumn("sha", F.unhex(F.sha2(F.col("html"), 256)))
-    heads = keyed.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("sha", "first")
+    known = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    heads = keyed.where(F.octet_length("html") >= least_bytes).groupBy("sha").agg(known.alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("sha", "first")
     joined = keyed.join(heads, "sha", "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    refers = F.when(~F.col("first.page_id").eqNullSafe(F.col("page_id")), F.col("first.page_id"))
+    return joined.select("page_id", "url", "html", refers.alias("refers_to"), F.col("first.url").alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig(), least_bytes: int = 0) -> DataFrame:
     """Write a WARC record for each row of pages; returns the captures (key, page_id, file, at, length).
 
-    Each record is a gzip member of its own. A task's files bear a name of their own, and only those of the
+    Each record is a gzip member of its own; its id is made of its file and place. A task's files bear a name of their own, and only those of the
     attempt that Spark commits are named in the captures, so a lost executor leaves no half archive in use.
     """
 
+    date = cfg.date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
@@ -114,13 +139,14 @@ def write_archives(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()
         try:
             for batch in batches:
                 rows = []
-                for key, page, url, html, refers in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                for key, page, url, html, refers, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
                     if out is None or out.tell() >= cfg.file_bytes:
                         if out is not None:
                             out.close()
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    member = gzip.compress(record(page, url, (html or "").encode(), refers), cfg.level, mtime=0)
+                    original = None if refers is None else Original(refers, refers_url)
+                    member = gzip.compress(record(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}:{out.tell()}"), date, page, url, (html or "").encode(), original), cfg.level, mtime=0)
                     rows.append((key, page, name, out.tell(), len(member)))
                     out.write(member)
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
@@ -130,7 +156,7 @@ def write_archives(pages: DataFrame, folder: str, cfg: WarcConfig = WarcConfig()
             if out is not None:
                 out.close()
 
-    records = with_originals(pages, least_bytes).select(surt(F.col("url")).alias("key"), "page_id", "url", "html", "refers_to")
+    records = with_originals(pages, least_bytes).select(surt(F.col("url")).alias("key"), "page_id", "url", "html", "refers_to", "refers_url")
     return written(in_small_batches(records).mapInArrow(run, "key string, page_id long, file string, at long, length long"), "captures")
 
 
@@ -227,35 +253,53 @@ def _captures(reader: _Reader, parts: list, key: str, page: int) -> Iterator[lis
         k += 1
 
 
+def located(queries: DataFrame, directory: DataFrame, index: str, cfg: WarcConfig = WarcConfig()) -> DataFrame:
+    """(file, at, length): the captures that queries (key, page_id) name, found by binary search in the index.
+
+    Queries are sorted and dealt by range, so that a task meets a block once. The list of index files goes to every task; it
+    has a row for each partition of the index, so the number of shuffle partitions bounds it.
+    """
+    parts = sorted(map(tuple, directory.select("key", "page_key", "file").collect()), key=lambda r: (r[0].encode(), r[1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Reader(index, cfg)
+        for batch in batches:
+            rows = [found[2:] for key, page in zip(*(c.to_pylist() for c in batch.columns)) for found in _captures(blocks, parts, key, page)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], ["file", "at", "length"])
+
+    wanted = queries.select(F.coalesce("key", F.lit("")).alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("page_id")).distinct()
+    tasks = partitions_for(queries.sparkSession, queries.count(), 2_000, 200_000)
+    return wanted.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, "file string, at long, length long")
+
+
 def lookup(queries: DataFrame, directory: DataFrame, archives: str, index: str, cfg: WarcConfig = WarcConfig(), payloads: bool = False) -> DataFrame:
     """The records of the captures that queries (key, page_id) name: page_id, url, record_type, payload_bytes, payload_digest, refers_to.
 
-    payloads adds the payload of responses. Queries are sorted, so that a task meets a block once. The list of index
-    files goes to every task; it has a row for each partition of the index, so the number of shuffle partitions bounds it.
+    payloads adds the payload of responses. What the index says is dealt by archive and place, into tasks by the bytes
+    that they read, so that each archive is read in order.
     """
-    parts = sorted(map(tuple, directory.select("key", "page_key", "file").collect()), key=lambda r: (r[0].encode(), r[1]))
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
     if payloads:
         names, kinds, schema = [*names, "payload"], [*kinds, pa.binary()], schema + ", payload binary"
+    found = written(located(queries, directory, index, cfg), "located")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, files = _Reader(index, cfg), _Reader(archives, cfg)
+        files, rows = _Reader(archives, cfg), []
         for batch in batches:
-            rows = []
-            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for _, _, file, at, length in _captures(blocks, parts, key, page):
-                    r = parse(gzip.decompress(files.bytes(file, at, length)))
-                    rows.append((r["page_id"], r["url"], r["type"], r["bytes"], r["digest"], r["refers_to"], r["payload"])[: len(names)])
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+            for file, at, length in zip(*(c.to_pylist() for c in batch.columns)):
+                r = parse(gzip.decompress(files.bytes(file, at, length)))
+                rows.append((r["page_id"], r["url"], r["type"], r["bytes"], r["digest"], r["refers_to"], r["payload"])[: len(names)])
+                if len(rows) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    wanted = queries.select(F.coalesce("key", F.lit("")).alias("key"), F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("page_id")).distinct()
-    return wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, schema)
+    tasks = partitions_for(queries.sparkSession, found.agg(F.sum("length")).first()[0] or 0, 1 << 20, cfg.read_bytes)
+    return found.repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, cfg: WarcConfig = WarcConfig(), least_bytes: int = 0, folder: str | None = None, payloads: bool = False) -> DataFrame:
@@ -263,7 +307,7 @@ def round_trip(pages: DataFrame, cfg: WarcConfig = WarcConfig(), least_bytes: in
 
     Defined cases: null html is an empty payload; a null or odd url is its own key; a null page_id is written and found
     like any other, and is never what a revisit refers to; rows with the same page_id and payload are all responses
-    or all revisits of the same page, and each comes back; other columns are ignored; an empty table gives no rows.
+    or all revisits of the same page, and each comes back; each payload of a page with several is judged by itself; other columns are ignored; an empty table gives no rows.
     """
     spark: SparkSession = pages.sparkSession
     root = folder or scratch_path(spark, "warc")

@@ -1,8 +1,11 @@
 import base64
+import gzip
 import hashlib
 import random
+import re
+import uuid
 
-from lectern.llm.warc_store import WarcConfig, build_index, lookup, parse, record, round_trip, surt, write_archives
+from lectern.llm.warc_store import Original, WarcConfig, build_index, lookup, parse, record, round_trip, surt, write_archives
 
 SCHEMA = "page_id long, url string, html string, at string"
 
@@ -53,6 +56,43 @@ def test_keys_and_records(spark):
     urls = [("https://u:p@www.Ab.org:81/x/Y?z#f", "org,ab,www:81)/x/Y?z#f"), ("http://a", "a)"), ("mailto", "mailto"), (None, "")]
     rows = spark.createDataFrame(urls, "url string, key string")
     assert all(r.k == r.key for r in rows.select("key", surt(rows.url).alias("k")).collect())
-    back = parse(record(5, "http://x/\r\nEvil: 1", b"a\r\n\r\nb", None))
+    ident, date = uuid.uuid4(), "2024-02-03T04:05:06Z"
+    back = parse(record(ident, date, 5, "http://x/\r\nEvil: 1", b"a\r\n\r\nb", None))
     assert back["payload"] == b"a\r\n\r\nb" and back["page_id"] == 5
-    assert parse(record(6, None, b"abc", 5))["refers_to"] == 5
+    assert parse(record(ident, date, 6, None, b"abc", Original(5, "http://y/")))["refers_to"] == 5
+
+
+def records(path):
+    """The records of an archive, read by the standard alone: (header lines as pairs, block)."""
+    raw = gzip.decompress(path.read_bytes())
+    while raw:
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        version, *lines = head.split(b"\r\n")
+        assert version == b"WARC/1.1"
+        fields = {k.lower(): v for k, v in (line.decode().split(": ", 1) for line in lines)}
+        assert len(fields) == len(lines)
+        size = int(fields["content-length"])
+        assert rest[size : size + 4] == b"\r\n\r\n"
+        yield fields, rest[:size]
+        raw = rest[size + 4 :]
+
+
+def test_records_by_the_standard(spark, tmp_path):
+    rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (2, "http://b/", "same"), (3, None, None), (3, "http://c/", "other"), (3, "http://c/", "same"), (None, "http://d/", "same")]
+    captures = write_archives(spark.createDataFrame([(*r, "") for r in rows], SCHEMA), str(tmp_path / "a"), WarcConfig(date="2024-02-03T04:05:06Z"))
+    assert captures.count() == len(rows)
+    found = [r for f in (tmp_path / "a").glob("*.warc.gz") for r in records(f)]
+    assert len(found) == len(rows) and len({f["warc-record-id"] for f, _ in found}) == len(rows)
+    for f, block in found:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["warc-record-id"]) and f["warc-type"] in ("response", "revisit")
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["warc-date"]) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+        if f["warc-type"] == "revisit":
+            assert f["warc-profile"].startswith("http://netpreserve.org/warc/1.1/revisit/") and f["warc-refers-to-target-uri"] == "http://a/"
+            assert f["warc-refers-to-date"] == f["warc-date"] and block.endswith(b"\r\n\r\n")
+    assert sorted(f["warc-type"] for f, _ in found) == ["response"] * 3 + ["revisit"] * 4
+
+
+def test_one_page_with_several_payloads(spark):
+    rows = [(5, "http://a/", "one"), (5, "http://a/", "two"), (7, "http://b/", "two"), (7, "http://b/", "two"), (9, "http://c/", "x " * 200_000)]
+    found = round_trip(spark.createDataFrame([(*r, "") for r in rows], SCHEMA), WarcConfig(read_bytes=100)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=repr) == expected(rows)
