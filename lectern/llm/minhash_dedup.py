@@ -166,7 +166,8 @@ def _bands(nodes: DataFrame, cfg: MinHashConfig) -> DataFrame:
 
 
 def _across(placed: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFrame | None:
-    """(key, block, salt, a, b): candidates across components in one bucket, packed; None if no bucket is mixed.
+    """(key, block, salt, a, b, of_a, of_b): candidates across components in one bucket, and their components, packed; None
+    if no bucket is mixed.
 
     Of two members in different components one at least is outside the bucket's largest component. So only those
     outside are copied, once for each block of the bucket's members, and every member once for each block of those
@@ -212,7 +213,7 @@ def _across(placed: DataFrame, nodes: DataFrame, cfg: MinHashConfig) -> DataFram
         yield from _packed(groups, pairs, cfg)
 
     dealt = rows.repartition(parts, "key", "block", "salt").sortWithinPartitions("key", "block", "salt")
-    return dealt.mapInArrow(run, "key long, block int, salt int, a array<long>, b array<long>")
+    return dealt.mapInArrow(run, "key long, block int, salt int, a array<long>, b array<long>, of_a array<long>, of_b array<long>")
 
 
 def _packed(groups: list[tuple], pairs: list[tuple[np.ndarray, np.ndarray]], cfg: MinHashConfig) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def _packed(groups: list[tuple], pairs: list[tuple[np.ndarray, np.ndarray]], cfg
     if not groups:
         return
     every = pa.concat_tables([block for _, block, _ in groups])
-    node, n, raw = every.column("node").to_numpy(), every.column("n").to_numpy(), every.column("regs").to_pylist()
+    node, component, n, raw = *(every.column(c).to_numpy() for c in ("node", "component", "n")), every.column("regs").to_pylist()
     keys, regs = band_keys(raw, cfg), np.frombuffer(b"".join(raw), np.uint16).reshape(-1, cfg.buckets)
     group = np.repeat(np.arange(len(groups)), [count for *_, count in groups])
     wanted, t = np.array([key for (key, _, _), *_ in groups])[group], cfg.threshold_percent / 100
@@ -235,29 +236,41 @@ def _packed(groups: list[tuple], pairs: list[tuple[np.ndarray, np.ndarray]], cfg
     kept = np.concatenate(keep)
     for k in np.unique(group[kept]):
         own, (key, block, salt) = kept[group[kept] == k], groups[k][0]
-        columns = [pa.array([key]), pa.array([block], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([node[x[own]]], pa.list_(pa.int64())) for x in (left, right))]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "block", "salt", "a", "b"])
+        lists = [pa.array([values[x[own]]], pa.list_(pa.int64())) for values in (node, component) for x in (left, right)]
+        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([block], pa.int32()), pa.array([salt], pa.int32()), *lists], ["key", "block", "salt", "a", "b", "of_a", "of_b"])
 
 
 def _verified_blocks(packed: DataFrame, texts: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """The pairs (a, b) of _across that hold on full shingle sets. A task holds the sets of one pair of blocks."""
-    keys = ["key", "block", "salt"]
+    """Pairs (a, b) of _across that hold on full shingle sets, as many as it takes to join the components that they join.
+
+    A task holds the sets of one pair of blocks. A pair whose components are joined already is passed over, so that a group
+    gives fewer links than it has components.
+    """
+    keys, lists = ["key", "block", "salt"], ["a", "b", "of_a", "of_b"]
     wanted = packed.select(*keys, F.explode(F.array_distinct(F.concat("a", "b"))).alias("doc")).join(texts, "doc")
-    none = F.lit(None)
-    rows = packed.select(*keys, none.cast("long").alias("doc"), none.cast("string").alias("text"), "a", "b")
-    rows = rows.unionByName(wanted.select(*keys, "doc", "text", none.cast("array<long>").alias("a"), none.cast("array<long>").alias("b")))
+    rows = packed.select(*keys, F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"), *lists).unionByName(wanted, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in grouped(batches, 3):
-            sets, pairs = {}, []
+            sets, pairs, joined, a, b = {}, [], {}, [], []
             for part in parts:
-                for doc, text, a, b in zip(part.column("doc").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("a"), part.column("b")):
+                for doc, text, *columns in zip(part.column("doc").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), *(part.column(c) for c in lists)):
                     if doc is None:
-                        pairs = list(zip(a.as_py(), b.as_py()))
+                        pairs = list(zip(*(c.as_py() for c in columns)))
                     else:
                         sets[doc] = shingles(text or b"", cfg.words)
-            good = [(x, y) for x, y in pairs if _linked(sets[x], sets[y], cfg)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
+
+            def root(c: int) -> int:
+                while (up := joined.get(c, c)) != c:
+                    joined[c] = c = joined.get(up, up)
+                return c
+
+            for x, y, of_x, of_y in pairs:
+                if (p := root(of_x)) != (q := root(of_y)) and _linked(sets[x], sets[y], cfg):
+                    joined[p] = q
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
@@ -342,8 +355,10 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     """
     drawn = written(sketches(docs, cfg, id_col, text_col), "sketches")
     some = drawn.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    # a node is a distinct set; its number is stored with the smallest id that has the set, and the hash of that one's text
+    # a node is a distinct set; its number is stored with the smallest id that has the set, and the hash of that one's text.
+    # Numbers go up with ids: the first of a group of copies is likely to be what the others were copied from
     sets = some.groupBy("f1", "f2").agg(F.min(F.struct("doc", "h")).alias("own")).select("f1", "f2", "own.doc", "own.h")
+    sets = sets.repartitionByRange("doc", "f1").sortWithinPartitions("doc", "f1")
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
     nodes = written(some.join(sets, ["f1", "f2", "doc", "h"]).select("node", "n", "regs").dropDuplicates(["node"]), "nodes")
     bands = _bands(nodes, cfg)

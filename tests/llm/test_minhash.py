@@ -89,3 +89,13 @@ def test_estimate_is_unbiased():
         off.append(estimated_jaccard(ra, rb, np.array([len(a)]), np.array([len(b)]), cfg.mantissa_bits)[0] - 0.6)
     assert abs(np.mean(off)) < 0.02
     assert len(shingles(b"a b c d e f", 5)) == 2 and len(shingles(b"", 5)) == 0
+
+
+def test_ids_with_several_texts_and_a_long_text(spark):
+    base = [f"b{k}" for k in range(60)]
+    a, near, other = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(reversed(base))
+    long = " ".join(f"l{k}" for k in range(120_000))
+    rows = [(5, a), (5, other), (2, near), (3, other), (3, other), (8, long), (9, long + " end")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = {(5, 56, 2, False): 1, (5, 56, 3, False): 1, (2, 56, 2, True): 1, (3, 56, 3, True): 2, (8, 119_996, 8, True): 1, (9, 119_997, 8, False): 1}
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found) == expected
