@@ -139,7 +139,8 @@ def format_chats(turns: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
     part begins and ends. The second pass repairs and renders every part by itself; a task holds one part at a time.
 
     Defined cases: a null or unknown role is relabelled at a cost of its own; null text is empty; turns are ordered
-    by turn (null first), role and text, repeated rows included; a row with null conv_id is a conversation of its own;
+    by turn (null first), role and a hash of the text, repeated rows included; of equally cheap repairs a hash of turn and
+    role decides; a row with null conv_id is a conversation of its own;
     other columns are ignored; an empty table gives no rows.
     """
     spark = turns.sparkSession

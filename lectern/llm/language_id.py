@@ -15,7 +15,7 @@ from lectern.llm.shared import in_small_batches, odd_constants
 
 UNDETERMINED = "und"
 
-#: n-grams that are looked up at a time, so that a very long text needs no more memory than a short one.
+#: Letters of which the n-grams are made and looked up at a time: a long text costs twelve bytes a character, and no more for them.
 _SLICE = 1 << 16
 
 
@@ -25,6 +25,8 @@ class LanguageConfig:
     (all of a language that has fewer); the bound of the fit. Predictions read every row.
 
     bits: columns of the code for more than five languages; up to five, every possible column is used.
+    most_languages: values of the label that are learned, those with most rows, which bounds the model and what the driver
+    gathers for it; other labels are never predicted.
     ambiguous_below: a prediction whose score is smaller is flagged as ambiguous.
     """
 
@@ -33,6 +35,7 @@ class LanguageConfig:
     sample_per_language: int = 2000
     smoothing: float = 0.5
     bits: int = 31
+    most_languages: int = 500
     ambiguous_below: float = 0.05
 
 
@@ -41,24 +44,32 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def ngrams(text: str, cfg: LanguageConfig) -> np.ndarray:
-    """Buckets of the n-grams of one text, lower-cased, with every run of other characters as one blank. Empty without letters."""
+def _letters_of(text: str) -> np.ndarray:
+    """Code points of one text, lower-cased, with a blank before, after, and for every run of other characters. Empty without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
     if not letter.any():
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    runs = np.where(letter, points, 32)[keep]
-    padded = np.concatenate(([32], runs, [32][: int(runs[-1] != 32)])).astype(np.uint64)
-    found, c = [], odd_constants(2 * cfg.longest, 3)
-    for n in range(1, cfg.longest + 1):
-        total = np.full(max(0, len(padded) - n + 1), c[cfg.longest + n - 1])
-        for k in range(n):
-            total += padded[k : len(padded) - n + 1 + k] * c[k]
-        total = (total ^ (total >> np.uint64(29))) * c[0]
-        found.append((total >> np.uint64(64 - cfg.log2_buckets)).astype(np.int64))
-    return np.concatenate(found)
+    runs = np.where(letter, points, np.uint32(32))[keep]
+    return np.concatenate(([32], runs, [32][: int(runs[-1] != 32)])).astype(np.uint32)
+
+
+def ngrams(text: str, cfg: LanguageConfig) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of one text, some at a time."""
+    padded, c = _letters_of(text), odd_constants(2 * cfg.longest, 3)
+    for at in range(0, len(padded), _SLICE):
+        part = padded[at : at + _SLICE + cfg.longest - 1].astype(np.uint64)
+        for n in range(1, cfg.longest + 1):
+            size = min(_SLICE, len(padded) - at - n + 1)
+            if size <= 0:
+                continue
+            total = np.full(size, c[cfg.longest + n - 1])
+            for k in range(n):
+                total += part[k : size + k] * c[k]
+            total = (total ^ (total >> np.uint64(29))) * c[0]
+            yield (total >> np.uint64(64 - cfg.log2_buckets)).astype(np.int64)
 
 
 def code_matrix(languages: int, bits: int) -> np.ndarray:
@@ -94,13 +105,11 @@ class LanguageModel:
 
     def margins(self, text: str) -> np.ndarray | None:
         """Mean log-odds of each bit's classifier; None for a text without letters."""
-        grams = ngrams(text, self.cfg)
-        if not len(grams):
-            return None
-        total = np.zeros(self.weights.shape[1])
-        for at in range(0, len(grams), _SLICE):
-            total += self.weights[grams[at : at + _SLICE]].sum(axis=0, dtype=np.float64)
-        return total / len(grams)
+        total, count = np.zeros(self.weights.shape[1]), 0
+        for grams in ngrams(text, self.cfg):
+            total += self.weights[grams].sum(axis=0, dtype=np.float64)
+            count += len(grams)
+        return total / count if count else None
 
     def decode(self, margins: np.ndarray) -> tuple[str, float]:
         """The nearest codeword under the weighted logistic loss, and how far it is ahead of the second: 0 (as near) to 1."""
@@ -118,12 +127,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def _sample(docs: DataFrame, cfg: LanguageConfig, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     labelled = in_small_batches(docs).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
+    rows = labelled.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    sizes = {r.lang: r.n for r in rows.orderBy(F.desc("n"), "lang").limit(cfg.most_languages).collect()}
     if not sizes:
         return labelled.limit(0).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    size = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col(lang_col)]
+    size = F.try_element_at(F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair)), F.col(lang_col).cast("string"))
     chosen = F.pmod(F.xxhash64(F.col(id_col)), size) < cfg.sample_per_language
-    return labelled.where(chosen & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return labelled.where(chosen & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
 def train(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
@@ -138,7 +148,7 @@ def train(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), id_col: str =
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(grams := ngrams(text, cfg)):
+                for grams in ngrams(text, cfg):
                     sums.setdefault(lang, np.zeros(buckets, np.int64))
                     sums[lang] += np.bincount(grams, minlength=buckets)
         for lang, n in sums.items():
@@ -185,7 +195,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     """docs with lang_pred, score and ambiguous. One pass over whole texts, without a shuffle.
 
     Defined cases: null text, and text without a letter, gives "und" with score 0, not ambiguous; without a model,
-    "und" for every row. Repeated rows each get the same answer. Columns of docs with these names are replaced.
+    "und" for every row; at equal losses the first language by name. Repeated rows each get the same answer. Columns of docs
+    with these names are replaced. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
     at = kept.index(text_col)

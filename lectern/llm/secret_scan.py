@@ -1,4 +1,4 @@
-"""Secrets in texts, with a ledger of blobs: each content is scanned once for each version of the rules."""
+"""Secrets in texts, with a ledger of blobs: each content is scanned once by each version of each rule."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import in_small_batches, scratch_path, written
+from lectern.llm.shared import in_small_batches, scratch_path, settings, written
 
 #: Base kinds in the order in which spans of one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -30,13 +30,13 @@ RULES = (
 
 @dataclass(frozen=True)
 class SecretConfig:
-    """rules: their text is the rule version, so any change makes every blob unseen again."""
+    """rules: the text of each is its version, so a changed rule makes every blob unseen by it, and only by it."""
 
     rules: tuple[tuple[str, str, int, int], ...] = field(default=RULES)
 
     @property
-    def version(self) -> str:
-        return hashlib.sha256(repr(self.rules).encode()).hexdigest()[:16]
+    def versions(self) -> list[str]:
+        return [hashlib.sha256(repr(rule).encode()).hexdigest()[:16] for rule in self.rules]
 
 
 #: Literals of which a text must hold one (in lower case) for a rule to match; others are always tried.
@@ -54,13 +54,17 @@ class Scanner:
             fast = _LONG_RUNS.get(kind) if own else None
             self.rules.append((kind, fast or re.compile(pattern, flags), 0 if fast else group, 1 if fast else least, _NEEDED.get(kind, ()) if own else ()))
 
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
-        """(kind, start, end) by start, then in the order of the rules; leftmost and non-overlapping in each kind."""
+    def found(self, text: str, rules: set[int] | None = None) -> list[tuple[int, int, str, int]]:
+        """(start, number of the rule, kind, end), sorted, of some rules or all; leftmost and non-overlapping in each kind."""
         low, found = text.lower(), []
         for order, (kind, pattern, group, least, needed) in enumerate(self.rules):
-            if not needed or any(x in low for x in needed):
+            if (rules is None or order in rules) and (not needed or any(x in low for x in needed)):
                 found += [(m.start(), order, kind, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
-        return [(kind, start, end) for start, _, kind, end in sorted(found)]
+        return sorted(found)
+
+    def spans(self, text: str) -> list[tuple[str, int, int]]:
+        """(kind, start, end) by start, then in the order of the rules."""
+        return [(kind, start, end) for start, _, kind, end in self.found(text)]
 
 
 def blob_id(text: F.Column) -> F.Column:
@@ -68,51 +72,70 @@ def blob_id(text: F.Column) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+_LEDGER = "blob binary, rules array<string>, found array<string>, kinds array<string>, starts array<int>, ends array<int>"
+
+
 def _scanned(blobs: DataFrame, cfg: SecretConfig) -> DataFrame:
-    """(blob, rule_version, kinds, starts, ends) for each of blobs (blob, text)."""
-    version = cfg.version
+    """A ledger row for each of blobs (blob, text, rules): the rule versions it was scanned by, and by which each span was found."""
+    versions = cfg.versions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(cfg)
         for batch in batches:
-            found = [scanner.spans(t or "") for t in batch.column(1).to_pylist()]
-            lists = [pa.array([[s[k] for s in f] for f in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(found)), *lists], ["blob", "rule_version", "kinds", "starts", "ends"])
+            rows = []
+            for text, rules in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                rows.append([(versions[n], kind, start, end) for start, n, kind, end in scanner.found(text or "", {versions.index(r) for r in rules})])
+            lists = [pa.array([[span[k] for span in row] for row in rows], pa.list_(t)) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["blob", "rules", "found", "kinds", "starts", "ends"])
+
+    return in_small_batches(blobs).select("blob", "text", "rules").mapInArrow(run, _LEDGER)
 
-    return in_small_batches(blobs).select("blob", "text").mapInArrow(run, "blob binary, rule_version string, kinds array<string>, starts array<int>, ends array<int>")
+
+def _findings(ledger: DataFrame, versions: list[str]) -> DataFrame:
+    """(blob, kinds, starts, ends) of blobs with a span of the current rules, from all scans of a blob, in the order of spans."""
+    span = F.transform(F.arrays_zip("found", "kinds", "starts", "ends"), lambda x: F.struct(x["starts"].alias("start"), F.array_position(F.array(*map(F.lit, versions)), x["found"]).alias("rule"), x["kinds"].alias("kind"), x["ends"].alias("end")))
+    own = ledger.where(F.size("kinds") > 0).select("blob", F.filter(span, lambda x: x["rule"] > 0).alias("spans")).where(F.size("spans") > 0)
+    every = own.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return every.select("blob", F.col("spans.kind").alias("kinds"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
 def scan(docs: DataFrame, cfg: SecretConfig = SecretConfig(), ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, blob, kinds, starts, ends) for each row of docs; starts and ends in code points, ends exclusive.
 
     1. Every row is content-addressed; only the address and the row's id go on.
-    2. Addresses that the ledger lacks under this rule version are kept, with the smallest id that has each.
-    3. The text of that one row is scanned, and the ledger gets a row for it, whether or not it holds a secret.
+    2. Addresses that the ledger lacks for some version of a rule are kept with those rules, and the smallest id that has each.
+    3. The text of that one row is scanned by the rules it lacks, and the ledger gets a row for it, whether or not it holds
+       a secret.
     4. The ledger's findings are joined back to every row. A blob without a finding needs no join partner, so only
        blobs that hold secrets are joined, in a join that adaptive execution can split for a content with many copies.
 
+    Where much is unseen, as at first, step 3 shuffles the texts, repeated ones too, to drop those that aren't to be
+    scanned; where little is, Spark sends the list of the unseen to the texts instead.
+
     ledger: a folder (Parquet) kept from run to run; a new version of a document costs one scan, an unchanged one none.
     Defined cases: null text is empty; rows with a null id are content-addressed and scanned too; a repeated row comes
     back as often; an id with two texts has a row for each; other columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
+    spark, versions = docs.sparkSession, cfg.versions
     ledger = ledger or scratch_path(spark, "ledger")
-    schema = "blob binary, rule_version string, kinds array<string>, starts array<int>, ends array<int>"
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    known = spark.read.schema(schema).parquet(ledger) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    known = spark.read.schema(_LEDGER).parquet(ledger) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    versions = written(texts.select("doc_id", blob_id(F.col("text")).alias("blob")), "versions")
+    addressed = written(texts.select("doc_id", blob_id(F.col("text")).alias("blob")), "versions")
 
-    unseen = versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    current = F.array(*map(F.lit, versions)).cast("array<string>")
+    unseen = addressed.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).withColumn("rules", current)
     if known is not None:
-        unseen = unseen.join(known.where(F.col("rule_version") == cfg.version).select("blob"), "blob", "left_anti")
+        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+        unseen = unseen.join(seen, "blob", "left").withColumn("rules", F.when(F.col("seen").isNull(), current).otherwise(F.array_except(current, "seen"))).drop("seen")
+    unseen = unseen.where(F.size("rules") > 0)
     # an id may have several texts, so the address is held against the text that the id leads to
-    named = texts.join(unseen.where("doc_id is not null"), "doc_id").where(blob_id(F.col("text")) == F.col("blob")).select("blob", "text")
-    lone = texts.where("doc_id is null").join(unseen.where("doc_id is null").select(F.col("blob").alias("own")), blob_id(F.col("text")) == F.col("own")).select(F.col("own").alias("blob"), "text")
-    _scanned(named.unionByName(lone), cfg).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
+    named = texts.join(unseen.where("doc_id is not null"), "doc_id").where(blob_id(F.col("text")) == F.col("blob")).select("blob", "text", "rules")
+    lone = texts.where("doc_id is null").join(unseen.where("doc_id is null").select(F.col("blob").alias("own"), "rules"), blob_id(F.col("text")) == F.col("own")).select(F.col("own").alias("blob"), "text", "rules")
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        _scanned(named.unionByName(lone), cfg).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
 
-    found = spark.read.schema(schema).parquet(ledger).where((F.col("rule_version") == cfg.version) & (F.size("kinds") > 0)).select("blob", "kinds", "starts", "ends").dropDuplicates(["blob"])
-    joined = versions.join(found, "blob", "left")
+    joined = addressed.join(_findings(spark.read.schema(_LEDGER).parquet(ledger), versions), "blob", "left")
     empty = F.array().cast("array<string>"), F.array().cast("array<int>"), F.array().cast("array<int>")
     return joined.select("doc_id", "blob", *(F.coalesce(c, e).alias(c) for c, e in zip(("kinds", "starts", "ends"), empty)))
 

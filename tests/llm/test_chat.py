@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from lectern.llm.queries import QUERIES
 from lectern.llm.chat_format import LEGAL, ROLES, START, ChatConfig, _path, _role, format_chats, repairs
 
 CFG = ChatConfig()
@@ -84,3 +85,45 @@ def test_odd_rows(spark):
     alone = [r for r in found if r.conv_id is None]
     assert len(found) == 5 and all(legal(messages([r])[0]) for r in alone)
     assert sorted(r.action for r in found if r.conv_id == 5) == ["keep", "keep", "merge"]
+
+
+def least(roles):
+    """As cheapest, but turn by turn, for conversations of any length."""
+    best = {START: 0}
+    for given in roles:
+        step = {}
+        for state, cost in best.items():
+            for role in range(3):
+                ways = [CFG.merge] if state == role + 1 else []
+                ways += [CFG.insert * len(path)] if (path := _path(state, role)) is not None else []
+                for way in ways:
+                    step[role + 1] = min(step.get(role + 1, 1 << 60), cost + way + CFG.relabel[_role(given)][role])
+        best = step
+    return min(cost for state, cost in best.items() if state == START or ROLES[state - 1] in CFG.ends)
+
+
+def test_query_against_brute_force(spark):
+    given, found = {}, {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect():
+        given.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    for r in QUERIES["op4_chat_format"](spark, "/root/testdata/sf0.01").collect():
+        found.setdefault(r.conv_id, []).append(r)
+    assert set(given) == set(found)
+    for conv, turns in given.items():
+        rows, roles = sorted(found[conv], key=lambda r: (r.turn, r.role or "")), [r for _, r, _ in sorted(turns, key=lambda t: (t[0], t[1] or ""))]
+        assert sorted((r.turn, r.role or "") for r in rows) == sorted((t, r or "") for t, r, _ in turns)
+        assert sum(r.cost for r in rows) == least(roles)
+        if len(roles) < 5:
+            assert least(roles) == cheapest(roles)
+        names, text = messages(rows)
+        assert legal(names) and names[-1] in CFG.ends
+        at = 0
+        for _, _, body in sorted(turns, key=lambda t: (t[0], t[1] or "")):
+            at = text.index((body or "").replace("<|", "< |"), at)
+
+
+def test_long_conversation_costs_the_least(spark):
+    rng = random.Random(8)
+    rows = [(1, k, rng.choice(["system", "user", "assistant", "assistant", "tool", None]), f"t{k}", "") for k in range(500)]
+    found = format_chats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(r.cost for r in found) == least([r[2] for r in rows])

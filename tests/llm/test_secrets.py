@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from lectern.llm.queries import QUERIES
@@ -16,6 +17,69 @@ TRICKY = [
 ]
 
 
+def runs(text, at, letters):
+    end = at
+    while end < len(text) and text[end] in letters:
+        end += 1
+    return end
+
+
+WORD = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+SCHEME = WORD - {"_"} | set("+.")
+
+
+def added(text):
+    """The method's own spans of tokens and URLs, by hand: leftmost and non-overlapping in each kind."""
+    found, at = [], 0
+    while (at := text.find("eyJ", at)) >= 0:
+        end, ends = at + 3, []
+        for part in range(3):
+            stop = runs(text, end, WORD)
+            if stop - end < 8 or (part < 2 and text[stop : stop + 1] != "."):
+                break
+            ends.append(stop)
+            end = stop + 1
+        if len(ends) == 3:
+            found.append(f"jwt:{at}:{ends[2]}")
+            at = ends[2]
+        else:
+            at += 1
+    at = 0
+    while (mark := text.find("://", at)) >= 0:
+        start = mark
+        while start > at and mark - start < 21 and text[start - 1] in SCHEME:
+            start -= 1
+        while start < mark and not (text[start].isalpha() and text[start].isascii()):
+            start += 1
+        user = mark + 3
+        while user < len(text) and not text[user].isspace() and text[user] not in "/:@":
+            user += 1
+        end = user + 1
+        while end < len(text) and not text[end].isspace() and text[end] not in "/:@":
+            end += 1
+        if start < mark and mark + 3 < user and text[user : user + 1] == ":" and end > user + 1 and text[end : end + 1] == "@":
+            found.append(f"url:{start}:{end + 1}")
+            at = end + 1
+        else:
+            at = mark + 3
+    return sorted(found)
+
+
+def test_added_spans_by_hand():
+    rng = random.Random(4)
+    pieces = ["eyJ", "eyJabcdefgh", ".A1_-b2C3d4", ".abcdefgh", ".", " ", "http", "x9+", "://", "://me:pw@", "me", ":", "pw", "@", "host/", "é", "_", "9"]
+    hits = 0
+    for _ in range(20_000):
+        text = "".join(rng.choices(pieces, k=rng.randrange(3, 16)))
+        own = sorted(f"{k}:{a}:{b}" for k, a, b in SCANNER.spans(text) if k in ("jwt", "url"))
+        hits += len(own)
+        assert own == added(text), text
+    assert hits > 1000
+
+
+SCANNER = Scanner(SecretConfig())
+
+
 def base(text):
     found = []
     for order, (kind, pattern, group, least) in enumerate(BASE):
@@ -51,6 +115,12 @@ def test_ledger_scans_what_is_new(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == 5
     fewer = SecretConfig(rules=RULES[1:])
     assert all(not r.kinds for r in scan(two, fewer, ledger=ledger).collect())
+    assert spark.read.parquet(ledger).count() == 5  # each of these rules has seen both
+    changed = SecretConfig(rules=(*RULES, ("word", "oken", 0, 1)))
+    assert {r.s for r in scan(two, changed, ledger=ledger).select(joined_spans().alias("s")).collect()} == {"assign:0:13,word:1:5"}
+    again = [r for r in spark.read.parquet(ledger).collect() if r.rules == changed.versions[-1:]]
+    assert len(again) == 2 and all(r.found == r.rules and r.kinds == ["word"] for r in again)  # only the new rule was run
+    scan(two, changed, ledger=ledger).collect()
     assert spark.read.parquet(ledger).count() == 7
     assert scan(spark.createDataFrame([], schema)).collect() == []
 
