@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ, discard, grouped, in_small_batches, mix64, odd_constants, scratch_path, word_hashes, written
+from lectern.llm.shared import LOWER_AZ, discard, grouped, in_small_batches, mix64, odd_constants, released, scratch_path, word_hashes, written
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,19 @@ class Chunk:
         rank[order] = np.arange(len(every), dtype=np.uint32)
         return cls(docs, np.array([len(w) for w in words], np.int64), every[order], rank[place])
 
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of n-grams of one word, by rank: the sorted keys, which of them each place has, and how often each stands in the chunk."""
+        c = odd_constants(4, 31)
+        keys = mix64(self.vocabulary * c[0] + c[2])
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        return keys[order], place[self.tokens], np.bincount(self.tokens, minlength=len(keys))[order]
+
     def levels(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For n from 1 to order: the places of words with n - 1 words of their document before them, and the n-gram's key at each."""
+        """For n from 2 to order: the places of words with n - 1 words of their document before them, and the n-gram's key at each."""
         c, doc = odd_constants(4, 31), self.doc
         hashes = self.vocabulary[self.tokens]
-        yield np.arange(len(doc)), mix64(hashes * c[0] + c[2])
         last, added = hashes, c[3]
         for n in range(2, order + 1):
             at = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]) + n - 1
@@ -69,6 +77,17 @@ class Chunk:
             yield at, key
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, which of them each place has, and how often each occurs."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), sorted_[1:] != sorted_[:-1]))
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    starts = np.flatnonzero(new)
+    return sorted_[starts], which, np.diff(starts, append=len(keys))
+
+
 def _distinct(keys: np.ndarray) -> np.ndarray:
     """Sorted distinct keys."""
     keys = np.sort(keys)
@@ -125,6 +144,7 @@ def _read_chunks(path: str) -> Iterator[tuple[int, Chunk]]:
             for _, number, docs, lengths, vocabulary, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 n = np.array(lengths, np.int64)
                 yield number, Chunk(docs, n, np.frombuffer(vocabulary, np.uint64), _unzipped(tokens, int(n.sum()), np.uint32))
+                released()
 
 
 class _Seen:
@@ -158,7 +178,8 @@ def _with_files(files: tuple[DataFrame, int], rows: DataFrame | None) -> DataFra
     every = files[0] if rows is None else files[0].unionByName(rows, allowMissingColumns=True)
     order = ["chunk", *(["level"] if "level" in every.columns else [])]
     rest = [c for c in every.columns if c not in ("part", "path", *order)]
-    return every.repartitionByRange(max(1, files[1]), "part").sortWithinPartitions(*order).select("part", "chunk", "path", *order[1:], *rest)
+    tasks = max(1, files[1])
+    return every.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions(*order).select("part", "chunk", "path", *order[1:], *rest)
 
 
 def _states(parts: list[pa.RecordBatch]) -> tuple[str, dict[tuple[int, int], _Seen]]:
@@ -184,13 +205,7 @@ def ngrams(files: tuple[DataFrame, int], states: DataFrame | None, level: int) -
         for _, parts in grouped(batches, 1):
             path, known = _states(parts) if level > 1 else (parts[0].column("path")[0].as_py(), {})
             for number, chunk in _read_chunks(path):
-                for n, (at, key) in enumerate(chunk.levels(level), 1):
-                    if n == level - 1:
-                        seen = np.zeros(len(chunk.tokens), bool)
-                        seen[at] = known[number, n].flags[np.unique(key, return_inverse=True)[1]] if (number, n) in known else False
-                    elif n == level:
-                        keys, counts = np.unique(key if n == 1 else key[seen[at] & seen[at - 1]], return_counts=True)
-                del key, at
+                keys, counts = _asked(chunk, known.get((number, level - 1)), level)
                 for k in range(0, len(keys), 1 << 16):
                     part = keys[k : k + (1 << 16)].view(np.int64)
                     columns = [pa.array(part), pa.array(np.full(len(part), number)), pa.array(counts[k : k + (1 << 16)].astype(np.int32))]
@@ -199,6 +214,23 @@ def ngrams(files: tuple[DataFrame, int], states: DataFrame | None, level: int) -
     return _with_files(files, states).mapInArrow(run, "ngram long, chunk long, n int")
 
 
+def _asked(chunk: Chunk, known: _Seen | None, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's sorted distinct n-grams of a level that another chunk may have, and their counts. known: of the level below."""
+    if level == 1:
+        keys, _, counts = chunk.words()
+        return keys, counts
+    seen = np.zeros(len(chunk.tokens), bool)
+    if known is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if level == 2:
+        seen = known.flags[chunk.words()[1]]
+    for n, (at, key) in enumerate(chunk.levels(level), 2):
+        if n == level - 1:
+            seen[at] = known.flags[_ranked(key)[1]]
+        elif n == level:
+            return np.unique(key[seen[at] & seen[at - 1]], return_counts=True)
+
+
 def counted(grams: DataFrame) -> DataFrame:
     """(chunk, ngram, others): how often other chunks have a chunk's n-gram, for n-grams that several chunks have.
 
@@ -222,9 +254,13 @@ def _packed_states(files: tuple[DataFrame, int], known: DataFrame, level: int) -
             for k, chunk in _read_chunks(path):
                 if (part, number) != (now, k):
                     continue  # nothing is known of it
-                for _, key in chunk.levels(level):
-                    pass
-                keys, known = _distinct(key), pa.Table.from_batches(rows)
+                if level == 1:
+                    keys = chunk.words()[0]
+                else:
+                    for _, key in chunk.levels(level):
+                        pass
+                    keys = _distinct(key)
+                known = pa.Table.from_batches(rows)
                 grams, flags = known.column("ngram").to_numpy().view(np.uint64), np.zeros(len(keys), bool)
                 order = np.argsort(grams)
                 flags[np.searchsorted(keys, grams[order])] = True
@@ -280,25 +316,26 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
 
 
 def _scored(chunk: Chunk, known: list[_Seen | None], corpus: int, cfg: BackoffConfig) -> pa.RecordBatch:
-    doc, size = chunk.doc, len(chunk.docs)
-    value, backed, before = np.zeros(len(doc)), np.zeros(len(doc), bool), np.zeros(0)
-    for n, (at, key) in enumerate(chunk.levels(cfg.order), 1):
+    doc, size, value, backed = chunk.doc, len(chunk.docs), np.zeros(0), np.zeros(len(chunk.doc), bool)
+    distinct, which, totals = chunk.words()
+    if known[0] is not None:
+        totals[known[0].flags] += known[0].others
+    before = (totals[which] - _own(doc, which, len(distinct))).astype(np.float64)
+    value = np.log(np.maximum(before, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
+    for n, (at, key) in enumerate(chunk.levels(cfg.order), 2):
         # another row has an n-gram only if it has both that are a word shorter, so most places are settled by these
-        open_ = np.arange(len(at)) if n == 1 else np.flatnonzero((before[at] > 0) & (before[at - 1] > 0))
-        distinct, which, totals = np.unique(key[open_], return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero((before[at] > 0) & (before[at - 1] > 0))
+        distinct, which, totals = _ranked(key[open_])
         if (more := known[n - 1]) is not None:
             others = np.zeros(len(more.flags), np.int64)
             others[more.flags] = more.others
             totals += others[np.searchsorted(_distinct(key), distinct)]
         seen = np.zeros(len(doc))
         seen[at[open_]] = totals[which] - _own(doc[at[open_]], which, len(distinct))
-        if n == 1:
-            value = np.log(np.maximum(seen, cfg.unseen)) - np.log(np.maximum(1, corpus - chunk.lengths))[doc]
-        else:
-            hit = seen[at] > 0
-            value[at] += np.log(cfg.alpha)
-            value[at[hit]] = np.log(seen[at[hit]]) - np.log(before[at[hit] - 1])
-            backed[at] = ~hit
+        hit = seen[at] > 0
+        value[at] += np.log(cfg.alpha)
+        value[at[hit]] = np.log(seen[at[hit]]) - np.log(before[at[hit] - 1])
+        backed[at] = ~hit
         before = seen
     sums = np.bincount(doc, weights=value, minlength=size)
     columns = [pa.array(chunk.docs, pa.int64()), pa.array(chunk.lengths, pa.int64()), pa.array(np.bincount(doc[backed], minlength=size), pa.int64()), pa.array(sums, pa.float64())]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -105,6 +106,13 @@ class WordHashes(dict):
         return h
 
 
+def released() -> None:
+    """Give memory that is free back to the system; large arrays come and go, and the allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 _caches: dict[str, object] = {}
 
 
@@ -113,7 +121,7 @@ def worker_cache(name: str, make: Callable[[], T]) -> T:
     so that the stages of a long job don't add up in a worker that Spark uses again and again."""
     if name not in _caches:
         _caches.clear()
-        pa.default_memory_pool().release_unused()
+        released()
         _caches[name] = make()
     return _caches[name]
 
