@@ -37,3 +37,23 @@ def day_of(ts: Column) -> Column:
 def parsed_day(text: Column) -> Column:
     """yyyy-MM-dd as midnight; null if it is no date."""
     return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")
+
+
+def minute_stamp(ts: Column) -> Column:
+    """yyyyMMddHHmm, as a query API takes it."""
+    return F.date_format(ts, "yyyyMMddHHmm")
+
+
+def day_stamp(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd")
+
+
+def next_daily(as_of: Column, hour: int, minute: int = 0) -> Column:
+    """The next time of day hour:minute after as_of: today if it is still to come, else tomorrow."""
+    today = day_of(as_of) + F.make_dt_interval(F.lit(0), F.lit(hour), F.lit(minute))
+    return F.when(today > as_of, today).otherwise(today + F.make_dt_interval(F.lit(1)))
+
+
+def is_stale(taken: Column, as_of: str, minutes: int = 120) -> Column:
+    """Whether a lease that was taken then may be taken over: its age is over some minutes, or nobody holds it."""
+    return F.coalesce(taken < moment(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), F.lit(True))

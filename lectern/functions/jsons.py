@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.schemas import PLAN
+from lectern.schemas import ANALYSIS, PLAN
 
 
 def plan_of(text: Column) -> Column:
@@ -43,3 +43,10 @@ def checked_plan(plan: Column, known: Column) -> Column:
         F.when(intent.isin("precise", "exploratory", "mixed"), intent).alias("intent"),
     )
     return F.when(F.coalesce(F.trim(plan["anchorText"]), F.lit("")) != "", safe)
+
+
+def analysis_of(text: Column) -> Column:
+    """A model's analysis as a struct; null if the text is no JSON object, or lacks one of the contract's fields."""
+    fields = F.json_object_keys(text)
+    whole = F.size(F.array_except(F.array(*(F.lit(f.name) for f in ANALYSIS)), fields)) == 0
+    return F.when(whole, F.from_json(text, ANALYSIS))

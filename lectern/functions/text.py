@@ -91,6 +91,31 @@ def url_component(text: Column) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 
 
+def query_url(base: str, category: Column, since: Column, until: Column, start: Column, size: int) -> Column:
+    """The address of a page of a category's papers submitted in a span of time, oldest first."""
+    asked = F.format_string("cat:%s AND submittedDate:[%s TO %s]", category, since, until)
+    return F.concat(F.lit(f"{base}?search_query="), url_component(asked), F.lit("&start="), start.cast("string"), F.lit(f"&max_results={size}&sortBy=submittedDate&sortOrder=ascending"))
+
+
+def abs_url(paper: Column) -> Column:
+    return F.concat(F.lit("http://arxiv.org/abs/"), paper)
+
+
+def pdf_url(paper: Column) -> Column:
+    return F.concat(F.lit("http://arxiv.org/pdf/"), paper)
+
+
+#: Capital letters and digits that can't be taken for each other.
+UNAMBIGUOUS = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+
+
+def invite_code(key: Column, length: int = 8) -> Column:
+    """A code of unambiguous letters, drawn by a checksum of a key that is kept secret: two hexadecimal digits for each letter."""
+    digest = F.sha2(key.cast("binary"), 256)
+    letter = lambda k: F.substring(F.lit(UNAMBIGUOUS), F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("int") % len(UNAMBIGUOUS) + 1, F.lit(1))
+    return F.concat(*(letter(k) for k in range(length)))
+
+
 def code_list(csv: Column) -> Column:
     """The distinct trimmed parts of a comma-separated list, in order; empty parts go."""
     return F.array_distinct(F.filter(F.transform(F.split(csv, ","), lambda p: F.trim(p)), lambda p: p != ""))

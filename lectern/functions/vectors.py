@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -43,6 +45,11 @@ def stable_hash(word: str) -> int:
     return h - (1 << 32) if h >= 1 << 31 else h
 
 
+@lru_cache(1 << 17)
+def _slot(word: str, dims: int) -> int:
+    return abs(stable_hash(word)) % dims
+
+
 def word_hash_vector(words: Column, dims: int = 64) -> Column:
     """A bag of hashed words of three letters or more, of length 1: a text's stand-in vector where no embedding model is at hand."""
 
@@ -50,10 +57,8 @@ def word_hash_vector(words: Column, dims: int = 64) -> Column:
     def bag(rows: pd.Series) -> pd.Series:
         out = []
         for row in rows:
-            counts = np.zeros(dims)
-            for w in () if row is None else row:
-                if w is not None and len(w) > 2:
-                    counts[abs(stable_hash(w)) % dims] += 1
+            slots = [_slot(w, dims) for w in (() if row is None else row) if w is not None and len(w) > 2]
+            counts = np.bincount(slots, minlength=dims).astype(float) if slots else np.zeros(dims)
             norm = np.sqrt((counts * counts).sum())
             out.append(counts / norm if norm else counts)
         return pd.Series(out)
@@ -61,6 +66,15 @@ def word_hash_vector(words: Column, dims: int = 64) -> Column:
     return bag(words)
 
 
+def mean_pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of a text's token vectors whose mask is 1, scaled to length 1; zeros if the mask has none."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.try_element_at(kept, F.lit(1)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    zeros = F.transform(F.try_element_at(vectors, F.lit(1)), lambda x: F.lit(0.0))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: F.when(norm > 0, x / norm).otherwise(x))).otherwise(zeros)
+
+
 def quantized(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(int8 rows, scales) of single-precision rows, by the rules of int8_values."""
     x = vectors.astype(np.float32)

@@ -119,8 +119,11 @@ def text_search(rows: DataFrame, needle: str, *columns: str) -> DataFrame:
 
 
 def named_categories(codes: DataFrame, stored: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """codes (code) with name: the stored one unless it is the code itself, else the taxonomy's, else the code."""
+    """codes (code) with name: the stored one unless it is the code itself, else the taxonomy's, else that of its archive
+    (the part before the full stop), else the code."""
     own = stored.select("code", F.col("name").alias("_own"))
     fixed = taxonomy.select("code", F.col("name").alias("_fixed"))
-    name = F.coalesce(F.when(F.col("_own") != F.col("code"), F.col("_own")), F.col("_fixed"), F.col("code"))
-    return codes.join(own, "code", "left").join(fixed, "code", "left").select(*codes.columns, name.alias("name"))
+    archive = taxonomy.select(F.col("code").alias("_archive"), F.col("name").alias("_wide"))
+    name = F.coalesce(F.when(F.col("_own") != F.col("code"), F.col("_own")), F.col("_fixed"), F.col("_wide"), F.col("code"))
+    keyed = codes.withColumn("_archive", F.substring_index("code", ".", 1))
+    return keyed.join(own, "code", "left").join(fixed, "code", "left").join(archive, "_archive", "left").select(*codes.columns, name.alias("name"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,10 +51,65 @@ def bm25(papers: DataFrame, queries: DataFrame, top: int | None, allowed: DataFr
     # counting tf and dl keeps the same columns in both uses of hits, so that Spark shuffles them once
     frequency = hits.groupBy("term").agg(F.sum(((F.col("tf") > 0) & (F.col("dl") > 0)).cast("long")).alias("df"))
     kept = hits if allowed is None else hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
-    scored = kept.join(frequency, "term").join(F.broadcast(stats))
+    return _ranked(kept.join(frequency, "term").join(F.broadcast(stats)).select("term", "paper_id", _weight().alias("w")).join(wanted, "term"), top)
+
+
+def _weight():
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    sums = scored.select("term", "paper_id", weight.alias("w")).join(wanted, "term").groupBy("query_id", "paper_id").agg(F.sum("w").alias("score"))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def _ranked(weights: DataFrame, top: int | None) -> DataFrame:
+    sums = weights.groupBy("query_id", "paper_id").agg(F.sum("w").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "paper_id")
     ranked = sums.withColumn("rank", F.row_number().over(order))
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("query_id", "paper_id", "score", "rank")
+
+
+BUCKETS = 64
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """postings (bucket, term, paper_id, tf, dl, df), stored by bucket and sorted by term; terms (term, df); stats (n, avgdl), one row."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def _bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def build_index(papers: DataFrame, path: str) -> None:
+    """Write the index of some papers. Each posting carries its paper's length and its term's frequency, so that a search
+    joins nothing but its terms; the mark of a finished index is written last."""
+    spark = papers.sparkSession
+    parsed = papers.select("paper_id", text.tokens(text.document_text(F.col("title"), F.col("abstract"), " ")).alias("ts"))
+    counted = parsed.select("paper_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "paper_id", "dl").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
+    counted.write.mode("overwrite").parquet(f"{path}/counts")
+    counts = spark.read.schema(counted.schema).parquet(f"{path}/counts")
+    counts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    whole = counts.join(spark.read.parquet(f"{path}/terms"), "term").withColumn("bucket", _bucket("term"))
+    whole = whole.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", "paper_id")
+    whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    corpus_stats(lengths(papers)).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def open_index(spark: SparkSession, path: str) -> LexicalIndex | None:
+    """A stored index; None if there is none that was finished."""
+    try:
+        stats = spark.read.schema("n long, avgdl double").parquet(f"{path}/stats")
+    except AnalysisException:
+        return None
+    postings = spark.read.schema("term string, paper_id long, dl int, tf int, df long, bucket int").parquet(f"{path}/postings")
+    return LexicalIndex(postings, spark.read.schema("term string, df long").parquet(f"{path}/terms"), stats)
+
+
+def search_index(index: LexicalIndex, queries: DataFrame, top: int | None, allowed: DataFrame | None = None) -> DataFrame:
+    """bm25 from a stored index: only the buckets of the queries' terms are read, and of these the terms' row groups."""
+    wanted = query_terms(queries).withColumn("bucket", _bucket("term"))
+    hits = index.postings.join(wanted, ["bucket", "term"])
+    kept = hits if allowed is None else hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
+    return _ranked(kept.join(F.broadcast(index.stats)).select("query_id", "paper_id", _weight().alias("w")), top)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import dates
+from lectern.tables import stored
 
 RRF_K = 60
 WILDCARD_SLOTS = 2
@@ -34,14 +36,24 @@ def fuse(dense: DataFrame, lexical: DataFrame, best: DataFrame, top: int) -> Dat
     return ranked.select("paper_id", F.coalesce("score", "best", F.lit(0.0)).alias("score"), "rrf", "rank")
 
 
-def blend(pool: DataFrame, papers: DataFrame, signals: DataFrame, as_of: str, similarity: Column | float = 1.0, recency: Column | float = 0.0, code: Column | float = 0.0, citations: Column | float = 0.0, half_life_days: float = 365.0) -> DataFrame:
-    """pool with blended: cosine, recency halving each half-life, a bonus for code, and log-scaled citations up to 1000."""
+def blend_signals(pool: DataFrame, papers: DataFrame, signals: DataFrame, as_of: str, half_life_days: float = 365.0) -> DataFrame:
+    """pool with fresh (halving each half-life), coded (1 with code) and cited (log-scaled up to 1000 citations)."""
     known = pool.join(papers.select("paper_id", "published_utc", "code_url"), "paper_id").join(signals.select("paper_id", "citation_count"), "paper_id", "left")
-    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     fresh = F.pow(F.lit(2.0), -dates.age_days(F.col("published_utc"), as_of) / half_life_days)
     cited = F.least(F.lit(1.0), F.log(1.0 + F.coalesce("citation_count", F.lit(0))) / F.log(F.lit(1001.0)))
-    value = lit(similarity) * F.col("score") + lit(recency) * fresh + F.when(F.col("code_url").isNotNull(), lit(code)).otherwise(F.lit(0.0)) + lit(citations) * cited
-    return known.withColumn("blended", value).select(*pool.columns, "blended")
+    return known.select(*pool.columns, fresh.alias("fresh"), F.col("code_url").isNotNull().cast("double").alias("coded"), cited.alias("cited"))
+
+
+def blended(similarity: Column | float, recency: Column | float, code: Column | float, citations: Column | float) -> Column:
+    """The weighted sum of a paper's score and signals; weights are numbers or columns."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    return lit(similarity) * F.col("score") + lit(recency) * F.col("fresh") + lit(code) * F.col("coded") + lit(citations) * F.col("cited")
+
+
+def blend(pool: DataFrame, papers: DataFrame, signals: DataFrame, as_of: str, similarity: float = 1.0, recency: float = 0.0, code: float = 0.0, citations: float = 0.0, half_life_days: float = 365.0) -> DataFrame:
+    """pool with blended: cosine, recency halving each half-life, a bonus for code, and log-scaled citations up to 1000."""
+    known = blend_signals(pool, papers, signals, as_of, half_life_days)
+    return known.select(*pool.columns, blended(similarity, recency, code, citations).alias("blended"))
 
 
 def ranked_by_blend(blended: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -103,19 +115,40 @@ def interleaved(control: list[int], candidate: list[int], limit: int, coin: Call
     return out
 
 
-def team_draft(ranked: DataFrame, limit: int, seed: int | None = None) -> DataFrame:
+def coin(search: int, turn: int, seed: int) -> bool:
+    """Whether the control picks first: the first digit of a checksum, so that each side begins half of the rounds."""
+    return hashlib.md5(f"{search}:{turn}:{seed}".encode()).hexdigest() < "8"
+
+
+def team_draft(ranked: DataFrame, limit: int, seed: int = 0) -> DataFrame:
     """(search_id, rank, paper_id, variant) from ranked (search_id, variant A or B, rank, paper_id).
 
-    A search's two lists are no longer than the pool, so each is drafted by itself. The coin is a hash of search, round
-    and seed; without a seed A always picks first.
+    A search's two lists are no longer than the pool, so each is drafted by itself. A coin of search, round and seed says
+    who picks first. A paper that a list repeats is drafted once.
     """
 
-    def draft(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    def draft(frames: pd.DataFrame) -> pd.DataFrame:
         rows = frames.sort_values(["variant", "rank"])
-        search = rows["search_id"].iloc[0]
+        search = int(rows["search_id"].iloc[0])
         lists = [rows.loc[rows["variant"] == v, "paper_id"].tolist() for v in "AB"]
-        coin = (lambda n: True) if seed is None else lambda n: hash((int(search), n, seed)) % 2 == 0
-        found = interleaved(*lists, limit, coin)
+        found = interleaved(*lists, limit, lambda turn: coin(search, turn, seed))
         return pd.DataFrame({"search_id": [search] * len(found), "rank": range(1, len(found) + 1), "paper_id": [p for p, _ in found], "variant": [v for _, v in found]})
 
     return ranked.where(F.col("rank") <= limit).groupBy("search_id").applyInPandas(draft, "search_id long, rank int, paper_id long, variant string")
+
+
+def ranks(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """rows with rank, from 1 within each group, and size, the group's rows; order has to decide between any two rows.
+
+    Rows are dealt by range of group and order and stored, so that a group of a third of all rows spreads over tasks. A row's
+    rank is its place among its group's rows in its part, after those of earlier parts: a row for each part and group.
+    """
+    keys = [F.asc(c) for c in by] + [F.asc(c) if isinstance(c, str) else c for c in order]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_id", 33))
+    group = F.struct(*by) if by else F.struct(F.lit(0))
+    here = placed.withColumn("_group", group).groupBy("_group", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_here"))
+    earlier = F.sum("_here").over(W.partitionBy("_group").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    counted = here.select("_group", "_part", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"), F.sum("_here").over(W.partitionBy("_group")).alias("size"))
+    joined = placed.withColumn("_group", group).join(counted, ["_group", "_part"])
+    return joined.select(*rows.columns, (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int").alias("rank"), "size")

@@ -50,6 +50,16 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return joined.select(*usage.columns, cost_micros(F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out")).alias("cost_micros"))
 
 
+def action_estimate(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column, papers: Column) -> Column:
+    """Dollars that an action on some papers is likely to cost; prices are dollars for a million tokens."""
+    return (tokens_in * price_in.cast("double") + tokens_out * price_out.cast("double")) / F.lit(1e6) * papers
+
+
+def composite_score(raw: Column) -> Column:
+    """A model's score held to 0..100, with two decimals, halves to even; null stays null."""
+    return F.when(raw.isNotNull(), F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw.cast("double"))), 2))
+
+
 def step_models(steps: DataFrame, overrides: DataFrame, registry: DataFrame, default: str) -> DataFrame:
     """(step, model): the override if the registry knows it, else the default."""
     known = overrides.join(registry.select("model"), "model", "left_semi").select("step", "model")

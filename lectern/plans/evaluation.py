@@ -10,8 +10,9 @@ RELEVANT = 2
 
 
 def first_grades(judgments: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """One grade for each query and paper: the first in the given order (the smallest source and grade by default)."""
-    place = W.partitionBy("query_id", "paper_id").orderBy(*(order or [F.asc("source"), F.asc("grade")]))
+    """One grade for each query and paper: the first in the given order (the smallest source, if there is one, and grade by default)."""
+    default = [F.asc(c) for c in ("source", "grade") if c in judgments.columns]
+    place = W.partitionBy("query_id", "paper_id").orderBy(*(order or default))
     return judgments.withColumn("_n", F.row_number().over(place)).where("_n = 1").drop("_n")
 
 
@@ -26,12 +27,22 @@ def _gain(grade: Column) -> Column:
     return F.pow(F.lit(2.0), grade) - 1
 
 
-def metrics(ranked: DataFrame, judgments: DataFrame, k: int = 10, depth: int = 50) -> DataFrame:
+def without_wildcards(ranked: DataFrame) -> DataFrame:
+    """ranked (with is_wildcard) without its wildcards; the papers behind them move up."""
+    kept = ranked.where(~F.coalesce("is_wildcard", F.lit(False)))
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+
+
+def metrics(ranked: DataFrame, judgments: DataFrame, k: int = 10, depth: int = 50, order: list[Column] | None = None) -> DataFrame:
     """(query_id, ndcg, recall, reciprocal_rank, judged_at_k, judged, relevant) for each query with a judgment.
 
-    All three metrics are null for a query without the grades that they need, so that means skip it.
+    All three metrics are null for a query without the grades that they need, so that means skip it. Of several judgments
+    of a paper the first in order counts, wildcards (is_wildcard, if ranked has it) don't, and a paper that a ranking repeats
+    counts where it comes first.
     """
-    rows = graded(ranked, judgments)
+    judgments = first_grades(judgments, order)
+    ranked = without_wildcards(ranked) if "is_wildcard" in ranked.columns else ranked
+    rows = graded(ranked.groupBy("query_id", "paper_id").agg(F.min("rank").alias("rank")), judgments)
     discount = F.log2(F.col("rank") + 1.0)
     shown = rows.groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= k, _gain(F.col("grade")) / discount)).alias("dcg"),
@@ -94,9 +105,10 @@ def weighted_kappa(pairs: DataFrame, grades: int = 4) -> DataFrame:
 
 
 def agreement(pairs: DataFrame) -> DataFrame:
-    """Shares of pairs with the same grade, and with grades at most one apart."""
+    """Shares of pairs with the same grade, and with grades at most one apart; the judges (an optional column), sorted."""
     apart = F.abs(F.col("orig") - F.col("cal"))
-    return pairs.agg(F.count("*").alias("n"), F.avg((apart == 0).cast("double")).alias("exact"), F.avg((apart <= 1).cast("double")).alias("within_one"))
+    judges = [F.array_join(F.array_sort(F.collect_set("judge")), ", ").alias("judges")] if "judge" in pairs.columns else []
+    return pairs.agg(F.count("*").alias("n"), F.avg((apart == 0).cast("double")).alias("exact"), F.avg((apart <= 1).cast("double")).alias("within_one"), *judges)
 
 
 def disagreements(pairs: DataFrame, top: int = 8) -> DataFrame:
@@ -126,6 +138,16 @@ def category_means(scored: DataFrame, by: str = "query_id") -> DataFrame:
     return scored.groupBy(by).agg(*(F.avg(c).alias(f"mean_{c}") for c in ("precision", "recall", "reachable_recall", "f1")), F.min("f1").alias("min_f1"), F.max("f1").alias("max_f1"), F.count("*").alias("runs"))
 
 
+def category_report(scored: DataFrame, by: str = "query_id", run: str = "run") -> DataFrame:
+    """(run, mean_f1, mean_precision, mean_recall) for each run over its queries, and as run null the macro row: the means
+    over queries of each query's mean over runs."""
+    names = ("precision", "recall", "f1")
+    each = scored.groupBy(run).agg(*(F.avg(c).alias(f"mean_{c}") for c in names))
+    queries = scored.groupBy(by).agg(*(F.avg(c).alias(c) for c in names))
+    macro = queries.agg(*(F.avg(c).alias(f"mean_{c}") for c in names))
+    return each.unionByName(macro.withColumn(run, F.lit(None).cast(dict(scored.dtypes)[run])))
+
+
 def category_occurrences(runs: DataFrame, by: str = "query_id") -> DataFrame:
     """How many of a query's runs emitted each category, most frequent first."""
     rows = runs.select(by, F.explode(F.array_distinct("emitted")).alias("category")).groupBy(by, "category").agg(F.count("*").alias("n"))

@@ -9,29 +9,36 @@ from pyspark.sql import functions as F
 
 from lectern.operators import dense, filters, lexical, ranking
 from lectern.operators.filters import Plan
+from lectern.operators.lexical import LexicalIndex
 
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """hybrid: words as well as vectors. weights: of ranking.blend, None to leave the order. rerank: scorer of the head's papers."""
+    """hybrid: words as well as vectors. weights: of ranking.blend, None to leave the order. rerank: scorer of the head's papers.
+
+    index: a stored one of the papers' words; without, the papers are parsed.
+    """
 
     limit: int = 50
     hybrid: bool = True
     weights: dict | None = None
     rerank: Column | None = None
     rerank_depth: int = 100
+    index: LexicalIndex | None = None
 
 
-def pool(papers: DataFrame, paper_categories: DataFrame, signals: DataFrame, embeddings: DataFrame, plan: Plan, anchors: list[list[float]], as_of: str, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """(paper_id, score, rank): the ranked pool from which slots are filled. score stays the cosine whatever sets the order."""
+def _scored(embeddings: DataFrame, allowed: DataFrame, anchors: list[list[float]], experience: list[float] | None) -> DataFrame:
+    """The allowed papers' scores; vectors of other papers aren't touched."""
+    return dense.anchor_scores(dense.restricted(embeddings, allowed), anchors, experience)
+
+
+def _pool(papers: DataFrame, signals: DataFrame, scored: DataFrame, allowed: DataFrame, plan: Plan, as_of: str, options: SearchOptions) -> DataFrame:
     size = ranking.pool_size(filters.checked_limit(options.limit))
-    allowed = filters.index_gate(papers, paper_categories, plan, as_of).select("paper_id")
-    scored = dense.restricted(dense.multi_anchor(dense.scores(embeddings, anchors)), allowed)
     near = dense.top(scored, size).select("paper_id", "score", "rank")
     if options.hybrid:
         query = papers.sparkSession.createDataFrame([(1, plan.anchor_text)], "query_id long, query_text string")
-        words = lexical.bm25(papers, query, size, allowed).select("paper_id", "rank")
-        near = ranking.fuse(near, words, scored.select("paper_id", "best"), size).select("paper_id", "score", "rank")
+        words = lexical.bm25(papers, query, size, allowed) if options.index is None else lexical.search_index(options.index, query, size, allowed)
+        near = ranking.fuse(near, words.select("paper_id", "rank"), scored.select("paper_id", "best"), size).select("paper_id", "score", "rank")
     if options.weights:
         near = ranking.ranked_by_blend(ranking.blend(near.drop("rank"), papers, signals, as_of, **options.weights)).select("paper_id", "score", "rank")
     if options.rerank is not None:
@@ -39,18 +46,40 @@ def pool(papers: DataFrame, paper_categories: DataFrame, signals: DataFrame, emb
     return near
 
 
+def pool(papers: DataFrame, paper_categories: DataFrame, signals: DataFrame, embeddings: DataFrame, plan: Plan, anchors: list[list[float]], as_of: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """(paper_id, score, rank): the ranked pool from which slots are filled. score stays the cosine whatever sets the order."""
+    allowed = filters.index_gate(papers, paper_categories, plan, as_of).select("paper_id")
+    return _pool(papers, signals, _scored(embeddings, allowed, anchors, None), allowed, plan, as_of, options)
+
+
 def search(papers: DataFrame, paper_categories: DataFrame, signals: DataFrame, embeddings: DataFrame, plan: Plan, anchors: list[list[float]], as_of: str, experience: list[float] | None = None, options: SearchOptions = SearchOptions()) -> DataFrame:
     """(paper_id, rank, score, is_wildcard, proximity), best first. Without candidates there are no rows."""
     limit = filters.checked_limit(options.limit)
-    ranked = pool(papers, paper_categories, signals, embeddings, plan, anchors, as_of, options)
+    allowed = filters.index_gate(papers, paper_categories, plan, as_of).select("paper_id")
+    scored = _scored(embeddings, allowed, anchors, experience)
+    ranked = _pool(papers, signals, scored, allowed, plan, as_of, options)
     if experience is None:
         slots = ranking.select_slots(ranked, limit, None)
         return slots.withColumn("proximity", F.lit(None).cast("string")).select("paper_id", "rank", "score", "is_wildcard", "proximity").orderBy("rank")
-    known = dense.scores(embeddings, [experience]).select("paper_id", F.col("cosine").alias("score"))
+    known = scored.select("paper_id", F.col("e").alias("score"))
     slots = ranking.select_slots(ranked, limit, known)
     near = slots.join(known.select("paper_id", F.col("score").alias("e")), "paper_id", "left")
     return near.select("paper_id", "rank", "score", "is_wildcard", ranking.proximity(F.col("e")).alias("proximity")).orderBy("rank")
 
 
+QUICK_DAYS = 365
+
+
+def quick_search(papers: DataFrame, paper_categories: DataFrame, signals: DataFrame, embeddings: DataFrame, prose: str, anchors: list[list[float]], as_of: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """A first answer while a plan is compiled: the prose is the anchor, over the last year. It is never logged."""
+    return search(papers, paper_categories, signals, embeddings, Plan(anchor_text=prose, date_window_days=QUICK_DAYS), anchors, as_of, None, options)
+
+
+def interleaved_search(control: DataFrame, candidate: DataFrame, search_id: int, limit: int, seed: int = 0) -> DataFrame:
+    """(rank, paper_id, variant): two searches of one request (paper_id, rank), drafted in turn, so that votes compare them."""
+    side = lambda found, variant: found.select(F.lit(search_id).cast("long").alias("search_id"), F.lit(variant).alias("variant"), "rank", "paper_id")
+    return ranking.team_draft(side(control, "A").unionByName(side(candidate, "B")), limit, seed).select("rank", "paper_id", "variant")
+
+
 def candidate_count(papers: DataFrame, paper_categories: DataFrame, plan: Plan, as_of: str) -> DataFrame:
     return filters.candidates(papers, paper_categories, plan, as_of).agg(F.count("*").alias("total_candidates"))

@@ -102,6 +102,14 @@ def adopt(logged: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return named.select(query_id.alias("query_id"), F.col("b.query_text").alias("query_text"), F.col("b.plan").alias("plan"), "uses")
 
 
+def bookmarks(interactions: DataFrame) -> DataFrame:
+    """(user_id, paper_id, created_utc) as the log leaves them: the last event of each user and paper decides, so setting or
+    removing a bookmark twice changes nothing."""
+    last = F.row_number().over(W.partitionBy("user_id", "paper_id").orderBy(F.desc("acted_utc"), F.desc("interaction_id")))
+    acts = interactions.where("type in ('Bookmarked', 'Unbookmarked')").withColumn("n", last)
+    return acts.where("n = 1 and type = 'Bookmarked'").select("user_id", "paper_id", F.col("acted_utc").alias("created_utc"))
+
+
 def resolved_ranks(interactions: DataFrame, slots: DataFrame) -> DataFrame:
     """Interactions with a search but no rank take the rank that the search logged for the paper; null if it showed none."""
     first = slots.groupBy("search_event_id", "paper_id").agg(F.min("rank").alias("_logged"))

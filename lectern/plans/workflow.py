@@ -93,5 +93,6 @@ def prefixed_query(text: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), text)
 
 
-def ranks(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest ingestion runs, the larger id first at equal times."""
+    return runs.orderBy(F.desc("started_utc"), F.desc("run_id")).limit(limit)

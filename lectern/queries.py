@@ -168,9 +168,8 @@ def tokenize_df(c: Corpus) -> DataFrame:
 
 @query(f"WITH {_TERMS} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS terms, (SELECT CAST(sum(tf) AS BIGINT) FROM tf) AS postings FROM st")
 def corpus_stats(c: Corpus) -> DataFrame:
-    stats = lexical.corpus_stats(lexical.lengths(c.papers))
-    found = lexical.postings(c.papers).groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count("*").alias("terms"), F.sum("tf").alias("postings"))
-    return stats.join(F.broadcast(found)).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "postings")
+    counts = c.lexicon.postings.agg(F.sum("tf").alias("postings"))
+    return c.lexicon.stats.crossJoin(c.lexicon.terms.agg(F.count("*").alias("terms"))).crossJoin(counts).select("n", F.round("avgdl", 6).alias("avgdl"), "terms", "postings")
 
 
 def _queries(c: Corpus) -> DataFrame:
@@ -179,13 +178,13 @@ def _queries(c: Corpus) -> DataFrame:
 
 @query("WITH " + _BM25.replace("{0}", ""))
 def bm25_topk(c: Corpus) -> DataFrame:
-    return lexical.bm25(c.papers, _queries(c), 30).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
+    return lexical.search_index(c.lexicon, _queries(c), 30).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("WITH " + _BM25.replace("{0}", f"WHERE paper_id IN ({_CANDIDATES})"))
 def bm25_topk_filtered(c: Corpus) -> DataFrame:
     allowed = filters.index_gate(c.papers, c.paper_categories, PLAN, AS_OF)
-    return lexical.bm25(c.papers, _queries(c), 30, allowed).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
+    return lexical.search_index(c.lexicon, _queries(c), 30, allowed).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
 
 
 # Dense
@@ -221,13 +220,13 @@ def dense_topk_single(c: Corpus) -> DataFrame:
 
 @query(f"WITH {_COS} " + _TOP.format("ma", 50))
 def dense_topk_multi(c: Corpus) -> DataFrame:
-    return _topped(dense.multi_anchor(dense.scores(c.embeddings, _anchors(c, ANCHORS))), 50)
+    return _topped(dense.anchor_scores(c.embeddings, _anchors(c, ANCHORS)).select("paper_id", "score"), 50)
 
 
 @query(f"WITH {_COS} " + _TOP.format(f"(SELECT * FROM ma WHERE paper_id IN ({_CANDIDATES}))", 50))
 def dense_candidate_restricted(c: Corpus) -> DataFrame:
     allowed = filters.candidates(c.papers, c.paper_categories, PLAN, AS_OF)
-    return _topped(dense.restricted(dense.multi_anchor(dense.scores(c.embeddings, _anchors(c, ANCHORS))), allowed), 50)
+    return _topped(dense.anchor_scores(dense.restricted(c.embeddings, allowed), _anchors(c, ANCHORS)).select("paper_id", "score"), 50)
 
 
 @query("""WITH m AS (SELECT a.paper_id, list_transform(list_zip(a.vector, h.vector), lambda z: CAST(z[1] AS DOUBLE) * 0.75 + CAST(z[2] AS DOUBLE) * 0.25) AS v FROM paper_embeddings a, paper_embeddings h WHERE h.paper_id = 3),
@@ -254,8 +253,8 @@ _FIRST_ITEM = "(SELECT text FROM benchmark WHERE item_id = 0)"
 
 @query(f"WITH {_TERMS}, {_COS}, {_LEX_ONE.format(_FIRST_ITEM, _ALL)} SELECT CAST(rank AS INT) AS rank, paper_id, round(score, 6) AS score, round(rrf, 9) AS rrf FROM fr WHERE rank <= 100")
 def rrf_fusion(c: Corpus) -> DataFrame:
-    scored = dense.restricted(dense.multi_anchor(dense.scores(c.embeddings, _anchors(c, ANCHORS))), c.papers)
-    words = lexical.bm25(c.papers, _queries(c).where("query_id = 0"), 250)
+    scored = dense.anchor_scores(dense.restricted(c.embeddings, c.papers), _anchors(c, ANCHORS))
+    words = lexical.search_index(c.lexicon, _queries(c).where("query_id = 0"), 250)
     fused = ranking.fuse(dense.top(scored, 250), words, scored.select("paper_id", "best"), 250)
     return fused.where("rank <= 100").select("rank", "paper_id", F.round("score", 6).alias("score"), F.round("rrf", 9).alias("rrf"))
 
@@ -296,20 +295,30 @@ def proximity(c: Corpus) -> DataFrame:
 @query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank, count(*) OVER (PARTITION BY lang) AS n FROM documents)
 SELECT lang, doc_id, CASE WHEN (rank - 1) / n < 0.25 THEN 'high' WHEN (rank - 1) / n < 0.6 THEN 'good' ELSE 'fair' END AS tier FROM r""")
 def relevance_tier(c: Corpus) -> DataFrame:
-    w = W.partitionBy("lang")
-    rank = F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id"))
-    return c.documents.select("lang", "doc_id", ranking.relevance_tier(rank, F.count("*").over(w)).alias("tier"))
+    rows = ranking.ranks(c.documents.select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.asc("doc_id")])
+    return rows.select("lang", "doc_id", ranking.relevance_tier(F.col("rank"), F.col("size")).alias("tier"))
+
+
+#: Team draft in SQL, of lists ls (search_id, pa, pb) and with a seed: a round for each step.
+_DRAFT = """td AS (SELECT search_id, pa, pb, 0 AS turn, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS vs FROM ls UNION ALL
+SELECT search_id, pa, pb, turn + 1, CASE WHEN p2 IS NULL THEN t1 ELSE list_append(t1, p2) END, CASE WHEN p2 IS NULL THEN v1 ELSE list_append(v1, CASE WHEN coin THEN 'B' ELSE 'A' END) END
+FROM (SELECT *, list_filter(CASE WHEN coin THEN pb ELSE pa END, lambda x: NOT list_contains(t1, x))[1] AS p2
+FROM (SELECT *, CASE WHEN p1 IS NULL THEN taken ELSE list_append(taken, p1) END AS t1, CASE WHEN p1 IS NULL THEN vs ELSE list_append(vs, CASE WHEN coin THEN 'A' ELSE 'B' END) END AS v1
+FROM (SELECT *, list_filter(CASE WHEN coin THEN pa ELSE pb END, lambda x: NOT list_contains(taken, x))[1] AS p1
+FROM (SELECT *, md5(concat(CAST(search_id AS VARCHAR), ':', CAST(turn AS VARCHAR), ':{0}')) < '8' AS coin FROM td WHERE len(taken) < {1} AND turn < {1})))))
+SELECT search_id, CAST(i AS INT) AS rank, taken[i] AS paper_id, vs[i] AS variant FROM (SELECT search_id, taken, vs FROM td QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY turn DESC) = 1), (SELECT unnest(range(1, {1} + 1)) AS i) WHERE i <= len(taken)"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {_COS}, rk AS (SELECT CASE anchor WHEN 7 THEN 0 WHEN 11 THEN 1 ELSE 2 END AS a, paper_id, row_number() OVER (PARTITION BY anchor ORDER BY round(cosine, 9) DESC, paper_id) AS rank FROM cs WHERE anchor <> 5 QUALIFY rank <= 40),
+ls AS (SELECT CAST(x.a AS BIGINT) AS search_id, x.ps AS pa, y.ps AS pb FROM (SELECT a, list(paper_id ORDER BY rank) AS ps FROM rk GROUP BY a) x JOIN (SELECT (a + 1) % 3 AS a, list(paper_id ORDER BY rank) AS ps FROM rk GROUP BY a) y USING (a)), {_DRAFT.format(7, 40)}""")
 def team_draft_interleave(c: Corpus) -> DataFrame:
-    """Control by vectors, candidate by another anchor, one draft for each of the anchors."""
+    """Control by vectors, candidate by another anchor, one draft for each of the anchors. One list repeats its papers."""
     scored = dense.scores(c.embeddings, _anchors(c, ANCHORS))
     order = W.partitionBy("anchor").orderBy(F.desc(F.round("cosine", 9)), "paper_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 40")
     a = ranked.select(F.col("anchor").cast("long").alias("search_id"), F.lit("A").alias("variant"), "rank", "paper_id")
     b = ranked.select(((F.col("anchor") + 1) % 3).cast("long").alias("search_id"), F.lit("B").alias("variant"), "rank", "paper_id")
-    return ranking.team_draft(a.unionByName(b), 40)
+    return ranking.team_draft(a.unionByName(b).unionByName(b.where("rank <= 5")), 40, seed=7)
 
 
 _GATED = _LEX_ONE.format(f"'{PLAN.anchor_text}'", _CANDIDATES)
@@ -318,7 +327,7 @@ _GATED = _LEX_ONE.format(f"'{PLAN.anchor_text}'", _CANDIDATES)
 @query(f"WITH {_TERMS}, {_COS}, {_GATED}, {_SLOTS.format(50, 'fr')} SELECT CAST(rank AS INT) AS rank, paper_id, round(score, 6) AS score, is_wildcard, CASE WHEN e >= 0.45 THEN 'close' WHEN e < 0.25 THEN 'stretch' END AS proximity FROM ch")
 def search_pipeline(c: Corpus) -> DataFrame:
     experience = _anchors(c, [EXPERIENCE])[0]
-    found = search.search(c.papers, c.paper_categories, c.signals, c.embeddings, PLAN, _anchors(c, ANCHORS), AS_OF, experience, search.SearchOptions(limit=50))
+    found = search.search(c.papers, c.paper_categories, c.signals, c.embeddings, PLAN, _anchors(c, ANCHORS), AS_OF, experience, search.SearchOptions(limit=50, index=c.lexicon))
     return found.select("rank", "paper_id", F.round("score", 6).alias("score"), "is_wildcard", "proximity")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from lectern.plans import accounts, browse, evaluation, telemetry, workflow
 from lectern.queries import _BM25, _queries, query
 from lectern.sources import connectors, xml_feeds
 from lectern.streaming import ingest
-from lectern.tables import shared_root
+from lectern.tables import scratch
 from lectern.views import AS_OF, Corpus
 
 # Text functions
@@ -81,10 +80,17 @@ def fnv1a_seed(c: Corpus) -> DataFrame:
     return c.documents.select("doc_id", text.fnv1a_32(F.col("source")).alias("seed"))
 
 
-@query()
+@query("""WITH w AS (SELECT paper_id, unnest(string_split_regex(lower(concat(title, '. ', abstract)), '[ ,.;:\n]')) AS w FROM papers),
+h AS (SELECT paper_id, list_reduce(list_prepend(CAST(23 AS BIGINT), list_transform(string_split(w, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda h, x: (h * 31 + x) & 4294967295) AS h FROM w WHERE length(w) > 2),
+n AS (SELECT paper_id, abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 64 AS slot, count(*) AS n FROM h GROUP BY 1, 2),
+t AS (SELECT paper_id, sqrt(sum(n * n)) AS norm, CAST(sum(n * (slot + 1)) AS DOUBLE) AS moment, max(n) AS top FROM n GROUP BY 1)
+SELECT p.paper_id, round(coalesce(moment / norm, 0), 6) AS moment, round(coalesce(top / norm, 0), 6) AS largest FROM papers p LEFT JOIN t USING (paper_id)""")
 def hash_embedding(c: Corpus) -> DataFrame:
-    """Stand-in vectors of all titles."""
-    return c.papers.select("paper_id", connectors.stand_in_embedding(F.col("title")).alias("vector"))
+    """Stand-in vectors of all titles and abstracts, by their first moment and largest component."""
+    papers = c.papers.select("paper_id", text.document_text(F.col("title"), F.col("abstract")).alias("text"))
+    rows = papers.select("paper_id", connectors.stand_in_embedding(F.col("text")).alias("v"))
+    moment = F.aggregate(F.zip_with("v", F.sequence(F.lit(1), F.size("v")), lambda x, k: x * k), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("paper_id", F.round(moment, 6).alias("moment"), F.round(F.array_max("v"), 6).alias("largest"))
 
 
 # JSON
@@ -106,7 +112,8 @@ def interpretation_tolerant(c: Corpus) -> DataFrame:
 # Evaluation: BM25 rankings of benchmark items as queries, grades from labels
 
 _RANKED = _BM25.replace("{0}", "").replace("SELECT query_id, paper_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM rk WHERE rank <= 30", "")
-_GRADES = """gj AS (SELECT b.item_id AS query_id, l.doc_id AS paper_id, CAST(quality * 2 + toxic AS INT) AS grade, CASE WHEN l.doc_id % 3 = 0 THEN 'random' ELSE 'pool' END AS source FROM labels l JOIN benchmark b ON b.item_id = l.doc_id % 40)"""
+_GRADES = """ga AS (SELECT b.item_id AS query_id, l.doc_id AS paper_id, CAST(quality * 2 + toxic AS INT) AS grade, CASE WHEN l.doc_id % 3 = 0 THEN 'random' ELSE 'pool' END AS source FROM labels l JOIN benchmark b ON b.item_id = l.doc_id % 40),
+gj AS (SELECT * FROM (SELECT * FROM ga UNION ALL SELECT query_id, paper_id, 3 - grade, 'again' FROM ga WHERE paper_id % 5 = 0) QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY source, grade) = 1)"""
 _METRICS = _RANKED.rstrip() + f""",
 {_GRADES},
 gr AS (SELECT rk.query_id, rk.paper_id, rk.rank, coalesce(gj.grade, 0) AS grade, gj.grade IS NOT NULL AS judged FROM rk LEFT JOIN gj USING (query_id, paper_id) WHERE rank <= 50),
@@ -116,14 +123,15 @@ mt AS (SELECT be.query_id, CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal END
 
 
 def _item_judgments(c: Corpus) -> DataFrame:
-    """The fixture's grades, dealt over benchmark items by id."""
+    """The fixture's grades, dealt over benchmark items by id; a fifth is judged a second time."""
     grade, source = (F.col("quality") * 2 + F.col("toxic")).cast("int"), F.when(F.col("doc_id") % 3 == 0, "random").otherwise("pool")
     graded = c.table("labels").select((F.col("doc_id") % 40).alias("query_id"), F.col("doc_id").alias("paper_id"), grade.alias("grade"), source.alias("source"))
-    return graded.join(c.table("benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    again = graded.where("paper_id % 5 = 0").select("query_id", "paper_id", (3 - F.col("grade")).alias("grade"), F.lit("again").alias("source"))
+    return graded.unionByName(again).join(c.table("benchmark").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
 
 
 def _metrics(c: Corpus) -> DataFrame:
-    return evaluation.metrics(lexical.bm25(c.papers, _queries(c), 50), _item_judgments(c))
+    return evaluation.metrics(lexical.search_index(c.lexicon, _queries(c), 50), _item_judgments(c))
 
 
 @query("WITH " + _METRICS + " SELECT query_id, round(ndcg, 6) AS ndcg FROM mt")
@@ -161,9 +169,10 @@ def qwk(c: Corpus) -> DataFrame:
     return evaluation.weighted_kappa(c.calibration).select("n", F.round("kappa", 9).alias("kappa"))
 
 
-@query("SELECT count(*) AS n, round(avg(CAST(orig = cal AS DOUBLE)), 9) AS exact, round(avg(CAST(abs(orig - cal) <= 1 AS DOUBLE)), 9) AS within_one FROM calibration")
+@query("SELECT count(*) AS n, round(avg(CAST(orig = cal AS DOUBLE)), 9) AS exact, round(avg(CAST(abs(orig - cal) <= 1 AS DOUBLE)), 9) AS within_one, string_agg(DISTINCT concat('judge ', paper_id % 3), ', ' ORDER BY concat('judge ', paper_id % 3)) AS judges FROM calibration")
 def agreement(c: Corpus) -> DataFrame:
-    return evaluation.agreement(c.calibration).select("n", F.round("exact", 9).alias("exact"), F.round("within_one", 9).alias("within_one"))
+    pairs = c.calibration.withColumn("judge", F.concat(F.lit("judge "), (F.col("paper_id") % 3).cast("string")))
+    return evaluation.agreement(pairs).select("n", F.round("exact", 9).alias("exact"), F.round("within_one", 9).alias("within_one"), "judges")
 
 
 @query("SELECT paper_id, orig, cal, CAST(abs(orig - cal) AS INT) AS apart FROM calibration WHERE abs(orig - cal) >= 2 ORDER BY apart DESC, paper_id LIMIT 8")
@@ -239,8 +248,9 @@ def weight_grid_tune(c: Corpus) -> DataFrame:
     """Every combination of weights in one job: rankings by configuration and query, scored together."""
     grid = telemetry.weight_grid(c.spark, (0.0, 0.05, 0.1, 0.2), (0.0, 0.05, 0.1), (0.0, 0.1, 0.2))
     scored = c.papers.select("paper_id", F.col("primary_category").alias("lang"), ((F.col("paper_id") % 100) / 100.0).alias("score"))
-    tried = scored.join(F.broadcast(grid))  # 36 rows, whatever the corpus
-    blended = ranking.blend(tried, c.papers, c.signals, AS_OF, 1.0, F.col("w_recency"), F.col("w_code"), F.col("w_citations"))
+    known = ranking.blend_signals(scored, c.papers, c.signals, AS_OF)
+    tried = known.crossJoin(F.broadcast(grid))  # 36 rows, whatever the corpus
+    blended = tried.withColumn("blended", ranking.blended(1.0, F.col("w_recency"), F.col("w_code"), F.col("w_citations")))
     keyed = blended.withColumn("query_id", F.concat_ws("|", F.col("config_id").cast("string"), "lang"))
     best = keyed.withColumn("part", F.pmod(F.xxhash64("paper_id"), F.lit(64)))  # each part keeps its ten first: no group is gathered whole
     order = [F.desc(F.round("blended", 9)), F.desc(F.round("score", 9)), F.asc("paper_id")]
@@ -384,28 +394,31 @@ def usage_cost_micros(c: Corpus) -> DataFrame:
 
 
 def _page(c: Corpus) -> DataFrame:
-    """The next version of the documents: a tenth retitled, twenty new ids."""
-    old = c.papers.select("paper_id", F.when(F.col("paper_id") % 10 == 0, F.concat("title", F.lit(" v2"))).otherwise(F.col("title")).alias("title"), "code_url")
-    new = c.spark.range(20).select((F.col("id") + 1_000_000_000).alias("paper_id"), F.lit("new").alias("title"), F.lit(None).cast("string").alias("code_url"))
-    return old.where("paper_id % 2 = 0").unionByName(new)
+    """The next version of the documents: a tenth retitled, twenty new ids; a sixth comes again, later and with another title."""
+    old = c.papers.select(F.lit(1).alias("position"), "paper_id", F.when(F.col("paper_id") % 10 == 0, F.concat("title", F.lit(" v2"))).otherwise(F.col("title")).alias("title"), "code_url")
+    new = c.spark.range(20).select(F.lit(1).alias("position"), (F.col("id") + 1_000_000_000).alias("paper_id"), F.lit("new").alias("title"), F.lit(None).cast("string").alias("code_url"))
+    page = old.where("paper_id % 2 = 0").unionByName(new)
+    return page.unionByName(page.where("paper_id % 6 = 0").select(F.lit(2).alias("position"), "paper_id", F.lit("a later title").alias("title"), "code_url"))
 
 
-_PAGE = "pg AS (SELECT paper_id, CASE WHEN paper_id % 10 = 0 THEN concat(title, ' v2') ELSE title END AS title, code_url FROM papers WHERE paper_id % 2 = 0 UNION ALL SELECT 1000000000 + r, 'new', NULL FROM range(20) t(r))"
+_PAGE = """pa AS (SELECT 1 AS position, paper_id, CASE WHEN paper_id % 10 = 0 THEN concat(title, ' v2') ELSE title END AS title, code_url FROM papers WHERE paper_id % 2 = 0 UNION ALL SELECT 1, 1000000000 + r, 'new', NULL FROM range(20) t(r)),
+pg AS (SELECT paper_id, title, code_url FROM (SELECT * FROM pa UNION ALL SELECT 2, paper_id, 'a later title', code_url FROM pa WHERE paper_id % 6 = 0) QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY position) = 1)"""
+
 
 
 @query(f"WITH {_PAGE} SELECT pg.paper_id, CASE WHEN o.paper_id IS NULL THEN 'added' WHEN o.title IS DISTINCT FROM pg.title OR o.code_url IS DISTINCT FROM pg.code_url THEN 'updated' ELSE 'same' END AS change FROM pg LEFT JOIN papers o USING (paper_id)")
 def upsert_diff(c: Corpus) -> DataFrame:
-    return dml.upsert_diff(c.papers, _page(c), "paper_id", ["title", "code_url"])
+    return dml.upsert_diff(c.papers, _page(c), "paper_id", ["title", "code_url"], ["position"])
 
 
 @query(f"WITH {_PAGE} SELECT paper_id, title, code_url FROM pg UNION ALL SELECT paper_id, title, code_url FROM papers WHERE paper_id NOT IN (SELECT paper_id FROM pg)")
 def upsert_table(c: Corpus) -> DataFrame:
-    return dml.upsert(c.papers.select("paper_id", "title", "code_url"), _page(c), "paper_id")
+    return dml.upsert(c.papers.select("paper_id", "title", "code_url"), _page(c), "paper_id", position=["position"])
 
 
 @query(f"WITH {_PAGE} SELECT paper_id, title FROM pg WHERE paper_id NOT IN (SELECT paper_id FROM papers)")
 def add_only_upsert(c: Corpus) -> DataFrame:
-    return dml.add_only(c.papers, _page(c), "paper_id").select("paper_id", "title")
+    return dml.add_only(c.papers, _page(c), "paper_id", ["position"]).select("paper_id", "title")
 
 
 @query("SELECT paper_id, category, 'removed' AS change FROM paper_categories WHERE paper_id % 10 = 0 AND category LIKE 'src%' UNION ALL SELECT paper_id, 'retitled', 'added' FROM papers WHERE paper_id % 10 = 0")
@@ -431,12 +444,16 @@ def high_water_mark(c: Corpus) -> DataFrame:
     return dml.high_water_marks(c.papers, c.paper_categories)
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@query("SELECT event_type AS category, event_id FROM events")
 def boundary_refetch_dedupe(c: Corpus) -> DataFrame:
-    """Two fetches that overlap in a minute, merged: the newest event of each user, once."""
-    events = c.table("events")
-    again = events.where(F.col("ts") >= F.date_trunc("MINUTE", "ts"))
-    return dml.newest_wins(events.unionByName(again), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id")
+    """Each category was fetched up to a mark, but for half of the boundary's minute; a fetch from the full minute on completes it."""
+    events = c.table("events").select(F.col("event_type").alias("category"), "event_id", "ts")
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    marks = events.where(F.col("event_id") <= half).groupBy("category").agg(F.max("ts").alias("high_water_mark_utc"))
+    windows = ingest.fetch_windows(events.select("category").distinct(), marks, AS_OF, 100_000)
+    known = events.join(windows, "category").join(marks, "category", "left")
+    seen = known.where((F.col("ts") < F.col("since")) | ((F.col("ts") <= F.col("high_water_mark_utc")) & (F.col("event_id") % 2 == 0)))
+    return ingest.boundary_refetch(seen.select("category", "event_id", "ts"), events, windows, "event_id", "ts").select("category", "event_id")
 
 
 # Sets
@@ -498,7 +515,7 @@ def analysis_status(c: Corpus) -> DataFrame:
 SELECT query_id, paper_id, min(source) AS source FROM b WHERE NOT EXISTS (SELECT 1 FROM judgments j WHERE j.query_id = b.query_id AND j.paper_id = b.paper_id) GROUP BY 1, 2""")
 def judge_pool(c: Corpus) -> DataFrame:
     rows = c.documents.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("paper_id"), "n_chars")
-    ranked = workflow.ranks(rows, ["query_id"], [F.desc("n_chars"), F.asc("paper_id")])
+    ranked = ranking.ranks(rows, ["query_id"], [F.desc("n_chars"), F.asc("paper_id")])
     return workflow.judge_pool(ranked, rows.where("paper_id % 9 = 0"), c.judgments)
 
 
@@ -518,7 +535,7 @@ def work_lanes(c: Corpus) -> DataFrame:
 SELECT paper_id, CAST(rank AS INT) AS rank FROM r WHERE paper_id NOT IN (3, 7) AND composite_score IS NOT NULL""")
 def client_result_filter(c: Corpus) -> DataFrame:
     scored = c.papers.select("paper_id", "primary_category", ((F.col("paper_id") % 100) / 100.0).alias("score")).join(c.analyses.select("paper_id", "composite_score"), "paper_id", "left")
-    ranked = workflow.ranks(scored, ["primary_category"], [F.desc("score"), F.asc("paper_id")])
+    ranked = ranking.ranks(scored, ["primary_category"], [F.desc("score"), F.asc("paper_id")])
     return workflow.shown(ranked, [3, 7], analyzed_only=True).select("paper_id", "rank")
 
 
@@ -541,7 +558,7 @@ def _escaped(column: F.Column) -> F.Column:
 
 
 def _as_xml(c: Corpus, name: str, parts: list) -> str:
-    path = f"{shared_root(c.spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(c.spark, name)
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each file is a document of its own."""
@@ -582,17 +599,11 @@ def xml_oai_records(c: Corpus) -> DataFrame:
 def stream_delta_upsert(c: Corpus) -> DataFrame:
     """The events as a stream of pages, merged by user; the newest event of each user stays."""
     spark = c.spark
-    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType())])
     pages = c.table("events").select("user_id", "event_id")
     pages.repartition(4, "event_id").write.parquet(f"{base}/pages")
 
-    def keep_newest(page: DataFrame, batch: int) -> None:
-        session = page.sparkSession
-        done = [v for v in ingest.versions(session, f"{base}/newest") if v < f"v{batch:012d}"]
-        old = session.read.schema(schema).parquet(f"{base}/newest/{done[-1]}") if done else session.createDataFrame([], schema)
-        ingest.commit(dml.newest_wins(old.unionByName(page.select(*old.columns)), ["user_id"], ["event_id"]), f"{base}/newest", batch)
-
-    stream = ingest.merge_stream(spark, f"{base}/pages", schema, f"{base}/table", f"{base}/checkpoint", "user_id", "event_id", 2, keep_newest)
+    stream = ingest.merge_stream(spark, f"{base}/pages", schema, f"{base}/table", f"{base}/checkpoint", "user_id", "event_id", 2, newest=["event_id"], compact_every=2)
     stream.awaitTermination()
-    return ingest.current(spark, f"{base}/newest", schema)
+    return ingest.current(spark, f"{base}/table", schema, "user_id", ["event_id"])

@@ -36,3 +36,7 @@ VERDICTS = T.ArrayType(_struct(id=TEXT, grade=INT, rationale=TEXT))
 EVAL_QUERIES = _struct(version=INT, queries=T.ArrayType(_struct(id=TEXT, persona=TEXT, query=TEXT, plan=PLAN, expectedCategories=TEXTS, acceptableCategories=TEXTS)))
 JUDGMENTS = _struct(version=INT, rubricVersion=INT, judgments=T.ArrayType(_struct(queryId=TEXT, arxivId=TEXT, grade=INT, rationale=TEXT, judgeModel=TEXT, source=TEXT)))
 CORPUS = _struct(arxivId=TEXT, latestVersion=INT, title=TEXT, abstract=TEXT, authors=TEXT, primaryCategory=TEXT, categories=TEXTS, publishedUtc=TEXT, updatedUtc=TEXT, absUrl=TEXT, pdfUrl=TEXT, doi=TEXT, codeUrl=TEXT)
+
+#: The fields that a paper's analysis has to have.
+ANALYSIS = _struct(summary=TEXT, feasibility_score=INT, hard_blockers=TEXTS, learning_bridge=TEXT, estimated_effort=TEXT, approach=TEXT, approach_rationale=TEXT, reference_code_likelihood=TEXT, goal_alignment_score=INT, resume_signal=TEXT, extension_idea=TEXT, required_skills=TEXTS, composite_score=REAL)
+RUN_PART = _struct(run_id=TEXT, part=TEXT, fetched=LONG, added=LONG, updated=LONG, error=TEXT)

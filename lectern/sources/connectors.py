@@ -6,6 +6,7 @@ the same length, null where a row has no answer.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
@@ -13,7 +14,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from lectern.functions import text, vectors
 
@@ -64,10 +65,19 @@ class Throttle:
         self.last = self.clock()
 
 
-def harvest(fetch: Callable[[str | None], tuple[str, str | None]], token: str | None = None, attempts: int = 5, throttle: Throttle | None = None) -> Iterator[tuple[str | None, str]]:
+class Busy(OSError):
+    """A service asks to be called again after some seconds."""
+
+    def __init__(self, retry_after: float = 0.0):
+        super().__init__(f"busy for {retry_after} s")
+        self.retry_after = retry_after
+
+
+def harvest(fetch: Callable[[str | None], tuple[str, str | None]], token: str | None = None, attempts: int = 5, throttle: Throttle | None = None, longest_wait: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[str | None, str]]:
     """Pages (token, body) from fetch(token) -> (body, next token), until no token follows.
 
-    A failed call is repeated, `attempts` times in all. The token of the last page that was stored resumes a harvest.
+    A failed call is repeated, `attempts` times in all, after the time that a busy service asks for, longest_wait at most.
+    The token of the last page that was stored resumes a harvest.
     """
     while True:
         for left in range(attempts - 1, -1, -1):
@@ -76,15 +86,92 @@ def harvest(fetch: Callable[[str | None], tuple[str, str | None]], token: str |
             try:
                 body, following = fetch(token)
                 break
-            except OSError:
+            except OSError as error:
                 if not left:
                     raise
+                if isinstance(error, Busy) and error.retry_after > 0:
+                    sleep(min(longest_wait, error.retry_after))
         yield token, body
         if not following:
             return
         token = following
 
 
+def paged(fetch: Callable[[str, str, str, int, int], tuple[int, list]], category: str, since: str, until: str, size: int = 100, most: int | None = None, throttle: Throttle | None = None) -> Iterator[list]:
+    """Pages of a category's entries between two times, from fetch(category, since, until, start, size) -> (total, entries).
+
+    A page that comes empty although the total says there is more is asked for once again; if it stays empty, the rest is
+    taken to be missing. most: entries after which to stop.
+    """
+    start = 0
+    while most is None or start < most:
+        for again in (True, False):
+            if throttle:
+                throttle.wait()
+            total, entries = fetch(category, since, until, start, size)
+            if entries or start >= total or not again:
+                break
+        if not entries:
+            return
+        entries = entries if most is None else entries[: most - start]
+        yield entries
+        start += len(entries)
+        if start >= total:
+            return
+
+
+class HarvestStream(DataSource):
+    """spark.readStream.format("harvest_pages"): a recorded harvest, page after page; the offset is the resumption token.
+
+    Option path: a folder with a file of JSON (token, next, body) for each page, the first with an empty token. A page is
+    durable in the sink before the checkpoint names the next token, so a run goes on where the last one stopped.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "harvest_pages"
+
+    def schema(self) -> str:
+        return "token string, body string"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _HarvestReader(self.options["path"])
+
+
+class _HarvestReader(SimpleDataSourceStreamReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"token": "", "done": False}
+
+    def _page(self, token: str) -> dict | None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        for found in store.get_file_info(fs.FileSelector(root)):
+            if found.is_file:
+                with store.open_input_file(found.path) as f:
+                    page = json.loads(f.read())
+                if page["token"] == token:
+                    return page
+        return None
+
+    def read(self, start: dict) -> tuple[Iterator[tuple[str, str]], dict]:
+        page = None if start["done"] else self._page(start["token"])
+        if page is None:
+            return iter([]), start
+        return iter([(page["token"], page["body"])]), {"token": page["next"] or "", "done": not page["next"]}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str, str]]:  # noqa: N802
+        while start != end:
+            rows, start = self.read(start)
+            yield from rows
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class PagedSource(DataSource):
     """spark.read.format("paged_pages"): pages of a recorded service reply, one file each, dealt over tasks.
 

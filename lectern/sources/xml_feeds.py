@@ -22,6 +22,7 @@ ATOM = T.StructType([
     T.StructField("arxiv:primary_category", _TERM), T.StructField("arxiv:comment", _TEXT), T.StructField("arxiv:doi", _TEXT),
     T.StructField("link", T.ArrayType(_s(_href=_TEXT, _rel=_TEXT, _title=_TEXT))),
 ])
+_FEED = T.StructType([T.StructField("opensearch:totalResults", T.ArrayType(_TEXT))])
 _NAME = _s(keyname=_TEXT, forenames=_TEXT)
 _BODY = _s(id=_TEXT, created=_TEXT, updated=_TEXT, authors=_s(author=T.ArrayType(_NAME)), title=_TEXT, categories=_TEXT, comments=_TEXT, doi=_TEXT, abstract=_TEXT)
 OAI = _s(header=_s(_status=_TEXT, identifier=_TEXT, datestamp=_TEXT), metadata=_s(arXiv=_BODY))
@@ -59,6 +60,21 @@ def atom_entries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+class NotAFeed(ValueError):
+    """A document whose root is no feed."""
+
+
+def atom_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(totals, entries) of Atom feeds: totals (file, total) as each feed states it, and atom_entries. A document without a
+    feed as its root is an error."""
+    feeds = _read(spark, path, "feed", _FEED).select(F.col("_metadata.file_path").alias("file"), F.try_element_at(F.col("`opensearch:totalResults`"), F.lit(1)).try_cast("int").alias("total"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+    odd = files.join(feeds.select("file").distinct(), F.regexp_replace(files["file"], "^file:/+", "/") == F.regexp_replace(feeds["file"], "^file:/+", "/"), "left_anti").first()
+    if odd is not None:
+        raise NotAFeed(f"{odd.file} has no feed as its root")
+    return feeds, atom_entries(spark, path)
+
+
 def oai_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of OAI-PMH pages (lectern.schemas.ENTRY, version 1); deleted ones go. Of several DOIs the first counts."""
     raw = _read(spark, path, "record", OAI).where(F.coalesce("header._status", F.lit("")) != "deleted").select("metadata.arXiv.*").where("id is not null")

@@ -3,49 +3,59 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
+from lectern import schemas
+from lectern.functions import dates
 from lectern.operators import dml
+from lectern.sources.artifacts import versions
+from lectern.tables import discard
 
 
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """Committed versions of a table folder, oldest first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not store.exists(root):
-        return []
-    return sorted(f.getPath().getName() for f in store.listStatus(root) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+def _read(spark: SparkSession, path: str, schema: StructType, base: str | None, deltas: Sequence[str]) -> DataFrame:
+    numbered = StructType([*schema.fields, StructField("_batch", LongType())])
+    rows = spark.createDataFrame([], numbered)
+    for version in ([base] if base else []) + list(deltas):  # compact_every of them at most
+        rows = rows.unionByName(spark.read.schema(numbered).parquet(f"{path}/{version}"))
+    return rows
 
 
-def current(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The newest committed version of a table; empty before the first."""
-    found = versions(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/{found[-1]}") if found else spark.createDataFrame([], schema)
+def _parts(spark: SparkSession, path: str, before: int | None = None) -> tuple[str | None, list[str]]:
+    """The newest base of a table and the deltas after it, each written whole; before: only those of earlier batches."""
+    found = [v for v in versions(spark, path) if before is None or int(v[1:]) < before]
+    base = max((v for v in found if v[0] == "b"), default=None)
+    return base, sorted(v for v in found if v[0] == "d" and (base is None or v[1:] > base[1:]))
 
 
-def commit(rows: DataFrame, path: str, batch: int) -> None:
-    """Write a new version of a table. Readers see it when its _SUCCESS is there; a repeated batch rewrites its own version."""
-    rows.write.mode("overwrite").parquet(f"{path}/v{batch:012d}")
+def current(spark: SparkSession, path: str, schema: StructType, key: str, newest: Sequence[str] = ()) -> DataFrame:
+    """The rows of a merged table: of each key the one of the last batch, or with newest the last by these columns. Empty before the first batch."""
+    rows = _read(spark, path, schema, *_parts(spark, path))
+    return dml.newest_wins(rows, [key], [*newest, "_batch"]).drop("_batch")
 
 
-def merge_stream(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str, key: str, order: str, files_per_batch: int = 1000, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def merge_stream(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str, key: str, order: str, files_per_batch: int = 1000, after: Callable[[DataFrame, int], None] | None = None, newest: Sequence[str] = (), compact_every: int = 16) -> StreamingQuery:
     """Merge every file of new pages into a table, then stop: run it again for the files that have come since.
 
     The checkpoint says which files are done, so a run goes on where the last one stopped. Within a batch the last row of a
-    key (by `order`) counts; merging a batch again changes nothing.
+    key (by `order`) counts. A batch writes its own rows only, under its number: merging it again writes the same. Each
+    compact_every batches these are folded into a new base; the base and rows before the last one are deleted.
     """
 
     def merge(page: DataFrame, batch: int) -> None:
-        fresh = dml.newest_wins(page, [key], [order])
         session = page.sparkSession
-        done = [v for v in versions(session, table) if v < f"v{batch:012d}"]
-        old = session.read.schema(schema).parquet(f"{table}/{done[-1]}") if done else session.createDataFrame([], schema)
-        commit(dml.upsert(old, fresh, key), table, batch)
+        fresh = dml.newest_wins(page, [key], [order])
+        fresh.withColumn("_batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{table}/d{batch:012d}")
+        if (batch + 1) % compact_every == 0:
+            base, deltas = _parts(session, table, batch + 1)
+            rows = dml.newest_wins(_read(session, table, schema, base, deltas), [key], [*newest, "_batch"])
+            rows.write.mode("overwrite").parquet(f"{table}/b{batch:012d}")
+            if base:
+                discard(session, *(f"{table}/{v}" for v in versions(session, table) if v[1:] < base[1:] or v == f"d{base[1:]}"))
         if after:
             after(fresh, batch)
 
@@ -60,27 +70,58 @@ def append_stream(spark: SparkSession, source: str, schema: StructType, sink: st
 
 
 def work_stream(spark: SparkSession, source: str, schema: StructType, results: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], key: str, most_attempts: int = 5) -> StreamingQuery:
-    """A queue of work items: each micro-batch's items that have no result yet are worked on, once each.
+    """A queue of work items (key, attempts): each micro-batch's items that have no result yet are worked on, once each.
 
-    Items whose `attempts` reached most_attempts are put aside in results/poison. Delivery is at least once; the result of
-    a key is written once, so a repeated delivery does no harm.
+    An item for which work gives no result goes back to the queue with one attempt more, for the next run. Items whose
+    attempts reached most_attempts are put aside in results/poison. Delivery is at least once; the result of a key is
+    written once, so a repeated delivery does no harm.
     """
 
     def consume(items: DataFrame, batch: int) -> None:
         session = items.sparkSession
-        fresh = items.dropDuplicates([key])
+        fresh = dml.newest_wins(items, [key], ["attempts"])
         if versions(session, f"{results}/done"):
             fresh = fresh.join(session.read.parquet(f"{results}/done/*").select(key), key, "left_anti")
-        commit(work(fresh.where(F.col("attempts") < most_attempts)), f"{results}/done", batch)
-        commit(fresh.where(F.col("attempts") >= most_attempts), f"{results}/poison", batch)
+        tried = fresh.where(F.col("attempts") < most_attempts)
+        path = f"{results}/done/v{batch:012d}"
+        work(tried).write.mode("overwrite").parquet(path)
+        fresh.where(F.col("attempts") >= most_attempts).write.mode("overwrite").parquet(f"{results}/poison/v{batch:012d}")
+        failed = tried.join(session.read.parquet(path).select(key), key, "left_anti").withColumn("attempts", F.col("attempts") + 1)
+        if not failed.isEmpty():
+            failed.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("append").parquet(source)
 
     items = spark.readStream.schema(schema).parquet(source)
     return items.writeStream.foreachBatch(consume).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def boundary_deduplicated(rows: DataFrame, key: str, newest: str) -> DataFrame:
-    """Rows of overlapping fetches, once for each key: the newest."""
-    return dml.newest_wins(rows, [key], [newest])
+def processed(query: StreamingQuery) -> int:
+    """Rows that a stream has taken in so far, by its progress reports."""
+    return sum(p.numInputRows for p in query.recentProgress)
+
+
+def fetch_windows(categories: DataFrame, marks: DataFrame, as_of: str, fallback_days: int) -> DataFrame:
+    """(category, since): from when to fetch each category: its mark, back to the full minute so that the boundary is
+    fetched again, or some days for one without a mark."""
+    known = categories.select("category").join(marks, "category", "left")
+    return known.select("category", F.coalesce(dates.minute_of(F.col("high_water_mark_utc")), dates.cutoff(as_of, fallback_days)).alias("since"))
+
+
+def boundary_refetch(seen: DataFrame, available: DataFrame, windows: DataFrame, key: str, time: str) -> DataFrame:
+    """seen (with category) after a fetch of what is available since each category's window: the boundary comes twice and is kept once."""
+    fetched = available.join(windows, "category").where(F.col(time) >= F.col("since")).select(*seen.columns)
+    return dml.newest_wins(seen.unionByName(fetched), [key], [time])
+
+
+def run_parts(spark: SparkSession, run_id: str, parts: Iterable[str], work: Callable[[str], tuple[int, int, int]]) -> DataFrame:
+    """A row (run_id, part, fetched, added, updated, error) for each part of a run, each worked on by itself: one that fails
+    leaves its error, and the others go on. dml.run_summary makes the run's audit row of them."""
+    rows = []
+    for part in parts:  # configured categories
+        try:
+            rows.append((run_id, part, *work(part), None))
+        except Exception as error:  # noqa: BLE001  the run's audit keeps it
+            rows.append((run_id, part, 0, 0, 0, f"{part}: {error}"))
+    return spark.createDataFrame(rows, schemas.RUN_PART)
 
 
 def run_id() -> str:

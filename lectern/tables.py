@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,35 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_root(spark)}/lectern-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this application's folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in this application's folder, written once and read from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a path's files: it changes if the table does."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    known = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return hashlib.md5(repr(known).encode()).hexdigest()
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders."""
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

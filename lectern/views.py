@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.tables import table
+from lectern.operators import lexical
+from lectern.plans import telemetry
+from lectern.tables import fingerprint, shared_dir, table
 
 AS_OF = "2024-12-31 00:00:00"
 
@@ -29,6 +31,16 @@ class Corpus:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @cached_property
+    def lexicon(self) -> lexical.LexicalIndex:
+        """The stored index of the papers' words, built when it is first asked for; other tables have another one."""
+        path = f"{shared_dir(self.spark)}/lexicon-{fingerprint(self.spark, self.folder.rstrip('/') + '/documents.parquet')}"
+        found = lexical.open_index(self.spark, path)
+        if found is None:
+            lexical.build_index(self.papers, path)
+            found = lexical.open_index(self.spark, path)
+        return found
+
     @property
     def papers(self) -> DataFrame:
         number = F.col("doc_id").cast("string")
@@ -99,10 +111,7 @@ class Corpus:
 
     @property
     def bookmarks(self) -> DataFrame:
-        """Derived from the log: the last event of each user and paper decides."""
-        last = F.row_number().over(W.partitionBy("user_id", "paper_id").orderBy(F.desc("acted_utc"), F.desc("interaction_id")))
-        acts = self.interactions.where("type in ('Bookmarked', 'Unbookmarked')").withColumn("n", last)
-        return acts.where("n = 1 and type = 'Bookmarked'").select("user_id", "paper_id", F.col("acted_utc").alias("created_utc"))
+        return telemetry.bookmarks(self.interactions)
 
     @property
     def logged_queries(self) -> DataFrame:
@@ -134,5 +143,7 @@ logged_queries AS (SELECT conv_id, turn, text AS query_text FROM conversations W
 
 
 def sql(body: str) -> str:
-    """A query over the views."""
+    """A query over the views; one that begins WITH RECURSIVE may refer to itself."""
+    if body.lstrip().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE" + sql("WITH " + body.lstrip().removeprefix("WITH RECURSIVE "))[4:]
     return f"WITH {SQL.strip()}{',' if body.lstrip().startswith('WITH ') else ''}\n{body.lstrip().removeprefix('WITH ')}"

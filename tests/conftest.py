@@ -1,6 +1,6 @@
 import pytest
 
-from lectern.tables import local_session
+from lectern.tables import discard, local_session, shared_dir
 
 
 @pytest.fixture(scope="session")
@@ -10,4 +10,5 @@ def spark(tmp_path_factory):
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
+    discard(session, shared_dir(session))
     session.stop()

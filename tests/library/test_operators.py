@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import dml, filters, lexical, ranking
+from lectern.operators import dense, dml, filters, lexical, ranking
 from lectern.operators.filters import Plan
 from lectern.plans import accounts, browse, evaluation, telemetry
 
@@ -56,19 +57,40 @@ def test_bm25_by_hand(spark, papers):
 
 
 def test_fusion_and_wildcards(spark):
-    dense = spark.createDataFrame([(1, 0.9, 1), (2, 0.8, 2)], "paper_id long, score double, rank int")
-    words = spark.createDataFrame([(3, 1), (2, 2)], "paper_id long, rank int")
-    best = spark.createDataFrame([(3, 0.4)], "paper_id long, best double")
+    dense = spark.createDataFrame([(21, 0.71, 1), (22, 0.66, 2), (23, 0.5, 3)], "paper_id long, score double, rank int")
+    words = spark.createDataFrame([(24, 1), (23, 2)], "paper_id long, rank int")
+    best = spark.createDataFrame([(24, 0.31)], "paper_id long, best double")
     rows = ranking.fuse(dense, words, best, 10).orderBy("rank").collect()
-    assert [r.paper_id for r in rows] == [2, 1, 3] and [r.score for r in rows] == [0.8, 0.9, 0.4]
-    pool = spark.createDataFrame([(k, 1 - k / 100, k) for k in range(1, 11)], "paper_id long, score double, rank int")
+    assert [r.paper_id for r in rows] == [23, 21, 24, 22] and [r.score for r in rows] == [0.5, 0.71, 0.31, 0.66]
+    pool = spark.createDataFrame([(100 + k, 0.9 - k / 50, k) for k in range(1, 14)], "paper_id long, score double, rank int")
     known = lambda pairs: spark.createDataFrame(pairs, "paper_id long, score double")
-    pick = lambda e, limit=5: [r.paper_id for r in ranking.select_slots(pool, limit, e).orderBy("rank").collect()]
-    assert pick(known([(9, 0.05), (7, 0.10), (4, 0.5), (5, 0.5), (6, 0.5), (8, 0.5), (10, 0.5)])) == [1, 2, 3, 9, 7]
-    assert pick(known([(8, 0.1)])) == [1, 2, 3, 8, 4]
-    assert pick(None) == [1, 2, 3, 4, 5] and pick(known([(9, 0.1)]), 2) == [1, 2] and pick(known([(9, 0.1)]), 10) == list(range(1, 11))
-    assert ranking.interleaved([1, 2, 3], [2, 4, 5], 4, lambda n: True) == [(1, "A"), (2, "B"), (3, "A"), (4, "B")]
-    assert ranking.interleaved([], [4], 3, lambda n: True) == [(4, "B")]
+    pick = lambda e, limit=6: [r.paper_id - 100 for r in ranking.select_slots(pool, limit, e).orderBy("rank").collect()]
+    assert pick(known([(100 + k, 0.6) for k in (5, 6, 7, 9, 10, 12)] + [(113, 0.02), (108, -0.1), (111, 0.3)])) == [1, 2, 3, 4, 8, 13]
+    assert pick(known([(112, 0.2)])) == [1, 2, 3, 4, 12, 5]
+    assert pick(None) == [1, 2, 3, 4, 5, 6] and pick(known([(112, 0.2)]), 2) == [1, 2] and pick(known([(112, 0.2)]), 13) == list(range(1, 14))
+
+
+def test_team_draft():
+    first, second = (lambda n: True), (lambda n: False)
+    assert ranking.interleaved([7, 8, 9], [8, 5, 6, 4], 6, first) == [(7, "A"), (8, "B"), (9, "A"), (5, "B"), (6, "B"), (4, "B")]
+    assert ranking.interleaved([7, 8, 9], [8, 5, 6, 4], 3, second) == [(8, "B"), (7, "A"), (5, "B")]
+    assert ranking.interleaved([], [3], 2, first) == [(3, "B")] and ranking.interleaved([], [], 2, first) == []
+    assert ranking.interleaved([2, 2, 1], [2, 1, 1], 5, first) == [(2, "A"), (1, "B")]
+    heads = sum(ranking.coin(s, t, 1) for s in range(60) for t in range(20))
+    assert 500 < heads < 700 and ranking.coin(4, 2, 1) == ranking.coin(4, 2, 1)
+
+
+def test_ranks_spread_over_tasks(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 10 else f"g{k % 3}", (k * 37) % 101) for k in range(3000)], "id long, g string, v int").repartition(5)
+    found = ranking.ranks(rows, ["g"], [F.desc("v"), F.asc("id")]).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.g, []).append(r)
+    for own in groups.values():
+        ordered = sorted(own, key=lambda r: (-r.v, r.id))
+        assert [r.rank for r in ordered] == list(range(1, len(own) + 1)) and {r.size for r in own} == {len(own)}
+    assert len(found) == 3000 and [r.rank for r in ranking.ranks(rows.limit(0), [], ["id"]).collect()] == []
+    assert sorted((r.id, r.rank) for r in ranking.ranks(rows, [], ["id"]).collect()) == [(k, k + 1) for k in range(3000)]
 
 
 def ranked(spark, letters, grades):
@@ -78,17 +100,29 @@ def ranked(spark, letters, grades):
 
 
 def test_metrics_by_hand(spark):
-    m = evaluation.metrics(*ranked(spark, "BAXC", {"A": 3, "B": 2, "C": 1}), k=3).first()
-    assert m.ndcg == pytest.approx((3 + 7 / math.log2(3)) / (7 + 3 / math.log2(3) + 0.5))
-    assert evaluation.metrics(*ranked(spark, "XYA", {"A": 3}), k=3).first().ndcg == pytest.approx(0.5)
-    none = evaluation.metrics(*ranked(spark, "XY", {"A": 0})).first()
+    m = evaluation.metrics(*ranked(spark, "PQRST", {"T": 3, "Q": 1, "P": 2, "Z": 1}), k=5).first()
+    gain = 3 + 1 / math.log2(3) + 7 / math.log2(6)
+    assert m.ndcg == pytest.approx(gain / (7 + 3 / math.log2(3) + 1 / 2 + 1 / math.log2(5)))
+    assert (m.recall, m.reciprocal_rank, m.judged_at_k, m.judged, m.relevant) == (1.0, 1.0, 3, 4, 2)
+    none = evaluation.metrics(*ranked(spark, "PQ", {"Z": 0, "P": 0})).first()
     assert none.ndcg is None and none.recall is None and none.reciprocal_rank is None
-    some = {"A": 3, "B": 2, "C": 1, "D": 2}
-    assert evaluation.metrics(*ranked(spark, "ACXB", some), depth=2).first().recall == pytest.approx(1 / 3)
-    assert evaluation.metrics(*ranked(spark, "ACXB", some), depth=4).first().recall == pytest.approx(2 / 3)
-    assert evaluation.metrics(*ranked(spark, "XCB", {"B": 2, "C": 1})).first().reciprocal_rank == pytest.approx(1 / 3)
-    assert evaluation.metrics(*ranked(spark, "XC", {"B": 2})).first().reciprocal_rank == 0
-    assert not evaluation.passes(evaluation.metrics(*ranked(spark, "XYA", {"A": 3})), 0.59).first().passed
+    some = {"W": 2, "Q": 3, "S": 2, "P": 1, "T": 2}
+    assert evaluation.metrics(*ranked(spark, "PQRSTU", some), depth=2).first().recall == pytest.approx(1 / 4)
+    assert evaluation.metrics(*ranked(spark, "PQRSTU", some), depth=6).first().recall == pytest.approx(3 / 4)
+    assert evaluation.metrics(*ranked(spark, "UVRS", some)).first().reciprocal_rank == pytest.approx(1 / 4)
+    assert evaluation.metrics(*ranked(spark, "UV", some)).first().reciprocal_rank == 0
+    assert not evaluation.passes(evaluation.metrics(*ranked(spark, "UVRS", some)), 0.59).first().passed
+
+
+def test_repeated_judgments_and_wildcards(spark):
+    rows, judged = ranked(spark, "AB", {"A": 3, "B": 0})
+    again = spark.createDataFrame([("q", ord("A"), 3, "random"), ("q", ord("B"), 2, "random")], judged.schema)
+    twice, once = (evaluation.metrics(rows, j).first() for j in (judged.unionByName(again), judged))
+    assert twice == once and once.ndcg == 1.0 and (once.judged, once.relevant) == (2, 1)
+    wild = rows.withColumn("is_wildcard", F.col("rank") == 1)
+    assert evaluation.metrics(wild, judged).first().ndcg == 0.0
+    assert evaluation.metrics(wild, judged.where("grade = 0").unionByName(again.where(f"paper_id = {ord('A')}"))).first().reciprocal_rank == 0.0
+    assert evaluation.metrics(rows.unionByName(rows.withColumn("rank", F.col("rank") + 5)), judged).first() == once
 
 
 def pairs(spark, cells):
@@ -126,6 +160,40 @@ def test_upserts(spark):
     assert sorted(tuple(r) for r in dml.saved_profile(profiles, spark.createDataFrame([(1, 0), (2, 0)], "user_id long, version int")).collect()) == [(1, 4), (2, 1)]
 
 
+def test_a_page_that_repeats_a_key(spark):
+    table = spark.createDataFrame([("a", 1)], "k string, v int")
+    page = spark.createDataFrame([("a", 3, 2), ("a", 2, 1), ("b", 9, 3), ("b", 9, 4)], "k string, v int, at int")
+    assert sorted(tuple(r) for r in dml.upsert(table, page, "k", position=["at"]).collect()) == [("a", 2), ("b", 9)]
+    assert sorted(tuple(r) for r in dml.add_only(table, page.select("k", "v"), "k").collect()) == [("b", 9)]
+    changes = dml.upsert_diff(table, page, "k", ["v"], ["at"])
+    assert sorted(tuple(r) for r in changes.collect()) == [("a", "updated"), ("b", "added")]
+    assert tuple(dml.updated_counts(changes).first()) == (2, 1, 1)
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(230)]
+    frame = spark.createDataFrame(rows, "paper_id long, vector array<float>").repartition(3)
+    asked = frame.where("paper_id % 20 = 0").withColumnRenamed("paper_id", "query_id")
+    found = dense.nearest(frame, asked, 5, block=16)
+    every = dense.scores(frame, [rows[40][1]]).orderBy(F.desc(F.round("cosine", 9)), "paper_id").limit(5).collect()
+    assert [r.paper_id for r in found.where("query_id = 40").orderBy("rank").collect()] == [r.paper_id for r in every]
+    assert found.count() == 12 * 5
+
+
+def test_stored_index_agrees_with_parsed_text(spark, tmp_path):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, "t", " ".join(rng.choices("aa bb cc dd ee ff gg".split(), k=rng.randrange(0, 9)))) for k in range(60)], "paper_id long, title string, abstract string").withColumn("published_utc", F.lit("2024-01-01").cast("timestamp_ntz"))
+    queries = spark.createDataFrame([(1, "aa bb"), (2, "gg zz"), (3, "")], "query_id long, query_text string")
+    path = str(tmp_path / "index")
+    assert lexical.open_index(spark, path) is None
+    lexical.build_index(docs, path)
+    rows = lambda df: sorted((r.query_id, r.paper_id, r.rank, round(r.score, 9)) for r in df.collect())
+    allowed = docs.where("paper_id % 2 = 0")
+    assert rows(lexical.search_index(lexical.open_index(spark, path), queries, 10)) == rows(lexical.bm25(docs, queries, 10))
+    assert rows(lexical.search_index(lexical.open_index(spark, path), queries, None, allowed)) == rows(lexical.bm25(docs, queries, None, allowed))
+
+
 def test_ledger(spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id long")
     grants = spark.createDataFrame([(1, 100), (1, 50)], "user_id long, amount_micros long")

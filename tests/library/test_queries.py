@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from lectern import queries, queries_reports  # noqa: F401
+from lectern import queries, queries_more, queries_reports  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import types as T
 
+from lectern.operators import dml
 from lectern.sources import artifacts, connectors, xml_feeds
 from lectern.streaming import ingest
 
@@ -92,19 +93,105 @@ def test_merge_stream_resumes(spark, tmp_path):
     paths = [str(tmp_path / x) for x in ("pages", "table", "check")]
 
     def run():
-        ingest.merge_stream(spark, paths[0], schema, paths[1], paths[2], "k", "v", 1).awaitTermination()
-        return {r.k: r.v for r in ingest.current(spark, paths[1], schema).collect()}
+        ingest.merge_stream(spark, paths[0], schema, paths[1], paths[2], "k", "v", 1, compact_every=2).awaitTermination()
+        return {r.k: r.v for r in ingest.current(spark, paths[1], schema, "k").collect()}
 
     spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], schema).coalesce(1).write.mode("append").parquet(paths[0])
     assert run() == {"a": 2, "b": 1}
     spark.createDataFrame([("b", 5), ("c", 1)], schema).coalesce(1).write.mode("append").parquet(paths[0])
     assert run() == {"a": 2, "b": 5, "c": 1} and run() == {"a": 2, "b": 5, "c": 1}
+    for v in range(3):
+        spark.createDataFrame([("d", v)], schema).coalesce(1).write.mode("append").parquet(paths[0])
+        assert run() == {"a": 2, "b": 5, "c": 1, "d": v}
+    assert artifacts.versions(spark, paths[1]) == ["b000000000001", "b000000000003", "d000000000002", "d000000000003", "d000000000004"]
+    rows = spark.read.parquet(f"{paths[1]}/d000000000004").collect()
+    assert [(r.k, r.v) for r in rows] == [("d", 2)]  # a batch writes its own rows only
 
 
 def test_work_stream(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("attempts", T.IntegerType())])
     paths = [str(tmp_path / x) for x in ("items", "results", "check")]
-    spark.createDataFrame([(1, 0), (1, 0), (2, 5), (3, 1)], schema).coalesce(1).write.parquet(paths[0])
-    ingest.work_stream(spark, paths[0], schema, paths[1], paths[2], lambda d: d.select("id"), "id").awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(f"{paths[1]}/done/*").collect()) == [1, 3]
-    assert [r.id for r in spark.read.parquet(f"{paths[1]}/poison/*").collect()] == [2]
+    spark.createDataFrame([(1, 0), (1, 0), (2, 5), (3, 1), (4, 3)], schema).coalesce(1).write.parquet(paths[0])
+
+    def run(able):
+        ingest.work_stream(spark, paths[0], schema, paths[1], paths[2], lambda d: d.select("id").where(able), "id").awaitTermination()
+        return [sorted(r.id for r in spark.read.parquet(f"{paths[1]}/{x}/*").collect()) for x in ("done", "poison")]
+
+    assert run("id < 3") == [[1], [2]]
+    assert run("id < 4") == [[1, 3], [2]]  # 3 and 4 came again with an attempt more
+    assert run("id < 4") == [[1, 3], [2, 4]] and run("id < 9") == [[1, 3], [2, 4]]
+
+
+def test_feed_totals_and_other_documents(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(ATOM.replace("<entry>", '<opensearch:totalResults xmlns:opensearch="http://a9.com/-/spec/opensearch/1.1/">81</opensearch:totalResults><entry>', 1))
+    totals, entries = xml_feeds.atom_feed(spark, str(tmp_path / "a.xml"))
+    assert [r.total for r in totals.collect()] == [81] and entries.count() == 2
+    (tmp_path / "b.xml").write_text("<html><body>down</body></html>")
+    with pytest.raises(xml_feeds.NotAFeed):
+        xml_feeds.atom_feed(spark, str(tmp_path))
+
+
+def test_busy_services_and_empty_pages():
+    calls, slept = [], []
+
+    def fetch(token):
+        calls.append(token)
+        if len(calls) < 3:
+            raise connectors.Busy([90, 4][len(calls) - 1])
+        return "page", None
+
+    assert list(connectors.harvest(fetch, sleep=slept.append)) == [(None, "page")] and slept == [60.0, 4]
+    asked, entries = [], list(range(7))
+
+    def ask(category, since, until, start, size):
+        asked.append(start)
+        return (7, []) if len(asked) == 2 else (7, entries[start : start + size])
+
+    assert list(connectors.paged(ask, "c", "a", "b", 3)) == [[0, 1, 2], [3, 4, 5], [6]] and asked == [0, 3, 3, 6]
+    assert list(connectors.paged(lambda *a: (9, []), "c", "a", "b")) == [] and list(connectors.paged(lambda *a: (0, []), "c", "a", "b")) == []
+    assert list(connectors.paged(lambda c, s, u, at, n: (7, entries[at : at + n]), "c", "a", "b", 3, most=4)) == [[0, 1, 2], [3]]
+
+
+def test_harvest_stream_resumes(spark, tmp_path):
+    pages, sink, check = (tmp_path / x for x in ("pages", "sink", "check"))
+    pages.mkdir()
+    write = lambda token, following: (pages / f"p{token}.json").write_text(json.dumps({"token": token, "next": following, "body": f"body {token}"}))
+    write("", "t1")
+    write("t1", "t2")
+    spark.dataSource.register(connectors.HarvestStream)
+
+    def run():
+        rows = spark.readStream.format("harvest_pages").option("path", str(pages)).load()
+        query = rows.writeStream.format("parquet").option("path", str(sink)).option("checkpointLocation", str(check)).start()
+        query.processAllAvailable()
+        seen = ingest.processed(query)
+        query.stop()
+        return seen, sorted(r.body for r in spark.read.schema("token string, body string").parquet(str(sink)).collect())
+
+    assert run()[1] == ["body ", "body t1"]
+    write("t2", None)
+    seen, bodies = run()
+    assert bodies == ["body ", "body t1", "body t2"] and seen == 1
+
+
+def test_published_versions_and_usage(spark, tmp_path):
+    path, rows = str(tmp_path / "index"), spark.createDataFrame([(1,)], "v int")
+    assert artifacts.published(spark, path) is None
+    for v in range(1, 5):
+        assert artifacts.publish(spark, path, rows.selectExpr(f"v * {v} AS v")).first().v == v
+    (tmp_path / "index" / "v000000000009").mkdir()  # a writer that didn't finish
+    assert artifacts.published(spark, path).first().v == 4 and artifacts.versions(spark, path) == ["v000000000003", "v000000000004"]
+    assert artifacts.record_usage(rows, str(tmp_path / "usage")) is True
+    (tmp_path / "file").write_text("x")
+    assert artifacts.record_usage(rows, str(tmp_path / "file" / "usage")) is False
+
+
+def test_parts_of_a_run_fail_alone(spark):
+    def work(part):
+        if part == "b":
+            raise OSError("no answer")
+        return 5, 2, 1
+
+    rows = ingest.run_parts(spark, "r", ["a", "b", "c"], work)
+    assert tuple(dml.run_summary(rows).first()) == ("r", 10, 4, 2, "b: no answer", "Completed")
+    assert dml.run_summary(ingest.run_parts(spark, "s", ["b"], work)).first().status == "Failed"
