@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
@@ -14,7 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.tables import shared_root
+from lectern.tables import discard, shared_dir
+from lectern.tables import scratch as scratch_path
+
+__all__ = ["discard", "scratch_path", "shared_dir"]
 
 T = TypeVar("T")
 
@@ -24,15 +26,6 @@ CACHE_WORDS = 150_000
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one."""
-    return f"{shared_root(spark)}/lectern-{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for a while; afterwards they are as before."""
@@ -59,13 +52,6 @@ def written(df: DataFrame, name: str, path: str | None = None, records: int | No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch tables that nothing reads any more."""
-    for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def in_small_batches(df: DataFrame, records: int = 1000, size: str = "4m") -> DataFrame:
     """df, with the session's Arrow batches held to so many rows and bytes from now on.
 
