@@ -59,8 +59,8 @@ class Chunk:
         c = odd_constants(4, 31)
         keys = mix64(self.vocabulary * c[0] + c[2])
         order = np.argsort(keys)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.arange(len(keys), dtype=np.int32)
         return keys[order], place[self.tokens], np.bincount(self.tokens, minlength=len(keys))[order]
 
     def levels(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -69,8 +69,16 @@ class Chunk:
         hashes = self.vocabulary[self.tokens]
         last, added = hashes, c[3]
         for n in range(2, order + 1):
-            at = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]) + n - 1
-            key = mix64(last[at - 1] * c[0] + hashes[at] * c[1] + added)
+            at = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]).astype(np.int32)
+            at += n - 1
+            key = last[at - 1]
+            key *= c[0]
+            word = hashes[at]
+            word *= c[1]
+            key += word
+            key += added
+            del word
+            key = mix64(key)
             if n < order:
                 last, added = np.zeros(len(doc), np.uint64), added + c[2]
                 last[at] = key
@@ -299,7 +307,8 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
     states: list[DataFrame] = []
     for level in range(1, cfg.order + 1):
         path = scratch_path(spark, "known")
-        known = written(counted(ngrams(files, states[-1] if states else None, level)), "known", path)
+        # a chunk's n-grams come in order, so their differences are stored, which take fewer bytes
+        known = written(counted(ngrams(files, states[-1] if states else None, level)), "known", path, options={"parquet.writer.version": "v2"})
         states.append(written(_packed_states(files, known, level), "states", records=100_000))
         discard(spark, path)
     every = states[0]

@@ -39,16 +39,16 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, path: str | None = None, records: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None, records: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation.
 
     Its shuffle files are deleted once it is written, so that a long job's disk is that of its largest step. records: rows
-    of an Arrow batch on the way, for narrow rows that the session's setting would cut too small.
+    of an Arrow batch on the way, for narrow rows that the session's setting would cut too small. options: of the writer.
     """
     path, spark = path or scratch_path(df.sparkSession, name), df.sparkSession
     values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     with settings(spark, values | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,7 +93,9 @@ class WordHashes(dict):
 
 
 def released() -> None:
-    """Give memory that is free back to the system; large arrays come and go, and the allocators would keep it."""
+    """Give memory that is free back to the system, and an earlier step's cache; large arrays come and go, and the allocators
+    would keep it."""
+    _caches.clear()
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
         trim(0)
@@ -106,7 +108,6 @@ def worker_cache(name: str, make: Callable[[], T]) -> T:
     """A cache that a Python worker keeps from task to task. It holds one at a time: another operator's is dropped first,
     so that the stages of a long job don't add up in a worker that Spark uses again and again."""
     if name not in _caches:
-        _caches.clear()
         released()
         _caches[name] = make()
     return _caches[name]
@@ -118,9 +119,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: spreads every input bit over the whole word."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(27)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    return out
 
 
 def odd_constants(n: int, seed: int) -> np.ndarray:
