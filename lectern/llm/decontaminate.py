@@ -20,8 +20,13 @@ UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years degree degrees celsius fahrenheit kelvin watt watts volt volts joule joules "
     "percent dollar dollars euro euros cent cents yen rupee rupees mph kph hz khz mhz ghz kb mb gb tb".split()
 )
+#: Numbers spelled out. "one" is left out: it mostly stands for something else.
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+)
 _TOKENS = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?]")
-_STOP, _NUMBER, _UNIT, _CAPITAL, _WORD = range(5)
+_STOP, _NUMBER, _UNIT, _CAPITAL, _WORD, _UPPER = range(6)
 _KINDS = {_NUMBER: "num", _UNIT: "unit", _CAPITAL: "name"}
 
 
@@ -50,12 +55,14 @@ class _Classes(dict):
         low = token.lower()
         if token in ".!?":
             kind = _STOP
-        elif token[0].isdecimal():
+        elif token[0].isdecimal() or low in NUMBER_WORDS:
             kind = _NUMBER
         elif low in UNITS:
             kind = _UNIT
         elif len(token) > 1 and token[0].isupper() and token[1:].islower():
             kind = _CAPITAL
+        elif len(token) > 1 and token.isupper():
+            kind = _UPPER
         else:
             kind = _WORD
         if len(self) >= CACHE_WORDS:
@@ -97,12 +104,15 @@ class Template:
 def canonical(text: str) -> Template:
     """Numbers, names and units become placeholders.
 
-    A name is a capitalised word that doesn't begin a sentence; the words of one name stay apart, so that a window
-    keeps its length. A unit is one of UNITS after a number.
+    A name is a capitalised word that doesn't begin a sentence, or one in capitals between others that aren't; the words
+    of one name stay apart, so that a window keeps its length. A number may be spelled out; a unit is one of UNITS after a
+    number.
     """
     tokens = _TOKENS.findall(text)
     packed = np.fromiter(map(worker_cache("template classes", _Classes).__getitem__, tokens), np.uint64, len(tokens))
     kind = (packed & np.uint64(7)).astype(np.int8)
+    upper = np.concatenate(([False], kind == _UPPER, [False]))
+    kind = np.where(kind == _UPPER, np.where(upper[:-2] | upper[2:], _WORD, _CAPITAL), kind).astype(np.int8)
     before = np.concatenate((np.zeros(1, np.int8), kind[:-1])) if len(kind) else kind  # a text begins like a sentence
     slot = np.where(kind == _NUMBER, kind, 0)
     slot = np.where((kind == _UNIT) & (before == _NUMBER), kind, slot)

@@ -158,3 +158,12 @@ def test_few_words_and_many_names(spark):
     alice = "Alice has three red apples today"
     docs = [(1, f"x {poor} y"), (2, f"x {poor.lower()} y"), (3, f"Question: {alice}"), (4, f"the {alice.upper()}"), (5, poor.replace("Anna", "Dora"))]
     assert {(1, 1), (2, 1), (3, 2), (4, 2)} <= set(found(spark, docs, [(1, poor), (2, alice)]))
+
+
+def test_spelled_numbers_capitals_and_long_units(spark):
+    t = canonical("The IBM plant lies three kilometers off. IT SAYS SO here.")
+    assert t.slots(0, len(t.hashes)) == ["name:ibm", "num:three", "unit:kilometers"]
+    item = "A van of the IBM plant drives three kilometers north and then turns back after five more minutes of rest"
+    moved = item.replace("IBM", "SAP").replace("three kilometers", "12 miles").replace("five", "nine")
+    hits = found(spark, [(1, f"x {moved} y"), (2, f"x {item.upper()} y"), (3, "x " + item.replace("three", "one"))], [(1, item)])
+    assert {(1, 1), (2, 1)} == set(hits) and not hits[1, 1].exact and hits[2, 1].exact
