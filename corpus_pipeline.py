@@ -53,7 +53,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     members = others.unionByName(others.select(F.col("first").alias("row"), "first").distinct())
     ranked = members.join(rows.select("row", F.col(names["doc_id"]).alias("id")), "row").select("first", F.struct(F.col("id").isNull().alias("null"), "id", "row").alias("key"))
     best = ranked.groupBy("first").agg(F.min("key").alias("best"))
-    gone = ranked.join(best, "first").where(F.col("key.row") != F.col("best.row")).select(F.col("key.row").alias("row"))
+    gone = ranked.select("key.row").join(best.select("best.row"), "row", "left_anti")
     return rows.join(written(gone, "dropped"), "row", "left_anti").select(*names.values()).toDF(*docs.columns)
 
 

@@ -111,8 +111,9 @@ def canonical(text: str) -> Template:
     tokens = _TOKENS.findall(text)
     packed = np.fromiter(map(worker_cache("template classes", _Classes).__getitem__, tokens), np.uint64, len(tokens))
     kind = (packed & np.uint64(7)).astype(np.int8)
-    upper = np.concatenate(([False], kind == _UPPER, [False]))
-    kind = np.where(kind == _UPPER, np.where(upper[:-2] | upper[2:], _WORD, _CAPITAL), kind).astype(np.int8)
+    if (upper := kind == _UPPER).any():
+        beside = np.concatenate((upper[1:], [False])) | np.concatenate(([False], upper[:-1]))
+        kind = np.where(upper, np.where(beside, _WORD, _CAPITAL), kind).astype(np.int8)
     before = np.concatenate((np.zeros(1, np.int8), kind[:-1])) if len(kind) else kind  # a text begins like a sentence
     slot = np.where(kind == _NUMBER, kind, 0)
     slot = np.where((kind == _UNIT) & (before == _NUMBER), kind, slot)
