@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import merkle_manifest, token_store
 from lectern.llm.chat_format import ChatConfig, format_chats
+from lectern.llm.collocations import PhraseConfig, phrases
 from lectern.llm.decontaminate import DecontaminationConfig, contaminated
 from lectern.llm.embedding_dedup import EmbeddingConfig, embedding_links
 from lectern.llm.language_id import LanguageConfig, held_out, identify, train
@@ -69,6 +71,22 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_links(table(spark, folder, "embeddings"), EmbeddingConfig(threshold=0.9))
 
 
+def op11_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    cfg = token_store.TokenConfig(public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.round_trip(table(spark, folder, "documents"), cfg)
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle_manifest.LEAF_COLUMNS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle_manifest.leaf(changed))
+    return merkle_manifest.manifest(docs, merkle_manifest.MerkleConfig(), tampered)
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases(table(spark, folder, "documents"), PhraseConfig())
+
+
 def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     scored = score(table(spark, folder, "documents"), BackoffConfig())
     return scored.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
@@ -91,6 +109,9 @@ QUERIES: dict[str, Query] = {
     "op8_lm_score_order2": op8_lm_score_order2,
     "op9_license_scan": op9_license_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_token_store": op11_token_store,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_collocations": op13_collocations,
 }
 
 _OP8 = """
@@ -159,10 +180,48 @@ c AS (SELECT a, min(b) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FR
 SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
+_OP12 = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS v),
+d AS (SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS r, * FROM (SELECT doc_id, lang,
+  sha256(concat(coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-'), coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+  sha256(concat(coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars + 1 AS VARCHAR)), ':', n_chars + 1), '-'), coalesce(concat(strlen(text), ':', text), '-'))) AS changed,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: xor(c // 256, v[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered FROM documents, t)),
+b AS (SELECT lang, 0 AS level, list(leaf ORDER BY r) AS nodes FROM d GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(concat(nodes[k + 1], coalesce(nodes[k + 2], '')))) FROM b WHERE len(nodes) > 1),
+s AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM b WHERE len(nodes) = 1),
+u AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM s
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(concat(nodes[k + 1], coalesce(nodes[k + 2], '')))) FROM u WHERE len(nodes) > 1),
+f AS (SELECT d.doc_id, d.r, d.lang, d.leaf, subroot, place, 0 AS level, 0 AS up, CASE WHEN tampered THEN changed ELSE leaf END AS h, '' AS proof FROM d JOIN s ON s.lang IS NOT DISTINCT FROM d.lang
+  UNION ALL SELECT doc_id, r, f.lang, leaf, subroot, place, CASE WHEN len(b.nodes) > 1 THEN f.level + 1 ELSE f.level END, CASE WHEN len(b.nodes) > 1 THEN 0 ELSE up + 1 END,
+    CASE WHEN len(b.nodes) > 1 THEN sha256(CASE WHEN (r >> f.level) % 2 = 1 THEN concat(b.nodes[r >> f.level], h) ELSE concat(h, coalesce(b.nodes[(r >> f.level) + 2], '')) END)
+      ELSE sha256(CASE WHEN (place >> up) % 2 = 1 THEN concat(u.nodes[place >> up], h) ELSE concat(h, coalesce(u.nodes[(place >> up) + 2], '')) END) END,
+    concat(proof, CASE WHEN len(b.nodes) > 1 THEN CASE WHEN (r >> f.level) % 2 = 1 THEN b.nodes[r >> f.level] ELSE coalesce(b.nodes[(r >> f.level) + 2], '') END
+      ELSE CASE WHEN (place >> up) % 2 = 1 THEN u.nodes[place >> up] ELSE coalesce(u.nodes[(place >> up) + 2], '') END END)
+  FROM f JOIN b ON b.lang IS NOT DISTINCT FROM f.lang AND b.level = f.level LEFT JOIN u ON u.level = f.up WHERE len(b.nodes) > 1 OR len(u.nodes) > 1),
+z AS (SELECT nodes[1] AS root FROM u WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM f, z QUALIFY row_number() OVER (PARTITION BY lang, r ORDER BY level DESC, up DESC) = 1
+"""
+
+_OP13 = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS s FROM documents),
+w AS (SELECT lang, regexp_extract_all(s, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS x FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, x, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, x, f, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND f >= 30),
+t AS (SELECT c.lang, c.k, c.x, c.f AS a, l.f AS l, r.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.f) // (l.f + r.f) AS BIGINT) AS score FROM c JOIN f l ON l.lang = c.lang AND l.x = c.x[1:cut] JOIN f r ON r.lang = c.lang AND r.x = c.x[cut + 1:c.k]
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.x ORDER BY score, cut) = 1),
+o AS (SELECT lang, x[i:i + m - 1] AS x, max(a) AS g FROM t, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+e AS (SELECT t.*, array_to_string(t.x, ' ') AS phrase FROM t LEFT JOIN o ON o.lang = t.lang AND o.x = t.x WHERE o.g IS NULL OR CAST(100 AS HUGEINT) * o.g < CAST(80 AS HUGEINT) * t.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM e JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": _OP1,
     "op3_warc_store": _OP3,
     "op8_lm_score": _OP8_3,
     "op8_lm_score_order2": _OP8,
     "op10_embedding_dedup": _OP10,
+    "op12_merkle_manifest": _OP12,
+    "op13_collocations": _OP13,
 }
