@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import grouped, in_small_batches, released, written
+from lectern.llm.shared import discard, grouped, in_small_batches, released, scratch_path, written
 
 #: Byte -> byte: letters lowered, tab to blank, marks that end a piece to a byte that no text in UTF-8 has.
 _END = 0xFF
@@ -50,9 +50,10 @@ class _Local(dict):
         return n
 
 
-_CHUNK = "chunk long, local int, n long, ids binary"
-_WORDS = f"{_CHUNK}, lang string, word string"
-_PAIRS = f"{_CHUNK}, a long, b long"
+_ROW = "place long, n int, ids binary"
+_WORDS = f"{_ROW}, lang string, word string"
+_PAIRS = f"{_ROW}, a long, b long"
+_ZIPPED = {"compression": "zstd"}
 
 
 def _arrow(schema: str, **columns) -> pa.RecordBatch:
@@ -63,11 +64,12 @@ def _arrow(schema: str, **columns) -> pa.RecordBatch:
 
 
 def _packed(chunk: int, ids: np.ndarray, schema: str) -> pa.RecordBatch:
-    return _arrow(schema, chunk=[chunk], ids=[np.ascontiguousarray(ids, np.int32).tobytes()])
+    return _arrow(schema, place=[chunk << _LOCAL], ids=[np.ascontiguousarray(ids, np.int32).tobytes()])
 
 
 def chunks(docs: DataFrame, cfg: PhraseConfig) -> DataFrame:
-    """Texts as chunks of words' numbers, a row (chunk, ids) each, with 0 where a piece ends; and a row (chunk, local, n, lang, word) for each of its words."""
+    """Texts as chunks of words' numbers, a row (place, ids) each, with 0 where a piece ends; and a row (place, n, lang, word) for
+    each of its words. A place is a chunk and a number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << _CHUNKS
@@ -79,7 +81,7 @@ def chunks(docs: DataFrame, cfg: PhraseConfig) -> DataFrame:
             n = np.bincount(ids, minlength=len(names) + 1)[1:]
             for k in range(0, len(names), 50_000):
                 part = names[k : k + 50_000]
-                yield _arrow(_WORDS, chunk=[chunk] * len(part), local=range(k + 1, k + len(part) + 1), n=n[k : k + len(part)], lang=[x for x, _ in part], word=[w.decode("utf-8", "replace") for _, w in part])
+                yield _arrow(_WORDS, place=(chunk << _LOCAL) + np.arange(k + 1, k + len(part) + 1), n=n[k : k + len(part)], lang=[x for x, _ in part], word=[w.decode("utf-8", "replace") for _, w in part])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -97,13 +99,12 @@ def chunks(docs: DataFrame, cfg: PhraseConfig) -> DataFrame:
         released()
 
     texts = in_small_batches(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''"))
-    return written(texts.mapInArrow(run, _WORDS), "chunks")
+    return texts.mapInArrow(run, _WORDS)
 
 
 def paired(arrays: DataFrame, names: DataFrame, last: bool) -> DataFrame:
-    """The next level: of chunks of numbers (chunk, ids) and the names (chunk, local, id) of those that are frequent, chunks of the
-    numbers of pairs of frequent neighbours (not for the last level), and a row (chunk, local, n, a, b) for each pair, of the names
-    a and b."""
+    """The next level: of chunks of numbers (place, ids) and the names (place, id) of those that are frequent, chunks of the numbers
+    of pairs of frequent neighbours (not for the last level), and a row (place, n, a, b) for each pair, of the names a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (chunk,), parts in grouped(batches, 1):
@@ -125,22 +126,24 @@ def paired(arrays: DataFrame, names: DataFrame, last: bool) -> DataFrame:
             a, b = held[pairs // (len(places) + 1) - 1], held[pairs % (len(places) + 1) - 1]
             for k in range(0, len(pairs), 50_000):
                 part = slice(k, k + 50_000)
-                yield _arrow(_PAIRS, chunk=np.full(len(a[part]), chunk), local=np.arange(k + 1, k + len(a[part]) + 1), n=n[part], a=a[part], b=b[part])
+                yield _arrow(_PAIRS, place=(chunk << _LOCAL) + np.arange(k + 1, k + len(a[part]) + 1), n=n[part], a=a[part], b=b[part])
         released()
 
     none = lambda kind: F.lit(None).cast(kind)
-    rows = arrays.select("chunk", none("int").alias("local"), none("long").alias("id"), "ids").unionByName(names.select("chunk", "local", "id", none("binary").alias("ids")))
-    return written(rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, _PAIRS), "pairs", records=50_000)
+    chunk, local = F.shiftright("place", _LOCAL), F.col("place").bitwiseAND(F.lit((1 << _LOCAL) - 1)).cast("int")
+    rows = arrays.select(chunk.alias("chunk"), none("int").alias("local"), none("long").alias("id"), "ids")
+    rows = rows.unionByName(names.select(chunk.alias("chunk"), local.alias("local"), "id", none("binary").alias("ids")))
+    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, _PAIRS)
 
 
 def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Of rows (chunk, local, n, keys) those whose keys occur at least `least` times in all chunks, with f, how often, and id, one for
-    each key: the chunk and place of its first. A key has a row in a chunk at most, so no task gets more rows of it than there are chunks."""
-    here = F.shiftleft("chunk", _LOCAL).bitwiseOR(F.col("local").cast("long"))
+    """Of rows (place, n, keys) those whose keys occur at least `least` times in all chunks: (place, id), and f, how often, with the
+    keys in the first of them, whose place is the id. A key has a row in a chunk at most, so no task gets more rows of it than
+    there are chunks."""
     over = W.partitionBy(*keys)
-    counted = rows.where("ids is null").select("chunk", "local", *keys, F.sum("n").over(over).alias("f"), F.min(here).over(over).alias("id"), here.alias("_here"))
-    kept = counted.where(F.col("f") >= least).withColumn("first", F.col("id") == F.col("_here")).drop("_here")
-    return written(kept, "names")
+    counted = rows.where("ids is null").select("place", "n", *keys).withColumn("f", F.sum("n").over(over)).withColumn("id", F.min("place").over(over))
+    first = F.col("place") == F.col("id")
+    return counted.where(F.col("f") >= least).select("place", "id", *(F.when(first, F.col(c)).alias(c) for c in ("f", *keys)))
 
 
 def _parents(level: DataFrame, below: DataFrame, *columns: str) -> DataFrame:
@@ -190,16 +193,27 @@ def phrases(docs: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
     one with that name; repeated rows count each; a text longer than a chunk is a chunk of its own; equal scores are in the
     order of frequency, then of the phrase's bytes; other columns are ignored; a table without frequent phrases gives no rows.
     """
-    first = chunks(docs, cfg)
-    words = named(first, ["lang", "word"], cfg.least)
-    totals = first.where("ids is null").groupBy("lang").agg(F.sum("n").alias("n"))
-    arrays, names, levels = first, words, []
+    spark, held = docs.sparkSession, []
+
+    def step(df: DataFrame, name: str, records: int | None = None) -> DataFrame:
+        """df, stored; of what is stored this way the last three tables are kept."""
+        held.append(scratch_path(spark, name))
+        out = written(df, name, held[-1], records, _ZIPPED)
+        discard(spark, *held[:-3])
+        del held[:-3]
+        return out
+
+    arrays = step(chunks(docs, cfg), "chunks")
+    totals = written(arrays.where("ids is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    names = step(named(arrays, ["lang", "word"], cfg.least), "names")
+    words, levels = written(names.where("f is not null").select("id", "lang", "word", "f"), "words"), []
     for k in range(2, cfg.longest + 1):
-        pairs = paired(arrays.where("ids is not null").select("chunk", "ids"), names, k == cfg.longest)
-        arrays, names = pairs, named(pairs, ["a", "b"], cfg.least)
-        levels.append(names.where("first").select("id", "a", "b", "f"))
+        arrays = step(paired(arrays.where("ids is not null").select("place", "ids"), names, k == cfg.longest), "pairs", 50_000)
+        names = step(named(arrays, ["a", "b"], cfg.least), "names")
+        levels.append(written(names.where("f is not null").select("id", "a", "b", "f"), "level"))
+    discard(spark, *held)
     # of each name: head and tail are its first and last word; front and back its first and last words but one, by how often they occur
-    known = words.where("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", F.array().cast("array<long>").alias("fronts"), F.array().cast("array<long>").alias("backs"))
+    known = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", F.array().cast("array<long>").alias("fronts"), F.array().cast("array<long>").alias("backs"))
     found = []
     for level in levels:
         rows = _parents(level, known, "lang", "phrase", "tail", "f", "fronts", "backs")

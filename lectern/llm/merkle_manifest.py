@@ -96,43 +96,43 @@ def path(tree: list[list[str]], at: int, fanout: int) -> list[tuple[str, str]]:
     return out
 
 
-_STEP = "g string, r long, up long, before array<string>, behind array<string>, digest string, done int, height int"
-_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32())
+_STEP = "g string, r long, up long, before array<string>, behind array<string>, digest string, done int, height int, node string, doc_id long, tampered string"
+_KINDS = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string())
 
 
 def _step(nodes: DataFrame, cfg: MerkleConfig) -> DataFrame:
     """Nodes (g, r, digest, done, height) whose ranks share all but their last digits, cfg.levels of them, are reduced to one.
 
-    Returns each node's path within its subtree, the subtree's rank (up) and, with its first node, its digest. done: levels
-    reduced so far; height: of the group's tree.
+    Returns each node with its path within its subtree, the subtree's rank (up) and, with its first node, its digest. done:
+    levels reduced so far; height: of the group's tree. doc_id and tampered, of leaves, go along.
     """
     fanout = cfg.fanout
     levels = F.least(F.lit(cfg.levels), F.col("height") - F.col("done"))
     width = F.pow(F.lit(fanout), levels).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rows = None, [], []
+        now, held, others, rows = None, [], [], []
 
         def reduced() -> None:
             g, up, levels, done, height = now
             tree = subtree(held, fanout, levels)
-            for k in range(len(held)):
-                steps = path(tree, k, fanout)
-                rows.append((g, up * fanout**levels + k, up, [b for b, _ in steps], [a for _, a in steps], None if k else tree[-1][0], done + levels, height))
+            for k, (steps, more) in enumerate(zip((path(tree, k, fanout) for k in range(len(held))), others)):
+                rows.append((g, up * fanout**levels + k, up, [b for b, _ in steps], [a for _, a in steps], None if k else tree[-1][0], done + levels, height, held[k], *more))
 
         def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], [c.split()[0] for c in _STEP.split(", ")])
 
         for batch in batches:
-            for *key, node in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, node, doc, changed in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != now:
                     if held:
                         reduced()
                     if len(rows) >= 2048:
                         yield batch_of()
                         rows.clear()
-                    now, held = key, []
+                    now, held, others = key, [], []
                 held.append(node)
+                others.append((doc, changed))
         if held:
             reduced()
         if rows:
@@ -140,11 +140,12 @@ def _step(nodes: DataFrame, cfg: MerkleConfig) -> DataFrame:
 
     dealt = nodes.withColumn("levels", levels).withColumn("up", F.call_function("div", F.col("r"), width))
     dealt = dealt.repartition("g", "up").sortWithinPartitions("g", "up", "r")
-    return dealt.select("g", "up", "levels", "done", "height", "digest").mapInArrow(run, _STEP)
+    return dealt.select("g", "up", "levels", "done", "height", "digest", "doc_id", "tampered").mapInArrow(run, _STEP)
 
 
 def reduced(leaves: DataFrame, cfg: MerkleConfig) -> tuple[DataFrame, DataFrame]:
-    """((g, root), (g, r, before, behind)): the roots of the groups' trees over leaves (g, r, digest), and each leaf's path.
+    """((g, root), leaves): the roots of the groups' trees over leaves (g, r, digest, doc_id, tampered), and the leaves, each as
+    node with its path (before, behind).
 
     A step reduces subtrees of up to fanout ** levels nodes that share the longest prefix of their ranks' digits, so there is
     one for each `levels` levels; then paths are joined from the root down, subtree by subtree.
@@ -152,22 +153,23 @@ def reduced(leaves: DataFrame, cfg: MerkleConfig) -> tuple[DataFrame, DataFrame]
     sizes = leaves.groupBy("g").agg(F.count("*").alias("n"))
     powers = [cfg.fanout**k for k in range(63) if cfg.fanout**k < 1 << 63]
     height = reduce(Column.__add__, (F.when(F.col("n") > F.lit(p), 1).otherwise(0) for p in powers))
-    nodes = leaves.join(sizes.select("g", height.cast("int").alias("height")), "g").select("g", "r", "digest", F.lit(0).alias("done"), "height")
+    nodes = leaves.join(sizes.select("g", height.cast("int").alias("height")), "g").select("g", "r", "digest", F.lit(0).alias("done"), "height", "doc_id", "tampered")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("tampered", "string"))]
     steps, roots = [], []
     while True:
         step = written(_step(nodes, cfg), "merkle_step")
         steps.append(step)
         up = step.where("digest is not null")
         roots.append(up.where("done = height").select("g", F.col("digest").alias("root")))
-        nodes = up.where("done < height").select("g", F.col("up").alias("r"), "digest", "done", "height")
+        nodes = up.where("done < height").select("g", F.col("up").alias("r"), "digest", "done", "height", *none)
         if nodes.isEmpty():
             break
-    paths = steps[-1].select("g", "r", "before", "behind")
+    kept, empty = ("g", "r", "node", "doc_id", "tampered"), F.array().cast("array<string>")
+    paths = steps[-1].select(*kept, "before", "behind")
     for step in reversed(steps[:-1]):
         above = paths.select("g", F.col("r").alias("up"), F.col("before").alias("b"), F.col("behind").alias("a"))
-        none = F.array().cast("array<string>")
-        joined = step.join(above, ["g", "up"], "left")
-        paths = joined.select("g", "r", F.concat("before", F.coalesce("b", none)).alias("before"), F.concat("behind", F.coalesce("a", none)).alias("behind"))
+        both = [F.concat(own, F.coalesce(more, empty)).alias(own) for own, more in (("before", "b"), ("behind", "a"))]
+        paths = step.join(above, ["g", "up"], "left").select(*kept, *both)
     return reduce(DataFrame.unionByName, roots), paths
 
 
@@ -193,12 +195,12 @@ def manifest(docs: DataFrame, cfg: MerkleConfig = MerkleConfig(), tampered: Colu
     rows = docs.select(columns[0].alias("doc_id"), g.alias("g"), leaf(columns).alias("leaf"), (F.lit(None).cast("string") if tampered is None else tampered).alias("tampered"))
     stored = written(rows.withColumn("row", F.monotonically_increasing_id()), "leaves")
     keyed = stored.select("g", sort_key(F.col("doc_id"), F.col("leaf"), F.col("row")).alias("key"), "doc_id", "leaf", "tampered")
-    leaves = written(ranked(keyed, cfg).drop("key"), "ranked_leaves")
-    subroots, paths = reduced(leaves.select("g", "r", F.col("leaf").alias("digest")), cfg)
+    leaves = ranked(keyed, cfg).select("g", "r", F.col("leaf").alias("digest"), "doc_id", "tampered")
+    subroots, paths = reduced(written(leaves, "ranked_leaves"), cfg)
     tops = written(ranks(subroots, [], ["g"]).select("g", (F.col("rank") - 1).cast("long").alias("r"), "root"), "subroots")
-    roots, upper = reduced(tops.select(F.lit("").alias("g"), "r", F.col("root").alias("digest")), cfg)
+    roots, upper = reduced(tops.select(F.lit("").alias("g"), "r", F.col("root").alias("digest"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("tampered")), cfg)
     above = tops.join(upper.select("r", F.col("before").alias("b"), F.col("behind").alias("a")), "r").select("g", F.col("root").alias("subroot"), "b", "a")
-    whole = leaves.join(paths, ["g", "r"]).join(above, "g").join(F.broadcast(roots.select("root")))  # one root
+    whole = paths.join(above, "g").join(F.broadcast(roots.select("root"))).withColumnRenamed("node", "leaf")  # one root
     before, behind = F.concat("before", "b"), F.concat("behind", "a")
     proof = F.sha2(F.array_join(F.transform(F.arrays_zip(before.alias("b"), behind.alias("a")), lambda x: F.concat(x["b"], x["a"])), ""), 256)
     found = whole.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), before, behind).alias("folded_root"))
