@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 from lectern.llm.shared import components, grouped, in_small_batches, partitions_for, written
 
-_SLACK = 1e-9
+#: More than bounds can be off: a distance from a cosine near 1 has an error of 1.5e-8. Nodes within it of the threshold are
+#: parted until cosines decide.
+_SLACK = 1e-6
 #: More than a single-precision product of unit vectors can be off.
 _SCREEN = 1e-4
 
@@ -110,7 +112,7 @@ class CoverTree:
         def add(members: np.ndarray, level: int) -> int:
             node, c = len(tree.center), int(members[0])
             tree.center.append(c)
-            tree.radius.append(0.0 if len(members) == 1 else float(_apart(x[members] @ x[c]).max()))
+            tree.radius.append(0.0 if len(members) == 1 else float(np.linalg.norm(x[members] - x[c], axis=1).max()))
             tree.lo.append(len(order))
             tree.hi.append(len(order) + len(members))
             tree.children.append([])

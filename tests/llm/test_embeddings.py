@@ -79,3 +79,25 @@ def test_query(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     expected = brute([(r.vec_id, list(r.embedding)) for r in table])
     assert {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op10_embedding_dedup"](spark, SF).collect()} == expected
+
+
+def near_threshold(spread, seed):
+    """Tight clusters whose members lie on both sides of the threshold from each other, and the case of three vectors in a plane."""
+    rng, reach = np.random.default_rng(seed), float(np.sqrt(0.2))
+    turned = lambda chord: 2 * np.arcsin(chord / 2)
+    rows = []
+    for c in range(6):
+        base = rng.uniform(0, 2 * np.pi)
+        angles = [base + a for a in rng.normal(size=6) * spread] + [base + turned(reach) + a for a in rng.normal(size=6) * spread]
+        rows += [[np.cos(a), np.sin(a)] + [0.0] * c for a in angles]
+    for first, second in ((8e-9, 5e-9), (-8e-9, -5e-9)):
+        rows += [[np.cos(a), np.sin(a)] + [0.0] * 7 for a in (0.0, first, turned(reach + second))]
+    return [(k, [float(x) for x in v]) for k, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("spread", [1e-9, 1e-8, 1e-7, 1e-6])
+def test_links_at_the_threshold_are_decided_by_cosine(spark, spread):
+    rows = near_threshold(spread, 5)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(spark.createDataFrame([(*r, "") for r in rows], SCHEMA), EmbeddingConfig()).collect()}
+    assert got == brute(rows)
+    assert len({n for n, _ in got.values()}) > 2
