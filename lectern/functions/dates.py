@@ -20,6 +20,11 @@ def cutoff(as_of: str, days: int) -> Column:
     return moment(as_of) - F.make_dt_interval(F.lit(days))
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time without zone."""
+    return F.timestamp_diff("MICROSECOND", moment("1970-01-01 00:00:00"), ts.cast("timestamp_ntz"))
+
+
 def age_days(ts: Column, as_of: str) -> Column:
     """Days since ts with their fraction, not below zero."""
     seconds = F.timestamp_diff("MICROSECOND", ts.cast("timestamp_ntz"), moment(as_of)) / F.lit(1e6)

@@ -32,7 +32,7 @@ def _cosines(batch: pa.RecordBatch, q: np.ndarray, q_scale: np.ndarray) -> np.nd
     return (x.astype(np.int32) @ q.T.astype(np.int32)) * scale.astype(np.float64)[:, None] * q_scale.astype(np.float64)
 
 
-def _scanned(embeddings: DataFrame) -> DataFrame:
+def scanned(embeddings: DataFrame) -> DataFrame:
     """What a scan reads: stored whole numbers if there are any, else vectors."""
     if "q" in embeddings.columns:
         return embeddings.where("q is not null").select("paper_id", "q", "scale")
@@ -53,7 +53,7 @@ def scores(embeddings: DataFrame, anchors: list[list[float]]) -> DataFrame:
                 cosine, ids = _cosines(batch, q, q_scale), batch.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(q))), pa.array(np.tile(np.arange(len(q), dtype=np.int32), len(ids))), pa.array(cosine.ravel())], ["paper_id", "anchor", "cosine"])
 
-    return _scanned(embeddings).mapInArrow(run, "paper_id long, anchor int, cosine double")
+    return scanned(embeddings).mapInArrow(run, "paper_id long, anchor int, cosine double")
 
 
 def anchor_scores(embeddings: DataFrame, anchors: list[list[float]], experience: list[float] | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def anchor_scores(embeddings: DataFrame, anchors: list[list[float]], experience:
                 own = pa.array(cosine[:, n]) if experience is not None else pa.nulls(batch.num_rows, pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(cosine[:, :n].max(axis=1)), own], ["paper_id", "score", "best", "e"])
 
-    return _scanned(embeddings).mapInArrow(run, "paper_id long, score double, best double, e double")
+    return scanned(embeddings).mapInArrow(run, "paper_id long, score double, best double, e double")
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:

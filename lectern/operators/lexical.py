@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, text
+from lectern.operators import dml
+from lectern.sources.artifacts import publish, published
+from lectern.tables import stored
 
 K1, B = 1.2, 0.75
 MOST_TF = 255
@@ -59,57 +63,161 @@ def _weight():
     return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
+def _summed(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("query_id", "paper_id").agg(F.sum("w").alias("score"))
+
+
 def _ranked(weights: DataFrame, top: int | None) -> DataFrame:
-    sums = weights.groupBy("query_id", "paper_id").agg(F.sum("w").alias("score"))
+    return best_of(_summed(weights), top)
+
+
+def best_of(sums: DataFrame, top: int | None) -> DataFrame:
+    """The `top` best of each query's sums (query_id, paper_id, score), with their rank."""
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "paper_id")
     ranked = sums.withColumn("rank", F.row_number().over(order))
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("query_id", "paper_id", "score", "rank")
 
 
 BUCKETS = 64
+#: Distinct terms up to which a search names them to the scan; more are joined.
+MOST_NAMED = 10_000
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings (bucket, term, paper_id, tf, dl, df), stored by bucket and sorted by term; terms (term, df); stats (n, avgdl), one row."""
+    """What a search reads, over all segments of an index: postings (segment, bucket, term, paper_id, tf, dl), stored by bucket and
+    sorted by term and paper; terms (term, df); stats (n, avgdl), one row; gone (segment, paper_id), rows that later segments replace."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    gone: DataFrame
+
+
+_POSTING = "bucket int, term string, paper_id long, tf int, dl int"
+_FORWARD = "paper_id long, dl int, terms array<string>"
+_LIST = "segment string, n long, total long, papers long"
+_GONE = "segment string, paper_id long"
 
 
 def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build_index(papers: DataFrame, path: str) -> None:
-    """Write the index of some papers. Each posting carries its paper's length and its term's frequency, so that a search
-    joins nothing but its terms; the mark of a finished index is written last."""
+def _parsed(papers: DataFrame) -> DataFrame:
+    return papers.select("paper_id", text.tokens(text.document_text(F.col("title"), F.col("abstract"), " ")).alias("ts"))
+
+
+def _segment(papers: DataFrame, root: str) -> DataFrame:
+    """Write the postings of papers, and their terms by paper; returns the latter. Postings are dealt by range of bucket, term and
+    paper, so that a term that every paper has is in many files."""
     spark = papers.sparkSession
-    parsed = papers.select("paper_id", text.tokens(text.document_text(F.col("title"), F.col("abstract"), " ")).alias("ts"))
-    counted = parsed.select("paper_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "paper_id", "dl").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
-    counted.write.mode("overwrite").parquet(f"{path}/counts")
-    counts = spark.read.schema(counted.schema).parquet(f"{path}/counts")
-    counts.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    whole = counts.join(spark.read.parquet(f"{path}/terms"), "term").withColumn("bucket", _bucket("term"))
-    whole = whole.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term", "paper_id")
-    whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    corpus_stats(lengths(papers)).write.mode("overwrite").parquet(f"{path}/stats")
+    _parsed(papers).select("paper_id", F.size("ts").alias("dl"), F.col("ts").alias("terms")).write.parquet(f"{root}/papers")
+    forward = spark.read.schema(_FORWARD).parquet(f"{root}/papers")
+    counted = forward.select("paper_id", "dl", F.explode("terms").alias("term")).groupBy("term", "paper_id", "dl").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
+    whole = counted.withColumn("bucket", _bucket("term")).repartitionByRange("bucket", "term", "paper_id").sortWithinPartitions("bucket", "term", "paper_id")
+    whole.write.partitionBy("bucket").parquet(f"{root}/postings")
+    return forward
+
+
+def _frequencies(forward: DataFrame, sign: int) -> DataFrame:
+    return forward.select("paper_id", F.explode(F.array_distinct("terms")).alias("term")).select("term", F.lit(sign).cast("long").alias("df"))
+
+
+def build_index(papers: DataFrame, path: str) -> None:
+    """A new index of papers in place of the one at a path, as one segment. Readers see it once all of it is written."""
+    spark, name = papers.sparkSession, f"s{uuid.uuid4().hex}"
+    forward = _segment(papers, f"{path}/{name}")
+    _frequencies(forward, 1).groupBy("term").agg(F.sum("df").alias("df")).write.parquet(f"{path}/{name}/terms")
+    sums = forward.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+    _publish(spark, path, sums.select(F.lit(name).alias("segment"), "n", "total", F.col("n").alias("papers")), None)
+
+
+def update_index(spark: SparkSession, path: str, page: DataFrame, removed: DataFrame | None = None) -> None:
+    """The index at a path after an upsert of page, and without the papers (paper_id) of removed: a new segment.
+
+    Only the page is parsed. Papers that an earlier segment has are marked as gone there, and their terms, which it keeps by
+    paper, are taken off the frequencies: a segment's counts are what it adds less what it replaces, so they sum up.
+    """
+    listed, gone = _listed(spark, path)
+    name = f"s{uuid.uuid4().hex}"
+    forward = _segment(dml.first_of_page(page.select("paper_id", "title", "abstract"), "paper_id"), f"{path}/{name}")
+    changed = forward.select("paper_id") if removed is None else forward.select("paper_id").unionByName(removed.select("paper_id")).distinct()
+    changed = stored(changed, "changed")
+    old = [spark.read.schema(_FORWARD).parquet(f"{path}/{r.segment}/papers").select(F.lit(r.segment).alias("segment"), *_names(_FORWARD)) for r in listed]
+    live = reduce(DataFrame.unionByName, old).join(gone, ["segment", "paper_id"], "left_anti")
+    replaced = stored(live.join(changed, "paper_id", "left_semi"), "replaced")
+    frequencies = _frequencies(forward, 1).unionByName(_frequencies(replaced, -1)).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    frequencies.write.parquet(f"{path}/{name}/terms")
+    added, less = (df.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")) for df in (forward, replaced))
+    less = less.select(F.col("n").alias("_n"), F.col("total").alias("_total"))
+    row = added.crossJoin(less).select(F.lit(name).alias("segment"), (F.col("n") - F.col("_n")).alias("n"), (F.col("total") - F.col("_total")).alias("total"), F.col("n").alias("papers"))
+    _publish(spark, path, spark.createDataFrame(listed, _LIST).unionByName(row), gone.unionByName(replaced.select("segment", "paper_id")))
+
+
+def compact_index(spark: SparkSession, path: str, most: int = 8) -> bool:
+    """Merge all segments into one if there are more than `most`: postings of papers that are gone are left out, no text is parsed."""
+    listed, gone = _listed(spark, path)
+    if len(listed) <= most:
+        return False
+    index, name = open_index(spark, path), f"s{uuid.uuid4().hex}"
+    live = index.postings.join(gone, ["segment", "paper_id"], "left_anti").select(*_names(_POSTING))
+    live.repartitionByRange("bucket", "term", "paper_id").sortWithinPartitions("bucket", "term", "paper_id").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
+    old = [spark.read.schema(_FORWARD).parquet(f"{path}/{r.segment}/papers").select(F.lit(r.segment).alias("segment"), *_names(_FORWARD)) for r in listed]
+    reduce(DataFrame.unionByName, old).join(gone, ["segment", "paper_id"], "left_anti").select(*_names(_FORWARD)).write.parquet(f"{path}/{name}/papers")
+    index.terms.write.parquet(f"{path}/{name}/terms")
+    n, total = sum(r.n for r in listed), sum(r.total for r in listed)
+    _publish(spark, path, spark.createDataFrame([(name, n, total, n)], _LIST), None)
+    return True
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _publish(spark: SparkSession, path: str, listed: DataFrame, gone: DataFrame | None) -> None:
+    """A new list of segments. The tables of gone rows and of segments get names of their own; the list, one file, makes them seen."""
+    mark = uuid.uuid4().hex
+    (spark.createDataFrame([], _GONE) if gone is None else gone).write.parquet(f"{path}/gone-{mark}")
+    publish(spark, f"{path}/lists", listed.withColumn("gone", F.lit(mark)).coalesce(1))
+
+
+def _listed(spark: SparkSession, path: str) -> tuple[list[Row], DataFrame]:
+    """The newest list of segments, a row for each of a bounded number, and the rows gone from them."""
+    rows = published(spark, f"{path}/lists").orderBy("segment").collect()
+    return [Row(**{k: r[k] for k in _names(_LIST)}) for r in rows], spark.read.schema(_GONE).parquet(f"{path}/gone-{rows[0]['gone']}")
 
 
 def open_index(spark: SparkSession, path: str) -> LexicalIndex | None:
     """A stored index; None if there is none that was finished."""
-    try:
-        stats = spark.read.schema("n long, avgdl double").parquet(f"{path}/stats")
-    except AnalysisException:
+    if published(spark, f"{path}/lists") is None:
         return None
-    postings = spark.read.schema("term string, paper_id long, dl int, tf int, df long, bucket int").parquet(f"{path}/postings")
-    return LexicalIndex(postings, spark.read.schema("term string, df long").parquet(f"{path}/terms"), stats)
+    listed, gone = _listed(spark, path)
+    each = [spark.read.schema(_POSTING).parquet(f"{path}/{r.segment}/postings").select(F.lit(r.segment).alias("segment"), *_names(_POSTING)) for r in listed]
+    terms = [spark.read.schema("term string, df long").parquet(f"{path}/{r.segment}/terms") for r in listed]
+    n, total = sum(r.n for r in listed), sum(r.total for r in listed)
+    frequencies = terms[0] if len(terms) == 1 else reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    return LexicalIndex(reduce(DataFrame.unionByName, each), frequencies, spark.createDataFrame([(n, total / n if n else 1.0)], "n long, avgdl double"), gone)
 
 
-def search_index(index: LexicalIndex, queries: DataFrame, top: int | None, allowed: DataFrame | None = None) -> DataFrame:
-    """bm25 from a stored index: only the buckets of the queries' terms are read, and of these the terms' row groups."""
-    wanted = query_terms(queries).withColumn("bucket", _bucket("term"))
-    hits = index.postings.join(wanted, ["bucket", "term"])
+def search_sums(index: LexicalIndex, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, paper_id, score) of every paper that shares a term with a query.
+
+    The queries' terms, up to MOST_NAMED distinct ones, are named to the scan, which then opens the folders of their buckets and the
+    row groups that can hold them; more are joined.
+    """
+    wanted = stored(query_terms(queries), "terms")
+    named = [r.term for r in wanted.select("term").distinct().limit(MOST_NAMED + 1).collect()]
+    postings, terms = index.postings, index.terms
+    if len(named) <= MOST_NAMED:
+        buckets = [r.b for r in wanted.select(_bucket("term").alias("b")).distinct().collect()]
+        postings, terms = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(named)), terms.where(F.col("term").isin(named))
+    known = wanted.join(terms, "term").withColumn("bucket", _bucket("term"))
+    hits = postings.join(known, ["bucket", "term"]).join(index.gone, ["segment", "paper_id"], "left_anti")
     kept = hits if allowed is None else hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
-    return _ranked(kept.join(F.broadcast(index.stats)).select("query_id", "paper_id", _weight().alias("w")), top)
+    return _summed(kept.join(F.broadcast(index.stats)).select("query_id", "paper_id", _weight().alias("w")))
+
+
+def search_index(index: LexicalIndex, queries: DataFrame, top: int | None, allowed: DataFrame | None = None) -> DataFrame:
+    """bm25 from a stored index."""
+    return best_of(search_sums(index, queries, allowed), top)

@@ -61,29 +61,42 @@ def ranked_by_blend(blended: DataFrame, by: list[str] = []) -> DataFrame:  # noq
     return blended.withColumn("rank", F.row_number().over(order))
 
 
-def rerank_head(pool: DataFrame, depth: int, scorer: Column) -> DataFrame:
+def rerank_head(pool: DataFrame, depth: int, scorer: Column, by: Sequence[str] = ()) -> DataFrame:
     """The first `depth` papers reordered by a scorer, larger first; the tail keeps its order behind them."""
     tail = F.col("rank") > depth
-    order = W.orderBy(tail, F.desc(F.when(~tail, scorer)), "rank")
+    order = (W.partitionBy(*by) if by else W).orderBy(tail, F.desc(F.when(~tail, scorer)), "rank")
     return pool.withColumn("new_rank", F.row_number().over(order))
 
 
-def select_slots(pool: DataFrame, limit: int, experience: DataFrame | None) -> DataFrame:
-    """(paper_id, score, rank, is_wildcard): the best papers, and in the last two slots the least like the user's experience.
+def select_slots(pool: DataFrame, limit: int, experience: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, paper_id, score, rank, is_wildcard): the best papers, and in the last two slots the least like the user's experience.
 
-    pool has ranks from 1. Without experience, with a pool no larger than the limit, or a limit of two or less, the
-    best papers alone. Papers without an experience score come last among wildcards, in the pool's order.
+    pool has ranks from 1, within each group of by. Without experience, with a pool no larger than the limit, or a limit of two or
+    less, the best papers alone. Papers without an experience score come last among wildcards, in the pool's order.
     """
+    columns, keys = [*by, "paper_id", "score", "rank", "is_wildcard"], [*by, "paper_id"]
     plain = pool.where(F.col("rank") <= limit).withColumn("is_wildcard", F.lit(False))
     if experience is None or limit <= WILDCARD_SLOTS:
-        return plain.select("paper_id", "score", "rank", "is_wildcard")
+        return plain.select(*columns)
     head = limit - WILDCARD_SLOTS
-    known = pool.join(experience.select("paper_id", F.col("score").alias("e")), "paper_id", "left").withColumn("size", F.count("*").over(W.partitionBy()))
-    order = W.partitionBy(F.col("rank") <= head).orderBy(F.asc_nulls_last(F.round("e", 9)), "rank")
+    known = pool.join(experience.select(*keys, F.col("score").alias("e")), keys, "left").withColumn("size", F.count("*").over(W.partitionBy(*by)))
+    order = W.partitionBy(*by, F.col("rank") <= head).orderBy(F.asc_nulls_last(F.round("e", 9)), "rank")
     placed = known.withColumn("w", F.row_number().over(order))
     kept = placed.where(F.when(F.col("size") <= limit, F.col("rank") <= limit).otherwise((F.col("rank") <= head) | (F.col("w") <= WILDCARD_SLOTS)))
     wild = (F.col("size") > limit) & (F.col("rank") > head)
-    return kept.select("paper_id", "score", F.when(wild, head + F.col("w")).otherwise(F.col("rank")).cast("int").alias("rank"), wild.alias("is_wildcard"))
+    placed = F.when(wild, head + F.col("w")).otherwise(F.col("rank")).cast("int").alias("rank")
+    return kept.select(*by, "paper_id", "score", placed, wild.alias("is_wildcard"))
+
+
+def fuse_many(dense: DataFrame, lexical: DataFrame, top: int) -> DataFrame:
+    """fuse of each search: (query_id, paper_id, score, rrf, rank) from dense (query_id, paper_id, score, rank) and lexical
+    (query_id, paper_id, rank); score is null for papers found by words alone."""
+    keys = ["query_id", "paper_id"]
+    both = dense.select(*keys, "score", F.col("rank").alias("d")).join(lexical.select(*keys, F.col("rank").alias("l")), keys, "full")
+    part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 12)), F.asc_nulls_last("d"), F.asc("l"))
+    ranked = both.withColumn("rrf", part("d") + part("l")).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= top).select(*keys, "score", "rrf", "rank")
 
 
 def proximity(score: Column) -> Column:

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import dense, filters, lexical, ranking
+from lectern.functions import dates
+from lectern.operators import dense, dense_many, filters, lexical, ranking
 from lectern.operators.filters import Plan
 from lectern.operators.lexical import LexicalIndex
+from lectern.tables import stored
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,60 @@ def quick_search(papers: DataFrame, paper_categories: DataFrame, signals: DataFr
     return search(papers, paper_categories, signals, embeddings, Plan(anchor_text=prose, date_window_days=QUICK_DAYS), anchors, as_of, None, options)
 
 
+def gates(plans: DataFrame, as_of: str) -> DataFrame:
+    """plans (query_id, anchor_text, categories, date_window_days, require_no_code) with wanted, since, since_us and no_code: what
+    index_gate lets through, as values of a row. A window alone counts by whole days, with another filter to the microsecond."""
+    none = F.array().cast("array<string>")
+    some = (F.size(F.coalesce("categories", none)) > 0) | F.coalesce("require_no_code", F.lit(False))
+    exact = dates.moment(as_of) - F.make_dt_interval(F.col("date_window_days"))
+    since = F.when(F.col("date_window_days") > 0, F.when(some, exact).otherwise(dates.day_of(exact)))
+    rows = plans.select("query_id", "anchor_text", F.coalesce("categories", none).alias("wanted"), since.alias("since"), F.coalesce("require_no_code", F.lit(False)).alias("no_code"))
+    return rows.withColumn("since_us", dates.micros(F.col("since")))
+
+
+def search_many(papers: DataFrame, paper_categories: DataFrame, signals: DataFrame, embeddings: DataFrame, plans: DataFrame, anchors: DataFrame, as_of: str, options: SearchOptions = SearchOptions()) -> DataFrame:
+    """(query_id, paper_id, rank, score, is_wildcard, proximity): search for every row of plans at once, in a fixed number of jobs.
+
+    plans (query_id, anchor_text, categories, date_window_days, require_no_code); anchors (query_id, kind, vector): the primary
+    one, topics and at most one experience of each plan (dense_many.PRIMARY, TOPIC, EXPERIENCE). Gates are tested on what a scan
+    meets: on papers' vectors block by block, on papers that share a word before they are ranked. Each plan's rows are those of
+    search; a plan without an experience has no wildcards and no proximity, and one without candidates no rows.
+    """
+    limit = filters.checked_limit(options.limit)
+    size, keys = ranking.pool_size(limit), ["query_id", "paper_id"]
+    asked = gates(plans, as_of)
+    known = anchors.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("kind", "vector"))).alias("a"))
+    asked = stored(asked.join(known, "query_id").select(*asked.columns, F.col("a.kind").alias("kinds"), F.col("a.vector").alias("anchors")), "searches")
+    tags = paper_categories.groupBy("paper_id").agg(F.collect_set("category").alias("categories"))
+    facts = papers.select("paper_id", "published_utc", F.col("code_url").isNotNull().alias("coded")).join(tags, "paper_id", "left")
+    scanned = dense.scanned(embeddings).join(facts, "paper_id").withColumn("published_us", dates.micros(F.col("published_utc"))).drop("published_utc")
+    near = stored(dense_many.top_many(scanned, asked.select("query_id", "kinds", "anchors", "since_us", "no_code", "wanted"), size), "near")
+    pool = near.select(*keys, "score", "rank")
+    if options.hybrid:
+        queries = asked.select("query_id", F.col("anchor_text").alias("query_text"))
+        sums = lexical.bm25(papers, queries, None) if options.index is None else lexical.search_sums(options.index, queries)
+        open_ = F.col("since").isNull() & ~F.col("no_code") & (F.size("wanted") == 0)
+        free = sums.join(asked.where(open_).select("query_id"), "query_id", "left_semi").select(*keys, "score")
+        gate = asked.where(~open_).select("query_id", "since", "no_code", "wanted")
+        passed = (F.col("since").isNull() | (F.col("published_utc") >= F.col("since"))) & ~(F.col("no_code") & F.col("coded")) & ((F.size("wanted") == 0) | F.coalesce(F.arrays_overlap("wanted", "categories"), F.lit(False)))
+        held = sums.join(gate, "query_id").join(facts, "paper_id").where(passed).select(*keys, "score")
+        words = lexical.best_of(free.unionByName(held), size)
+        fused = stored(ranking.fuse_many(pool, words, size), "fused")
+        lone = dense_many.pair_scores(fused.where("score is null"), embeddings, asked)
+        near = near.select(*keys, "best", "e").unionByName(lone.select(*keys, "best", "e"))
+        pool = fused.join(lone.select(*keys, "best"), keys, "left").select(*keys, F.coalesce("score", "best", F.lit(0.0)).alias("score"), "rank")
+    if options.weights:
+        pool = ranking.ranked_by_blend(ranking.blend(pool.drop("rank"), papers, signals, as_of, **options.weights), ["query_id"]).select(*keys, "score", "rank")
+    if options.rerank is not None:
+        pool = ranking.rerank_head(pool.join(papers, "paper_id"), options.rerank_depth, options.rerank, ["query_id"]).select(*keys, "score", F.col("new_rank").alias("rank"))
+    own = asked.where(F.array_contains("kinds", dense_many.EXPERIENCE)).select("query_id")
+    experienced = near.join(own, "query_id", "left_semi").select(*keys, F.col("e").alias("score"))
+    slots = ranking.select_slots(pool.join(own, "query_id", "left_semi"), limit, experienced, ["query_id"])
+    plain = ranking.select_slots(pool.join(own, "query_id", "left_anti"), limit, None, ["query_id"])
+    every = slots.unionByName(plain).join(experienced.select(*keys, F.col("score").alias("e")), keys, "left")
+    return every.select(*keys, "rank", "score", "is_wildcard", ranking.proximity(F.col("e")).alias("proximity"))
+
+
 def interleaved_search(control: DataFrame, candidate: DataFrame, search_id: int, limit: int, seed: int = 0) -> DataFrame:
     """(rank, paper_id, variant): two searches of one request (paper_id, rank), drafted in turn, so that votes compare them."""
     side = lambda found, variant: found.select(F.lit(search_id).cast("long").alias("search_id"), F.lit(variant).alias("variant"), "rank", "paper_id")
