@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, text, vectors
-from lectern.operators import dense, filters, lexical, ranking
+from lectern.operators import dense, filters, lexical, ranking, vector_table
 from lectern.operators.filters import Plan
 from lectern.plans import accounts, browse, search
 from lectern.views import AS_OF, Corpus, sql
@@ -215,18 +215,18 @@ def _topped(rows: DataFrame, k: int) -> DataFrame:
 
 @query(f"WITH {_COS}, one AS (SELECT paper_id, cosine AS score FROM cs WHERE anchor = 7) " + _TOP.format("one", 50))
 def dense_topk_single(c: Corpus) -> DataFrame:
-    return _topped(dense.scores(c.embeddings, _anchors(c, [7])).select("paper_id", F.col("cosine").alias("score")), 50)
+    return vector_table.top(c.vectors, _anchors(c, [7]), 50).select("rank", "paper_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_COS} " + _TOP.format("ma", 50))
 def dense_topk_multi(c: Corpus) -> DataFrame:
-    return _topped(dense.anchor_scores(c.embeddings, _anchors(c, ANCHORS)).select("paper_id", "score"), 50)
+    return vector_table.top(c.vectors, _anchors(c, ANCHORS), 50).select("rank", "paper_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_COS} " + _TOP.format(f"(SELECT * FROM ma WHERE paper_id IN ({_CANDIDATES}))", 50))
 def dense_candidate_restricted(c: Corpus) -> DataFrame:
     allowed = filters.candidates(c.papers, c.paper_categories, PLAN, AS_OF)
-    return _topped(dense.anchor_scores(dense.restricted(c.embeddings, allowed), _anchors(c, ANCHORS)).select("paper_id", "score"), 50)
+    return _topped(dense.anchor_scores(dense.restricted(vector_table.rows(c.vectors), allowed), _anchors(c, ANCHORS)).select("paper_id", "score"), 50)
 
 
 @query("""WITH m AS (SELECT a.paper_id, list_transform(list_zip(a.vector, h.vector), lambda z: CAST(z[1] AS DOUBLE) * 0.75 + CAST(z[2] AS DOUBLE) * 0.25) AS v FROM paper_embeddings a, paper_embeddings h WHERE h.paper_id = 3),

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import dates, jsons, text, vectors
-from lectern.operators import dense, dml, filters, lexical, ranking
+from lectern.operators import dense, dml, filters, lexical, ranking, vector_table
 from lectern.plans import accounts, evaluation, search, workflow
 from lectern.queries import _COS, _DRAFT, _LEX_ONE, _QUANT, _TERMS, ANCHORS, _anchors, query
 from lectern.queries_reports import _METRICS, _RUNS, _item_judgments, _runs
+from lectern.sources import connectors
+from lectern.sources.artifacts import published
 from lectern.streaming import ingest
+from lectern.streaming.queue import WorkQueue
 from lectern.tables import scratch
 from lectern.views import AS_OF, Corpus
 
@@ -78,7 +81,7 @@ ch AS (SELECT query_id, paper_id, score, e, known, CASE WHEN known AND size > 50
 
 
 def _search_many(c: Corpus) -> DataFrame:
-    return search.search_many(c.papers, c.paper_categories, c.signals, c.embeddings, _plans(c), _plan_anchors(c), AS_OF, search.SearchOptions(limit=50, index=c.lexicon))
+    return search.search_many(c.papers, c.paper_categories, c.signals, vector_table.rows(c.vectors), _plans(c), _plan_anchors(c), AS_OF, search.SearchOptions(limit=50, index=c.lexicon))
 
 
 @query(f"WITH {_MANY} SELECT query_id, CAST(rank AS INT) AS rank, paper_id, round(score, 6) AS score, is_wildcard, CASE WHEN e >= 0.45 THEN 'close' WHEN e < 0.25 THEN 'stretch' END AS proximity FROM ch")
@@ -336,6 +339,68 @@ def event_log_stream(c: Corpus) -> DataFrame:
     return c.spark.read.schema(rows.schema).parquet(f"{base}/log").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT primary_category AS category, max(published_utc) AS high_water_mark_utc, (SELECT count(*) FROM papers) AS papers, (SELECT count(DISTINCT paper_id) FROM papers) AS added FROM papers GROUP BY primary_category""")
+def ingestion_loop(c: Corpus) -> DataFrame:
+    """A run over all languages as categories, from no marks, and a second one from the first's: marks, papers and what was added in all."""
+    base, schema = scratch(c.spark, "ingestion"), c.papers.select("paper_id", "title", "published_utc").schema
+    categories = c.papers.select(F.col("primary_category").alias("category")).distinct()
+    fetch = lambda category, since: c.papers.where((F.col("primary_category") == category) & (F.col("published_utc") >= F.lit(since)))
+    for name in ("first", "second"):
+        ingest.ingest_run(c.spark, base, categories, fetch, AS_OF, "paper_id", schema, "published_utc", 400, name)
+    counted = published(c.spark, f"{base}/papers").agg(F.count("*").alias("papers"))
+    added = published(c.spark, f"{base}/runs").agg(F.sum("added").alias("added"))
+    return published(c.spark, f"{base}/marks").crossJoin(counted).crossJoin(added)  # of one row each
+
+
+@query("SELECT doc_id AS id, 1 AS attempts FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id % 3 = 1")
+def work_queue(c: Corpus) -> DataFrame:
+    """All documents as work items: a third done at first delivery, a third at the second, which comes when its retry is due; the rest waits."""
+    schema = c.documents.select(F.col("doc_id").alias("id"), F.lit(0).alias("attempts")).schema
+    queue = WorkQueue(c.spark, scratch(c.spark, "queue"), schema, "id", retry=10.0)
+    queue.add(c.documents.select(F.col("doc_id").alias("id"), F.lit(0).alias("attempts")))
+    for now, kinds in ((0.0, "id % 3 = 0"), (5.0, "id % 3 = 1"), (11.0, "id % 3 = 1")):
+        queue.deliver(lambda d, k=kinds: d.where(k).select("id", (F.col("attempts") + 1).alias("attempts")), now)
+    return queue.results()
+
+
+@query("SELECT lang AS token_of, count(*) AS pages, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
+def harvested_pages(c: Corpus) -> DataFrame:
+    """Every document as a page of one recorded harvest, each naming the next, streamed page by page and counted from what arrived."""
+    base = scratch(c.spark, "harvest")
+    ranked = ranking.ranks(c.documents.select("doc_id", "lang", "n_chars"), [], ["doc_id"])
+    token = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    own, following = F.when(F.col("rank") == 1, "").otherwise(token(F.col("rank"))), F.when(F.col("rank") < F.col("size"), token(F.col("rank") + 1))
+    pages = ranked.select(F.to_json(F.struct(own.alias("token"), F.coalesce(following, F.lit("")).alias("next"), F.to_json(F.struct("lang", "n_chars")).alias("body"))).alias("value"))
+    pages.write.text(f"{base}/pages")
+    c.spark.dataSource.register(connectors.HarvestStream)
+    rows = c.spark.readStream.format("harvest_pages").option("path", f"{base}/pages").load()
+    rows.writeStream.format("parquet").option("path", f"{base}/sink").option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    parsed = c.spark.read.schema("token string, body string").parquet(f"{base}/sink").select(F.from_json("body", "lang string, n_chars long").alias("b"))
+    return parsed.groupBy(F.col("b.lang").alias("token_of")).agg(F.count("*").alias("pages"), F.sum("b.n_chars").alias("chars"))
+
+
+@query("SELECT lang AS category, count(*) AS entries, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY lang")
+def paged_entries(c: Corpus) -> DataFrame:
+    """Every document as an entry of a paged service, a category for each language, its pages read by tasks of their own."""
+    base = scratch(c.spark, "service")
+    ranked = ranking.ranks(c.documents.select("lang", "doc_id"), ["lang"], ["doc_id"])
+    replies = ranked.groupBy("lang", F.floor((F.col("rank") - 1) / 50).alias("page")).agg(F.max("size").alias("total"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    replies.withColumn("category", F.col("lang")).write.partitionBy("lang", "page").json(f"{base}/replies")
+    c.spark.dataSource.register(connectors.PagedService)
+    categories = sorted(r.lang for r in c.documents.select("lang").distinct().collect())
+    rows = c.spark.read.format("paged_service").options(fetch="lectern.sources.connectors:stored_reply", at=f"{base}/replies", categories=",".join(categories), size=50, lanes=4).load()
+    return rows.groupBy("category").agg(F.count("*").alias("entries"), F.sum(F.col("entry").cast("long")).alias("ids"))
+
+
+@query("SELECT doc_id AS paper_id, q.item_id AS query_id, length(d.text) + length(q.text) AS score FROM documents d JOIN benchmark q ON q.item_id = d.doc_id % 40")
+def pairs_by_length(c: Corpus) -> DataFrame:
+    """Every document with a benchmark item, scored in batches of pairs of about one length by a stand-in for a cross-encoder."""
+    items = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pairs = c.documents.select(F.col("doc_id").alias("paper_id"), F.col("text").alias("passage"), (F.col("doc_id") % 40).alias("query_id")).join(items, "query_id")
+    scored = connectors.scored_by_length(pairs.select("query_id", "paper_id", "query", "passage"), lambda batch: [float(len(q) + len(p)) for q, p in batch], 32)
+    return scored.select("paper_id", "query_id", F.col("score").cast("long").alias("score"))
+
+
 @query(f"WITH {_TERMS} SELECT term, paper_id, tf, CAST(len(ws) AS INT) AS dl, df FROM tf JOIN docs USING (paper_id) JOIN df USING (term)")
 def stored_postings(c: Corpus) -> DataFrame:
     return c.lexicon.postings.join(c.lexicon.terms, "term").select("term", "paper_id", "tf", "dl", "df")

@@ -6,6 +6,8 @@ the same length, null where a row has no answer.
 
 from __future__ import annotations
 
+import hashlib
+import importlib
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -14,7 +16,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lectern.functions import text, vectors
 
@@ -120,11 +122,24 @@ def paged(fetch: Callable[[str, str, str, int, int], tuple[int, list]], category
             return
 
 
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _callable(name: str) -> Callable:
+    """What "module:name" names."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 class HarvestStream(DataSource):
-    """spark.readStream.format("harvest_pages"): a recorded harvest, page after page; the offset is the resumption token.
+    """spark.readStream.format("harvest_pages"): a harvest, page after page; the offset is the resumption token.
 
-    Option path: a folder with a file of JSON (token, next, body) for each page, the first with an empty token. A page is
-    durable in the sink before the checkpoint names the next token, so a run goes on where the last one stopped.
+    Options: path, a folder of files with a line of JSON (token, next, body) for each page, the first with an empty token; fetch,
+    "module:function" of a live service, called as harvest calls it. A live page is stored in path before an offset names it, so
+    after a failure it is read from there and not fetched again. The driver knows tokens and places; tasks read the bodies.
     """
 
     @classmethod
@@ -134,44 +149,176 @@ class HarvestStream(DataSource):
     def schema(self) -> str:
         return "token string, body string"
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _HarvestReader(self.options["path"])
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _HarvestReader(self.options["path"], self.options.get("fetch"), int(self.options.get("pages", 64)))
 
 
-class _HarvestReader(SimpleDataSourceStreamReader):
-    def __init__(self, path: str):
-        self.path = path
+class _HarvestReader(DataSourceStreamReader):
+    def __init__(self, path: str, fetch: str | None, pages: int):
+        self.path, self.fetch, self.pages = path, fetch, pages
+        self.index: dict[str, tuple[str, int, int, str]] = {}
+        self.seen: set[str] = set()
+        self.at = {"token": "", "done": False}
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"token": "", "done": False}
 
-    def _page(self, token: str) -> dict | None:
-        from pyarrow import fs
+    def _place(self, token: str) -> tuple[str, int, int, str] | None:
+        """Where a token's page is, and the next token: each file is opened once, when a token isn't known yet."""
+        if token not in self.index:
+            from pyarrow import fs
+
+            store, root = _store(self.path)
+            for found in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if found.is_file and found.path not in self.seen and found.base_name[0] not in "._":
+                    self.seen.add(found.path)
+                    with store.open_input_file(found.path) as f:
+                        at = 0
+                        for line in f.read().split(b"\n"):
+                            if line.strip():
+                                page = json.loads(line)
+                                self.index[page["token"] or ""] = (found.path, at, len(line), page["next"] or "")
+                            at += len(line) + 1
+        return self.index.get(token)
+
+    def _fetched(self, token: str) -> bool:
+        """Fetch and store a page of a live service."""
+        got: list = []
+
+        def once(asked: str | None) -> tuple[str, None]:
+            got[:] = _callable(self.fetch)(asked)
+            return got[0], None
+
+        next(harvest(once, token or None))
+        store, root = _store(self.path)
+        store.create_dir(root, recursive=True)
+        name = f"{root}/page-{hashlib.sha1(token.encode()).hexdigest()}.json"
+        with store.open_output_stream(f"{root}/.{name.rsplit('/', 1)[-1]}") as out:
+            out.write(json.dumps({"token": token, "next": got[1], "body": got[0]}).encode())
+        store.move(f"{root}/.{name.rsplit('/', 1)[-1]}", name)
+        return True
+
+    def latestOffset(self, *_) -> dict:  # noqa: N802
+        """All recorded pages from where this reader was, and of a live service one more."""
+        live = self.fetch is not None
+        while not self.at["done"]:
+            place = self._place(self.at["token"])
+            if place is None and live and self._fetched(self.at["token"]):
+                place, live = self._place(self.at["token"]), False
+            if place is None:
+                break
+            self.at = {"token": place[3], "done": not place[3]}
+        return self.at
 
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-        for found in store.get_file_info(fs.FileSelector(root)):
-            if found.is_file:
-                with store.open_input_file(found.path) as f:
-                    page = json.loads(f.read())
-                if page["token"] == token:
-                    return page
-        return None
-
-    def read(self, start: dict) -> tuple[Iterator[tuple[str, str]], dict]:
-        page = None if start["done"] else self._page(start["token"])
-        if page is None:
-            return iter([]), start
-        return iter([(page["token"], page["body"])]), {"token": page["next"] or "", "done": not page["next"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple[str, str]]:  # noqa: N802
-        while start != end:
-            rows, start = self.read(start)
-            yield from rows
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        places, now = [], dict(start)
+        while now != end and not now["done"]:
+            path, at, length, following = self._place(now["token"])
+            places.append((path, at, length))
+            now = {"token": following, "done": not following}
+        return [InputPartition(places[k : k + self.pages]) for k in range(0, len(places), self.pages)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
+        store, files = _store(self.path)[0], {}
+        for path, at, length in partition.value:
+            if path not in files:
+                files = {path: store.open_input_file(path)}  # pages of a file mostly follow each other
+            page = json.loads(files[path].read_at(length, at))
+            yield page["token"] or "", page["body"]
 
     def commit(self, end: dict) -> None:
         pass
 
 
+class PagedService(DataSource):
+    """spark.read.format("paged_service"): entries of a paged service, its pages as partitions.
+
+    Options: fetch, "module:function" called as paged calls it, with the other options as its last argument; categories, by commas;
+    since, until; size of a page; lanes: tasks that ask at a time; interval: seconds from one call to the next of all tasks. The first
+    page of each category says how many there are; the others are dealt over the lanes, each of which waits lanes x interval.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_service"
+
+    def schema(self) -> str:
+        return "category string, start int, entry string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ServiceReader(dict(self.options))
+
+
+class _ServiceReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options, self.size, self.lanes = options, int(options.get("size", 100)), int(options.get("lanes", 1))
+        self.interval = float(options.get("interval", 0.0))
+
+    def _asked(self, category: str, start: int, throttle: Throttle) -> tuple[int, list]:
+        """A page; one that comes empty although the total says there is more is asked for once again."""
+        for again in (True, False):
+            throttle.wait()
+            total, entries = _callable(self.options["fetch"])(category, self.options.get("since", ""), self.options.get("until", ""), start, self.size, self.options)
+            if entries or start >= total or not again:
+                break
+        return total, entries
+
+    def partitions(self) -> list[InputPartition]:
+        lanes, throttle, n = [[] for _ in range(self.lanes)], Throttle(self.interval), 0
+        for category in filter(None, self.options["categories"].split(",")):
+            total, entries = self._asked(category, 0, throttle)
+            lanes[n % self.lanes].append((category, 0, entries))
+            n += 1
+            for start in range(self.size, total, self.size):
+                lanes[n % self.lanes].append((category, start, None))
+                n += 1
+        return [InputPartition(lane) for lane in lanes if lane]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str]]:
+        throttle = Throttle(self.interval * self.lanes)
+        for category, start, entries in partition.value:
+            for entry in self._asked(category, start, throttle)[1] if entries is None else entries:
+                yield category, start, str(entry)
+
+
+def stored_reply(category: str, since: str, until: str, start: int, size: int, options: dict) -> tuple[int, list]:
+    """A recorded service: a folder lang=.../page=... with a reply (total, ids) for each page, in option at."""
+    from pyarrow import fs
+
+    store, root = _store(options["at"])
+    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{root}/lang={category}/page={start // size}", allow_not_found=True)) if f.base_name.endswith(".json")]
+    if not files:
+        return start, []
+    with store.open_input_file(files[0]) as f:
+        reply = json.loads(f.read())
+    return reply["total"], reply["ids"]
+
+
+def scored_by_length(pairs: DataFrame, call: Callable[[list[tuple[str, str]]], list[float]], size: int = 32, tasks: int | None = None) -> DataFrame:
+    """(query_id, paper_id, score, padded) of pairs (query_id, paper_id, query, passage), by call over batches of `size` pairs.
+
+    A cross-encoder pads a batch to its longest pair, so pairs are dealt and sorted by range of length, which puts pairs of about one
+    length in a batch. padded: by how much a pair's batch is longer than it. Null texts count as empty.
+    """
+    text_of = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = pairs.select("query_id", "paper_id", text_of("query").alias("query"), text_of("passage").alias("passage"))
+    rows = rows.withColumn("length", F.length("query") + F.length("passage"))
+    keys = ["length", "query_id", "paper_id"]
+    dealt = (rows.repartitionByRange(tasks, *keys) if tasks else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k in range(0, len(frame), size):
+                part = frame.iloc[k : k + size]
+                scores = list(call(list(zip(part["query"], part["passage"]))))
+                if len(scores) != len(part):
+                    raise ValueError(f"{len(part)} pairs were asked for, {len(scores)} came back")
+                yield pd.DataFrame({"query_id": part["query_id"], "paper_id": part["paper_id"], "score": scores, "padded": part["length"].max() - part["length"]})
+
+    kinds = dict(pairs.dtypes)
+    return dealt.mapInPandas(run, f"query_id {kinds['query_id']}, paper_id {kinds['paper_id']}, score double, padded int")
+
+
 class PagedSource(DataSource):
     """spark.read.format("paged_pages"): pages of a recorded service reply, one file each, dealt over tasks.
 

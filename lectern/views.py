@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.operators import lexical
+from lectern.operators import lexical, vector_table
 from lectern.plans import telemetry
 from lectern.tables import fingerprint, shared_dir, table
 
@@ -41,6 +41,14 @@ class Corpus:
             found = lexical.open_index(self.spark, path)
         return found
 
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """The blocks of the stored vector table, written when it is first asked for."""
+        path = f"{shared_dir(self.spark)}/vectors-{fingerprint(self.spark, self.folder.rstrip('/') + '/embeddings.parquet')}"
+        if vector_table.current(self.spark, path) is None:
+            vector_table.write(self.embeddings, path, "given")
+        return vector_table.current(self.spark, path)[1]
+
     @property
     def papers(self) -> DataFrame:
         number = F.col("doc_id").cast("string")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import dense_many, filters, lexical
+from lectern.operators import dense, dense_many, filters, lexical, vector_table
 from lectern.plans import search
 from lectern.tables import scratch
 
@@ -105,3 +105,21 @@ def test_stored_vectors_are_scanned_as_they_are(spark):
     searches = spark.createDataFrame([(k, [0, 2], [[1.0, 0.5, float(k), 0.0, 0.0], [0.0, 1.0, 1.0, 1.0, float(k)]], 5, False, None) for k in range(5)], "query_id long, kinds array<int>, anchors array<array<float>>, since_us long, no_code boolean, wanted array<string>")
     both = [sorted(map(tuple, dense_many.top_many(r, searches, 7, 16, 2).collect())) for r in (rows, stored)]
     assert both[0] == both[1] and len(both[0]) == 35 and min(r[1] for r in both[0]) >= 5
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_stored_blocks_give_the_same_best(spark, spread):
+    rng, path = random.Random(4), scratch(spark, "vectors")
+    centers = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(k, [x + rng.gauss(0, spread) for x in centers[k % 6]]) for k in range(400)] + [(k + 400, centers[0]) for k in range(5)] + [(900, None), (901, [0.0] * 8)]
+    embeddings = spark.createDataFrame(rows, "paper_id long, vector array<float>")
+    assert vector_table.current(spark, path) is None
+    blocks = vector_table.write(embeddings, path, "model a", block=16)
+    assert sorted(map(tuple, dense.scores(vector_table.rows(blocks), [centers[1]]).collect())) == sorted(map(tuple, dense.scores(embeddings, [centers[1]]).collect()))
+    for anchors in ([centers[0]], [centers[1], centers[2], rows[7][1]]):
+        got = [(r.paper_id, r["rank"], round(r.score, 9), round(r.best, 9)) for r in vector_table.top(blocks, anchors, 20).orderBy("rank").collect()]
+        every = dense.top(dense.anchor_scores(embeddings, anchors), 20)
+        assert got == [(r.paper_id, r["rank"], round(r.score, 9), round(r.best, 9)) for r in every.orderBy("rank").collect()]
+    vector_table.write(embeddings.where("paper_id < 3"), path, "model/b")
+    model, now = vector_table.current(spark, path)
+    assert model == "model/b" and vector_table.rows(now).count() == 3 and vector_table.rows(blocks).count() == 406
