@@ -9,11 +9,11 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import discard, grouped, in_small_batches, released, scratch_path, written
+from lectern.llm.shared import discard, exists, grouped, in_small_batches, released, scratch_path, settings, written
 
 #: Byte -> byte: letters lowered, tab to blank, marks that end a piece to a byte that no text in UTF-8 has.
 _END = 0xFF
@@ -26,7 +26,8 @@ _LOCAL, _CHUNKS = 31, 12
 class PhraseConfig:
     """least: occurrences of a phrase. longest: its words at most. covered: hundredths of a phrase's occurrences that a longer
     one must have to take its place. scale: of scores. top: phrases of a language. chunk_words: of a chunk, as far as documents
-    end there. salts: tasks that rank a language's phrases first."""
+    end there. salts: tasks that rank a language's phrases first. slice_words, most_slices: a step is
+    done in a slice for each so many words, up to so many, one after the other, so that its shuffle takes that part of the disk."""
 
     least: int = 30
     longest: int = 4
@@ -35,6 +36,30 @@ class PhraseConfig:
     top: int = 2000
     chunk_words: int = 1 << 21
     salts: int = 64
+    slice_words: int = 1 << 24
+    most_slices: int = 8
+
+
+class _Steps:
+    """A table that is written in slices, and dropped once it was used. kinds: rows with ids lie apart from the others."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str, kinds: bool = False):
+        self.spark, self.path, self.schema, self.kinds, self.n = spark, scratch_path(spark, name), schema, kinds, 0
+
+    def write(self, df: DataFrame, records: int | None = None) -> None:
+        values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "2"}
+        with settings(self.spark, values | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(records)} if records else {})):
+            rows = df.withColumn("kind", F.when(F.col("ids").isNull(), "rows").otherwise("ids")) if self.kinds else df
+            writer = rows.write.option("compression", "zstd")
+            (writer.partitionBy("kind") if self.kinds else writer).parquet(f"{self.path}/{self.n}")
+        self.n += 1
+
+    def read(self, kind: str | None = None) -> DataFrame:
+        found = [p for p in (f"{self.path}/{k}" + (f"/kind={kind}" if kind else "") for k in range(self.n)) if exists(self.spark, p)]
+        return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
+
+    def drop(self, kind: str | None = None) -> None:
+        discard(self.spark, *((f"{self.path}/{k}/kind={kind}" for k in range(self.n)) if kind else [self.path]))
 
 
 class _Local(dict):
@@ -53,7 +78,6 @@ class _Local(dict):
 _ROW = "place long, n int, ids binary"
 _WORDS = f"{_ROW}, lang string, word string"
 _PAIRS = f"{_ROW}, a long, b long"
-_ZIPPED = {"compression": "zstd"}
 
 
 def _arrow(schema: str, **columns) -> pa.RecordBatch:
@@ -141,7 +165,7 @@ def named(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     keys in the first of them, whose place is the id. A key has a row in a chunk at most, so no task gets more rows of it than
     there are chunks."""
     over = W.partitionBy(*keys)
-    counted = rows.where("ids is null").select("place", "n", *keys).withColumn("f", F.sum("n").over(over)).withColumn("id", F.min("place").over(over))
+    counted = rows.withColumn("f", F.sum("n").over(over)).withColumn("id", F.min("place").over(over))
     first = F.col("place") == F.col("id")
     return counted.where(F.col("f") >= least).select("place", "id", *(F.when(first, F.col(c)).alias(c) for c in ("f", *keys)))
 
@@ -193,25 +217,31 @@ def phrases(docs: DataFrame, cfg: PhraseConfig = PhraseConfig()) -> DataFrame:
     one with that name; repeated rows count each; a text longer than a chunk is a chunk of its own; equal scores are in the
     order of frequency, then of the phrase's bytes; other columns are ignored; a table without frequent phrases gives no rows.
     """
-    spark, held = docs.sparkSession, []
-
-    def step(df: DataFrame, name: str, records: int | None = None) -> DataFrame:
-        """df, stored; of what is stored this way the last three tables are kept."""
-        held.append(scratch_path(spark, name))
-        out = written(df, name, held[-1], records, _ZIPPED)
-        discard(spark, *held[:-3])
-        del held[:-3]
-        return out
-
-    arrays = step(chunks(docs, cfg), "chunks")
-    totals = written(arrays.where("ids is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    names = step(named(arrays, ["lang", "word"], cfg.least), "names")
-    words, levels = written(names.where("f is not null").select("id", "lang", "word", "f"), "words"), []
-    for k in range(2, cfg.longest + 1):
-        arrays = step(paired(arrays.where("ids is not null").select("place", "ids"), names, k == cfg.longest), "pairs", 50_000)
-        names = step(named(arrays, ["a", "b"], cfg.least), "names")
-        levels.append(written(names.where("f is not null").select("id", "a", "b", "f"), "level"))
-    discard(spark, *held)
+    spark = docs.sparkSession
+    table = _Steps(spark, "chunks", _WORDS, kinds=True)
+    table.write(chunks(docs, cfg))
+    totals = written(table.read("rows").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    slices = 1 + min(cfg.most_slices - 1, (totals.agg(F.sum("n")).first()[0] or 0) // cfg.slice_words)
+    names, keys, levels, words = None, ["lang", "word"], [], None
+    for k in range(1, cfg.longest + 1):
+        if k > 1:
+            pairs = _Steps(spark, "pairs", _PAIRS, kinds=True)
+            chunk = F.pmod(F.shiftright("place", _LOCAL), F.lit(slices))
+            for s in range(slices):
+                pairs.write(paired(table.read("ids").where(chunk == s), names.read().where(chunk == s), k == cfg.longest), 50_000)
+            table.drop(), names.drop()
+            table, keys = pairs, ["a", "b"]
+        rows = table.read("rows").select("place", "n", *keys)
+        names = _Steps(spark, "names", ", ".join(f"{c} {t}" for c, t in named(rows, keys, cfg.least).dtypes))
+        for s in range(slices):
+            names.write(named(rows.where(F.pmod(F.xxhash64(*keys), F.lit(slices)) == s), keys, cfg.least))
+        table.drop("rows")
+        first = written(names.read().where("f is not null").select("id", *keys, "f"), "level")
+        if k == 1:
+            words = first
+        else:
+            levels.append(first)
+    table.drop(), names.drop()
     # of each name: head and tail are its first and last word; front and back its first and last words but one, by how often they occur
     known = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", F.array().cast("array<long>").alias("fronts"), F.array().cast("array<long>").alias("backs"))
     found = []

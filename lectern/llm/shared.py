@@ -77,6 +77,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results that still read them must be stored before."""
     discard(spark, shared_dir(spark))
