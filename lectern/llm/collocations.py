@@ -37,7 +37,7 @@ class PhraseConfig:
     chunk_words: int = 1 << 21
     salts: int = 64
     slice_words: int = 1 << 24
-    most_slices: int = 8
+    most_slices: int = 4
 
 
 class _Steps:
