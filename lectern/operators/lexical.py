@@ -80,7 +80,7 @@ def best_of(sums: DataFrame, top: int | None) -> DataFrame:
 
 BUCKETS = 64
 #: Distinct terms up to which a search names them to the scan; more are joined.
-MOST_NAMED = 10_000
+MOST_NAMED = 1_000
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,7 @@ class LexicalIndex:
     terms: DataFrame
     stats: DataFrame
     gone: DataFrame
+    segments: int
 
 
 _POSTING = "bucket int, term string, paper_id long, tf int, dl int"
@@ -197,7 +198,7 @@ def open_index(spark: SparkSession, path: str) -> LexicalIndex | None:
     terms = [spark.read.schema("term string, df long").parquet(f"{path}/{r.segment}/terms") for r in listed]
     n, total = sum(r.n for r in listed), sum(r.total for r in listed)
     frequencies = terms[0] if len(terms) == 1 else reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    return LexicalIndex(reduce(DataFrame.unionByName, each), frequencies, spark.createDataFrame([(n, total / n if n else 1.0)], "n long, avgdl double"), gone)
+    return LexicalIndex(reduce(DataFrame.unionByName, each), frequencies, spark.createDataFrame([(n, total / n if n else 1.0)], "n long, avgdl double"), gone, len(listed))
 
 
 def search_sums(index: LexicalIndex, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -213,7 +214,9 @@ def search_sums(index: LexicalIndex, queries: DataFrame, allowed: DataFrame | No
         buckets = [r.b for r in wanted.select(_bucket("term").alias("b")).distinct().collect()]
         postings, terms = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(named)), terms.where(F.col("term").isin(named))
     known = wanted.join(terms, "term").withColumn("bucket", _bucket("term"))
-    hits = postings.join(known, ["bucket", "term"]).join(index.gone, ["segment", "paper_id"], "left_anti")
+    hits = postings.join(known, ["bucket", "term"])
+    if index.segments > 1:
+        hits = hits.join(index.gone, ["segment", "paper_id"], "left_anti")
     kept = hits if allowed is None else hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
     return _summed(kept.join(F.broadcast(index.stats)).select("query_id", "paper_id", _weight().alias("w")))
 
