@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -81,14 +81,22 @@ def best_of(sums: DataFrame, top: int | None) -> DataFrame:
 BUCKETS = 64
 #: Distinct terms up to which a search names them to the scan; more are joined.
 MOST_NAMED = 1_000
+#: Ids of papers to a block of a term's postings, each of which has bounds.
+BLOCK = 256
+#: A search for the best k first weighs a query's weightiest terms, until they have this many times k postings.
+PROBED = 4
+#: Scores are ranked as rounded to nine places; a paper this far below the k-th isn't among the best.
+_SLACK = 1e-8
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
     """What a search reads, over all segments of an index: postings (segment, bucket, term, paper_id, tf, dl), stored by bucket and
-    sorted by term and paper; terms (term, df); stats (n, avgdl), one row; gone (segment, paper_id), rows that later segments replace."""
+    sorted by term and paper; terms (term, df); stats (n, avgdl), one row; gone (segment, paper_id), rows that later segments replace; bounds (bucket, term, block, tf, slim), each block's largest tf and
+    smallest dl / tf."""
 
     postings: DataFrame
+    bounds: DataFrame
     terms: DataFrame
     stats: DataFrame
     gone: DataFrame
@@ -96,6 +104,7 @@ class LexicalIndex:
 
 
 _POSTING = "bucket int, term string, paper_id long, tf int, dl int"
+_BOUND = "bucket int, term string, block long, tf int, slim double"
 _FORWARD = "paper_id long, dl int, terms array<string>"
 _LIST = "segment string, n long, total long, papers long"
 _GONE = "segment string, paper_id long"
@@ -105,6 +114,17 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _block():
+    return F.floor(F.col("paper_id") / BLOCK)
+
+
+def _write_bounds(spark: SparkSession, root: str) -> None:
+    """Bounds of a segment's blocks. A weight grows with tf and falls with dl / tf, so they hold whatever later segments make of n and avgdl."""
+    each = spark.read.schema(_POSTING).parquet(f"{root}/postings").groupBy("bucket", "term", _block().alias("block"))
+    bounds = each.agg(F.max("tf").alias("tf"), F.min(F.col("dl") / F.col("tf")).alias("slim"))
+    bounds.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{root}/bounds")
+
+
 def _parsed(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", text.tokens(text.document_text(F.col("title"), F.col("abstract"), " ")).alias("ts"))
 
@@ -118,6 +138,7 @@ def _segment(papers: DataFrame, root: str) -> DataFrame:
     counted = forward.select("paper_id", "dl", F.explode("terms").alias("term")).groupBy("term", "paper_id", "dl").agg(F.least(F.count("*"), F.lit(MOST_TF)).cast("int").alias("tf"))
     whole = counted.withColumn("bucket", _bucket("term")).repartitionByRange("bucket", "term", "paper_id").sortWithinPartitions("bucket", "term", "paper_id")
     whole.write.partitionBy("bucket").parquet(f"{root}/postings")
+    _write_bounds(spark, root)
     return forward
 
 
@@ -164,6 +185,7 @@ def compact_index(spark: SparkSession, path: str, most: int = 8) -> bool:
     index, name = open_index(spark, path), f"s{uuid.uuid4().hex}"
     live = index.postings.join(gone, ["segment", "paper_id"], "left_anti").select(*_names(_POSTING))
     live.repartitionByRange("bucket", "term", "paper_id").sortWithinPartitions("bucket", "term", "paper_id").write.partitionBy("bucket").parquet(f"{path}/{name}/postings")
+    _write_bounds(spark, f"{path}/{name}")
     old = [spark.read.schema(_FORWARD).parquet(f"{path}/{r.segment}/papers").select(F.lit(r.segment).alias("segment"), *_names(_FORWARD)) for r in listed]
     reduce(DataFrame.unionByName, old).join(gone, ["segment", "paper_id"], "left_anti").select(*_names(_FORWARD)).write.parquet(f"{path}/{name}/papers")
     index.terms.write.parquet(f"{path}/{name}/terms")
@@ -198,29 +220,92 @@ def open_index(spark: SparkSession, path: str) -> LexicalIndex | None:
     terms = [spark.read.schema("term string, df long").parquet(f"{path}/{r.segment}/terms") for r in listed]
     n, total = sum(r.n for r in listed), sum(r.total for r in listed)
     frequencies = terms[0] if len(terms) == 1 else reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    return LexicalIndex(reduce(DataFrame.unionByName, each), frequencies, spark.createDataFrame([(n, total / n if n else 1.0)], "n long, avgdl double"), gone, len(listed))
+    bounds = [spark.read.schema(_BOUND).parquet(f"{path}/{r.segment}/bounds") for r in listed]
+    return LexicalIndex(reduce(DataFrame.unionByName, each), reduce(DataFrame.unionByName, bounds), frequencies, spark.createDataFrame([(n, total / n if n else 1.0)], "n long, avgdl double"), gone, len(listed))
 
 
-def search_sums(index: LexicalIndex, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, paper_id, score) of every paper that shares a term with a query.
+def _asked(index: LexicalIndex, queries: DataFrame) -> tuple[DataFrame, LexicalIndex]:
+    """(query_id, term, df, bucket) of terms that the index has, and the index as far as it is about them.
 
     The queries' terms, up to MOST_NAMED distinct ones, are named to the scan, which then opens the folders of their buckets and the
     row groups that can hold them; more are joined.
     """
     wanted = stored(query_terms(queries), "terms")
     named = [r.term for r in wanted.select("term").distinct().limit(MOST_NAMED + 1).collect()]
-    postings, terms = index.postings, index.terms
     if len(named) <= MOST_NAMED:
         buckets = [r.b for r in wanted.select(_bucket("term").alias("b")).distinct().collect()]
-        postings, terms = postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(named)), terms.where(F.col("term").isin(named))
-    known = wanted.join(terms, "term").withColumn("bucket", _bucket("term"))
-    hits = postings.join(known, ["bucket", "term"])
+        own = F.col("bucket").isin(buckets) & F.col("term").isin(named)
+        index = replace(index, postings=index.postings.where(own), bounds=index.bounds.where(own), terms=index.terms.where(F.col("term").isin(named)))
+    return wanted.join(index.terms, "term").withColumn("bucket", _bucket("term")), index
+
+
+def _kept(index: LexicalIndex, hits: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Hits without those that later segments replace, of allowed papers."""
     if index.segments > 1:
         hits = hits.join(index.gone, ["segment", "paper_id"], "left_anti")
-    kept = hits if allowed is None else hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
+    return hits if allowed is None else hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
+
+
+def search_sums(index: LexicalIndex, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, paper_id, score) of every paper that shares a term with a query."""
+    known, index = _asked(index, queries)
+    kept = _kept(index, index.postings.join(known, ["bucket", "term"]), allowed)
     return _summed(kept.join(F.broadcast(index.stats)).select("query_id", "paper_id", _weight().alias("w")))
 
 
 def search_index(index: LexicalIndex, queries: DataFrame, top: int | None, allowed: DataFrame | None = None) -> DataFrame:
     """bm25 from a stored index."""
     return best_of(search_sums(index, queries, allowed), top)
+
+
+def _most():
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * (K1 + 1) / (1 + K1 * (1 - B) / F.col("tf") + K1 * B * F.col("slim") / F.col("avgdl"))
+
+
+def pruned_weights(index: LexicalIndex, queries: DataFrame, top: int, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, paper_id, w): the weights of all terms of every paper that can be among a query's `top` best; and those that were
+    weighed to find the scores they have to reach.
+
+    A query's weightiest terms are weighed first, and the best papers by these in full: the `top`-th of their scores is one that
+    the best reach. Terms that together stay below it bring in no paper by themselves, and neither does a block of ids in which
+    the bounds of all terms do; both are weighed only for papers that may still reach it. The join that reads blocks is on
+    bucket, term and block, so a term that every paper has is spread over tasks. A query with fewer than `top` papers in its
+    first terms has all its terms weighed.
+    """
+    known, index = _asked(index, queries)
+    stats, keys = F.broadcast(index.stats), ["query_id", "paper_id"]
+
+    def weighed(wanted: DataFrame, on: list[str]) -> DataFrame:
+        postings = index.postings.withColumn("block", _block()) if "block" in on else index.postings
+        kept = _kept(index, postings.join(wanted, on), allowed)
+        return kept.join(stats).select(*keys, _weight().alias("w"))
+
+    caps = index.bounds.join(known, ["bucket", "term"]).join(stats).groupBy("query_id", "bucket", "term", "df", "block").agg(F.max(_most()).alias("most"))
+    caps = stored(caps, "caps")
+    order = W.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    terms = caps.groupBy("query_id", "bucket", "term", "df").agg(F.max("most").alias("most"))
+    rest = F.sum("most").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    before = F.coalesce(F.sum("df").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    terms = stored(terms.select("query_id", "bucket", "term", "df", rest.alias("rest"), before.alias("before")), "terms")
+
+    probe = stored(weighed(terms.where(F.col("before") < PROBED * top).select("query_id", "bucket", "term", "df"), ["bucket", "term"]), "probe")
+    likely = best_of(_summed(probe), top).select(*keys)
+    full = stored(weighed(likely.join(terms.select("query_id", "bucket", "term", "df"), "query_id"), ["bucket", "term", "paper_id"]), "likely")
+    reach = _summed(full).groupBy("query_id").agg(F.when(F.count("*") >= top, F.min("score") - _SLACK).alias("reach"))
+    held = terms.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(0.0)))
+    held = stored(held.withColumn("leads", F.col("rest") >= F.col("reach")), "held")
+
+    aim = held.groupBy("query_id").agg(F.first("reach").alias("reach"), F.coalesce(F.max(F.when(~F.col("leads"), F.col("rest"))), F.lit(0.0)).alias("others"))
+    open_ = caps.groupBy("query_id", "block").agg(F.sum("most").alias("most")).join(aim, "query_id").where("most >= reach").select("query_id", "block")
+    leading = caps.join(held.where("leads").select("query_id", "term"), ["query_id", "term"]).join(open_, ["query_id", "block"])
+    some = stored(weighed(leading.select("query_id", "bucket", "term", "df", "block"), ["bucket", "term", "block"]), "leading")
+    may = _summed(some).join(aim, "query_id").where("score + others >= reach").select(*keys)
+    rows = stored(may.join(held.where(~F.col("leads")).select("query_id", "bucket", "term", "df"), "query_id"), "may")
+    more = weighed(rows, ["bucket", "term", "paper_id"])
+    return some.join(may, keys, "left_semi").unionByName(more), probe.unionByName(full)
+
+
+def search_best(index: LexicalIndex, queries: DataFrame, top: int, allowed: DataFrame | None = None) -> DataFrame:
+    """The rows of search_index, exactly, from bounds on blocks of postings: papers that can't be among the best aren't weighed in full."""
+    return _ranked(pruned_weights(index, queries, top, allowed)[0], top)

@@ -187,6 +187,18 @@ def bm25_topk_filtered(c: Corpus) -> DataFrame:
     return lexical.search_index(c.lexicon, _queries(c), 30, allowed).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("WITH " + _BM25.replace("{0}", ""))
+def bm25_topk_pruned(c: Corpus) -> DataFrame:
+    """bm25_topk by bounds on blocks of postings."""
+    return lexical.search_best(c.lexicon, _queries(c), 30).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("WITH " + _BM25.replace("{0}", f"WHERE paper_id IN ({_CANDIDATES})"))
+def bm25_topk_pruned_filtered(c: Corpus) -> DataFrame:
+    allowed = filters.index_gate(c.papers, c.paper_categories, PLAN, AS_OF).select("paper_id")
+    return lexical.search_best(c.lexicon, _queries(c), 30, allowed).select("query_id", "paper_id", "rank", F.round("score", 6).alias("score"))
+
+
 # Dense
 
 _QUANT = """q8 AS (SELECT paper_id, scale, CASE WHEN scale > 0 THEN list_transform(vector, lambda x: CAST(greatest(-127, least(127, round_even(CAST(x / scale AS DOUBLE), 0))) AS INT)) ELSE list_transform(vector, lambda x: 0) END AS q

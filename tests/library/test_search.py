@@ -65,6 +65,37 @@ def test_terms_and_buckets_reach_the_scan(spark, capsys):
     assert "bucket#" in plan and "In(term, [" in plan and "PartitionFilters: [bucket" in plan
 
 
+def zipfian(rng, size):
+    return " ".join(f"w{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in (min(675, int(rng.paretovariate(0.7)) - 1) for _ in range(size)))
+
+
+@pytest.mark.parametrize("segments", [1, 3])
+def test_bounds_of_blocks_lose_no_paper(spark, segments):
+    rng, path = random.Random(segments), scratch(spark, "index")
+    rows = [(k * 37, "t", zipfian(rng, rng.randrange(1, 60))) for k in range(1500)]
+    lexical.build_index(papers_of(spark, rows[:1000]), path)
+    for step in range(1, segments):
+        page = [(k * 37, "t", zipfian(rng, 20)) for k in range(step * 10, step * 10 + 30)]
+        lexical.update_index(spark, path, papers_of(spark, page + rows[500 + 500 * step : 1000 + 500 * step]))
+    index = lexical.open_index(spark, path)
+    texts = [zipfian(rng, rng.randrange(1, 9)) for _ in range(25)] + ["waa", "waa waa t", "t", "nowhere", "", "waa nowhere " + zipfian(rng, 40)]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query_text string")
+    few = spark.createDataFrame([(37 * k,) for k in range(0, 1500, 3)], "paper_id long")
+    for top, allowed in ((1, None), (10, None), (10, few), (5000, None)):
+        assert ranked(lexical.search_best(index, queries, top, allowed)) == ranked(lexical.search_index(index, queries, top, allowed))
+
+
+def test_bounds_of_blocks_spare_most_weights(spark):
+    rng, path = random.Random(9), scratch(spark, "index")
+    lexical.build_index(papers_of(spark, [(k, "t", zipfian(rng, 40)) for k in range(6000)]), path)
+    index = lexical.open_index(spark, path)
+    queries = spark.createDataFrame([(k, f"waa wab wac wad wae wm{chr(97 + k)}") for k in range(12)], "query_id long, query_text string")
+    found, probed = lexical.pruned_weights(index, queries, 10)
+    every = index.postings.join(lexical.query_terms(queries), "term").count()
+    assert found.count() + probed.count() < every / 4
+    assert ranked(lexical.search_best(index, queries, 10)) == ranked(lexical.search_index(index, queries, 10))
+
+
 @pytest.mark.parametrize("kind", ["hybrid", "blended", "reranked"])
 def test_many_searches_equal_single_ones(spark, kind):
     if kind == "hybrid":
