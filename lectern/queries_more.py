@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import dates, jsons, text, vectors
 from lectern.operators import dense, dml, filters, lexical, ranking, vector_table
-from lectern.plans import accounts, evaluation, search, workflow
+from lectern.plans import accounts, evaluation, runs, search, workflow
 from lectern.queries import _COS, _DRAFT, _LEX_ONE, _QUANT, _TERMS, ANCHORS, _anchors, query
 from lectern.queries_reports import _METRICS, _RUNS, _item_judgments, _runs
 from lectern.sources import connectors
-from lectern.sources.artifacts import published
+from lectern.sources.artifacts import publish, published
 from lectern.streaming import ingest
 from lectern.streaming.queue import WorkQueue
 from lectern.tables import scratch
@@ -410,3 +412,41 @@ def stored_postings(c: Corpus) -> DataFrame:
 def postings_of_parsed_text(c: Corpus) -> DataFrame:
     """Every paper has a length, whether or not it has a term."""
     return lexical.lengths(c.papers).agg(F.count("*").alias("n"))
+
+
+def _counted(names: list[str]) -> list[dict | None]:
+    """A stand-in for a service of signals: it doesn't know papers whose id ends in 9."""
+    return [None if n[-1] == "9" else {"citation_count": int(n[-5:]) % 97, "influential_citation_count": 0, "github_stars": None} for n in names]
+
+
+@query("""WITH old AS (SELECT paper_id, citation_count, TIMESTAMP '2024-12-31 00:00:00' - INTERVAL 1 DAY * (citation_count % 40) < TIMESTAMP '2024-12-17 00:00:00' AS late FROM signals),
+al AS (SELECT p.paper_id, o.paper_id IS NOT NULL AS had, o.citation_count AS before, (o.paper_id IS NULL OR late) AND right(arxiv_id, 1) <> '9' AS fresh, CAST(right(arxiv_id, 5) AS INT) % 97 AS counted FROM papers p LEFT JOIN old o ON o.paper_id = p.paper_id)
+SELECT paper_id, CASE WHEN fresh THEN counted ELSE before END AS citation_count, fresh FROM al WHERE had OR fresh""")
+def enriched_signals(c: Corpus) -> DataFrame:
+    """The table of signals after a run asked for all that are missing or two weeks old."""
+    path, at = scratch(c.spark, "signals"), dates.moment(AS_OF)
+    held = [F.lit(None).cast("int").alias(n) for n in ("influential_citation_count", "github_stars")]
+    publish(c.spark, path, c.signals.select("paper_id", "citation_count", *held, (at - F.make_dt_interval(F.col("citation_count") % 40)).alias("fetched_utc")))
+    rows = runs.enrich(c.papers, path, AS_OF, _counted)[0]
+    return rows.select("paper_id", "citation_count", F.col("influential_citation_count").isNotNull().alias("fresh"))
+
+
+def _analysed(passages: list[str]) -> list[str]:
+    """A stand-in for a model of analyses: by a passage's first character it answers well, or not by the contract."""
+    kinds = {"string": "x", "int": 3, "array<string>": ["s"]}
+    whole = lambda n: {f.name: kinds.get(f.dataType.simpleString(), n % 10) for f in schemas.ANALYSIS}
+    return [json.dumps(whole(ord(p[0]))) if p and ord(p[0]) % 3 else "no json" for p in passages]
+
+
+@query("""WITH al AS (SELECT p.paper_id, unicode(title) AS u, a.profile_version AS v, a.composite_score AS s,
+  p.paper_id IN (SELECT paper_id FROM paper_categories WHERE category = 'en') AND coalesce(a.profile_version, 1) <> 2 AND unicode(title) % 3 <> 0 AS fresh FROM papers p LEFT JOIN analyses a ON a.paper_id = p.paper_id)
+SELECT paper_id, CASE WHEN fresh THEN 2 ELSE v END AS profile_version, CASE WHEN fresh THEN CAST(u % 10 AS DOUBLE) ELSE s END AS composite_score, fresh FROM al WHERE fresh OR v IS NOT NULL""")
+def analyses_of_category(c: Corpus) -> DataFrame:
+    """The analyses of all papers after a run over a category: its papers without one of profile version 2 were analysed."""
+    path = scratch(c.spark, "analyses")
+    own = {f.name for f in c.analyses.schema}
+    lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.ANALYSIS_RESULT if f.name not in own]
+    old = c.analyses.withColumn("composite_score", F.col("composite_score").cast("decimal(5,2)")).select("*", *lacking).withColumn("created_utc", dates.moment("2024-01-01 00:00:00"))
+    publish(c.spark, path, old.select(*schemas.ANALYSIS_RESULT.names))
+    rows = runs.analyze(c.papers, c.paper_categories, path, "en", AS_OF, "stand-in", _analysed, 1, 2)[0]
+    return rows.select("paper_id", "profile_version", F.col("composite_score").cast("double").alias("composite_score"), F.col("model").isNotNull().alias("fresh"))

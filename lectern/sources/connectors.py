@@ -128,7 +128,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def _callable(name: str) -> Callable:
+def named(name: str) -> Callable:
     """What "module:name" names."""
     module, _, attribute = name.partition(":")
     return getattr(importlib.import_module(module), attribute)
@@ -186,7 +186,7 @@ class _HarvestReader(DataSourceStreamReader):
         got: list = []
 
         def once(asked: str | None) -> tuple[str, None]:
-            got[:] = _callable(self.fetch)(asked)
+            got[:] = named(self.fetch)(asked)
             return got[0], None
 
         next(harvest(once, token or None))
@@ -258,7 +258,7 @@ class _ServiceReader(DataSourceReader):
         """A page; one that comes empty although the total says there is more is asked for once again."""
         for again in (True, False):
             throttle.wait()
-            total, entries = _callable(self.options["fetch"])(category, self.options.get("since", ""), self.options.get("until", ""), start, self.size, self.options)
+            total, entries = named(self.options["fetch"])(category, self.options.get("since", ""), self.options.get("until", ""), start, self.size, self.options)
             if entries or start >= total or not again:
                 break
         return total, entries

@@ -26,6 +26,7 @@ _FEED = T.StructType([T.StructField("opensearch:totalResults", T.ArrayType(_TEXT
 _NAME = _s(keyname=_TEXT, forenames=_TEXT)
 _BODY = _s(id=_TEXT, created=_TEXT, updated=_TEXT, authors=_s(author=T.ArrayType(_NAME)), title=_TEXT, categories=_TEXT, comments=_TEXT, doi=_TEXT, abstract=_TEXT)
 OAI = _s(header=_s(_status=_TEXT, identifier=_TEXT, datestamp=_TEXT), metadata=_s(arXiv=_BODY))
+_RECORDS = _s(ListRecords=_s(record=T.ArrayType(OAI)))
 OAI_PAGE = T.StructType([T.StructField("error", T.ArrayType(_s(_code=_TEXT, _VALUE=_TEXT))), T.StructField("ListRecords", _s(resumptionToken=_s(_completeListSize=T.LongType(), _VALUE=_TEXT)))])
 
 
@@ -77,7 +78,17 @@ def atom_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def oai_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of OAI-PMH pages (lectern.schemas.ENTRY, version 1); deleted ones go. Of several DOIs the first counts."""
-    raw = _read(spark, path, "record", OAI).where(F.coalesce("header._status", F.lit("")) != "deleted").select("metadata.arXiv.*").where("id is not null")
+    return _oai_entries(_read(spark, path, "record", OAI))
+
+
+def oai_records_of(pages: DataFrame, body: str = "body") -> DataFrame:
+    """oai_records of pages in a column of text, each parsed where it is; what is no page has no records."""
+    parsed = pages.select(F.from_xml(F.col(body), _RECORDS.simpleString()).alias("page"))
+    return _oai_entries(parsed.select(F.inline("page.ListRecords.record")))
+
+
+def _oai_entries(records: DataFrame) -> DataFrame:
+    raw = records.where(F.coalesce("header._status", F.lit("")) != "deleted").select("metadata.arXiv.*").where("id is not null")
     codes = F.filter(F.split(text.collapsed(F.coalesce("categories", F.lit(""))), " "), lambda c: c != "")
     primary = F.coalesce(F.try_element_at(codes, F.lit(1)), F.lit("unknown"))
     created = dates.parsed_day(F.trim("created"))
