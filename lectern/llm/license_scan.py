@@ -19,7 +19,8 @@ _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
 #: Templates and their labels. <<opt>> ... <<end>> may be left out; <<var:n>> stands for up to n words.
-#: The licences and notices with their whole mandatory wording, then sentences that name one.
+#: The licences and notices with their whole mandatory wording, then sentences that
+#: name one, whatever they say of it, with labels of their own (-mention); a notice that holds such a sentence has both labels.
 TEMPLATES = (
     (
         "mit",
@@ -30,11 +31,20 @@ TEMPLATES = (
         "in no event shall the <<var:8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ),
     (
-        "bsd",
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<opt>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<opt>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "<<opt>> 3 <<end>> neither the name of <<var:12>> nor the names of <<var:8>> contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+        "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+        "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "bsd-2-clause",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
         "<<opt>> 1 <<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
         "<<opt>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
-        "<<opt>> <<opt>> 3 <<end>> neither the name of <<var:12>> nor the names of <<var:8>> contributors may be used to endorse or promote products derived from this software without specific prior written permission <<end>> "
         "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
         "in no event shall <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
         "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
@@ -48,20 +58,21 @@ TEMPLATES = (
     ),
     (
         "apache-2.0",
-        "licensed under the apache license <<opt>> version <<end>> 2 0 <<opt>> the license you may not use this <<var:3>> except in compliance with the license you may obtain a copy of the license at <<opt>> http <<end>> <<opt>> https <<end>> www apache org licenses license 2 0 "
+        "licensed under the apache license <<opt>> version <<end>> 2 0 the license you may not use this <<var:3>> except in compliance with the license you may obtain a copy of the license at <<opt>> http <<end>> <<opt>> https <<end>> www apache org licenses license 2 0 "
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
-        "see the license for the specific language governing permissions and limitations under the license <<end>>",
+        "see the license for the specific language governing permissions and limitations under the license",
     ),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation <<opt>> either version <<var:1>> of the license or at your option any later version <<end>>"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v <<opt>> <<end>> 2 0"),
-    ("notice", "copyright <<opt>> c <<end>> <<var:16>> all rights reserved"),
-    ("mit", "<<opt>> released <<end>> <<opt>> licensed <<end>> under the <<opt>> terms of the <<end>> mit license"),
-    ("bsd", "<<opt>> released <<end>> <<opt>> licensed <<end>> under the <<opt>> 2 clause <<end>> <<opt>> 3 clause <<end>> bsd license"),
+    ("notice", "copyright <<opt>> c <<end>> <<var:40>> all rights reserved"),
+    ("mit-mention", "<<opt>> released <<end>> <<opt>> licensed <<end>> under the <<opt>> terms of the <<end>> mit license"),
+    ("bsd-mention", "<<opt>> released <<end>> <<opt>> licensed <<end>> under the <<opt>> 2 clause <<end>> <<opt>> 3 clause <<end>> bsd license"),
     ("cc-by-nc", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by nc <<opt>> <<var:1>> 0 <<end>>"),
     ("cc-by-sa", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> cc by sa <<opt>> <<var:1>> 0 <<end>>"),
     ("cc-by", "licensed under <<opt>> a <<end>> <<opt>> the <<end>> creative commons attribution <<var:2>> license"),
-    ("gpl-3", "licensed under the gnu general public license <<opt>> version <<end>> 3"),
-    ("gpl-2", "licensed under the gnu general public license <<opt>> version <<end>> 2"),
+    ("gpl-3-mention", "licensed under the gnu general public license <<opt>> version <<end>> 3"),
+    ("apache-2.0-mention", "under the <<opt>> terms of the <<end>> apache license <<opt>> version <<end>> 2 0"),
+    ("gpl-2-mention", "licensed under the gnu general public license <<opt>> version <<end>> 2"),
 )
 
 

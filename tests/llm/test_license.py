@@ -127,3 +127,18 @@ def test_whole_wording_is_asked_for():
     assert matcher.report(full[:700])[5] == "" and matcher.report(" ".join(bsd.split()[:22]))[5] == ""
     regents = "Copyright (c) 1992, 1993 The Regents of the University of California. All rights reserved."
     assert matcher.report(regents)[5] == "notice,reserved"
+
+
+def test_mentions_and_clauses_are_told_apart():
+    matcher = LicenseMatcher(LicenseConfig())
+    labels = lambda text: matcher.report(text)[5]
+    assert labels("This file is not under the MIT license and must not be used.") == "mit-mention"
+    assert labels("Licensed under the Apache License, Version 2.0.") == "apache-2.0-mention"
+    assert labels("It used to be under the 3-clause BSD license.") == "bsd-mention"
+    of = {label: re.sub(r"<<[^>]*>>", "", t) for label, t in TEMPLATES}
+    assert labels(of["apache-2.0"]) == "apache-2.0,apache-2.0-mention"
+    assert labels(of["apache-2.0"].replace("governing", "about")) == "apache-2.0-mention"
+    assert labels(of["bsd-2-clause"]) == "bsd-2-clause" and labels(of["bsd-3-clause"]) == "bsd-3-clause"
+    assert labels(of["bsd-3-clause"].replace("endorse", "praise")) == ""
+    assert labels("Copyright " + "some name " * 20 + "All rights reserved") == "notice,reserved"
+    assert labels("Copyright " + "some name " * 21 + "All rights reserved") == "reserved"
