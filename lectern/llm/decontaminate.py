@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import CACHE_WORDS, in_small_batches, mix64, odd_constants, worker_cache, written
+from lectern.llm.shared import in_small_batches, mix64, worker_cache, written
 
 #: Units of measure and currency that a template holds as <unit>.
 UNITS = frozenset(
@@ -26,14 +27,26 @@ NUMBER_WORDS = frozenset(
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 )
 _TOKENS = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?]")
+#: Scripts written without blanks between words, where each letter is a token: Thai and Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED_TOKENS = re.compile(rf"(?=[{_UNSPACED}])[^\W\d_]|[^\W\d_{_UNSPACED}]+|\d+(?:[.,:/]\d+)*|[.!?]")
+#: Entries of a worker's table of token classes; it is emptied when full.
+_CLASSES = 400_000
 _STOP, _NUMBER, _UNIT, _CAPITAL, _WORD, _UPPER = range(6)
 _KINDS = {_NUMBER: "num", _UNIT: "unit", _CAPITAL: "name"}
+_FIXED = dict.fromkeys(".!?", _STOP) | dict.fromkeys(UNITS, _UNIT) | dict.fromkeys(NUMBER_WORDS, _NUMBER)
+#: The hash of a slot by its class.
+_PLACEHOLDERS = mix64(np.arange(1, 7, dtype=np.uint64))
+#: A factor of the hashes of windows; any odd number of 64 bits would do.
+_BASE = 0x9E3779B97F4A7C15
+#: What a hash stands for: a window anywhere, a whole text, a passage without one token.
+_PART, _WHOLE, _GAP = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
     """window: tokens of a window; a shorter item is one window of its own length. least_tokens: an item with fewer is
-    only found as the whole of a text. least_words: tokens of a window that must be words and not placeholders, as
+    found inside a text only verbatim, and if least_inside of its tokens aren't numbers. least_words: tokens of a window that must be words and not placeholders, as
     windows of numbers alone say nothing. least_share: share of an item that a passage must hold. least_run: tokens of an
     unbroken run that counts whatever its share of the item. drift: tokens by which a change may move a passage on.
     filter_bits: log2 of the size of the filter that is sent to every task, whatever the size of the benchmark.
@@ -41,36 +54,79 @@ class DecontaminationConfig:
 
     window: int = 8
     least_tokens: int = 5
+    least_inside: int = 2
     least_words: int = 4
     least_share: float = 0.5
     least_run: int = 13
     drift: int = 8
     filter_bits: int = 23
 
+    def seed(self, length: int) -> int:
+        """Width of the first and last tokens of an item of a length, of which one keeps whole when a token is replaced; 0 where
+        the windows find such an item anyway."""
+        return min(self.window, length // 2) if self.window < length < self.window + self.least_run else 0
+
 
 class _Classes(dict):
     """token -> hash of its lower case with its class in the lowest three bits, remembered for frequent tokens."""
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        if token in ".!?":
-            kind = _STOP
-        elif token[0].isdecimal() or low in NUMBER_WORDS:
-            kind = _NUMBER
-        elif low in UNITS:
-            kind = _UNIT
-        elif len(token) > 1 and token[0].isupper() and token[1:].islower():
-            kind = _CAPITAL
-        elif len(token) > 1 and token.isupper():
-            kind = _UPPER
-        else:
-            kind = _WORD
-        if len(self) >= CACHE_WORDS:
+        kind = _FIXED.get(low)
+        if kind is None:
+            if token[0].isdecimal():
+                kind = _NUMBER
+            elif len(token) == 1 or token.islower():
+                kind = _WORD
+            elif token[0].isupper() and token[1:].islower():
+                kind = _CAPITAL
+            else:
+                kind = _UPPER if token.isupper() else _WORD
+        if len(self) >= _CLASSES:
             self.clear()
         self[token] = value = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ~7) | kind
         return value
 
 
+@cache
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(_BASE, k, 1 << 64))
+
+
+class Rolling:
+    """Hashes of all windows of a text's tokens, a polynomial of each; those of a width come from those of its parts."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.known = tokens, {1: tokens}
+
+    def of(self, width: int) -> np.ndarray:
+        """The hash of the window at each place; none in a shorter text."""
+        if (n := len(self.tokens) - width + 1) <= 0:
+            return np.zeros(0, np.uint64)
+        if width not in self.known:
+            left = 1 << (width - 1).bit_length() - 1
+            out = self.of(left)[:n] * _power(width - left)
+            out += self.of(width - left)[left : left + n]
+            self.known[width] = out
+        return self.known[width]
+
+    def at(self, places: np.ndarray, width: int, gaps: np.ndarray | None = None) -> np.ndarray:
+        """Of some places; gaps: a token of the window left out, for each of them (a column for each gap)."""
+        total = np.zeros(len(places), np.uint64)
+        for k in range(width):
+            total = total * _power(1) + self.tokens[places + k]
+        if gaps is None:
+            return total
+        weights = np.array([_power(width - 1 - g) for g in gaps.tolist()], np.uint64)
+        return total[:, None] - self.tokens[places[:, None] + gaps] * weights
+
+
+def _keys(hashes: np.ndarray, width: int, form: np.ndarray | int) -> np.ndarray:
+    """The hashes that are joined. form: _PART, _WHOLE (of a text that is nothing else), or _GAP and the token left out."""
+    salt = np.uint64(width << 16) + np.asarray(form).astype(np.uint64)
+    return mix64(hashes + mix64(np.atleast_1d(salt))).view(np.int64)
+
+
 @dataclass(frozen=True)
 class Template:
     """Of a text: hashes of its tokens with placeholders and without, which tokens are slots (their class, else 0), and the tokens."""
@@ -82,8 +138,16 @@ class Template:
     tokens: list[str]
     at: np.ndarray
 
+    @cached_property
+    def rolling(self) -> Rolling:
+        return Rolling(self.hashes)
+
+    @cached_property
+    def own_rolling(self) -> Rolling:
+        return Rolling(self.literal)
+
     def with_slots(self, kinds: np.ndarray) -> Template:
-        return replace(self, kinds=kinds, hashes=np.where(kinds > 0, mix64(kinds.astype(np.uint64) + np.uint64(1)), self.literal))
+        return replace(self, kinds=kinds, hashes=np.where(kinds > 0, _PLACEHOLDERS[kinds], self.literal))
 
     def named(self) -> Template:
         """Names as words, whether they are capitalised or not."""
@@ -95,10 +159,10 @@ class Template:
         kinds[place] = 0 if kinds[place] else _CAPITAL
         return self.with_slots(kinds)
 
-    def slots(self, start: int, width: int) -> list[str]:
-        """kind:value of each slot of a window, in order."""
+    def slots(self, start: int, width: int, gap: int = -1) -> list[str]:
+        """kind:value of each slot of a window, in order; gap: a place of the window that is left out."""
         places = start + np.flatnonzero(self.kinds[start : start + width])
-        return [f"{_KINDS[int(self.kinds[p])]}:{self.tokens[self.at[p]].lower()}" for p in places]
+        return [f"{_KINDS[int(self.kinds[p])]}:{self.tokens[self.at[p]].lower()}" for p in places if p != start + gap]
 
 
 def canonical(text: str) -> Template:
@@ -106,9 +170,10 @@ def canonical(text: str) -> Template:
 
     A name is a capitalised word that doesn't begin a sentence, or one in capitals between others that aren't; the words
     of one name stay apart, so that a window keeps its length. A number may be spelled out; a unit is one of UNITS after a
-    number.
+    number. In scripts without blanks each letter is a token.
     """
-    tokens = _TOKENS.findall(text)
+    wide = not text.isascii() and np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).max() >= 0xE00
+    tokens = (_UNSPACED_TOKENS if wide else _TOKENS).findall(text)
     packed = np.fromiter(map(worker_cache("template classes", _Classes).__getitem__, tokens), np.uint64, len(tokens))
     kind = (packed & np.uint64(7)).astype(np.int8)
     if (upper := kind == _UPPER).any():
@@ -121,102 +186,152 @@ def canonical(text: str) -> Template:
     at = np.flatnonzero(kind != _STOP)
     slot = slot[at]
     literal = packed[at] >> np.uint64(3)
-    return Template(np.where(slot > 0, mix64(slot.astype(np.uint64) + np.uint64(1)), literal), literal, slot, kind[at] == _CAPITAL, tokens, at)
-
-
-def windows(template: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, 64-bit hashes) of the windows of a width with least_words or more words; none in a shorter text."""
-    w, n = template.hashes, len(template.hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    c = odd_constants(width, 23)
-    total = np.full(n, mix64(np.full(1, width, np.uint64))[0])
-    for k in range(width):
-        total += w[k : k + n] * c[k]
-    words = np.concatenate((np.zeros(1, np.int64), np.cumsum(template.kinds == 0)))
-    at = np.flatnonzero(words[width:] - words[:-width] >= min(least_words, width))
-    return at, mix64(total[at])
+    return Template(np.where(slot > 0, _PLACEHOLDERS[slot], literal), literal, slot, kind[at] == _CAPITAL, tokens, at)
 
 
 def _counts(marked: np.ndarray, width: int) -> np.ndarray:
-    """How many marked tokens each window of a width holds."""
+    """How many marked tokens each window of a width holds; none in a shorter text."""
     sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(marked)))
     return sums[width:] - sums[:-width]
 
 
-def _window_hashes(tokens: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The hashes that windows() gives, of the windows at some places."""
-    total = np.full(len(at), mix64(np.full(1, width, np.uint64))[0])
-    for k, c in enumerate(odd_constants(width, 23)):
-        total += tokens[at + k] * c
-    return mix64(total)
-
-
-def literal_windows(template: Template, width: int, least_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """As windows(), of the tokens themselves, where they differ from the template; any token but a number is a word."""
-    if len(template.hashes) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero((_counts(template.kinds > 0, width) > 0) & (_counts(template.kinds != _NUMBER, width) >= least_words))
-    return at, _window_hashes(template.literal, at, width)
-
-
 def _mixed(template: Template, width: int) -> np.ndarray:
     """Places of the windows with both names and other slots: their names can be words while the rest are slots."""
-    if len(template.hashes) < width:
+    name = template.kinds == _CAPITAL
+    if len(template.hashes) < width or not name.any() or not ((template.kinds > 0) & ~name).any():
         return np.zeros(0, np.int64)
-    names = _counts(template.kinds == _CAPITAL, width)
+    names = _counts(name, width)
     return np.flatnonzero((names > 0) & (_counts(template.kinds > 0, width) > names))
 
 
 def _item_windows(template: Template, width: int, least_words: int) -> tuple[np.ndarray, list[tuple[int, int, bool, list[str]]]]:
     """(places that count, (place, hash, literal, slots) of each reading of a window, the more literal first)."""
-    at, found = windows(template, width, least_words)
-    main, own = at, literal_windows(template, width, min(least_words, width))
+    least = min(least_words, width)
+    own = np.flatnonzero((_counts(template.kinds > 0, width) > 0) & (_counts(template.kinds != _NUMBER, width) >= least))
+    main = at = np.flatnonzero(_counts(template.kinds == 0, width) >= least)
     if not len(main):
-        own = literal_windows(template, width, 1)
-        main = own[0]
-    out = [(k, h, True, template.slots(k, width)) for k, h in zip(own[0].tolist(), own[1].view(np.int64).tolist())]
-    out += [(k, h, False, template.slots(k, width)) for k, h in zip(at.tolist(), found.view(np.int64).tolist())]
-    others = [(template.named(), _mixed(template, width))]
+        main = own = np.arange(len(template.hashes) - width + 1)
+    others = [(template, at), (template.named(), _mixed(template, width))]
     others += [(template.turned(k), np.array([k])) for k in np.flatnonzero(template.capital[: len(template.capital) - width + 1]).tolist()]
+    out = [(k, h, True, template.slots(k, width)) for k, h in zip(own.tolist(), template.own_rolling.at(own, width).tolist())]
     for other, places in others:
-        places = places[_counts(other.kinds == 0, width)[places] >= min(least_words, width)]
-        hashes = _window_hashes(other.hashes, places, width).view(np.int64).tolist()
-        out += [(k, h, False, other.slots(k, width)) for k, h in zip(places.tolist(), hashes)]
+        places = places[_counts(other.kinds == 0, width)[places] >= least]
+        out += [(k, h, False, other.slots(k, width)) for k, h in zip(places.tolist(), other.rolling.at(places, width).tolist())]
     return main, list({(k, h): (k, h, own, slots) for k, h, own, slots in reversed(out)}.values())
 
 
+def _gapped(template: Template, cfg: DecontaminationConfig) -> tuple[list[int], list[tuple[int, int, bool, list[str]]]]:
+    """Of an item that a replaced token can hide: (hashes of its first and last tokens, (gap, hash, literal, slots) without each)."""
+    length = len(template.hashes)
+    if not (seed := cfg.seed(length)):
+        return [], []
+    start, gaps, ends, out = np.zeros(1, np.int64), np.arange(length), np.array([0, length - seed]), []
+    others = [template, *([template.turned(0)] if template.capital[0] else [])]
+    readings = [(template.own_rolling, template.kinds != _NUMBER, True, template)] + [(t.rolling, t.kinds == 0, False, t) for t in others]
+    seeds = {h for rolling, *_ in readings for h in rolling.at(ends, seed).tolist()}
+    for rolling, words, own, other in readings:
+        enough = words.sum() - words >= cfg.least_words
+        out += [(g, h, own, other.slots(0, length, g)) for g, h in zip(gaps.tolist(), rolling.at(start, length, gaps)[0].tolist()) if enough[g]]
+    return list(seeds), list({(g, h): (g, h, own, slots) for g, h, own, slots in reversed(out)}.values())
+
+
 def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col: str, text_col: str) -> DataFrame:
-    """(hash, item_id, at, of, reach, length, width, main, literal, slots): every reading of every window of every item.
+    """(hash, bits, item_id, at, of, reach, length, width, gap, main, literal, slots): every reading of every window of every item.
 
     main: the window counts; these are those with a template, or all if none has. of, reach: their number, and their tokens.
+    gap: the token left out of a whole item, or -1; at is then the number of windows that count beside it. bits: the highest
+    of the hash before it was salted, by which a text is sifted; a row without a hash is only there for them.
     """
+    shift = 64 - cfg.filter_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.bool_(), pa.list_(pa.string()))
-        names = ["hash", "item_id", "at", "of", "reach", "length", "width", "main", "literal", "slots"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+        names = ["hash", "bits", "item_id", "at", "of", "reach", "length", "width", "gap", "main", "literal", "slots"]
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 template = canonical(text or "")
-                if not (width := min(cfg.window, len(template.hashes))):
+                length = len(template.hashes)
+                if not (width := min(cfg.window, length)):
                     continue
                 at, readings = _item_windows(template, width, cfg.least_words)
                 main, reach = set(at.tolist()), len(np.unique(at[:, None] + np.arange(width)))
-                rows += [(h, item, k, len(at), reach, len(template.hashes), width, k in main, own, slots) for k, h, own, slots in readings]
+
+                def row(h: int, form: int, place: int, gap: int, wide: int, counts: bool, own: bool, slots: list[str]) -> tuple:
+                    key = int(_keys(np.array([h], np.uint64), wide, form)[0])
+                    return key, h >> shift, item, place, len(at), reach, length, width, gap, counts, own, slots
+
+                form = _WHOLE if width < cfg.least_tokens else _PART
+                rows += [row(h, form, k, -1, width, k in main, own, slots) for k, h, own, slots in readings]
+                if form == _WHOLE and (template.kinds != _NUMBER).sum() >= cfg.least_inside:
+                    h = int(template.own_rolling.of(width)[0])
+                    rows.append(row(h, _PART, 0, -1, width, True, True, template.slots(0, width)))
+                seeds, without = _gapped(template, cfg)
+                rows += [(None, h >> shift, item, 0, len(at), reach, length, width, -1, False, True, []) for h in seeds]
+                rows += [row(h, _GAP + g, int(((at > g) | (at + width <= g)).sum()), g, length, False, own, slots) for g, h, own, slots in without]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).distinct()
-    return items.mapInArrow(run, "hash long, item_id long, at int, of int, reach int, length int, width int, main boolean, literal boolean, slots array<string>")
-
-
-def _read(template: Template, width: int, least_words: int) -> tuple[np.ndarray, np.ndarray, list[Template | None], np.ndarray]:
-    """(places, hashes, readings, reading of each) of a document's windows: as templates, with names as words, as they stand."""
-    (a, x), (c, z), b = windows(template, width, least_words), literal_windows(template, width), _mixed(template, width)
-    named = template.named() if len(b) else template
-    y = _window_hashes(named.hashes, b, width)
-    return np.concatenate((a, b, c)), np.concatenate((x, y, z)), [template, named, None], np.repeat(np.arange(3), (len(a), len(b), len(c)))
+    return items.mapInArrow(run, "hash long, bits long, item_id long, at int, of int, reach int, length int, width int, gap int, main boolean, literal boolean, slots array<string>")
+
+
+class _Sieve:
+    """The windows of a text whose bits are set in a bitmap."""
+
+    def __init__(self, bitmap: np.ndarray, cfg: DecontaminationConfig, widths: list[int], lengths: list[int]):
+        self.bitmap, self.cfg, self.widths = bitmap, cfg, widths
+        self.seeds: dict[int, list[int]] = {}
+        for length in lengths:
+            if seed := cfg.seed(length):
+                self.seeds.setdefault(seed, []).append(length)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        bits = hashes >> np.uint64(64 - self.cfg.filter_bits)
+        return (self.bitmap[bits >> np.uint64(5)] >> (bits & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+
+    def found(self, template: Template) -> Iterator[tuple[int, int, list[str]]]:
+        """(place, key, slots as they are read) of windows of a document: as templates, with names as words, as they stand."""
+        length, words, slot = len(template.hashes), template.kinds == 0, template.kinds > 0
+        for width in self.widths:
+            if width > length:
+                break
+            whole = width < self.cfg.least_tokens
+            own = np.flatnonzero(self.passes(template.own_rolling.of(width)))
+            if whole:
+                yield from ((k, h, []) for k, h in zip(own.tolist(), _keys(template.own_rolling.of(width)[own], width, _PART).tolist()))
+                if width < length:
+                    continue
+            elif len(own):
+                own = own[_counts(slot, width)[own] > 0]  # else the template is the same
+            form = _WHOLE if whole else _PART
+            yield from ((k, h, []) for k, h in zip(own.tolist(), _keys(template.own_rolling.of(width)[own], width, form).tolist()))
+            at = np.flatnonzero(self.passes(template.rolling.of(width)))
+            if len(at):
+                at = at[_counts(words, width)[at] >= min(self.cfg.least_words, width)]
+            yield from ((k, h, template.slots(k, width)) for k, h in zip(at.tolist(), _keys(template.rolling.of(width)[at], width, form).tolist()))
+            if len(mixed := _mixed(template, width)):
+                named = template.named()
+                hashes = named.rolling.at(mixed, width)
+                hit = np.flatnonzero(self.passes(hashes))
+                yield from ((k, h, named.slots(k, width)) for k, h in zip(mixed[hit].tolist(), _keys(hashes[hit], width, form).tolist()))
+        for seed, lengths in self.seeds.items():
+            for rolling, reading in ((template.rolling, template), (template.own_rolling, None)):
+                hit = np.flatnonzero(self.passes(rolling.of(seed)))
+                for size in lengths if len(hit) else ():
+                    yield from self.without(rolling, reading, hit, seed, size, length)
+
+    def without(self, rolling: Rolling, reading: Template | None, hit: np.ndarray, seed: int, size: int, length: int) -> Iterator[tuple[int, int, list[str]]]:
+        """(place, key, slots) of passages of a size without one token, that begin or end with a seed."""
+        for starts, gaps in ((hit, np.arange(seed, size)), (hit - (size - seed), np.arange(size - seed))):
+            starts = starts[(starts >= 0) & (starts + size <= length)]
+            if not len(starts):
+                continue
+            hashes = rolling.at(starts, size, gaps)
+            row, column = np.nonzero(self.passes(hashes))
+            keys = _keys(hashes[row, column], size, _GAP + gaps[column]) if len(row) else row
+            for k, g, h in zip(starts[row].tolist(), gaps[column].tolist(), keys.tolist()):
+                yield k, h, reading.slots(k, size, g) if reading else []
 
 
 def text_key(text: F.Column) -> F.Column:
@@ -224,10 +339,9 @@ def text_key(text: F.Column) -> F.Column:
     return F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("hash"), F.hash(text).alias("check")))
 
 
-def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the low bits of all hashes, merged on Spark in words of 32 bits: 2**bits bits at most."""
-    low = hashes.select((F.col("hash").bitwiseAND((1 << bits) - 1)).alias("low"))
-    bit = low.select(F.shiftright("low", 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(low & 31L as int))").alias("bit"))
+def _filter(marks: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the bits of all marks, merged on Spark in words of 32 bits: 2**bits bits at most."""
+    bit = marks.select(F.shiftright("bits", 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(bits & 31L as int))").alias("bit"))
     words = bit.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
     out = np.zeros(1 << (bits - 5), np.uint32)
     out[words["word"].to_numpy()] = words["bit"].to_numpy().astype(np.uint32)
@@ -312,6 +426,14 @@ class _Chains:
             if function or quoted:
                 self.best = (*found, own, one_to_one)
 
+    def without_one(self, here: int, windows: int, pairs: list[tuple[str, str]]) -> None:
+        """A copy of the whole item but for one token."""
+        found = (windows, -here)
+        if self.best is None or found > self.best[:2]:
+            function, one_to_one, own = _agreed(_Hit(None, here, 0, self.length, False, pairs))
+            if function:
+                self.best = (*found, own, one_to_one)
+
     def passage(self) -> tuple | None:
         """(windows, -start, exact, one_to_one) of the passage with most windows, the first of several."""
         for chains in self.open:
@@ -334,41 +456,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     Every window is also read literally, in lower case, and with names as words; and one of an item whose first token is
     capitalised with that as a name and as a word. So neither case nor what stands before a passage hides a copy. An item
     whose windows are all too poor in words is found by windows of its own tokens, so by verbatim copies.
-    A window has to be whole, so an item of 16 tokens or fewer may be lost by a change in its middle.
+    An item of window + 1 to window + least_run - 1 tokens, which a replaced token may leave without windows enough, is also
+    looked for with each of its tokens left out: where its first or last tokens stand, the rest is tried. exact then speaks of
+    the other tokens, and windows counts those beside the gap. A shorter item has to be whole, as does a window; an added or
+    missing token still hides an item of fewer than 2 * window tokens.
+
+    An item of numbers alone is found by its own numbers, from least_tokens of them; with fewer, or with fewer than
+    least_inside other tokens if it is shorter than least_tokens, only as the whole of a text. In scripts without blanks each
+    letter is a token.
 
     text_key is text_key(text) of the document's text, by which a caller whose ids may repeat or be null finds the row.
 
     Defined cases: null ids, null and empty texts match nothing; repeated rows of docs give one result, and an id with
-    several texts one for the text with the longest passage; of equally long passages the first counts; an item of numbers
-    alone is never found; other columns are ignored; empty tables give no rows.
+    several texts one for the text with the longest passage; of equally long passages the first counts; several texts
+    of one item_id are looked for one by one, unless their windows and lengths are equal in number; other columns are ignored;
+    empty tables give no rows.
     """
     marks = written(_benchmark_windows(benchmark, cfg, item_col, item_text_col), "benchmark_windows")
     held = docs.sparkSession.sparkContext.broadcast(_filter(marks, cfg.filter_bits))
-    widths = sorted(r.width for r in marks.select("width").distinct().collect())  # from 1 to cfg.window
-    mask = np.uint64((1 << cfg.filter_bits) - 1)
+    sizes = marks.select("width", F.when(F.col("gap") >= 0, F.col("length")).alias("length")).distinct().collect()  # few: both are bounded
+    sieve = sorted({r.width for r in sizes}), sorted({r.length for r in sizes if r.length is not None})
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
+        sift = _Sieve(held.value, cfg, *sieve)
         for batch in batches:
             for doc, text, *key in zip(*(c.to_pylist() for c in batch.columns)):
-                template = canonical(text or "")
-                for width in widths:
-                    if width < cfg.least_tokens and len(template.hashes) != width:
-                        continue
-                    at, found, readings, which = _read(template, width, cfg.least_words)
-                    low = found & mask
-                    hit = np.flatnonzero((bitmap[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
-                    if len(hit):
-                        mine = [r.slots(k, width) if (r := readings[w]) else [] for k, w in zip(at[hit].tolist(), which[hit].tolist())]
-                        columns = ([doc] * len(hit), *([k] * len(hit) for k in key), at[hit], found[hit].view(np.int64), mine)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "copy", "check", "here", "hash", "mine"])
+                if hit := list(sift.found(canonical(text or ""))):
+                    here, found, mine = zip(*hit)
+                    columns = ([doc] * len(hit), *([k] * len(hit) for k in key), here, found, mine)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "copy", "check", "here", "hash", "mine"])
 
     whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     key = text_key(F.col("text"))  # an id may have several texts
     texts = in_small_batches(whole).select("doc_id", "text", key["hash"].alias("copy"), key["check"].alias("check"))
     hits = texts.mapInArrow(run, "doc_id long, copy long, check int, here int, hash long, mine array<string>").join(marks, "hash")
-    order = ["doc_id", "copy", "check", "item_id", "here", "at", "of", "reach", "length", "width", "main", "literal", "slots", "mine"]
+    order = ["doc_id", "copy", "check", "item_id", "here", "at", "of", "reach", "length", "width", "gap", "main", "literal", "slots", "mine"]
     outs = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32())
     names = ["doc_id", "item_id", "windows", "of", "first", "exact", "one_to_one", "copy", "check"]
 
@@ -381,13 +504,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, outs)], names)
 
         for batch in batches:
-            for doc, copy, check, item, here, at, of, reach, length, width, main, literal, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, copy, check, item, here, at, of, reach, length, width, gap, main, literal, slots, mine in zip(*(c.to_pylist() for c in batch.columns)):
                 key = (doc, copy, check, item, of, reach, length, width)
                 if key != now:
                     yield from done()
                     now, chains, last = key, _Chains(cfg, of, reach, length, width), None
-                if (here, at) != last:  # repeated rows come together
-                    chains.add(here, at, main, list(zip(slots, slots if literal else mine)))
+                pairs = list(zip(slots, slots if literal else mine))
+                if gap >= 0:
+                    chains.without_one(here, at, pairs)
+                elif (here, at) != last:  # repeated rows come together
+                    chains.add(here, at, main, pairs)
                     last = (here, at)
         yield from done()
 
