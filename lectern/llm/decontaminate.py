@@ -140,7 +140,7 @@ class Template:
 
     @cached_property
     def rolling(self) -> Rolling:
-        return Rolling(self.hashes)
+        return Rolling(self.hashes) if self.kinds.any() else self.own_rolling
 
     @cached_property
     def own_rolling(self) -> Rolling:
@@ -267,7 +267,7 @@ def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col:
                     h = int(template.own_rolling.of(width)[0])
                     rows.append(row(h, _PART, 0, -1, width, True, True, template.slots(0, width)))
                 seeds, without = _gapped(template, cfg)
-                rows += [(None, h >> shift, item, 0, len(at), reach, length, width, -1, False, True, []) for h in seeds]
+                rows += [(None, (h >> shift) ^ _seed_bits(cfg), item, 0, len(at), reach, length, width, -1, False, True, []) for h in seeds]
                 rows += [row(h, _GAP + g, int(((at > g) | (at + width <= g)).sum()), g, length, False, own, slots) for g, h, own, slots in without]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -276,6 +276,11 @@ def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col:
     return items.mapInArrow(run, "hash long, bits long, item_id long, at int, of int, reach int, length int, width int, gap int, main boolean, literal boolean, slots array<string>")
 
 
+def _seed_bits(cfg: DecontaminationConfig) -> int:
+    """By which the bits of seeds differ from those of windows, so that an item's windows aren't taken for seeds."""
+    return (1 << cfg.filter_bits) // 3
+
+
 class _Sieve:
     """The windows of a text whose bits are set in a bitmap."""
 
@@ -286,40 +291,60 @@ class _Sieve:
             if seed := cfg.seed(length):
                 self.seeds.setdefault(seed, []).append(length)
 
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
+    def passes(self, hashes: np.ndarray, seed: bool = False) -> np.ndarray:
+        """Places of the hashes whose bit is set."""
         bits = hashes >> np.uint64(64 - self.cfg.filter_bits)
-        return (self.bitmap[bits >> np.uint64(5)] >> (bits & np.uint64(31)).astype(np.uint32)) & np.uint32(1)
+        if seed:
+            bits ^= np.uint64(_seed_bits(self.cfg))
+        return np.flatnonzero((self.bitmap[bits >> np.uint64(5)] >> (bits & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+
+    def hits(self, template: Template, width: int, seed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of windows that pass as they stand; which of them hold a slot; and places of those that pass as templates.
+
+        A window without a slot is its own template, so only those with one are hashed again.
+        """
+        own = self.passes(template.own_rolling.of(width), seed)
+        if not template.kinds.any():
+            return own, np.zeros(len(own), bool), own
+        slots = _counts(template.kinds > 0, width) > 0
+        slotted = np.flatnonzero(slots)
+        at = slotted[self.passes(template.rolling.at(slotted, width), seed)]
+        return own, slots[own], np.concatenate((own[~slots[own]], at))
 
     def found(self, template: Template) -> Iterator[tuple[int, int, list[str]]]:
         """(place, key, slots as they are read) of windows of a document: as templates, with names as words, as they stand."""
-        length, words, slot = len(template.hashes), template.kinds == 0, template.kinds > 0
+        length = len(template.hashes)
         for width in self.widths:
             if width > length:
                 break
-            whole = width < self.cfg.least_tokens
-            own = np.flatnonzero(self.passes(template.own_rolling.of(width)))
-            if whole:
-                yield from ((k, h, []) for k, h in zip(own.tolist(), _keys(template.own_rolling.of(width)[own], width, _PART).tolist()))
+            own, slotted, at = self.hits(template, width)
+            form = _PART
+            if width < self.cfg.least_tokens:
+                yield from self.read(own, template.own_rolling, width, _PART, None)
                 if width < length:
                     continue
-            elif len(own):
-                own = own[_counts(slot, width)[own] > 0]  # else the template is the same
-            form = _WHOLE if whole else _PART
-            yield from ((k, h, []) for k, h in zip(own.tolist(), _keys(template.own_rolling.of(width)[own], width, form).tolist()))
-            at = np.flatnonzero(self.passes(template.rolling.of(width)))
+                form = _WHOLE
+            if slotted.any():
+                yield from self.read(own[slotted], template.own_rolling, width, form, None)
             if len(at):
-                at = at[_counts(words, width)[at] >= min(self.cfg.least_words, width)]
-            yield from ((k, h, template.slots(k, width)) for k, h in zip(at.tolist(), _keys(template.rolling.of(width)[at], width, form).tolist()))
+                at = at[_counts(template.kinds == 0, width)[at] >= min(self.cfg.least_words, width)]
+                yield from self.read(at, template.rolling, width, form, template)
             if len(mixed := _mixed(template, width)):
                 named = template.named()
-                hashes = named.rolling.at(mixed, width)
-                hit = np.flatnonzero(self.passes(hashes))
-                yield from ((k, h, named.slots(k, width)) for k, h in zip(mixed[hit].tolist(), _keys(hashes[hit], width, form).tolist()))
+                yield from self.read(mixed[self.passes(named.rolling.at(mixed, width))], named.rolling, width, form, named)
         for seed, lengths in self.seeds.items():
-            for rolling, reading in ((template.rolling, template), (template.own_rolling, None)):
-                hit = np.flatnonzero(self.passes(rolling.of(seed)))
-                for size in lengths if len(hit) else ():
-                    yield from self.without(rolling, reading, hit, seed, size, length)
+            if seed > length:
+                continue
+            own, _, at = self.hits(template, seed, True)
+            for size in lengths:
+                if len(own):
+                    yield from self.without(template.own_rolling, None, own, seed, size, length)
+                if len(at) and template.kinds.any():
+                    yield from self.without(template.rolling, template, at, seed, size, length)
+
+    def read(self, places: np.ndarray, rolling: Rolling, width: int, form: int, reading: Template | None) -> Iterator[tuple[int, int, list[str]]]:
+        keys = _keys(rolling.at(places, width), width, form)
+        return ((k, h, reading.slots(k, width) if reading else []) for k, h in zip(places.tolist(), keys.tolist()))
 
     def without(self, rolling: Rolling, reading: Template | None, hit: np.ndarray, seed: int, size: int, length: int) -> Iterator[tuple[int, int, list[str]]]:
         """(place, key, slots) of passages of a size without one token, that begin or end with a seed."""
@@ -328,7 +353,7 @@ class _Sieve:
             if not len(starts):
                 continue
             hashes = rolling.at(starts, size, gaps)
-            row, column = np.nonzero(self.passes(hashes))
+            row, column = np.divmod(self.passes(hashes.ravel()), len(gaps))
             keys = _keys(hashes[row, column], size, _GAP + gaps[column]) if len(row) else row
             for k, g, h in zip(starts[row].tolist(), gaps[column].tolist(), keys.tolist()):
                 yield k, h, reading.slots(k, size, g) if reading else []
