@@ -49,7 +49,7 @@ class DecontaminationConfig:
     found inside a text only verbatim, and if least_inside of its tokens aren't numbers. least_words: tokens of a window that must be words and not placeholders, as
     windows of numbers alone say nothing. least_share: share of an item that a passage must hold. least_run: tokens of an
     unbroken run that counts whatever its share of the item. drift: tokens by which a change may move a passage on.
-    filter_bits: log2 of the size of the filter that is sent to every task, whatever the size of the benchmark.
+    filter_bits: log2 of the size of each of the two filters that are sent to every task, whatever the size of the benchmark.
     """
 
     window: int = 8
@@ -240,7 +240,7 @@ def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col:
 
     main: the window counts; these are those with a template, or all if none has. of, reach: their number, and their tokens.
     gap: the token left out of a whole item, or -1; at is then the number of windows that count beside it. bits: the highest
-    of the hash before it was salted, by which a text is sifted; a row without a hash is only there for them.
+    of the hash before it was salted, by which a text is sifted; a row without a hash is a seed, only there for them.
     """
     shift = 64 - cfg.filter_bits
 
@@ -267,7 +267,7 @@ def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col:
                     h = int(template.own_rolling.of(width)[0])
                     rows.append(row(h, _PART, 0, -1, width, True, True, template.slots(0, width)))
                 seeds, without = _gapped(template, cfg)
-                rows += [(None, (h >> shift) ^ _seed_bits(cfg), item, 0, len(at), reach, length, width, -1, False, True, []) for h in seeds]
+                rows += [(None, h >> shift, item, 0, len(at), reach, length, width, -1, False, True, []) for h in seeds]
                 rows += [row(h, _GAP + g, int(((at > g) | (at + width <= g)).sum()), g, length, False, own, slots) for g, h, own, slots in without]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
@@ -276,16 +276,11 @@ def _benchmark_windows(benchmark: DataFrame, cfg: DecontaminationConfig, id_col:
     return items.mapInArrow(run, "hash long, bits long, item_id long, at int, of int, reach int, length int, width int, gap int, main boolean, literal boolean, slots array<string>")
 
 
-def _seed_bits(cfg: DecontaminationConfig) -> int:
-    """By which the bits of seeds differ from those of windows, so that an item's windows aren't taken for seeds."""
-    return (1 << cfg.filter_bits) // 3
-
-
 class _Sieve:
-    """The windows of a text whose bits are set in a bitmap."""
+    """The windows of a text whose bits are set in a bitmap, of windows or of seeds."""
 
-    def __init__(self, bitmap: np.ndarray, cfg: DecontaminationConfig, widths: list[int], lengths: list[int]):
-        self.bitmap, self.cfg, self.widths = bitmap, cfg, widths
+    def __init__(self, bitmaps: tuple[np.ndarray, np.ndarray], cfg: DecontaminationConfig, widths: list[int], lengths: list[int]):
+        self.bitmaps, self.cfg, self.widths = bitmaps, cfg, widths
         self.seeds: dict[int, list[int]] = {}
         for length in lengths:
             if seed := cfg.seed(length):
@@ -294,9 +289,7 @@ class _Sieve:
     def passes(self, hashes: np.ndarray, seed: bool = False) -> np.ndarray:
         """Places of the hashes whose bit is set."""
         bits = hashes >> np.uint64(64 - self.cfg.filter_bits)
-        if seed:
-            bits ^= np.uint64(_seed_bits(self.cfg))
-        return np.flatnonzero((self.bitmap[bits >> np.uint64(5)] >> (bits & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+        return np.flatnonzero((self.bitmaps[seed][bits >> np.uint64(5)] >> (bits & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
 
     def hits(self, template: Template, width: int, seed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of windows that pass as they stand; which of them hold a slot; and places of those that pass as templates.
@@ -498,7 +491,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConf
     empty tables give no rows.
     """
     marks = written(_benchmark_windows(benchmark, cfg, item_col, item_text_col), "benchmark_windows")
-    held = docs.sparkSession.sparkContext.broadcast(_filter(marks, cfg.filter_bits))
+    held = docs.sparkSession.sparkContext.broadcast(tuple(_filter(marks.where(F.col("hash").isNull() == seed), cfg.filter_bits) for seed in (False, True)))
     sizes = marks.select("width", F.when(F.col("gap") >= 0, F.col("length")).alias("length")).distinct().collect()  # few: both are bounded
     sieve = sorted({r.width for r in sizes}), sorted({r.length for r in sizes if r.length is not None})
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
