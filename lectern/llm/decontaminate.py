@@ -27,6 +27,9 @@ NUMBER_WORDS = frozenset(
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 )
 _TOKENS = re.compile(r"[^\W\d_]+|\d+(?:[.,:/]\d+)*|[.!?]")
+#: The same for texts of Latin letters alone: a set of characters is looked up faster than a class of them.
+_LATIN = "".join(chr(c) for c in range(0x250) if re.fullmatch(r"[^\W\d_]", chr(c)))
+_LATIN_TOKENS = re.compile(rf"[{_LATIN}]+|[0-9]+(?:[.,:/][0-9]+)*|[.!?]")
 #: Scripts written without blanks between words, where each letter is a token: Thai and Lao, Burmese, Khmer, kana, Han.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _UNSPACED_TOKENS = re.compile(rf"(?=[{_UNSPACED}])[^\W\d_]|[^\W\d_{_UNSPACED}]+|\d+(?:[.,:/]\d+)*|[.!?]")
@@ -172,8 +175,8 @@ def canonical(text: str) -> Template:
     of one name stay apart, so that a window keeps its length. A number may be spelled out; a unit is one of UNITS after a
     number. In scripts without blanks each letter is a token.
     """
-    wide = not text.isascii() and np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).max() >= 0xE00
-    tokens = (_UNSPACED_TOKENS if wide else _TOKENS).findall(text)
+    last = 0 if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).max()
+    tokens = (_LATIN_TOKENS if last < 0x250 else _TOKENS if last < 0xE00 else _UNSPACED_TOKENS).findall(text)
     packed = np.fromiter(map(worker_cache("template classes", _Classes).__getitem__, tokens), np.uint64, len(tokens))
     kind = (packed & np.uint64(7)).astype(np.int8)
     if (upper := kind == _UPPER).any():
