@@ -8,12 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import LOWER_AZ, discard, grouped, in_small_batches, mix64, odd_constants, released, scratch_path, word_hashes, written
+from lectern.llm.shared import LOWER_AZ, discard, grouped, in_small_batches, mix64, odd_constants, released, scratch_path, written
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,34 @@ def _unzipped(raw: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 256
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts, one text after the other, and how many words each text has.
+
+    All words are hashed together, eight bytes at a time; those of over _LONG bytes one by one.
+    """
+    lists = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+    raw = (b" " + b" ".join(lists) + b" " * 8).translate(LOWER_AZ)
+    blank = _BLANK[np.frombuffer(raw, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight, c = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)), odd_constants(3, 37)
+    out = mix64((eight[starts] & _FIRST[np.minimum(size, 8)]) * c[0] + size.astype(np.uint64) * c[1])
+    left, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(left):
+        out[left] = mix64(out[left] * c[2] + (eight[starts[left] + done] & _FIRST[np.minimum(size[left] - done, 8)]))
+        done += 8
+        left = left[size[left] > done]
+    for k in np.flatnonzero(size > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + size[k]])
+    ends = np.cumsum(np.array([len(t) + 1 for t in lists], np.int64))
+    return out, np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
+
+
 class Chunk:
     """Some documents: ids, numbers of words, the hash of each distinct word (most frequent first), and each word's place in that list."""
 
@@ -48,7 +77,7 @@ class Chunk:
 
     @classmethod
     def of(cls, docs: list, words: list[np.ndarray]) -> Chunk:
-        every, place, counts = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        every, place, counts = _ranked(np.concatenate(words))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(every), np.uint32)
         rank[order] = np.arange(len(every), dtype=np.uint32)
@@ -58,7 +87,7 @@ class Chunk:
         """Of n-grams of one word, by rank: the sorted keys, which of them each place has, and how often each stands in the chunk."""
         c = odd_constants(4, 31)
         keys = mix64(self.vocabulary * c[0] + c[2])
-        order = np.argsort(keys)
+        order = _order(keys)
         place = np.empty(len(keys), np.int32)
         place[order] = np.arange(len(keys), dtype=np.int32)
         return keys[order], place[self.tokens], np.bincount(self.tokens, minlength=len(keys))[order]
@@ -67,7 +96,7 @@ class Chunk:
         """For n from 2 to order: the places of words with n - 1 words of their document before them, and the n-gram's key at each."""
         c, doc = odd_constants(4, 31), self.doc
         hashes = self.vocabulary[self.tokens]
-        last, added = hashes, c[3]
+        last, added = hashes, c[3:]
         for n in range(2, order + 1):
             at = np.flatnonzero(doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]).astype(np.int32)
             at += n - 1
@@ -80,14 +109,30 @@ class Chunk:
             del word
             key = mix64(key)
             if n < order:
-                last, added = np.zeros(len(doc), np.uint64), added + c[2]
+                last, added = np.zeros(len(doc), np.uint64), added + c[2:3]
                 last[at] = key
             yield at, key
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """argsort of hashes. Their upper bits are sorted with the places in the lower ones, which takes a fraction of the time;
+    different hashes with equal upper bits are few and then put in order."""
+    low = np.uint64((1 << max(1, len(keys) - 1).bit_length()) - 1)
+    both = np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64))
+    order = (both & low).view(np.int64)
+    found = keys[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong) > 1000:
+        return np.argsort(keys)
+    for top in np.unique(both[wrong] & ~low):
+        start, end = np.searchsorted(both, top), np.searchsorted(both, top | low, "right")
+        order[start:end] = order[start:end][np.argsort(found[start:end], kind="stable")]
+    return order
+
+
 def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, which of them each place has, and how often each occurs."""
-    order = np.argsort(keys)
+    order = _order(keys)
     sorted_ = keys[order]
     new = np.concatenate((np.ones(min(1, len(keys)), bool), sorted_[1:] != sorted_[:-1]))
     which = np.empty(len(keys), np.int32)
@@ -129,8 +174,8 @@ def _chunks(docs: DataFrame, cfg: BackoffConfig) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                w = word_hashes((text or b"").translate(LOWER_AZ).split())
+            hashes, counts = hashed_words(batch.column(1))
+            for doc, w in zip(batch.column(0).to_pylist(), np.split(hashes, np.cumsum(counts)[:-1])):
                 if held and total + len(w) > cfg.chunk_words:
                     yield packed()
                     number, held, words, total = number + 1, [], [], 0
@@ -250,8 +295,46 @@ def counted(grams: DataFrame) -> DataFrame:
     return dealt.join(table.select("ngram", "total").hint("shuffle_hash"), "ngram").select("chunk", "ngram", (F.col("total") - F.col("n")).alias("others"))
 
 
+#: Rows of counted that a task holds before they are put into one row for each chunk.
+_HELD = 1 << 20
+
+
+def _blobs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Runs of numbers, from each start to the next, as binary values."""
+    offsets = np.append(starts, len(values)).astype(np.int32) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def packed(known: DataFrame) -> DataFrame:
+    """The rows of counted as rows (chunk, ngrams, others) of many n-grams each, in the tasks that joined them.
+
+    A row for each chunk and _HELD rows of a task, so that n-grams aren't written, dealt and sorted one by one again.
+    """
+
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        chunk, grams, others = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+        order = np.argsort(chunk, kind="stable")
+        chunk = chunk[order]
+        starts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), _blobs(grams[order], starts), _blobs(others[order], starts)], ["chunk", "ngrams", "others"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= _HELD:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return known.select("chunk", "ngram", "others").mapInArrow(run, "chunk long, ngrams binary, others binary")
+
+
 def _packed_states(files: tuple[DataFrame, int], known: DataFrame, level: int) -> DataFrame:
-    """The rows of counted, as a row for each chunk: a bit for each of its distinct n-grams, and the numbers of those known."""
+    """The rows of packed, as a row for each chunk: a bit for each of its distinct n-grams, and the numbers of those known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = grouped(batches, 2)
@@ -268,11 +351,11 @@ def _packed_states(files: tuple[DataFrame, int], known: DataFrame, level: int) -
                     for _, key in chunk.levels(level):
                         pass
                     keys = _distinct(key)
-                known = pa.Table.from_batches(rows)
-                grams, flags = known.column("ngram").to_numpy().view(np.uint64), np.zeros(len(keys), bool)
-                order = np.argsort(grams)
+                grams, others = (np.concatenate([np.frombuffer(x, np.int64) for r in rows for x in r.column(name).to_pylist()]) for name in ("ngrams", "others"))
+                grams, flags = grams.view(np.uint64), np.zeros(len(keys), bool)
+                order = _order(grams)
                 flags[np.searchsorted(keys, grams[order])] = True
-                flags, others, size = _Seen(flags, known.column("others").to_numpy()[order]).packed()
+                flags, others, size = _Seen(flags, others[order]).packed()
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, k, level, size, flags, others), _STATE_KINDS)], [c.split()[0] for c in _STATE.split(", ")])
                 (part, number), rows = next(groups, ((None, None), []))
 
@@ -290,7 +373,7 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
     1. Rows are read in chunks of words, which are written with each word as its place in the chunk's vocabulary.
     2. For each n, the chunks' distinct n-grams are exploded into rows with their counts, dealt by hash, summed into the
        count table, and joined with it. An answer comes back to a chunk only for n-grams that other chunks have too; of the
-       rest its own counts are all there are.
+       rest its own counts are all there are. The task that joined them puts a chunk's answers into one row.
     3. Answers are kept for each chunk as bits and packed numbers, and its rows are scored from them, word by word, and summed.
 
     The rows of every step grow with the corpus, and none of them with its square. A task holds one chunk.
@@ -307,8 +390,7 @@ def score(docs: DataFrame, cfg: BackoffConfig = BackoffConfig(), id_col: str = "
     states: list[DataFrame] = []
     for level in range(1, cfg.order + 1):
         path = scratch_path(spark, "known")
-        # a chunk's n-grams come in order, so their differences are stored, which take fewer bytes
-        known = written(counted(ngrams(files, states[-1] if states else None, level)), "known", path, options={"parquet.writer.version": "v2"})
+        known = written(packed(counted(ngrams(files, states[-1] if states else None, level))), "known", path, records=100_000, options={"compression": "zstd"})
         states.append(written(_packed_states(files, known, level), "states", records=100_000))
         discard(spark, path)
     every = states[0]

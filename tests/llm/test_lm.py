@@ -2,9 +2,12 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from lectern.llm.lm_score import BackoffConfig, counted, score
+from lectern.llm import lm_score
+from lectern.llm.lm_score import BackoffConfig, _order, counted, hashed_words, score
 from lectern.llm.queries import ORACLES, QUERIES
 from lectern.llm.shared import settings
 
@@ -88,3 +91,46 @@ def test_one_count_table_exchange(spark):
         plan = counted(grams)._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning") == 2  # one of them is named by the reuse
     assert {(r.ngram, r.others) for r in counted(grams).collect()} == {(k, 3 if k < 100 else 2) for k in range(300)}
+
+
+def test_answers_are_written_in_few_rows(spark, monkeypatch):
+    """What the join finds is a row for each chunk of a task, not one for each n-gram, on the way back to the chunks."""
+    found = []
+
+    def spied(df, name, *args, **more):
+        out = kept(df, name, *args, **more)
+        if name == "known":
+            found.append(out.count())
+        return out
+
+    kept = lm_score.written
+    monkeypatch.setattr(lm_score, "written", spied)
+    docs = [(k, " ".join(f"w{(k % 30 * j + j) % 97}" for j in range(200)), "") for k in range(60)]
+    score(spark.createDataFrame(docs, SCHEMA).coalesce(1), BackoffConfig(chunk_words=6_000)).collect()
+    assert len(found) == 3 and all(0 < rows <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) for rows in found)
+
+
+def test_answers_in_many_small_pieces(spark, monkeypatch):
+    docs = [(k, " ".join(f"w{(k * j * j + j) % 11}" for j in range(k % 17))) for k in range(80)]
+    monkeypatch.setattr(lm_score, "_HELD", 1)
+    rows = score(spark.createDataFrame([(*d, "") for d in docs], SCHEMA).repartition(5), BackoffConfig(order=2, chunk_words=60)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_backed_off, round(r.log_score, 6)) for r in rows), key=repr) == brute(docs)
+
+
+def test_words_are_hashed_together():
+    texts = ["a b a", None, "", " \t\n\v\f\r", " Ab\x0bAB aB\r", "abcdefgh abcdefghi abcdefgh\0 a\0 a", "É é\u00a0x \x1c", "x" * 255, "x" * 256, "x" * 257 + " " + "x" * 257 + " " + "x" * 300 + "Y", "q" * 16 + " " + "q" * 17, "z"]
+    for kind in (pa.string(), pa.binary()):
+        hashes, counts = hashed_words(pa.array([t if t is None else t.encode() for t in texts], pa.binary()).cast(kind))
+        words = [(t or "").encode().lower().split() for t in texts]
+        assert counts.tolist() == [len(w) for w in words]
+        every = [w for ws in words for w in ws]
+        assert len(hashes) == len(every) and len(set(zip(every, hashes.tolist()))) == len(set(every)) == len(set(hashes.tolist()))
+    assert [x.tolist() for x in hashed_words(pa.array([], pa.string()))] == [[], []]
+    assert [x.tolist() for x in hashed_words(pa.array([None, " "], pa.string()))] == [[], [0, 0]]
+
+
+@pytest.mark.parametrize("keys", [[], [7], [5, 5, 5], [3, 1, 2, 1], list(range(5000, 0, -1)), [2**63 + k % 3 for k in range(50)], [(k * 0x9E3779B97F4A7C15) % 2**64 for k in range(3000)] * 2])
+def test_order_of_hashes(keys):
+    keys = np.array(keys, np.uint64)
+    order = _order(keys)
+    assert sorted(order.tolist()) == list(range(len(keys))) and keys[order].tolist() == sorted(keys.tolist())
