@@ -67,6 +67,24 @@ def test_quantisation_agrees_with_numpy(spark):
         assert r.q == q[r.k].tolist() and np.float32(r.s) == scale[r.k]
     assert one(spark, vectors.dot(F.array(*map(F.lit, [1, 2, 3])), F.array(*map(F.lit, [4, 5])))) == 14
 
+def halves():
+    """Vectors whose second component is a half of the scale in single precision, and not in double."""
+    rng, found = np.random.default_rng(3), []
+    for largest in rng.uniform(0.1, 0.6, 400).astype(np.float32):
+        scale = np.float32(largest / np.float32(127))
+        x = ((np.arange(126) + 0.5) * np.float64(scale)).astype(np.float32)
+        odd = (x / scale == np.arange(126, dtype=np.float32) + np.float32(0.5)) & (np.rint(x.astype(np.float64) / np.float64(scale)) != np.rint(x / scale))
+        found += [[float(largest), float(x[k])] for k in np.flatnonzero(odd)[:2]]
+    return found
+
+
+def test_quantized_halves(spark):
+    rows = halves()
+    assert len(rows) > 100
+    q, _ = vectors.quantized(np.array(rows, np.float32))
+    frame = spark.createDataFrame(list(enumerate(rows)), "k int, v array<float>")
+    assert [r.q for r in frame.orderBy("k").select(vectors.int8_values(F.col("v")).alias("q")).collect()] == q.tolist()
+
 
 def test_blend_and_word_vectors(spark):
     unit = one(spark, vectors.blended_unit(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)), 0.25))
