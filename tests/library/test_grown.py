@@ -24,3 +24,11 @@ def test_halves_of_a_scale(spark, tmp_path, name):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     found, expected = both(spark, tmp_path, name)
     assert len(found) == len(rows) and found == expected
+
+
+def test_slots_of_more_papers_than_five_digits(spark, tmp_path):
+    spark.range(100_040).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src1' AS source", "1 AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    events = spark.createDataFrame([(k, 1, "view") for k in (1000, 1001, 14288, 14289, 14290)], "event_id long, user_id long, event_type string")
+    events.selectExpr("event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    found, expected = both(spark, tmp_path, "surrogate_key_slots")
+    assert any(paper >= 100_000 for paper, _, _ in expected) and found == expected
