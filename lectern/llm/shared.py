@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from typing import TypeVar
 
 import numpy as np
@@ -13,10 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.tables import discard, shared_dir
+from lectern.tables import discard, settings, shared_dir
 from lectern.tables import scratch as scratch_path
 
-__all__ = ["discard", "scratch_path", "shared_dir"]
+__all__ = ["discard", "scratch_path", "settings", "shared_dir"]
 
 T = TypeVar("T")
 
@@ -26,19 +25,6 @@ CACHE_WORDS = 150_000
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings for a while; afterwards they are as before."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def written(df: DataFrame, name: str, path: str | None = None, records: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation.
 

@@ -1,9 +1,12 @@
 """Registered queries against their SQL, on tables with what small ones lack: rare roundings, large ids, odd rows."""
 
+import re
+
 import duckdb
 import pytest
 
 from lectern import queries, queries_more, queries_reports  # noqa: F401
+from lectern.operators import lexical
 from tests.library.test_functions import halves
 
 
@@ -32,3 +35,12 @@ def test_slots_of_more_papers_than_five_digits(spark, tmp_path):
     events.selectExpr("event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
     found, expected = both(spark, tmp_path, "surrogate_key_slots")
     assert any(paper >= 100_000 for paper, _, _ in expected) and found == expected
+
+
+def test_weights_of_a_search_do_not_move(spark):
+    """A search of all texts deals papers' words by paper; neither weights nor sums, of which a query has one for each paper, are shuffled."""
+    papers = queries.Corpus(spark, "/root/testdata/sf0.001").papers
+    asked = spark.createDataFrame([(k, "the of and thstin") for k in range(3)], "query_id long, query_text string")
+    plan = lexical.bm25(papers, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
+    assert any(d.startswith("paper_id#") for d in dealt) and not any("query_id" in d and "paper_id" in d for d in dealt)
