@@ -46,6 +46,6 @@ def test_weights_of_a_search_do_not_move(spark):
     assert any(d.startswith("paper_id#") for d in dealt) and not any("query_id" in d and "paper_id" in d for d in dealt)
 
 
-@pytest.mark.parametrize("name", ["recall_at_50", "mrr", "eval_report"])
+@pytest.mark.parametrize("name", ["recall_at_50", "ndcg_at_10", "mrr", "eval_report"])
 def test_a_single_evaluation_builds_no_index(spark, name):
     assert not any("/lexicon-" in f for f in queries.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
