@@ -1,12 +1,15 @@
 """Registered queries against their SQL, on tables with what small ones lack: rare roundings, large ids, odd rows."""
 
+import random
 import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lectern import queries, queries_more, queries_reports  # noqa: F401
 from lectern.operators import lexical
+from lectern.tables import scratch
 from tests.library.test_functions import halves
 
 
@@ -49,3 +52,17 @@ def test_weights_of_a_search_do_not_move(spark):
 @pytest.mark.parametrize("name", ["recall_at_50", "ndcg_at_10", "mrr", "eval_report"])
 def test_a_single_evaluation_builds_no_index(spark, name):
     assert not any("/lexicon-" in f for f in queries.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_equally_frequent_words_are_weighed_for_the_best_alone(spark):
+    """Where bounds spare nothing, only papers that come up to the best sums are rows of weights."""
+    rng, path = random.Random(5), scratch(spark, "index")
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    rows = [(k, "t", " ".join(rng.choices(words, k=40))) for k in range(1500)]
+    lexical.build_index(spark.createDataFrame(rows, "paper_id long, title string, abstract string").withColumn("published_utc", F.lit("2024-01-01").cast("timestamp_ntz")), path)
+    asked = spark.createDataFrame([(k, " ".join(rng.sample(words, 12))) for k in range(5)], "query_id long, query_text string")
+    index = lexical.open_index(spark, path)
+    every = index.postings.join(lexical.query_terms(asked), "term").count()
+    assert lexical.pruned_weights(index, asked, 10)[0].count() < every / 20
+    rows = lambda found: sorted((r.query_id, r.paper_id, r["rank"], round(r.score, 9)) for r in found.collect())
+    assert rows(lexical.search_best(index, asked, 10)) == rows(lexical.search_index(index, asked, 10))
